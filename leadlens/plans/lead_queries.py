@@ -10,6 +10,7 @@ from leadlens.functions.fmt import one_decimal
 from leadlens.operators import evaluate as E
 from leadlens.operators.features import feature_long, impute
 from leadlens.operators.labeling import label_leads
+from leadlens.operators.ordering import materialize
 from leadlens.operators.ranking import rank_leads, top_leads
 from leadlens.operators.rollups import abm_dashboard, class_share, lead_stats, top_k_values, value_counts_long
 from leadlens.operators.scoring import frozen_scores, with_rank_score
@@ -22,8 +23,19 @@ def _r6(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def leads_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead table, written once (reliable checkpoint) because every batch statistic
+    (quantiles, modes, moments, extremes) reads it again."""
+    return materialize(lead_table(spark, sf_dir))
+
+
+def scored_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored leads with rank score, written once for the reports that read it repeatedly."""
+    return materialize(with_rank_score(frozen_scores(leads_df(spark, sf_dir))))
+
+
 def scored_leads_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_rank_score(frozen_scores(lead_table(spark, sf_dir)))
+    return scored_df(spark, sf_dir)
 
 
 @register("leads", with_ctes(LEADS, body="SELECT * FROM leads"))
@@ -33,7 +45,7 @@ def q_leads(spark, sf_dir):
 
 @register("rule_labels", with_ctes(LEADS, LABELED, body="SELECT lead_id, points, lead_score, lead_class FROM labeled"))
 def q_rule_labels(spark, sf_dir):
-    return label_leads(lead_table(spark, sf_dir)).select("lead_id", "points", "lead_score", "lead_class")
+    return label_leads(leads_df(spark, sf_dir)).select("lead_id", "points", "lead_score", "lead_class")
 
 
 @register("class_share_by_region", with_ctes(LEADS, LABELED, body="""
@@ -41,14 +53,14 @@ SELECT region, lead_class, COUNT(*) AS n,
        round(COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY region), 6) AS pct
 FROM labeled GROUP BY region, lead_class"""))
 def q_class_share_by_region(spark, sf_dir):
-    return class_share(label_leads(lead_table(spark, sf_dir)), "lead_class", ["region"])
+    return class_share(label_leads(leads_df(spark, sf_dir)), "lead_class", ["region"])
 
 
 @register("class_distribution", with_ctes(LEADS, LABELED, body="""
 SELECT lead_class, COUNT(*) AS n, round(COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (), 6) AS pct
 FROM labeled GROUP BY lead_class"""))
 def q_class_distribution(spark, sf_dir):
-    return class_share(label_leads(lead_table(spark, sf_dir)), "lead_class")
+    return class_share(label_leads(leads_df(spark, sf_dir)), "lead_class")
 
 
 @register("value_counts", with_ctes(LEADS, body="""
@@ -57,7 +69,7 @@ SELECT "column", value, COUNT(*) AS n FROM (
   ON company_size, industry, lead_source, region INTO NAME "column" VALUE value)
 WHERE value IS NOT NULL GROUP BY "column", value"""))
 def q_value_counts(spark, sf_dir):
-    return value_counts_long(lead_table(spark, sf_dir), S.CATEGORICAL)
+    return value_counts_long(leads_df(spark, sf_dir), S.CATEGORICAL)
 
 
 @register("industry_top10", with_ctes(LEADS, body="""
@@ -65,7 +77,7 @@ SELECT industry AS value, COUNT(*) AS n,
        CAST(row_number() OVER (ORDER BY COUNT(*) DESC, industry) AS INTEGER) AS pos
 FROM leads WHERE industry IS NOT NULL GROUP BY industry ORDER BY n DESC, value LIMIT 10"""))
 def q_industry_top10(spark, sf_dir):
-    return top_k_values(lead_table(spark, sf_dir), "industry", S.CHART_TOP_INDUSTRIES)
+    return top_k_values(leads_df(spark, sf_dir), "industry", S.CHART_TOP_INDUSTRIES)
 
 
 _STATS_SQL = with_ctes(LEADS, body="""
@@ -87,12 +99,12 @@ FROM leads""".format(
 
 @register("lead_stats", _STATS_SQL)
 def q_lead_stats(spark, sf_dir):
-    return lead_stats(lead_table(spark, sf_dir))
+    return lead_stats(leads_df(spark, sf_dir))
 
 
 @register("imputed_leads", with_ctes(LEADS, IMPUTED, body="SELECT * FROM imputed"))
 def q_imputed_leads(spark, sf_dir):
-    return _r6(impute(lead_table(spark, sf_dir)))
+    return _r6(impute(leads_df(spark, sf_dir)))
 
 
 _FEATURE_SQL = with_ctes(LEADS, IMPUTED, """
@@ -111,7 +123,7 @@ UNION ALL
 
 @register("feature_matrix", _FEATURE_SQL)
 def q_feature_matrix(spark, sf_dir):
-    return _r6(feature_long(impute(lead_table(spark, sf_dir))))
+    return _r6(feature_long(impute(leads_df(spark, sf_dir))))
 
 
 _SCORE_COLS = ("lead_id, predicted_index, predicted_lead_score, probability_low, probability_medium, "
@@ -160,7 +172,7 @@ SELECT COUNT(*) AS total_leads,
   COUNT(*) FILTER (WHERE predicted_lead_score = 'Low') AS n_low
 FROM scored"""))
 def q_abm_dashboard(spark, sf_dir):
-    return abm_dashboard(frozen_scores(lead_table(spark, sf_dir)))
+    return abm_dashboard(scored_df(spark, sf_dir))
 
 
 @register("score_distribution", with_ctes(LEADS, IMPUTED, SCORED, body="""
@@ -169,7 +181,7 @@ SELECT predicted_lead_score AS lead_class, COUNT(*) AS n,
   format('{:.1f}', COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER ()) || '%' AS delta
 FROM scored GROUP BY predicted_lead_score"""))
 def q_score_distribution(spark, sf_dir):
-    scored = frozen_scores(lead_table(spark, sf_dir))
+    scored = scored_df(spark, sf_dir)
     share = class_share(scored.withColumnRenamed("predicted_lead_score", "lead_class"), "lead_class")
     total = scored.agg(F.count(F.lit(1))).scalar()
     return share.withColumn("delta", F.concat(one_decimal(F.col("n") * F.lit(100.0) / total), F.lit("%")))
@@ -178,7 +190,7 @@ def q_score_distribution(spark, sf_dir):
 # ---- evaluation: rule label (truth) vs frozen scorer prediction -------------------------
 
 def _eval_input(spark, sf_dir) -> DataFrame:
-    leads = lead_table(spark, sf_dir)
+    leads = leads_df(spark, sf_dir)
     labels = label_leads(leads).select("lead_id", F.col("lead_score").alias("label"))
     preds = frozen_scores(leads).select("lead_id", F.col("predicted_index").alias("prediction"),
                                         "probability_low", "probability_medium", "probability_high")
