@@ -122,6 +122,14 @@ def user_questions(conversations: DataFrame) -> DataFrame:
     return conversations.where(F.col("role") == "user").select("conv_id", "turn", F.trim("text").alias("text"))
 
 
+def latest_user_questions(conversations: DataFrame) -> DataFrame:
+    """The newest user turn of each conversation: (conv_id, turn, text); max_by is a
+    partially aggregated group-by, so a long conversation never sits in one task whole."""
+    m = F.max_by(F.struct("turn", "text"), F.col("turn"))
+    return (conversations.where(F.col("role") == "user").groupBy("conv_id").agg(m.alias("m"))
+            .select("conv_id", "m.turn", F.trim("m.text").alias("text")))
+
+
 def append_answers(conversations: DataFrame, answers: DataFrame) -> DataFrame:
     """Chat log with one assistant turn appended after each answered user turn's
     conversation end: (conv_id, turn, role, text, contexts_used)."""

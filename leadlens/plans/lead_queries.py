@@ -12,6 +12,7 @@ from leadlens.operators.features import feature_long, impute
 from leadlens.operators.labeling import label_leads
 from leadlens.operators.ordering import materialize
 from leadlens.operators.ranking import rank_leads, top_leads
+from leadlens.operators.split import stratified_folds, stratified_split
 from leadlens.operators.rollups import abm_dashboard, class_share, lead_stats, top_k_values, value_counts_long
 from leadlens.operators.scoring import frozen_scores, with_rank_score
 from leadlens.plans.oracle import IMPUTED, LABELED, LEADS, SCORED, with_ctes
@@ -268,3 +269,27 @@ SELECT -1, round(CASE WHEN COUNT(*) FILTER (WHERE auc IS NULL) = 0 THEN SUM(auc
 def q_roc_auc_ovr(spark, sf_dir):
     return E.ovr_auc(_eval_input(spark, sf_dir), "label",
                      {0: "probability_low", 1: "probability_medium", 2: "probability_high"})
+
+
+# ---- split and folds -----------------------------------------------------------------
+
+_SPLIT_CTE = """
+sp AS (
+  SELECT lead_id, lead_score AS label, COUNT(*) OVER (PARTITION BY lead_score) AS class_n,
+         row_number() OVER (PARTITION BY lead_score ORDER BY (lead_id * 7919) % 1000003, lead_id) AS class_pos
+  FROM labeled),
+sp2 AS (SELECT *, CAST(round(class_n * 0.2::DOUBLE) AS BIGINT) AS n_test FROM sp)"""
+
+
+@register("stratified_split", with_ctes(LEADS, LABELED, _SPLIT_CTE, body="""
+SELECT lead_id, label, CASE WHEN class_pos <= n_test THEN 'test' ELSE 'train' END AS split FROM sp2"""))
+def q_stratified_split(spark, sf_dir):
+    lab = label_leads(leads_df(spark, sf_dir)).select("lead_id", F.col("lead_score").alias("label"))
+    return stratified_split(lab, "label", "lead_id").select("lead_id", "label", "split")
+
+
+@register("cv_folds", with_ctes(LEADS, LABELED, _SPLIT_CTE, body="""
+SELECT lead_id, label, CAST((class_pos - n_test - 1) % 5 AS INTEGER) AS fold FROM sp2 WHERE class_pos > n_test"""))
+def q_cv_folds(spark, sf_dir):
+    lab = label_leads(leads_df(spark, sf_dir)).select("lead_id", F.col("lead_score").alias("label"))
+    return stratified_folds(lab, "label", "lead_id", 5).select("lead_id", "label", "fold")

@@ -128,8 +128,12 @@ cw2 AS (SELECT * FROM cw WHERE w <> 0),
 cnrm AS (SELECT chunk_id, sqrt(SUM(w * w)) AS nrm FROM cw2 GROUP BY chunk_id),
 cvec AS (SELECT chunk_id, term, w / nrm AS w FROM cw2 JOIN cnrm USING (chunk_id))"""
 
-_QUESTIONS = """
-questions AS (SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'user'),
+_ALL_USER_TURNS = "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'user'"
+_LATEST_USER_TURNS = ("SELECT conv_id, arg_max(turn, turn) AS turn, trim(arg_max(text, turn)) AS text "
+                      "FROM conversations WHERE role = 'user' GROUP BY conv_id")
+
+_QUESTIONS_T = """
+questions AS ({questions}),
 qtok AS (SELECT conv_id, turn, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term
          FROM questions),
 qtf AS (SELECT conv_id, turn, term, COUNT(*) AS tf FROM qtok WHERE term <> '' GROUP BY conv_id, turn, term),
@@ -163,6 +167,8 @@ blocks AS (
   FROM questions q LEFT JOIN hits h ON h.conv_id = q.conv_id AND h.turn = q.turn
   LEFT JOIN chunks ch ON ch.chunk_id = h.chunk_id
   GROUP BY q.conv_id, q.turn, q.text)"""
+_QUESTIONS = _QUESTIONS_T.replace("{questions}", _ALL_USER_TURNS)
+_LATEST_QUESTIONS = _QUESTIONS_T.replace("{questions}", _LATEST_USER_TURNS)
 
 
 def _lines(word: str) -> str:
@@ -258,3 +264,19 @@ SELECT label, vec_id, round(distance, 6) AS distance, CAST(rk AS INTEGER) AS ran
 def q_nearest_vectors(spark, sf_dir):
     emb = load(spark, sf_dir, "embeddings")
     return _r6(nearest_dense(emb, centroids(emb, "label"), ["label"], k=S.DEFAULT_TOP_K))
+
+
+@register("chat_last_message", with_ctes(*_CHUNK_CTES, _TFIDF, _LATEST_QUESTIONS, f"""
+appended AS (
+  SELECT conv_id, turn, role, text, NULL::INTEGER AS contexts_used FROM conversations
+  UNION ALL
+  SELECT b.conv_id, mx.last_turn + 1, 'assistant', {_TEMPLATE}, b.contexts_used
+  FROM blocks b JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) mx USING (conv_id))""",
+    body="""
+SELECT conv_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text,
+       arg_max(contexts_used, turn) AS contexts_used, COUNT(*) AS n_messages
+FROM appended GROUP BY conv_id"""))
+def q_chat_last_message(spark, sf_dir):
+    conv = load(spark, sf_dir, "conversations")
+    answers = A.answer_questions(chunks_df(spark, sf_dir), A.latest_user_questions(conv), ["conv_id", "turn"])
+    return A.last_messages(A.append_answers(conv, answers))
