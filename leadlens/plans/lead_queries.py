@@ -293,3 +293,26 @@ SELECT lead_id, label, CAST((class_pos - n_test - 1) % 5 AS INTEGER) AS fold FRO
 def q_cv_folds(spark, sf_dir):
     lab = label_leads(leads_df(spark, sf_dir)).select("lead_id", F.col("lead_score").alias("label"))
     return stratified_folds(lab, "label", "lead_id", 5).select("lead_id", "label", "fold")
+
+
+# ---- streaming scorer (ST1): same numbers as the batch scorer on the same table ------
+
+@register("stream_scores", with_ctes(LEADS, IMPUTED, SCORED, body="""
+SELECT lead_id, predicted_index, predicted_lead_score, round(probability_low, 6) AS probability_low,
+  round(probability_medium, 6) AS probability_medium, round(probability_high, 6) AS probability_high,
+  round(confidence, 6) AS confidence FROM scored"""))
+def q_stream_scores(spark, sf_dir):
+    import uuid
+
+    from leadlens.session import shared_dir
+    from leadlens.streaming.score_stream import capture_stats, start_scoring_stream
+
+    leads = leads_df(spark, sf_dir)
+    run = uuid.uuid4().hex
+    src, sink, ckpt = (shared_dir(spark, f"stream-{run}/{p}") for p in ("in", "out", "ckpt"))
+    leads.write.parquet(src)                 # the arriving files
+    stats = capture_stats(leads)             # training-time statistics, one small row
+    start_scoring_stream(spark, src, sink, ckpt, stats).awaitTermination()
+    out = spark.read.parquet(sink)
+    return _r6(out.select("lead_id", "predicted_index", "predicted_lead_score", "probability_low",
+                          "probability_medium", "probability_high", "confidence"))
