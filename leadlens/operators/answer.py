@@ -66,7 +66,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int =
 def context_blocks(hits: DataFrame, chunks: DataFrame, questions: DataFrame, qkey: list[str]) -> DataFrame:
     """(qkey..., context, contexts_used, source_ids): numbered block of the retrieved texts.
     Per question the hits are at most k rows, so the collect is bounded."""
-    joined = hits.join(chunks.select("chunk_id", "text", "type", "index"), "chunk_id")
+    joined = hits.join(chunks.select("chunk_id", "text"), "chunk_id")
     per_q = joined.groupBy(*qkey).agg(
         F.sort_array(F.collect_list(F.struct("rank", "text", "chunk_id"))).alias("hits"))
     block = F.concat(F.lit(CONTEXT_HEADER), F.array_join(F.transform(

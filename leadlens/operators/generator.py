@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlens.operators.labeling import label_leads, random_jitter
+from leadlens.operators.labeling import label_leads
 
 # Category probabilities and distribution parameters of the generator.
 SIZES = [("Small", 0.5), ("Medium", 0.3), ("Large", 0.2)]
@@ -34,7 +34,7 @@ def weighted_choice(u: Column, choices: list[tuple[str, float]]) -> Column:
 
 
 def poisson(u: Column, lam: float) -> Column:
-    """Inverse CDF: number of CDF points below u (support truncated where the tail < 1e-16)."""
+    """Inverse CDF (u must be a column, not a rand() call): number of CDF points below u (support truncated where the tail < 1e-16)."""
     cdf, p, k = [], math.exp(-lam), 0
     acc = p
     while acc < 1 - 1e-16 and k < 10 * lam + 50:
@@ -45,25 +45,29 @@ def poisson(u: Column, lam: float) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c < u))
 
 
-def beta_2_5(seed: int) -> Column:
-    """Second smallest of six uniforms is Beta(2, 5)."""
-    return F.array_sort(F.array(*[F.rand(seed + i) for i in range(6)]))[1]
-
-
 def generate_leads(spark: SparkSession, n: int = 2000, seed: int = 42, num_partitions: int | None = None) -> DataFrame:
     base = spark.range(0, n, 1, num_partitions) if num_partitions else spark.range(n)
-    u = {name: F.rand(seed + i * 17) for i, name in enumerate(["size", "ind", "src", "reg", "v", "o", "a", "p"])}
-    df = base.select(
-        F.col("id").alias("lead_id"),
+    names = ["size", "ind", "src", "reg", "v", "o", "a", "p"]
+    # each uniform is drawn once into a column: a rand() referenced by several CASE branches
+    # or inside a lambda would be evaluated again and give different numbers
+    draws = base.select(F.col("id").alias("lead_id"),
+                        *[F.rand(seed + i * 17).alias(f"u_{nm}") for i, nm in enumerate(names)],
+                        F.randn(seed + 500).alias("z_rev"),
+                        F.array_sort(F.array(*[F.rand(seed + 900 + i) for i in range(6)]))[1].alias("beta"))
+    u = {nm: F.col(f"u_{nm}") for nm in names}
+    df = draws.select(
+        "lead_id",
         weighted_choice(u["size"], SIZES).alias("company_size"),
         weighted_choice(u["ind"], INDUSTRIES).alias("industry"),
-        F.round(F.exp(F.lit(REVENUE_MU) + F.lit(REVENUE_SIGMA) * F.randn(seed + 500)), 2).alias("annual_revenue"),
+        F.round(F.exp(F.lit(REVENUE_MU) + F.lit(REVENUE_SIGMA) * F.col("z_rev")), 2).alias("annual_revenue"),
         poisson(u["v"], VISITS_LAMBDA).cast("bigint").alias("website_visits"),
         poisson(u["o"], OPENS_LAMBDA).cast("bigint").alias("email_opens"),
         poisson(u["a"], CLICKS_LAMBDA).cast("bigint").alias("ad_clicks"),
-        F.round(beta_2_5(seed + 900) * 100, 2).alias("engagement_score"),
+        F.round(F.col("beta") * 100, 2).alias("engagement_score"),
         weighted_choice(u["src"], SOURCES).alias("lead_source"),
         weighted_choice(u["reg"], REGIONS).alias("region"),
         poisson(u["p"], PURCHASES_LAMBDA).cast("bigint").alias("previous_purchases"),
+        F.rand(seed + 1000).alias("u_jit"),
     )
-    return label_leads(df, jitter=random_jitter(seed + 1000)).drop("lead_class")
+    jitter = F.floor(F.col("u_jit") * 20).cast("int") - 10
+    return label_leads(df, jitter=jitter).drop("lead_class", "u_jit")
