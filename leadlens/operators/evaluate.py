@@ -80,23 +80,24 @@ def ovr_auc(df: DataFrame, label: str, score_cols: dict[int, str]) -> DataFrame:
     aggregation); the negatives below each score come from distributed prefix sums, so no
     window ever holds all rows in one task.
     """
-    spark = df.sparkSession
-    pieces = []
+    long = None
     for cls, col in score_cols.items():
-        d = (df.select(F.col(col).cast("double").alias("s"),
-                       (F.col(label).cast("int") == cls).cast("int").alias("pos"))
-             .groupBy("s").agg(F.sum("pos").alias("npos"), F.sum(F.lit(1) - F.col("pos")).alias("nneg"))
-             .where(F.col("s").isNotNull()))
-        d = with_prefix_sums(d, [F.col("s").asc()], {"neg_below": "nneg"})
-        u = d.agg(F.sum(F.col("npos") * (F.col("neg_below") + F.col("nneg") / F.lit(2.0))).alias("u"),
-                  F.sum("npos").alias("p"), F.sum("nneg").alias("q"))
-        pieces.append(u.select(F.lit(cls).alias("class"),
-                               F.when((F.col("p") > 0) & (F.col("q") > 0),
-                                      F.col("u") / (F.col("p") * F.col("q"))).alias("auc"),
-                               F.coalesce(F.col("p"), F.lit(0)).cast("bigint").alias("support")))
-    per = pieces[0]
-    for p in pieces[1:]:
-        per = per.unionByName(p)
+        part = df.select(F.lit(cls).alias("class"), F.col(col).cast("double").alias("s"),
+                         (F.col(label).cast("int") == cls).cast("int").alias("pos"))
+        long = part if long is None else long.unionByName(part)
+    d = (long.where(F.col("s").isNotNull()).groupBy("class", "s")
+         .agg(F.sum("pos").alias("npos"), F.sum(F.lit(1) - F.col("pos")).alias("nneg")))
+    # one distributed prefix sum over (class, score); each class' start is removed with the
+    # per-class totals (one row per class)
+    d = with_prefix_sums(d, [F.col("class").asc(), F.col("s").asc()], {"neg_before": "nneg"})
+    starts = d.groupBy("class").agg(F.min("neg_before").alias("class_start"))
+    d = d.join(F.broadcast(starts), "class").withColumn("neg_below", F.col("neg_before") - F.col("class_start"))
+    u = d.groupBy("class").agg(F.sum(F.col("npos") * (F.col("neg_below") + F.col("nneg") / F.lit(2.0))).alias("u"),
+                               F.sum("npos").alias("p"), F.sum("nneg").alias("q"))
+    classes = df.sparkSession.createDataFrame([(c,) for c in score_cols], "class int")
+    per = classes.join(u, "class", "left").select(
+        "class", F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("auc"),
+        F.coalesce(F.col("p"), F.lit(0)).cast("bigint").alias("support"))
     weighted = per.agg(F.lit(-1).alias("class"),
                        F.when(F.count_if(F.col("auc").isNull()) == 0,
                               F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"),

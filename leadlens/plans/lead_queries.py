@@ -193,7 +193,7 @@ def q_score_distribution(spark, sf_dir):
 def _eval_input(spark, sf_dir) -> DataFrame:
     leads = leads_df(spark, sf_dir)
     labels = label_leads(leads).select("lead_id", F.col("lead_score").alias("label"))
-    preds = frozen_scores(leads).select("lead_id", F.col("predicted_index").alias("prediction"),
+    preds = scored_df(spark, sf_dir).select("lead_id", F.col("predicted_index").alias("prediction"),
                                         "probability_low", "probability_medium", "probability_high")
     return labels.join(preds, "lead_id")
 
