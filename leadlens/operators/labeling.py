@@ -57,7 +57,9 @@ def points_to_class(points: Column) -> Column:
 
 def label_leads(leads: DataFrame, jitter: Column | None = None, method: str = "auto") -> DataFrame:
     """Add ``points``, ``lead_score`` (0/1/2) and ``lead_class`` ('Low'/'Medium'/'High')."""
-    pts = rule_points(leads, jitter=jitter, cuts=revenue_cuts(leads, method))
-    return (leads.withColumn("points", pts.cast("int"))
+    # the (p50, p75) subquery is attached once as a column, so it is planned and run once
+    with_cuts = leads.withColumn("__cuts", revenue_cuts(leads, method))
+    pts = rule_points(with_cuts, jitter=jitter, cuts=F.col("__cuts"))
+    return (with_cuts.withColumn("points", pts.cast("int")).drop("__cuts")
             .withColumn("lead_score", points_to_class(F.col("points")).cast("int"))
             .withColumn("lead_class", class_label(F.col("lead_score"))))
