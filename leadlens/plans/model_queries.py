@@ -19,13 +19,14 @@ def training_table(spark, sf_dir):
 
 
 def _compare(spark, sf_dir):
-    if sf_dir not in _FITTED:
+    key = f"{spark.sparkContext.applicationId}:{sf_dir}"
+    if key not in _FITTED:
         data = training_table(spark, sf_dir).cache()
         # all five learners with the surveyed settings; holdout metrics (cross-validation
         # is available through compare_models(cv_folds=5) and is left out of this query)
         table, best, model = compare_models(data, cv_folds=0)
-        _FITTED[sf_dir] = (table.cache(), best, model, data)
-    return _FITTED[sf_dir]
+        _FITTED[key] = (table.cache(), best, model, data)
+    return _FITTED[key]
 
 
 @register("model_comparison")
