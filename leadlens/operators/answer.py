@@ -49,13 +49,24 @@ CONTEXT_PREFIX_CHARS = 200
 LINES_PER_TOPIC = 3
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int = S.DEFAULT_TOP_K,
-             text: str = "text") -> DataFrame:
-    """(qkey..., chunk_id, distance, rank) over the chunk table's TF-IDF space."""
+_EMPTY_VEC = "array<struct<term:string,w:double>>"
+
+
+def chunk_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(chunk_id, vec) for every chunk (a chunk without weighted terms gets the zero
+    vector, an empty array), the corpus' document frequencies and its size."""
     vecs, dfreq, n_docs = tfidf_index(chunks)
-    empty = F.array().cast("array<struct<term:string,w:double>>")
     all_vecs = (chunks.select("chunk_id").join(vecs, "chunk_id", "left")
-                .select("chunk_id", F.coalesce("vec", empty).alias("vec")))
+                .select("chunk_id", F.coalesce("vec", F.array().cast(_EMPTY_VEC)).alias("vec")))
+    return all_vecs, dfreq, n_docs
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int = S.DEFAULT_TOP_K,
+             text: str = "text", index: tuple | None = None) -> DataFrame:
+    """(qkey..., chunk_id, distance, rank) over the chunk table's TF-IDF space. ``index``
+    is a written ``chunk_index(chunks)``; without it the index is computed in the query."""
+    all_vecs, dfreq, n_docs = index if index is not None else chunk_index(chunks)
+    empty = F.array().cast(_EMPTY_VEC)
     qvecs = embed_questions(questions, qkey, dfreq, n_docs, text)
     # questions without any weighted term are zero vectors: still answered
     qall = (questions.select(*qkey).join(qvecs, qkey, "left")
@@ -108,9 +119,9 @@ def template_answer(query: Column, context: Column) -> Column:
 
 
 def answer_questions(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int = S.DEFAULT_TOP_K,
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", index: tuple | None = None) -> DataFrame:
     """(qkey..., question, response, contexts_used, source_ids, context)."""
-    hits = retrieve(chunks, questions, qkey, k, text)
+    hits = retrieve(chunks, questions, qkey, k, text, index)
     blocks = context_blocks(hits, chunks, questions, qkey)
     out = questions.select(*qkey, F.col(text).alias("question")).join(blocks, qkey)
     return out.select(*qkey, "question", template_answer(F.col("question"), F.col("context")).alias("response"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlens.functions.text import tokens
+from leadlens.operators.ordering import materialize
 
 
 def term_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -49,7 +50,8 @@ def tfidf_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
     """Fit on a chunk table: returns (chunk vectors, document frequencies, N as a column).
 
     Chunks whose every term has weight 0 have no row in the vector table (zero vector)."""
-    tf = term_frequencies(chunks, [key], text)
+    # written once: both the document frequencies and the vectors read it
+    tf = materialize(term_frequencies(chunks, [key], text))
     dfreq = document_frequencies(tf)
     n_docs = chunks.agg(F.count(F.lit(1))).scalar()
     vecs = packed_vectors(weigh(tf, dfreq, n_docs, [key]), [key])

@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BATCH = 2048
-_SUB_ROWS = 1024            # chunks scored at once inside a task
+from leadlens.operators.ordering import materialize
+
+MAX_BATCH = 4096
+_SUB_ROWS = 1024            # chunks scored at once inside a task (at most)
+_SUB_CELLS = 1 << 21        # chunk x question distances held at once (16 MB of doubles)
 _SUB_EXPANSION = 4_000_000  # term x question products materialised at once
 
 
@@ -29,6 +32,8 @@ def _top_k(pairs: DataFrame, qkey: list[str], ckey: str, k: int) -> DataFrame:
 
 
 def _batches(questions: DataFrame, qkey: list[str], max_batch: int) -> list[DataFrame]:
+    # written once: the count and every batch's collect read it instead of recomputing
+    questions = materialize(questions)
     n = questions.count()
     if n <= max_batch:
         return [questions]
@@ -37,6 +42,11 @@ def _batches(questions: DataFrame, qkey: list[str], max_batch: int) -> list[Data
     return [questions.where(bucket == i) for i in range(n_batches)]
 
 
+def _sub_rows(n_questions: int) -> int:
+    """Chunks per scoring block, so the block's distance matrix stays within _SUB_CELLS."""
+    return max(1, min(_SUB_ROWS, _SUB_CELLS // max(1, n_questions)))
+
+
 def _emit(d: np.ndarray, ids: np.ndarray, qkeys, k: int):
     """Per column of d (rows = items): the k smallest distances rounded to 9 decimals,
     ties by id; at most k rows per question leave the task, even when all items tie."""
@@ -75,7 +85,7 @@ def _sparse_kernel(bc, qkey: list[str], ckey: str, k: int):
             start = 0
             while start < len(pdf):
                 # sub-batch bounded by rows and by the number of products
-                stop = min(len(pdf), start + _SUB_ROWS)
+                stop = min(len(pdf), start + _sub_rows(nq))
                 sel = (row_hit >= start) & (row_hit < stop)
                 while stop - start > 1 and counts[sel].sum() > _SUB_EXPANSION:
                     stop = start + (stop - start) // 2
@@ -173,14 +183,15 @@ def _dense_kernel(bc, qkey: list[str], ikey: str, vec: str, k: int):
             if len(pdf) == 0 or len(qm) == 0:
                 continue
             ids = pdf[ikey].to_numpy()
-            for start in range(0, len(pdf), _SUB_ROWS):
-                x = np.stack(pdf[vec].to_numpy()[start:start + _SUB_ROWS]).astype(np.float64)
+            sub = _sub_rows(len(qm))
+            for start in range(0, len(pdf), sub):
+                x = np.stack(pdf[vec].to_numpy()[start:start + sub]).astype(np.float64)
                 d = (x * x).sum(axis=1)[:, None] + qn[None, :] - 2.0 * (x @ qm.T)
-                got = _emit(d, ids[start:start + _SUB_ROWS], qkeys, k)
+                got = _emit(d, ids[start:start + sub], qkeys, k)
                 if got is not None:
                     ii, jj = got
                     out = {c_: qkeys[c_][jj] for c_ in qkey}
-                    out[ikey] = ids[start:start + _SUB_ROWS][ii]
+                    out[ikey] = ids[start:start + sub][ii]
                     out["distance"] = d[ii, jj]
                     yield pd.DataFrame(out)
     return run

@@ -10,13 +10,13 @@ from leadlens.functions.fmt import one_decimal
 from leadlens.operators import evaluate as E
 from leadlens.operators.features import feature_long, impute
 from leadlens.operators.labeling import label_leads
-from leadlens.operators.ordering import materialize
 from leadlens.operators.ranking import rank_leads, top_leads
 from leadlens.operators.split import stratified_folds, stratified_split
 from leadlens.operators.rollups import abm_dashboard, class_share, lead_stats, top_k_values, value_counts_long
 from leadlens.operators.scoring import frozen_scores, with_rank_score
 from leadlens.plans.oracle import IMPUTED, LABELED, LEADS, SCORED, with_ctes
 from leadlens.plans.registry import register
+from leadlens.plans.shared import written
 from leadlens.sources.tables import lead_table
 
 
@@ -24,15 +24,20 @@ def _r6(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+LEAD_INPUTS = ["customer", "nation", "region", "orders", "lineitem"]
+
+
 def leads_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lead table, written once (reliable checkpoint) because every batch statistic
-    (quantiles, modes, moments, extremes) reads it again."""
-    return materialize(lead_table(spark, sf_dir))
+    (quantiles, modes, moments, extremes) reads it again, and shared by the queries of
+    one application while the input files are unchanged."""
+    return written(spark, sf_dir, "leads", LEAD_INPUTS, lambda: lead_table(spark, sf_dir))
 
 
 def scored_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored leads with rank score, written once for the reports that read it repeatedly."""
-    return materialize(with_rank_score(frozen_scores(leads_df(spark, sf_dir))))
+    return written(spark, sf_dir, "scored", LEAD_INPUTS,
+                   lambda: with_rank_score(frozen_scores(leads_df(spark, sf_dir))))
 
 
 def scored_leads_df(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from leadlens import schema as S
 from leadlens.operators import answer as A
 from leadlens.operators.chunks import chunk_table, lead_chunks, summary_chunks
-from leadlens.operators.embed import tfidf_index, weights_long
+from leadlens.operators.embed import weights_long
 from leadlens.operators.fingerprint import fingerprint
 from leadlens.operators.retrieve import centroids, nearest_dense
 from leadlens.operators.ordering import materialize
-from leadlens.plans.lead_queries import scored_df
+from leadlens.plans.lead_queries import LEAD_INPUTS, scored_df
 from leadlens.plans.oracle import IMPUTED, LEADS, SCORED, with_ctes
 from leadlens.plans.registry import register
+from leadlens.plans.shared import shared, written
 from leadlens.sources.tables import lead_table, load
 
 
 def chunks_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table, written once: retrieval reads it for the index and for the texts."""
-    return materialize(chunk_table(scored_df(spark, sf_dir)))
+    return written(spark, sf_dir, "chunks", LEAD_INPUTS, lambda: chunk_table(scored_df(spark, sf_dir)))
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """The chunk table's TF-IDF index (vectors, document frequencies, size), written once
+    next to the chunk table: every retrieval query reads it instead of re-tokenising."""
+    def build():
+        vecs, dfreq, n_docs = A.chunk_index(chunks_df(spark, sf_dir))
+        return materialize(vecs), materialize(dfreq), n_docs
+    return shared(spark, sf_dir, "chunk_index", LEAD_INPUTS, build)
 
 
 def _r6(df: DataFrame) -> DataFrame:
@@ -198,7 +208,7 @@ CASE WHEN contains(lower(question), 'high') OR contains(lower(question), 'best')
 
 @register("chunk_tfidf", with_ctes(*_CHUNK_CTES, _TFIDF, body="SELECT chunk_id, term, round(w, 6) AS weight FROM cvec"))
 def q_chunk_tfidf(spark, sf_dir):
-    vecs, _, _ = tfidf_index(chunks_df(spark, sf_dir))
+    vecs, _, _ = index_of(spark, sf_dir)
     return _r6(weights_long(vecs, ["chunk_id"]))
 
 
@@ -206,7 +216,7 @@ def q_chunk_tfidf(spark, sf_dir):
 SELECT conv_id, turn, chunk_id, round(distance, 6) AS distance, rank FROM hits"""))
 def q_retrieval_hits(spark, sf_dir):
     hits = A.retrieve(chunks_df(spark, sf_dir), A.user_questions(load(spark, sf_dir, "conversations")),
-                      ["conv_id", "turn"])
+                      ["conv_id", "turn"], index=index_of(spark, sf_dir))
     return _r6(hits)
 
 
@@ -215,7 +225,8 @@ SELECT conv_id, turn, context, contexts_used, source_ids FROM blocks"""))
 def q_context_blocks(spark, sf_dir):
     chunks = chunks_df(spark, sf_dir)
     qs = A.user_questions(load(spark, sf_dir, "conversations"))
-    return A.context_blocks(A.retrieve(chunks, qs, ["conv_id", "turn"]), chunks, qs, ["conv_id", "turn"])
+    hits = A.retrieve(chunks, qs, ["conv_id", "turn"], index=index_of(spark, sf_dir))
+    return A.context_blocks(hits, chunks, qs, ["conv_id", "turn"])
 
 
 _PROMPT_HEAD, _PROMPT_REST = A.PROMPT_TEMPLATE.split("{context}")
@@ -228,7 +239,7 @@ SELECT conv_id, turn, {_sql_str(_PROMPT_HEAD)} || context || {_sql_str(_PROMPT_M
 def q_prompts(spark, sf_dir):
     chunks = chunks_df(spark, sf_dir)
     qs = A.user_questions(load(spark, sf_dir, "conversations"))
-    ans = A.answer_questions(chunks, qs, ["conv_id", "turn"])
+    ans = A.answer_questions(chunks, qs, ["conv_id", "turn"], index=index_of(spark, sf_dir))
     return ans.select("conv_id", "turn", A.prompt_text(F.col("context"), F.col("question")).alias("prompt"))
 
 
@@ -237,7 +248,7 @@ SELECT conv_id, turn, question, {_TEMPLATE} AS response, contexts_used, source_i
 def q_answers(spark, sf_dir):
     chunks = chunks_df(spark, sf_dir)
     qs = A.user_questions(load(spark, sf_dir, "conversations"))
-    return A.answer_questions(chunks, qs, ["conv_id", "turn"]).drop("context")
+    return A.answer_questions(chunks, qs, ["conv_id", "turn"], index=index_of(spark, sf_dir)).drop("context")
 
 
 @register("chunk_count", with_ctes(*_CHUNK_CTES, body="""
@@ -278,5 +289,6 @@ SELECT conv_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role, arg_ma
 FROM appended GROUP BY conv_id"""))
 def q_chat_last_message(spark, sf_dir):
     conv = load(spark, sf_dir, "conversations")
-    answers = A.answer_questions(chunks_df(spark, sf_dir), A.latest_user_questions(conv), ["conv_id", "turn"])
+    answers = A.answer_questions(chunks_df(spark, sf_dir), A.latest_user_questions(conv), ["conv_id", "turn"],
+                                 index=index_of(spark, sf_dir))
     return A.last_messages(A.append_answers(conv, answers))
