@@ -11,6 +11,7 @@ probabilities are sigmoid(2 * margin) per class, normalised).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +21,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from leadlens import schema as S
 from leadlens.operators import evaluate as E
@@ -40,6 +42,7 @@ class ModelParams:
     gbt_step: float = 0.1
     seed: int = 42
     ovr_parallelism: int = 3
+    fit_parallelism: int = 5
 
 
 def standardizer(train: DataFrame, cols: list[str] = S.NUMERIC) -> SQLTransformer:
@@ -126,11 +129,10 @@ def compare_models(data: DataFrame, params: ModelParams | None = None, cv_folds:
     train, test = split.where(F.col("split") == "train").cache(), split.where(F.col("split") == "test").cache()
     n_train = train.count()
     folds = stratified_folds(data, "label", "lead_id", cv_folds).cache() if cv_folds > 1 else None
-    rows, fitted, best, best_f1 = [], {}, None, 0.0
-    for name in models or MODEL_ORDER:
+
+    def run(name: str):
         est, onehot = learners(params, n_train)[name]
         model = fit_pipeline(train, est, onehot)
-        fitted[name] = model
         m = _metrics(predict(model, test))
         cv_mean = cv_std = None
         if folds is not None:
@@ -141,10 +143,20 @@ def compare_models(data: DataFrame, params: ModelParams | None = None, cv_folds:
                 scores.append(_metrics(predict(fit_pipeline(tr, est_k, onehot), va))["f1"])
             cv_mean = sum(scores) / len(scores)
             cv_std = (sum((s - cv_mean) ** 2 for s in scores) / len(scores)) ** 0.5
-        rows.append((name, m["accuracy"], m["precision"], m["recall"], m["f1"], cv_mean, cv_std,
-                     m["roc_auc"] if m["roc_auc"] is not None else 0.0))
-        if m["f1"] > best_f1:
-            best, best_f1 = name, m["f1"]
+        return model, (name, m["accuracy"], m["precision"], m["recall"], m["f1"], cv_mean, cv_std,
+                       m["roc_auc"] if m["roc_auc"] is not None else 0.0)
+
+    # learners are fitted concurrently (as CrossValidator's ``parallelism``): each fit is a
+    # sequence of small distributed jobs, and the scheduler interleaves the five sequences
+    names = list(models or MODEL_ORDER)
+    with ThreadPoolExecutor(max_workers=max(1, min(params.fit_parallelism, len(names)))) as pool:
+        done = list(pool.map(inheritable_thread_target(run), names))
+    rows, fitted, best, best_f1 = [], {}, None, 0.0
+    for name, (model, row) in zip(names, done):
+        fitted[name] = model
+        rows.append(row)
+        if row[4] > best_f1:
+            best, best_f1 = name, row[4]
     table = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double, "
                                         "cv_f1 double, cv_std double, roc_auc double")
     order = {n: i for i, n in enumerate(MODEL_ORDER)}
