@@ -150,7 +150,7 @@ def compare_models(data: DataFrame, params: ModelParams | None = None, cv_folds:
     # sequence of small distributed jobs, and the scheduler interleaves the five sequences
     names = list(models or MODEL_ORDER)
     with ThreadPoolExecutor(max_workers=max(1, min(params.fit_parallelism, len(names)))) as pool:
-        done = list(pool.map(inheritable_thread_target(run), names))
+        done = list(pool.map(inheritable_thread_target(spark)(run), names))
     rows, fitted, best, best_f1 = [], {}, None, 0.0
     for name, (model, row) in zip(names, done):
         fitted[name] = model
