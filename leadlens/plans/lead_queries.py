@@ -34,6 +34,12 @@ def leads_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "leads", LEAD_INPUTS, lambda: lead_table(spark, sf_dir))
 
 
+def labeled_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule-labelled leads, written once: the revenue quantiles behind the labels are
+    computed once for every report, split and evaluation that reads the labels."""
+    return written(spark, sf_dir, "labeled", LEAD_INPUTS, lambda: label_leads(leads_df(spark, sf_dir)))
+
+
 def scored_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored leads with rank score, written once for the reports that read it repeatedly."""
     return written(spark, sf_dir, "scored", LEAD_INPUTS,
@@ -51,7 +57,7 @@ def q_leads(spark, sf_dir):
 
 @register("rule_labels", with_ctes(LEADS, LABELED, body="SELECT lead_id, points, lead_score, lead_class FROM labeled"))
 def q_rule_labels(spark, sf_dir):
-    return label_leads(leads_df(spark, sf_dir)).select("lead_id", "points", "lead_score", "lead_class")
+    return labeled_df(spark, sf_dir).select("lead_id", "points", "lead_score", "lead_class")
 
 
 @register("class_share_by_region", with_ctes(LEADS, LABELED, body="""
@@ -59,14 +65,14 @@ SELECT region, lead_class, COUNT(*) AS n,
        round(COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY region), 6) AS pct
 FROM labeled GROUP BY region, lead_class"""))
 def q_class_share_by_region(spark, sf_dir):
-    return class_share(label_leads(leads_df(spark, sf_dir)), "lead_class", ["region"])
+    return class_share(labeled_df(spark, sf_dir), "lead_class", ["region"])
 
 
 @register("class_distribution", with_ctes(LEADS, LABELED, body="""
 SELECT lead_class, COUNT(*) AS n, round(COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (), 6) AS pct
 FROM labeled GROUP BY lead_class"""))
 def q_class_distribution(spark, sf_dir):
-    return class_share(label_leads(leads_df(spark, sf_dir)), "lead_class")
+    return class_share(labeled_df(spark, sf_dir), "lead_class")
 
 
 @register("value_counts", with_ctes(LEADS, body="""
@@ -196,8 +202,7 @@ def q_score_distribution(spark, sf_dir):
 # ---- evaluation: rule label (truth) vs frozen scorer prediction -------------------------
 
 def _eval_input(spark, sf_dir) -> DataFrame:
-    leads = leads_df(spark, sf_dir)
-    labels = label_leads(leads).select("lead_id", F.col("lead_score").alias("label"))
+    labels = labeled_df(spark, sf_dir).select("lead_id", F.col("lead_score").alias("label"))
     preds = scored_df(spark, sf_dir).select("lead_id", F.col("predicted_index").alias("prediction"),
                                         "probability_low", "probability_medium", "probability_high")
     return labels.join(preds, "lead_id")
@@ -289,14 +294,14 @@ sp2 AS (SELECT *, CAST(round(class_n * 0.2::DOUBLE) AS BIGINT) AS n_test FROM sp
 @register("stratified_split", with_ctes(LEADS, LABELED, _SPLIT_CTE, body="""
 SELECT lead_id, label, CASE WHEN class_pos <= n_test THEN 'test' ELSE 'train' END AS split FROM sp2"""))
 def q_stratified_split(spark, sf_dir):
-    lab = label_leads(leads_df(spark, sf_dir)).select("lead_id", F.col("lead_score").alias("label"))
+    lab = labeled_df(spark, sf_dir).select("lead_id", F.col("lead_score").alias("label"))
     return stratified_split(lab, "label", "lead_id").select("lead_id", "label", "split")
 
 
 @register("cv_folds", with_ctes(LEADS, LABELED, _SPLIT_CTE, body="""
 SELECT lead_id, label, CAST((class_pos - n_test - 1) % 5 AS INTEGER) AS fold FROM sp2 WHERE class_pos > n_test"""))
 def q_cv_folds(spark, sf_dir):
-    lab = label_leads(leads_df(spark, sf_dir)).select("lead_id", F.col("lead_score").alias("label"))
+    lab = labeled_df(spark, sf_dir).select("lead_id", F.col("lead_score").alias("label"))
     return stratified_folds(lab, "label", "lead_id", 5).select("lead_id", "label", "fold")
 
 

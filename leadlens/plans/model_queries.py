@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadlens.operators.features import impute
-from leadlens.operators.labeling import label_leads
 from leadlens.operators.models import compare_models, feature_importance
-from leadlens.plans.lead_queries import leads_df
+from leadlens.plans.lead_queries import labeled_df
 from leadlens.plans.registry import register
 
 _FITTED: dict[str, tuple] = {}
@@ -15,7 +14,7 @@ _FITTED: dict[str, tuple] = {}
 
 def training_table(spark, sf_dir):
     """Rule-labelled leads, batch-imputed, with a double label."""
-    return impute(label_leads(leads_df(spark, sf_dir))).withColumn("label", F.col("lead_score").cast("double"))
+    return impute(labeled_df(spark, sf_dir)).withColumn("label", F.col("lead_score").cast("double"))
 
 
 def _compare(spark, sf_dir):
