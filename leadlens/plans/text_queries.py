@@ -292,3 +292,30 @@ def q_chat_last_message(spark, sf_dir):
     answers = A.answer_questions(chunks_df(spark, sf_dir), A.latest_user_questions(conv), ["conv_id", "turn"],
                                  index=index_of(spark, sf_dir))
     return A.last_messages(A.append_answers(conv, answers))
+
+
+# ---- retrieval over the document corpus (whole texts) ------------------------------------
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole, as one chunk: (chunk_id 'doc_<id>', text)."""
+    return load(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
+
+
+def document_index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, object]:
+    """TF-IDF index of the document corpus, written once per application and input files."""
+    def build():
+        vecs, dfreq, n_docs = A.chunk_index(document_chunks(spark, sf_dir))
+        return materialize(vecs), materialize(dfreq), n_docs
+    return shared(spark, sf_dir, "document_index", ["documents"], build)
+
+
+_DOC_CHUNKS = "\nchunks AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents)"
+
+
+@register("document_hits", with_ctes(_DOC_CHUNKS, _TFIDF, _QUESTIONS, body="""
+SELECT conv_id, turn, chunk_id, round(distance, 6) AS distance, rank FROM hits"""))
+def q_document_hits(spark, sf_dir):
+    hits = A.retrieve(document_chunks(spark, sf_dir), A.user_questions(load(spark, sf_dir, "conversations")),
+                      ["conv_id", "turn"], index=document_index_of(spark, sf_dir))
+    return _r6(hits)
