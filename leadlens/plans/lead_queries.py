@@ -52,7 +52,8 @@ def scored_leads_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("leads", with_ctes(LEADS, body="SELECT * FROM leads"))
 def q_leads(spark, sf_dir):
-    return lead_table(spark, sf_dir)
+    # the written lead table: the reports that follow read the same write
+    return leads_df(spark, sf_dir)
 
 
 @register("rule_labels", with_ctes(LEADS, LABELED, body="SELECT lead_id, points, lead_score, lead_class FROM labeled"))
