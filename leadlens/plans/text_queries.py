@@ -12,11 +12,11 @@ from leadlens.operators.embed import weights_long
 from leadlens.operators.fingerprint import fingerprint
 from leadlens.operators.retrieve import centroids, nearest_dense
 from leadlens.operators.ordering import materialize
-from leadlens.plans.lead_queries import LEAD_INPUTS, scored_df
+from leadlens.plans.lead_queries import LEAD_INPUTS, leads_df, scored_df
 from leadlens.plans.oracle import IMPUTED, LEADS, SCORED, with_ctes
 from leadlens.plans.registry import register
 from leadlens.plans.shared import shared, written
-from leadlens.sources.tables import lead_table, load
+from leadlens.sources.tables import load
 
 
 def chunks_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def _schema_md5(cols):
 
 @register("lead_fingerprint", with_ctes(LEADS, body=_fp_sql("leads", _LEAD_TYPES, _schema_md5(_LEAD_TYPES))))
 def q_lead_fingerprint(spark, sf_dir):
-    return fingerprint(lead_table(spark, sf_dir))   # one pass: no need to write it
+    return fingerprint(leads_df(spark, sf_dir))      # the written lead table: equal rows, one read
 
 
 _TFIDF = """
