@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from leadlens.llm.curve import op8_curve
 from leadlens.llm.reshard import op10_reshard
+from leadlens.llm.wavelet import op2_wavelet
 
 QUERIES = {
+    "op2_wavelet": op2_wavelet,
+    "op8_curve": op8_curve,
     "op10_reshard": op10_reshard,
 }
 ORACLE: dict[str, str] = {}
