@@ -124,11 +124,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, word starts, word ends, words before each text) of texts whose words are runs
-    outside space and 0x09-0x0D, with A-Z lowered. Texts are joined by a separating space."""
+#: Bytes that belong to words where punctuation does not: letters, digits, all of UTF-8's others.
+ALNUM = np.arange(256) >= 128
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def words_of(texts: list[bytes], in_word: np.ndarray = ~SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, words before each text) of texts whose words are runs of
+    ``in_word`` bytes (default: all but space and 0x09-0x0D), with A-Z lowered. Texts are joined
+    by a separating space."""
     data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    solid = ~SPACES[data]
+    solid = in_word[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from leadlens.llm.curve import op8_curve
 from leadlens.llm.reshard import op10_reshard
+from leadlens.llm.secrets import op1_secrets
+from leadlens.llm.tiling import op4_tiling
 from leadlens.llm.wavelet import op2_wavelet
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op4_tiling": op4_tiling,
     "op2_wavelet": op2_wavelet,
     "op8_curve": op8_curve,
     "op10_reshard": op10_reshard,
