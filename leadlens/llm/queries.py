@@ -6,10 +6,12 @@ from leadlens.llm.curve import op8_curve
 from leadlens.llm.reshard import op10_reshard
 from leadlens.llm.rules import op9_rules
 from leadlens.llm.secrets import op1_secrets
+from leadlens.llm.spotsigs import op3_spotsigs
 from leadlens.llm.tiling import op4_tiling
 from leadlens.llm.wavelet import op2_wavelet
 
 QUERIES = {
+    "op3_spotsigs": op3_spotsigs,
     "op9_rules": op9_rules,
     "op1_secrets": op1_secrets,
     "op4_tiling": op4_tiling,
