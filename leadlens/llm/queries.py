@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leadlens.llm.curve import op8_curve
 from leadlens.llm.reshard import op10_reshard
+from leadlens.llm.rtree import op7_rtree
 from leadlens.llm.rules import op9_rules
 from leadlens.llm.secrets import op1_secrets
 from leadlens.llm.spotsigs import op3_spotsigs
@@ -11,6 +12,7 @@ from leadlens.llm.tiling import op4_tiling
 from leadlens.llm.wavelet import op2_wavelet
 
 QUERIES = {
+    "op7_rtree": op7_rtree,
     "op3_spotsigs": op3_spotsigs,
     "op9_rules": op9_rules,
     "op1_secrets": op1_secrets,
