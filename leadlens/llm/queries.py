@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leadlens.llm.curve import op8_curve
 from leadlens.llm.feistel import op6_feistel
+from leadlens.llm.pseudolik import op5_pseudolik
 from leadlens.llm.reshard import op10_reshard
 from leadlens.llm.rtree import op7_rtree
 from leadlens.llm.rules import op9_rules
@@ -13,6 +14,7 @@ from leadlens.llm.tiling import op4_tiling
 from leadlens.llm.wavelet import op2_wavelet
 
 QUERIES = {
+    "op5_pseudolik": op5_pseudolik,
     "op6_feistel": op6_feistel,
     "op7_rtree": op7_rtree,
     "op3_spotsigs": op3_spotsigs,
