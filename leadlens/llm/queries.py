@@ -25,4 +25,25 @@ QUERIES = {
     "op8_curve": op8_curve,
     "op10_reshard": op10_reshard,
 }
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL. Token files, trained models, keyed permutations and random draws have none.
+ORACLE: dict[str, str] = {
+    "op7_rtree": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words),
+points AS (SELECT s, len(s) AS n, min(doc_id) AS rep FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+flat AS (SELECT rep, n, unnest(s) AS g FROM points),
+links AS (
+  SELECT a.rep AS x, b.rep AS y FROM flat a JOIN flat b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS x, rep AS y FROM points UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+groups AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, len(d.s) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN coalesce(c, d.doc_id) END AS component_id
+FROM sets d LEFT JOIN points p ON d.s = p.s LEFT JOIN groups ON p.rep = groups.x
+""",
+}

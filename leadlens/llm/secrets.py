@@ -2,10 +2,11 @@
 
 Fixed patterns find assigned secrets, access keys and long hex runs. Besides, every run of 20 or
 more token characters is taken as a candidate: its encoding is inferred from its characters, and
-three tests ask whether it looks drawn uniformly from that alphabet: chi-squared on the counts
+tests ask whether it looks drawn uniformly from that alphabet: chi-squared on the counts, split
+into small letters, capitals, digits and signs against each other and the symbols within each
 (with the exact mean and variance for a uniform alphabet, so short tokens are judged fairly),
-a runs test on low and high symbols, and lag-one serial correlation. Fisher's method combines the
-three into one p-value, which is uniform for random tokens and near 0 for words and identifiers.
+a runs test on low and high symbols, and lag-one serial correlation. Fisher's method combines
+them into one p-value, which is uniform for random tokens and near 0 for words and identifiers.
 
 False discoveries are controlled per stratum (encoding x length class), over the whole table: the
 number of random tokens is estimated from the upper half of the p-values, and the lowest cut is
@@ -51,6 +52,7 @@ ENCODINGS = {
 }
 KINDS = ["assign", "access", "hex", *(f"random_{e}" for e in ENCODINGS)]
 _RANK = {k: i for i, k in enumerate(KINDS)}
+_CLASSES = (str.islower, str.isupper, str.isdigit, lambda a: not a.isalnum())
 #: Lower edges of the p-value bins.
 EDGES = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, *(i / 20 for i in range(1, 20))]
 
@@ -93,13 +95,22 @@ def infer_encoding(token: str) -> str | None:
 
 
 def battery(token: str, encoding: str) -> dict[str, float]:
-    """p-values of the three tests and of their combination."""
+    """p-values of the tests and of their combination."""
     alphabet = ENCODINGS[encoding]
     k, n = len(alphabet), len(token)
     counts = Counter(token)
-    mean, var = k - 1, 2 * (k - 1) * (n - 1) / n
-    chi = k / n * sum(c * c for c in counts.values()) - n
-    p_chi = gamma_tail(mean * mean / var, chi * mean / var)
+    groups = [g for g in ([a for a in alphabet if f(a)] for f in _CLASSES) if g]
+    between = within = mean = var = 0.0
+    for g in groups:
+        m = sum(counts[a] for a in g)
+        between += (m - n * len(g) / k) ** 2 / (n * len(g) / k)
+        if m:
+            within += len(g) / m * sum(counts[a] ** 2 for a in g) - m
+            mean += len(g) - 1
+            var += 2 * (len(g) - 1) * (m - 1) / m
+    df, spread = len(groups) - 1, 2 * (len(groups) - 1) + sum(k / len(g) for g in groups) / n - (len(groups) ** 2 + 2 * len(groups) - 2) / n
+    p_classes = gamma_tail(df * df / spread, between * df / spread)
+    p_chi = gamma_tail(mean * mean / var, within * mean / var) if var else 1.0
     values = np.array([alphabet.index(ch) for ch in token], float)
     high = values >= k / 2
     n1 = int(high.sum())
@@ -115,9 +126,9 @@ def battery(token: str, encoding: str) -> dict[str, float]:
     spread = float((centred * centred).sum())
     r = float((centred[1:] * centred[:-1]).sum()) / spread if spread else 1.0
     p_serial = math.erfc(abs(r + 1 / n) * math.sqrt(n / 2))
-    x = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    combined = math.exp(-x) * (1 + x + x * x / 2)
-    return {"chi": p_chi, "runs": p_runs, "serial": p_serial, "p": min(1.0, combined)}
+    x = -sum(math.log(max(p, 1e-300)) for p in (p_classes, p_chi, p_runs, p_serial))
+    combined = math.exp(-x) * (1 + x + x * x / 2 + x ** 3 / 6)
+    return {"classes": p_classes, "chi": p_chi, "runs": p_runs, "serial": p_serial, "p": min(1.0, combined)}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

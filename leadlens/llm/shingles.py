@@ -37,5 +37,5 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
 
 def set_hash(s: np.ndarray) -> int:
     """Signed 64-bit hash of a set."""
-    total = mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s) * 0x2545F4914F6CDD1D % (1 << 64))
-    return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
+    total = int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) + len(s) * 0x2545F4914F6CDD1D
+    return int(mix64(np.array([total % (1 << 64)], np.uint64)).view(np.int64)[0])
