@@ -8,17 +8,23 @@ once. A text with white space other than space, tab and line ends is given to th
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
 
 import numpy as np
 
 from leadlens.llm.common import worker_cache
 
-#: Remembered pieces per worker (about 100 MB); beyond it the memory starts anew.
-MEMORY_PIECES = 400_000
+#: Remembered pieces per worker (about 200 bytes each); beyond it the memory starts anew.
+MEMORY_PIECES = 1_400_000
 _PIECE = re.compile(r"\s*\S+|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \t\r\n]")
+#: White space other than space and line end, and runs that one split at spaces would cut.
+_SPECIAL = ("  ", " \n", "\n\n", *(ch for ch in map(chr, range(0x3001)) if ch.isspace() and ch not in " \n"))
+#: Marks that end a word; a run of them is one pre-token (no apostrophe: it begins contractions).
+_TAIL = ".,;:!?#$%&*()|-\""
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,16 +33,79 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Pieces(dict):
+    """piece -> ids as little-endian uint32 bytes; a new piece is encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        # printable stand-ins of bytes, as byte-level vocabularies write them
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _run(self, run: str) -> bytes:
+        """A single pre-token, by the model's merges alone."""
+        if run.isascii() and run.isalpha():
+            text = run
+        elif run[:1] == " " and run.isascii():
+            text = "\u0120" + run[1:]  # the stand-in of a space; other printable ASCII stands for itself
+        else:
+            text = run.encode().decode("latin-1").translate(self.stand_in)
+        return _bytes([t.id for t in self.model.tokenize(text)])
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(_TAIL)
+        if (word[1:] if word[:1] == " " else word).isalpha():  # letters, then marks: two pre-tokens
+            tail = piece[len(word):]
+            if tail not in self.runs:
+                self.runs[tail] = self._run(tail)
+            ids = self._run(word) + self.runs[tail]
+        else:
+            ids = _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+
+class _AfterSpace(dict):
+    """word -> ids of the piece with the space before it (of the piece itself after a line end)."""
+
+    def __init__(self, pieces: _Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        piece = word if word[:1] == "\n" else " " + word
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces.__missing__(piece)
+            self.pieces.pop(piece, None)  # remembered here
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """ids(text) -> little-endian uint32 bytes of the ids, followed by the end id."""
+    """batch(texts) -> little-endian uint32 bytes of each text's ids, followed by the end id."""
 
     def __init__(self, path: str, end_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
-        self.end = np.uint32(end_id).tobytes()
+        self.byte_level = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__ and self.tokenizer.normalizer is None
+        self.pieces = _Pieces(self.tokenizer)
+        self.after_space = _AfterSpace(self.pieces)
+        self.end = np.array([end_id], "<u4").tobytes()
 
     @classmethod
     def of(cls, path: str, end_id: int = 0) -> Encoder:
@@ -46,26 +115,19 @@ class Encoder:
             cache[key] = cls(path, end_id)
         return cache[key]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def one(self, text: str) -> bytes:
+        if not self.byte_level or "<|" in text:
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
+        if len(self.pieces) + len(self.after_space) > MEMORY_PIECES:
+            self.pieces.clear()
+            self.after_space.clear()
+        if not any(s in text for s in _SPECIAL):  # words with one space or line end between them
+            first, *rest = text.replace("\n", " \n").split(" ")
+            head = self.pieces[first] if first else b""
+            return head + b"".join(map(self.after_space.__getitem__, rest)) + self.end
+        if _OTHER_SPACE.search(text):
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))) + self.end
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        pieces, fresh = [], set()
-        memory = self.memory
-        if len(memory) > MEMORY_PIECES:
-            memory.clear()
-        for t in texts:
-            if _OTHER_SPACE.search(t) or "<|" in t:
-                pieces.append(None)
-                continue
-            p = _PIECE.findall(t)
-            pieces.append(p)
-            fresh.update(p)
-        fresh = [p for p in fresh if p not in memory]
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i:i + 4096]
-            memory.update(zip(part, self._encode(part), strict=True))
-        get = memory.__getitem__
-        return [(self._encode([t])[0] if p is None else b"".join(map(get, p))) + self.end
-                for t, p in zip(texts, pieces, strict=True)]
+        return [self.one(t) for t in texts]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens.llm.common import Scratch, table, text_of
@@ -190,14 +190,14 @@ def write_shards(df: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer, end_id), TaskContext.get().partitionId()
-        docs, ids, size, seq = [], [], 0, 0
+        docs, ids, size, seq, before = [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4"))
             image = to_bytes(matrix, docs, [len(x) // 4 for x in ids])
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(docs)],
-                "n_ids": [matrix.n], "image": pa.array([image], pa.binary())})
+                "n_ids": [matrix.n], "before": [before], "image": pa.array([image], pa.binary())})
 
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), encoder.batch(b.column(1).to_pylist()), strict=True):
@@ -206,27 +206,25 @@ def write_shards(df: DataFrame, path: str, tokenizer: str | None = None, end_id:
                 size += len(x) // 4
                 if size >= shard_ids:
                     yield shard()
-                    docs, ids, size, seq = [], [], 0, seq + 1
+                    docs, ids, size, seq, before = [], [], 0, seq + 1, before + size
         if docs:
             yield shard()
 
-    shards = ranged.mapInArrow(build, "part int, seq int, n_docs long, n_ids long, image binary")
+    shards = ranged.mapInArrow(build, "part int, seq int, n_docs long, n_ids long, before long, image binary")
     shards.write.option("compression", "none").parquet(path)
 
 
-def _before(shards: DataFrame) -> DataFrame:
-    """Ids before each shard: a running sum over one small row per shard."""
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("before"))
-
-
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (little-endian uint32)."""
     shards = spark.read.parquet(path)
+    # ids per range, one number per task that wrote; a shard knows the ids before it in its range
+    totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    parts = sorted(totals)
+    base = dict(zip(parts, np.cumsum([0, *(totals[p] for p in parts)]).tolist(), strict=False))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, seq, image in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, before, image in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 matrix, docs, lengths = from_bytes(image)
                 ids = matrix.ids().astype("<u4")
                 ends = np.cumsum(lengths)
@@ -234,13 +232,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(docs), 512):
                     j = min(i + 512, len(docs))
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([part] * (j - i), pa.int32()), "seq": pa.array([seq] * (j - i), pa.int32()),
-                        "doc_id": pa.array(docs[i:j], pa.int64()), "local": pa.array(starts[i:j]),
+                        "doc_id": pa.array(docs[i:j], pa.int64()), "start": pa.array(starts[i:j] + (base[part] + before)),
                         "ids": pa.array([ids[s:e].tobytes() for s, e in zip(starts[i:j], ends[i:j], strict=True)], pa.binary())})
 
-    local = shards.select("part", "seq", "image").mapInArrow(decode, "part int, seq int, doc_id long, local long, ids binary")
-    return local.select("part", "seq", "doc_id", "local", "ids").join(_before(shards), ["part", "seq"]).select(
-        "doc_id", (F.col("before") + F.col("local")).alias("start"), "ids")
+    return shards.select("part", "before", "image").mapInArrow(decode, "doc_id long, start long, ids binary")
 
 
 def find(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -262,11 +257,5 @@ def op2_wavelet(spark, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as wavelet shards and read back from them."""
     scratch = Scratch(spark, "wavelet")
     write_shards(table(spark, sf_dir, "documents"), scratch.path("shards"))
-    # the digests are taken where the ids are decoded, so ids never cross an exchange
-    out = _digests(spark, scratch.path("shards"))
-    return out
-
-
-def _digests(spark, path: str) -> DataFrame:
-    return read_ids(spark, path).select(
+    return read_ids(spark, scratch.path("shards")).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
