@@ -1,4 +1,4 @@
-"""Feature preparation: imputation, one-hot, population standardisation, min-max."""
+"""Feature preparation: imputation, one-hot, population standardisation, alignment."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlens import schema as S
 from leadlens.operators.quantiles import quantile_row
-from leadlens.operators.rollups import mode_value
+from leadlens.operators.rollups import modes_row
 
 
 def missing_columns(df: DataFrame, required: list[str] = S.REQUIRED) -> list[str]:
@@ -22,20 +22,30 @@ def require_columns(df: DataFrame, required: list[str] = S.REQUIRED) -> None:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
 
 
-def impute(df: DataFrame, method: str = "auto") -> DataFrame:
-    """Batch imputation: numeric NULL -> batch median, categorical NULL -> batch mode
-    ('Unknown' when the column has no value). Statistics come from the batch itself and
-    are evaluated once, as scalar subqueries attached to the rows as one struct column."""
-    med = quantile_row(df, {c: (c, 0.5) for c in S.NUMERIC}, method)
-    modes = [mode_value(df, c).alias(c) for c in S.CATEGORICAL]
-    stats = F.struct(med.select(F.struct(*med.columns)).scalar().alias("m"), F.struct(*modes).alias("c"))
+def imputation_row(df: DataFrame) -> DataFrame:
+    """One row (m: medians of the numerics, c: modes of the categoricals) of a table: the values
+    for NULLs. Two passes: one numbering for all medians, one count for all modes."""
+    med = quantile_row(df, {c: (c, 0.5) for c in S.NUMERIC})
+    modes = modes_row(df, S.CATEGORICAL)
+    return med.crossJoin(modes).select(F.struct(*med.columns).alias("m"), F.struct(*modes.columns).alias("c"))   # 1 x 1 row
+
+
+def impute_alongside(df: DataFrame, stats: Column) -> DataFrame:
+    """Adds ``x_<col>`` next to every raw column: numeric NULL -> median (double, like a float
+    frame), categorical NULL -> mode, or 'Unknown' without one. ``stats``: struct (m, c)."""
     out = df.withColumn("__imp", stats)
-    out = out.select(
-        *[F.col(c) for c in df.columns if c not in S.NUMERIC and c not in S.CATEGORICAL],
-        *[F.coalesce(F.col(c), F.col(f"__imp.c.{c}"), F.lit("Unknown")).alias(c) for c in S.CATEGORICAL],
-        # the imputed copy is numeric double, like a float frame
-        *[F.coalesce(F.col(c).cast("double"), F.col(f"__imp.m.{c}")).alias(c) for c in S.NUMERIC])
-    return out.select(*df.columns)
+    return out.select(
+        "*",
+        *[F.coalesce(F.col(c), F.col(f"__imp.c.{c}"), F.lit("Unknown")).alias(f"x_{c}") for c in S.CATEGORICAL],
+        *[F.coalesce(F.col(c).cast("double"), F.col(f"__imp.m.{c}")).alias(f"x_{c}") for c in S.NUMERIC]).drop("__imp")
+
+
+def impute(df: DataFrame) -> DataFrame:
+    """Batch imputation with the batch's own medians and modes, evaluated once as a scalar
+    subquery attached to the rows as one struct column."""
+    stats = imputation_row(df)
+    out = impute_alongside(df, stats.select(F.struct("m", "c")).scalar())
+    return out.select(*[F.col(f"x_{c}").alias(c) if c in S.REQUIRED else F.col(c) for c in df.columns])
 
 
 def standardized(df: DataFrame, cols: list[str] = S.NUMERIC, prefix: str = "z_") -> DataFrame:
@@ -60,3 +70,15 @@ def feature_long(imputed: DataFrame) -> DataFrame:
                                 F.lit(1.0).alias("value")) for c in S.CATEGORICAL])
     return (z.select("lead_id", F.explode(F.concat(numeric, onehot)).alias("f"))
             .select("lead_id", "f.feature", "f.value"))
+
+
+def aligned_features(imputed: DataFrame, names: list[str]) -> DataFrame:
+    """(lead_id, values): each row's features in the order of a model's own list ``names``. A
+    feature the batch lacks is 0, one the model lacks is dropped."""
+    z = standardized(imputed)
+    have = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in S.NUMERIC], *[F.concat(F.lit(f"{c}_"), F.col(c)) for c in S.CATEGORICAL]),
+        F.array(*[F.col(f"z_{c}").cast("double") for c in S.NUMERIC], *[F.lit(1.0) for _ in S.CATEGORICAL]))
+    wanted = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    return (z.withColumn("__have", have)
+            .select("lead_id", F.transform(wanted, lambda n: F.coalesce(F.element_at(F.col("__have"), n), F.lit(0.0))).alias("values")))

@@ -27,9 +27,9 @@ def random_jitter(seed: int) -> Column:
     return F.floor(F.rand(seed) * S.JITTER_MOD).cast("int") - S.JITTER_SHIFT
 
 
-def revenue_cuts(leads: DataFrame, method: str = "auto") -> Column:
+def revenue_cuts(leads: DataFrame) -> Column:
     """Struct column (p50, p75) of annual revenue, evaluated once as a scalar subquery."""
-    q = exact_quantiles(leads, "annual_revenue", {"p50": 0.5, "p75": 0.75}, method=method)
+    q = exact_quantiles(leads, "annual_revenue", {"p50": 0.5, "p75": 0.75})
     return q.select(F.struct("p50", "p75")).scalar()
 
 
@@ -55,10 +55,10 @@ def points_to_class(points: Column) -> Column:
     return F.when(points >= hi_cut, hi_cls).when(points >= mid_cut, mid_cls).otherwise(0)
 
 
-def label_leads(leads: DataFrame, jitter: Column | None = None, method: str = "auto") -> DataFrame:
+def label_leads(leads: DataFrame, jitter: Column | None = None) -> DataFrame:
     """Add ``points``, ``lead_score`` (0/1/2) and ``lead_class`` ('Low'/'Medium'/'High')."""
     # the (p50, p75) subquery is attached once as a column, so it is planned and run once
-    with_cuts = leads.withColumn("__cuts", revenue_cuts(leads, method))
+    with_cuts = leads.withColumn("__cuts", revenue_cuts(leads))
     pts = rule_points(with_cuts, jitter=jitter, cuts=F.col("__cuts"))
     return (with_cuts.withColumn("points", pts.cast("int")).drop("__cuts")
             .withColumn("lead_score", points_to_class(F.col("points")).cast("int"))

@@ -1,9 +1,10 @@
 """Classifier training, comparison and feature importance with ``pyspark.ml``.
 
-Features: 6 numerics standardised with the training part's mean and *population* std
-(persisted as a SQLTransformer with literals), 4 categoricals indexed alphabetically with
-an extra slot for unseen values and one-hot encoded with that slot dropped (so an unseen
-category or NULL is the zero vector). Five learners, one cached feature table:
+Features: 6 numerics imputed with the training part's median and standardised with its mean and
+*population* std, 4 categoricals imputed with its mode (all persisted as a SQLTransformer with
+literals), indexed alphabetically with an extra slot for unseen values and one-hot encoded with
+that slot dropped (so an unseen category is the zero vector). A fitted package therefore scores
+raw leads (``model_scores``). Five learners, one cached feature table:
 multinomial logistic regression, random forest, and three gradient-boosting
 configurations (Spark has one GBT learner, binary only, so each runs one-vs-rest;
 probabilities are sigmoid(2 * margin) per class, normalised).
@@ -25,7 +26,9 @@ from pyspark.util import inheritable_thread_target
 
 from leadlens import schema as S
 from leadlens.operators import evaluate as E
-from leadlens.operators.split import stratified_folds, stratified_split
+from leadlens.operators.ordering import materialize
+from leadlens.operators.scoring import scorer_statistics, with_predictions
+from leadlens.operators.split import stratified_folds
 
 MODEL_ORDER = ["Logistic Regression", "Random Forest", "Gradient Boosting A", "Gradient Boosting B",
                "Gradient Boosting C"]
@@ -42,30 +45,43 @@ class ModelParams:
     gbt_step: float = 0.1
     seed: int = 42
     ovr_parallelism: int = 3
-    fit_parallelism: int = 5
+    fit_parallelism: int = 8
 
 
-def standardizer(train: DataFrame, cols: list[str] = S.NUMERIC) -> SQLTransformer:
-    """z_<col> = (x - mean) / population std of the training rows (1 for a constant column)."""
-    st = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+def preparer(train: DataFrame) -> SQLTransformer:
+    """Imputation and scaling learned from the training rows, kept in the pipeline as literals:
+    z_<col> = (x - mean) / population std of the numerics with the median for NULL and NaN (1 for
+    a constant column), x_<col> = the categorical with the mode ('Unknown' without one)."""
+    clean = train.select(*S.CATEGORICAL, *[_number(c).alias(c) for c in S.NUMERIC])
+    st = scorer_statistics(clean).first()
     exprs = []
-    for c in cols:
-        m, s = st[f"m_{c}"] or 0.0, st[f"s_{c}"] or 0.0
-        exprs.append(f"(CAST({c} AS DOUBLE) - ({m!r})) / ({(s if s else 1.0)!r}) AS z_{c}")
+    for c in S.NUMERIC:
+        med, m, s = st["m"][c], st["mean"][c] or 0.0, st["sd"][c] or 0.0
+        x = f"CAST({c} AS DOUBLE)"
+        x = f"COALESCE(CASE WHEN isnan({x}) THEN NULL ELSE {x} END, {0.0 if med is None else med!r}D)"
+        exprs.append(f"({x} - ({m!r}D)) / ({(s if s else 1.0)!r}D) AS z_{c}")
+    for c in S.CATEGORICAL:
+        mode = (st["c"][c] or "Unknown").replace("\\", "\\\\").replace("'", "\\'")
+        exprs.append(f"COALESCE({c}, '{mode}') AS x_{c}")
     return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
 
 
-def encoding_stages(onehot: bool = True) -> list:
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
+def _number(c: str):
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def encoding_stages() -> list:
+    """Category indices and one-hot vectors of the imputed categoricals."""
+    idx = [StringIndexer(inputCol=f"x_{c}", outputCol=f"{c}_idx", stringOrderType="alphabetAsc", handleInvalid="keep")
            for c in S.CATEGORICAL]
-    if not onehot:
-        return idx
     enc = OneHotEncoder(inputCols=[f"{c}_idx" for c in S.CATEGORICAL], outputCols=[f"{c}_vec" for c in S.CATEGORICAL],
                         dropLast=True, handleInvalid="keep")
     return idx + [enc]
 
 
 def assembler(onehot: bool = True) -> VectorAssembler:
+    """Scaled numerics and the categoricals as one-hot vectors or as indices."""
     cats = [f"{c}_vec" for c in S.CATEGORICAL] if onehot else [f"{c}_idx" for c in S.CATEGORICAL]
     return VectorAssembler(inputCols=[f"z_{c}" for c in S.NUMERIC] + cats, outputCol="features")
 
@@ -85,78 +101,136 @@ def learners(p: ModelParams, n_train: int) -> dict[str, tuple[object, bool]]:
     }
 
 
+def fit_features(train: DataFrame) -> PipelineModel:
+    """The stages before a learner, fitted once: imputation, scaling, encoding and both vectors
+    (``features``: one-hot, ``features_idx``: category indices)."""
+    return Pipeline(stages=[preparer(train), *encoding_stages(), assembler(True),
+                            assembler(False).setOutputCol("features_idx")]).fit(train)
+
+
 def fit_pipeline(train: DataFrame, estimator, onehot: bool) -> PipelineModel:
-    stages = [standardizer(train)] + encoding_stages(onehot) + [assembler(onehot), estimator]
-    return Pipeline(stages=stages).fit(train)
+    """Feature stages and learner on raw leads with ``label``: a package that scores raw leads."""
+    features = fit_features(train)
+    vectors = features.transform(train).select("label", "features", "features_idx")
+    vectors = vectors.repartition(_vector_partitions(train.sparkSession, train)).cache()
+    try:
+        return _package(features, _fit(vectors, estimator, onehot))
+    finally:
+        vectors.unpersist()
+
+
+def _fit(vectors: DataFrame, estimator, onehot: bool):
+    return estimator.copy().setFeaturesCol("features" if onehot else "features_idx").fit(vectors)
+
+
+def _package(features: PipelineModel, learner) -> PipelineModel:
+    return PipelineModel(stages=[*features.stages, learner])
+
+
+def _probabilities(df: DataFrame) -> list:
+    if "probability" in df.columns:
+        arr = vector_to_array("probability")
+        return [arr[i] for i in range(3)]
+    # one-vs-rest GBT: margins -> sigmoid(2m), normalised
+    raw = vector_to_array("rawPrediction")
+    sig = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * raw[i])) for i in range(3)]
+    return [s / (sig[0] + sig[1] + sig[2]) for s in sig]
+
+
+def model_scores(model: PipelineModel, leads: DataFrame) -> DataFrame:
+    """Raw leads scored by a trained package: the columns of ``leads`` and of the frozen scorer
+    (probabilities, predicted_index, predicted_lead_score, confidence), one row out per row in.
+    NULLs take the training part's median or mode, unseen categories the zero vector."""
+    out = model.transform(leads)
+    return with_predictions(out, leads.columns, _probabilities(out))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds p0, p1, p2 and prediction (argmax, ties to the lower class)."""
-    out = model.transform(df)
-    if "probability" in out.columns:
-        arr = vector_to_array("probability")
-        probs = [arr[i] for i in range(3)]
-    else:   # one-vs-rest GBT: margins -> sigmoid(2m), normalised
-        raw = vector_to_array("rawPrediction")
-        sig = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * raw[i])) for i in range(3)]
-        out = out.select("*", *[s.alias(f"__s{i}") for i, s in enumerate(sig)])
-        tot = F.col("__s0") + F.col("__s1") + F.col("__s2")
-        probs = [F.col(f"__s{i}") / tot for i in range(3)]
-    out = out.select("*", *[p.alias(f"p{i}") for i, p in enumerate(probs)])
-    pred = F.when((F.col("p0") >= F.col("p1")) & (F.col("p0") >= F.col("p2")), 0).when(
-        F.col("p1") >= F.col("p2"), 1).otherwise(2)
-    return out.withColumn("prediction", pred.cast("int"))
+    out = model_scores(model, df)
+    return out.select(*df.columns, F.col("probability_low").alias("p0"), F.col("probability_medium").alias("p1"),
+                      F.col("probability_high").alias("p2"), F.col("predicted_index").alias("prediction"))
 
 
 def _metrics(pred: DataFrame) -> dict:
-    row = E.summary_metrics(pred, "label", "prediction").first()
-    auc = E.ovr_auc(pred, "label", {0: "p0", 1: "p1", 2: "p2"}).where(F.col("class") == -1).first()
+    """Unrounded holdout metrics of (label, prediction, p0, p1, p2)."""
+    row = E.summary_metrics(pred, "label", "prediction", digits=None).first()
+    auc = E.ovr_auc(pred, "label", {0: "p0", 1: "p1", 2: "p2"}, digits=None).where(F.col("class") == -1).first()
     return {"accuracy": row["accuracy"], "precision": row["precision"], "recall": row["recall"],
             "f1": row["f1"], "roc_auc": auc["auc"] if auc else None}
 
 
+def _f1(scored: DataFrame) -> float:
+    return E.summary_metrics(scored, "label", "prediction", digits=None).first()["f1"] or 0.0
+
+
 def compare_models(data: DataFrame, params: ModelParams | None = None, cv_folds: int = 5,
                    models: list[str] | None = None):
     """Train every learner on the stratified 80 % part, evaluate on the 20 % holdout, and
     (cv_folds > 1) cross-validate weighted F1 on the training part.
 
-    ``data``: imputed lead rows with ``label``. Returns (comparison DataFrame sorted by F1
-    descending, best model name, best PipelineModel). Best = highest holdout F1, strictly
-    greater wins, so the first listed model wins ties."""
+    ``data``: raw lead rows with ``label``. Feature stages are fitted once per training part (in
+    cross-validation on the fold's own training rows only) and their vectors cached, so the
+    learners share them. Returns (comparison DataFrame sorted by F1 descending, best model name,
+    best PipelineModel). Best = highest unrounded holdout F1, strictly greater wins, so the first
+    listed model wins ties."""
     spark = data.sparkSession
     params = params or ModelParams()
-    split = stratified_split(data, "label", "lead_id").cache()
-    train, test = split.where(F.col("split") == "train").cache(), split.where(F.col("split") == "test").cache()
-    n_train = train.count()
-    folds = stratified_folds(data, "label", "lead_id", cv_folds).cache() if cv_folds > 1 else None
-
-    def run(name: str):
-        est, onehot = learners(params, n_train)[name]
-        model = fit_pipeline(train, est, onehot)
-        m = _metrics(predict(model, test))
-        cv_mean = cv_std = None
-        if folds is not None:
-            scores = []
-            for k in range(cv_folds):
-                tr, va = folds.where(F.col("fold") != k), folds.where(F.col("fold") == k)
-                est_k, _ = learners(params, tr.count())[name]
-                scores.append(_metrics(predict(fit_pipeline(tr, est_k, onehot), va))["f1"])
-            cv_mean = sum(scores) / len(scores)
-            cv_std = (sum((s - cv_mean) ** 2 for s in scores) / len(scores)) ** 0.5
-        return model, (name, m["accuracy"], m["precision"], m["recall"], m["f1"], cv_mean, cv_std,
-                       m["roc_auc"] if m["roc_auc"] is not None else 0.0)
-
-    # learners are fitted concurrently (as CrossValidator's ``parallelism``): each fit is a
-    # sequence of small distributed jobs, and the scheduler interleaves the five sequences
     names = list(models or MODEL_ORDER)
-    with ThreadPoolExecutor(max_workers=max(1, min(params.fit_parallelism, len(names)))) as pool:
-        done = list(pool.map(inheritable_thread_target(spark)(run), names))
+    pos = materialize(stratified_folds(data, "label", "lead_id", max(cv_folds, 1), keep_test=True))
+    cached = []
+
+    def vectors(features: PipelineModel, part: DataFrame) -> DataFrame:
+        # a few thousand vectors do not need a task per core of every small boosting job
+        v = features.transform(part).select("label", "features", "features_idx")
+        v = v.repartition(_vector_partitions(spark, part)).cache()
+        cached.append(v)
+        return v
+
+    def prepare(train: DataFrame, held: DataFrame):
+        features = fit_features(train)
+        v, w = vectors(features, train), vectors(features, held)
+        return features, v, w, v.count()
+
+    def run(task):
+        name, (features, v, w, n) = task
+        est, onehot = learners(params, n)[name]
+        learner = _fit(v, est, onehot)
+        out = learner.transform(w)
+        scored = with_predictions(out, ["label"], _probabilities(out))
+        return features, learner, scored.select("label", F.col("predicted_index").alias("prediction"), F.col("probability_low").alias("p0"),
+                                                F.col("probability_medium").alias("p1"), F.col("probability_high").alias("p2")).cache()
+
+    train = pos.where(F.col("split") == "train")
+    sets = [prepare(train, pos.where(F.col("split") == "test"))]
+    for k in range(cv_folds if cv_folds > 1 else 0):
+        sets.append(prepare(train.where(F.col("fold") != k), train.where(F.col("fold") == k)))
+
+    # fits run concurrently (as CrossValidator's ``parallelism``): each is a sequence of small
+    # distributed jobs, and the scheduler interleaves the sequences
+    tasks = [(name, k) for k in range(len(sets)) for name in names]
+
+    def evaluated(task):
+        name, k = task
+        features, learner, scored = run((name, sets[k]))
+        try:
+            return (_package(features, learner), _metrics(scored)) if k == 0 else (None, _f1(scored))
+        finally:
+            scored.unpersist()
+
+    with ThreadPoolExecutor(max_workers=max(1, params.fit_parallelism)) as pool:
+        done = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(evaluated), tasks), strict=True))
+    for v in cached:
+        v.unpersist()
     rows, fitted, best, best_f1 = [], {}, None, 0.0
-    for name, (model, row) in zip(names, done):
-        fitted[name] = model
-        rows.append(row)
-        if row[4] > best_f1:
-            best, best_f1 = name, row[4]
+    for name in names:
+        fitted[name], m = done[name, 0]
+        scores = [done[name, k][1] for k in range(1, len(sets))]
+        mean = sum(scores) / len(scores) if scores else None
+        std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
+        rows.append((name, *[_r6(m[k]) for k in ("accuracy", "precision", "recall", "f1")], _r6(mean), _r6(std), _r6(m["roc_auc"] or 0.0)))
+        if (m["f1"] or 0.0) > best_f1:
+            best, best_f1 = name, m["f1"]
     table = spark.createDataFrame(rows, "model string, accuracy double, precision double, recall double, f1 double, "
                                         "cv_f1 double, cv_std double, roc_auc double")
     order = {n: i for i, n in enumerate(MODEL_ORDER)}
@@ -165,9 +239,21 @@ def compare_models(data: DataFrame, params: ModelParams | None = None, cv_folds:
     return table.orderBy(F.desc("f1"), "list_order").drop("list_order"), best, fitted.get(best)
 
 
+def _r6(x):
+    return None if x is None else round(x, 6)
+
+
+#: Training rows per task of a fit.
+ROWS_PER_TASK = 20_000
+
+
+def _vector_partitions(spark, part: DataFrame) -> int:
+    return max(1, -(-part.count() // ROWS_PER_TASK))
+
+
 def feature_names(model: PipelineModel, sample: DataFrame) -> list[str]:
-    """Slot names of the assembled feature vector (from the column metadata)."""
-    meta = model.transform(sample.limit(1)).schema["features"].metadata.get("ml_attr", {})
+    """Slot names of the vector the learner reads (from the column metadata)."""
+    meta = model.transform(sample.limit(1)).schema[model.stages[-1].getFeaturesCol()].metadata.get("ml_attr", {})
     attrs = []
     for group in meta.get("attrs", {}).values():
         attrs.extend(group)

@@ -30,9 +30,12 @@ def top_k_values(df: DataFrame, col: str, k: int) -> DataFrame:
             .withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("value")))))
 
 
-def mode_value(df: DataFrame, col: str) -> Column:
-    """Most frequent non-null value (ties: smallest), as a scalar subquery; NULL if none."""
-    return value_counts(df, col).select("value").limit(1).scalar()
+def modes_row(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row ``{col: most frequent non-null value}`` (ties: smallest; NULL if none), from one
+    count over all columns."""
+    def rank(c: str) -> Column:   # NULL for the other columns, which min_by leaves out
+        return F.when(F.col("column") == c, F.struct((-F.col("n")).alias("n"), F.col("value").alias("v")))
+    return value_counts_long(df, cols).agg(*[F.min_by("value", rank(c)).alias(c) for c in cols])
 
 
 def class_share(df: DataFrame, class_col: str, by: list[str] | None = None) -> DataFrame:
@@ -43,10 +46,10 @@ def class_share(df: DataFrame, class_col: str, by: list[str] | None = None) -> D
     return counts.withColumn("pct", F.round(F.col("n") * F.lit(100.0) / total, 6))
 
 
-def lead_stats(leads: DataFrame, method: str = "auto") -> DataFrame:
+def lead_stats(leads: DataFrame) -> DataFrame:
     """One row: count, revenue mean/min/max/p50/p75, engagement mean, medians, modes, pop std."""
     q = quantile_row(leads, {**{f"median_{c}": (c, 0.5) for c in S.NUMERIC},
-                             "p75_annual_revenue": ("annual_revenue", 0.75)}, method)
+                             "p75_annual_revenue": ("annual_revenue", 0.75)})
     qs = q.select(F.struct(*q.columns)).scalar()
     base = leads.agg(
         F.count(F.lit(1)).alias("total_leads"),
@@ -59,11 +62,13 @@ def lead_stats(leads: DataFrame, method: str = "auto") -> DataFrame:
         F.count_if(F.col("engagement_score") > S.HIGH_ENGAGEMENT).alias("high_engagement"),
         *[F.stddev_pop(c).alias(f"std_{c}") for c in S.NUMERIC],
     )
+    modes = modes_row(leads, S.CATEGORICAL)
+    ms = modes.select(F.struct(*modes.columns)).scalar()
     out = base.select(
         "*",
         *[qs[f"median_{c}"].alias(f"median_{c}") for c in S.NUMERIC],
         qs["p75_annual_revenue"].alias("p75_annual_revenue"),
-        *[F.coalesce(mode_value(leads, c), F.lit("Unknown")).alias(f"mode_{c}") for c in S.CATEGORICAL],
+        *[F.coalesce(ms[c], F.lit("Unknown")).alias(f"mode_{c}") for c in S.CATEGORICAL],
     )
     doubles = [c for c, t in out.dtypes if t == "double"]
     return out.select(*[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in out.columns])
@@ -79,10 +84,12 @@ def abm_dashboard(scored: DataFrame) -> DataFrame:
         *[F.count_if(F.col("predicted_lead_score") == lbl).alias(f"n_{lbl.lower()}")
           for lbl in S.CLASS_LABELS.values()],
     )
+    modes = modes_row(scored, ["industry", "region"])
+    ms = modes.select(F.struct(*modes.columns)).scalar()
     return agg.select(
         "total_leads",
-        mode_value(scored, "industry").alias("top_industry"),
-        mode_value(scored, "region").alias("top_region"),
+        ms["industry"].alias("top_industry"),
+        ms["region"].alias("top_region"),
         F.round("avg_revenue", 6).alias("avg_revenue"),
         F.concat(F.lit("$"), money0(F.col("avg_revenue"))).alias("avg_revenue_text"),
         F.round("avg_engagement", 6).alias("avg_engagement"),

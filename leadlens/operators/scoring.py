@@ -2,8 +2,8 @@
 
 ``frozen_scores`` is a multinomial logistic scorer with fixed coefficients: it makes the
 whole score -> rank -> summary -> evaluation -> text chain checkable against a second SQL
-engine without training. Trained ``pyspark.ml`` models plug into the same columns through
-``model_scores``.
+engine without training. Trained ``pyspark.ml`` models give the same columns through
+``models.model_scores``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens import schema as S
-from leadlens.operators.features import impute, standardized
+from leadlens.operators.features import imputation_row, impute_alongside
 from leadlens.operators.labeling import class_label
 
 # Fixed coefficients of the frozen scorer (ours, not learned): class c gets
@@ -28,39 +28,48 @@ def argmax3(p0: Column, p1: Column, p2: Column) -> Column:
     return F.when((p0 >= p1) & (p0 >= p2), 0).when(p1 >= p2, 1).otherwise(2)
 
 
-def frozen_scores(leads: DataFrame, method: str = "auto") -> DataFrame:
-    """Lead columns + prediction columns. Imputation and scaling use batch statistics,
-    applied to a copy: the output keeps the raw lead values."""
-    z = standardized(impute(leads, method))
+def scorer_statistics(reference: DataFrame) -> DataFrame:
+    """One row with what the frozen scorer needs of a table: (m, c) for NULLs and (mean, sd) of
+    the imputed numerics."""
+    fill = imputation_row(reference)
+    x = impute_alongside(reference, fill.select(F.struct("m", "c")).scalar())
+    moments = x.agg(F.struct(*[F.avg(f"x_{c}").alias(c) for c in S.NUMERIC]).alias("mean"),
+                    F.struct(*[F.stddev_pop(f"x_{c}").alias(c) for c in S.NUMERIC]).alias("sd"))
+    return fill.crossJoin(moments)   # 1 x 1 row
+
+
+def frozen_scores(leads: DataFrame, stats: Column | None = None) -> DataFrame:
+    """Lead columns + prediction columns, one row out per row in: imputed and scaled copies stand
+    on the row itself, so repeated or NULL ids are scored like any other row and nothing is
+    joined. ``stats``: the struct of ``scorer_statistics`` (default: of the batch itself)."""
+    if stats is None:
+        st = scorer_statistics(leads)
+        stats = st.select(F.struct(*st.columns)).scalar()
+    x = impute_alongside(leads.withColumn("__st", stats), F.col("__st"))
     s = F.lit(0.0)
     for c, w in FROZEN_NUMERIC_WEIGHTS.items():
-        s = s + F.lit(w) * F.col(f"z_{c}")
+        sd = F.col(f"__st.sd.{c}")
+        z = (F.col(f"x_{c}") - F.col(f"__st.mean.{c}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        s = s + F.lit(w) * z
     size_w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FROZEN_SIZE_WEIGHTS.items() for x in kv]),
-                                     F.col("company_size")), F.lit(0.0))
+                                     F.col("x_company_size")), F.lit(0.0))
     b0, b1, b2 = FROZEN_INTERCEPTS
-    lin = z.select("lead_id", (s + size_w).alias("s"))
-    logits = lin.select("lead_id", (F.lit(b0) - F.col("s")).alias("l0"), F.lit(b1).alias("l1"),
-                        (F.lit(b2) + F.col("s")).alias("l2"))
-    return attach_predictions(leads, softmax_probs(logits))
-
-
-def softmax_probs(logits: DataFrame) -> DataFrame:
-    """(lead_id, l0, l1, l2) -> (lead_id, p0, p1, p2), max-shifted for stability."""
-    m = F.greatest("l0", "l1", "l2")
-    ex = logits.select("lead_id", *[F.exp(F.col(f"l{i}") - m).alias(f"e{i}") for i in range(3)])
-    tot = F.col("e0") + F.col("e1") + F.col("e2")
-    return ex.select("lead_id", *[(F.col(f"e{i}") / tot).alias(f"p{i}") for i in range(3)])
-
-
-def attach_predictions(leads: DataFrame, probs: DataFrame) -> DataFrame:
-    """Join (lead_id, p0, p1, p2) back to the raw rows and derive label and confidence."""
-    out = leads.join(probs, "lead_id")   # both sides keyed by lead_id
-    idx = argmax3(F.col("p0"), F.col("p1"), F.col("p2"))
+    lin = x.select(*leads.columns, (s + size_w).alias("__s"))
+    logits = lin.select(*leads.columns, (F.lit(b0) - F.col("__s")).alias("__l0"), F.lit(b1).alias("__l1"),
+                        (F.lit(b2) + F.col("__s")).alias("__l2"))
+    m = F.greatest("__l0", "__l1", "__l2")   # shifted for stability
+    ex = logits.select(*leads.columns, *[F.exp(F.col(f"__l{i}") - m).alias(f"__e{i}") for i in range(3)])
+    tot = F.col("__e0") + F.col("__e1") + F.col("__e2")
+    return with_predictions(ex, leads.columns, [F.col(f"__e{i}") / tot for i in range(3)])
+
+
+def with_predictions(df: DataFrame, keep: list[str], probs: list[Column]) -> DataFrame:
+    """``keep`` columns + probability_low/medium/high, predicted_index, predicted_lead_score and
+    confidence: the columns of every scorer."""
+    out = df.select(*keep, *[p.alias(f"probability_{n}") for p, n in zip(probs, ("low", "medium", "high"), strict=True)])
+    idx = argmax3(F.col("probability_low"), F.col("probability_medium"), F.col("probability_high"))
     return (out.withColumn("predicted_index", idx.cast("int"))
             .withColumn("predicted_lead_score", class_label(F.col("predicted_index")))
-            .withColumnRenamed("p0", "probability_low")
-            .withColumnRenamed("p1", "probability_medium")
-            .withColumnRenamed("p2", "probability_high")
             .withColumn("confidence", F.greatest("probability_low", "probability_medium", "probability_high")))
 
 

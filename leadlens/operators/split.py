@@ -34,21 +34,26 @@ def stratified_positions(df: DataFrame, label: str, key: str) -> DataFrame:
             .drop("__gpos", "__start", "__sk"))
 
 
-def stratified_split(df: DataFrame, label: str = "label", key: str = "lead_id",
-                     test_fraction: float = 0.2) -> DataFrame:
-    """Adds ``split`` ('test' for the first round(test_fraction * class size) rows of each
-    class in shuffle order, else 'train') and ``fold`` placeholders are not added here."""
+def _split(df: DataFrame, label: str, key: str, test_fraction: float) -> DataFrame:
     pos = stratified_positions(df, label, key)
     n_test = F.round(F.col("class_n") * F.lit(float(test_fraction))).cast("bigint")
     return (pos.withColumn("split", F.when(F.col("class_pos") <= n_test, "test").otherwise("train"))
             .withColumn("__n_test", n_test))
 
 
-def stratified_folds(df: DataFrame, label: str = "label", key: str = "lead_id", k: int = 5,
+def stratified_split(df: DataFrame, label: str = "label", key: str = "lead_id",
                      test_fraction: float = 0.2) -> DataFrame:
+    """Adds ``split``: 'test' for the first round(test_fraction * class size) rows of each class
+    in shuffle order, else 'train'."""
+    return _split(df, label, key, test_fraction).drop("__n_test")
+
+
+def stratified_folds(df: DataFrame, label: str = "label", key: str = "lead_id", k: int = 5,
+                     test_fraction: float = 0.2, keep_test: bool = False) -> DataFrame:
     """Training rows of the split with ``fold`` in 0..k-1, dealt round-robin in shuffle order
-    inside each class, so every fold keeps the class ratios within one row."""
-    sp = stratified_split(df, label, key, test_fraction)
-    train = sp.where(F.col("split") == "train")
-    fold = ((F.col("class_pos") - F.col("__n_test") - 1) % k).cast("int")
-    return train.withColumn("fold", fold).drop("__n_test")
+    inside each class, so every fold keeps the class ratios within one row. ``keep_test``: also
+    the test rows, with a NULL fold."""
+    sp = _split(df, label, key, test_fraction)
+    train = F.col("split") == "train"
+    fold = F.when(train, ((F.col("class_pos") - F.col("__n_test") - 1) % k).cast("int"))
+    return (sp if keep_test else sp.where(train)).withColumn("fold", fold).drop("__n_test")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadlens import schema as S
 from leadlens.functions.fmt import one_decimal
 from leadlens.operators import evaluate as E
-from leadlens.operators.features import feature_long, impute
+from leadlens.operators.features import aligned_features, feature_long, impute
 from leadlens.operators.labeling import label_leads
 from leadlens.operators.ranking import rank_leads, top_leads
 from leadlens.operators.split import stratified_folds, stratified_split
@@ -17,6 +17,8 @@ from leadlens.operators.scoring import frozen_scores, with_rank_score
 from leadlens.plans.oracle import IMPUTED, LABELED, LEADS, SCORED, with_ctes
 from leadlens.plans.registry import register
 from leadlens.plans.shared import written
+from leadlens.session import shared_dir
+from leadlens.sources.leads_csv import export_scored, read_leads
 from leadlens.sources.tables import lead_table
 
 
@@ -139,6 +141,47 @@ def q_feature_matrix(spark, sf_dir):
     return _r6(feature_long(impute(leads_df(spark, sf_dir))))
 
 
+#: A model's own feature list: an order of its own, a feature no batch has, industries left out.
+MODEL_FEATURES = ["region_ASIA", "engagement_score", "annual_revenue", "company_size_Large", "company_size_Giant",
+                  "lead_source_Referral", "region_EUROPE", "previous_purchases", "company_size_Small"]
+
+
+def _aligned(name: str) -> str:
+    if name in S.NUMERIC:
+        return f"({name} - m_{name}) / CASE WHEN s_{name} = 0 THEN 1 ELSE s_{name} END"
+    col = next(c for c in S.CATEGORICAL if name.startswith(f"{c}_"))
+    return f"CASE WHEN {col} = '{name[len(col) + 1:]}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@register("aligned_features", with_ctes(LEADS, IMPUTED, """
+zst AS (SELECT {st} FROM imputed)""".format(
+    st=", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in S.NUMERIC)), body="\nUNION ALL\n".join(
+    f"SELECT lead_id, {i} AS pos, '{n}' AS feature, round({_aligned(n)}, 6) AS value FROM imputed, zst"
+    for i, n in enumerate(MODEL_FEATURES))))
+def q_aligned_features(spark, sf_dir):
+    out = aligned_features(impute(leads_df(spark, sf_dir)), MODEL_FEATURES)
+    names = F.array(*[F.lit(n) for n in MODEL_FEATURES])
+    return _r6(out.select("lead_id", F.posexplode("values").alias("pos", "value"))
+               .select("lead_id", "pos", F.element_at(names, F.col("pos") + 1).alias("feature"), "value"))
+
+
+@register("csv_round_trip", with_ctes(LEADS, IMPUTED, SCORED, body="""
+SELECT lead_id, company_size, industry, lead_source, region, round(annual_revenue, 6) AS annual_revenue, website_visits,
+  email_opens, ad_clicks, round(engagement_score, 6) AS engagement_score, previous_purchases, predicted_lead_score,
+  round(probability_high, 6) AS probability_high, round(lead_rank_score, 6) AS lead_rank_score FROM ranked_base"""))
+def q_csv_round_trip(spark, sf_dir):
+    """Scored leads exported as CSV (every column, in another order and spelling) and read again."""
+    import uuid
+
+    path = shared_dir(spark, f"export-{uuid.uuid4().hex}")
+    scored = scored_df(spark, sf_dir)
+    mixed = scored.select(*[F.col(c).alias(c.title()) for c in reversed(scored.columns)])
+    export_scored(mixed, path, fmt="csv", partition_by="Predicted_Lead_Score")
+    back = read_leads(spark, path)
+    return _r6(back.select(*S.LEAD_SCHEMA.names, "predicted_lead_score",
+                           *[F.col(c).cast("double").alias(c) for c in ("probability_high", "lead_rank_score")]))
+
+
 _SCORE_COLS = ("lead_id, predicted_index, predicted_lead_score, probability_low, probability_medium, "
                "probability_high, confidence, lead_rank_score")
 
@@ -155,7 +198,8 @@ def q_scored_leads(spark, sf_dir):
 SELECT lead_id, row_number() OVER (ORDER BY lead_rank_score DESC NULLS LAST, lead_id) AS rank,
        round(lead_rank_score, 6) AS lead_rank_score FROM ranked_base"""))
 def q_lead_ranking(spark, sf_dir):
-    return _r6(rank_leads(scored_leads_df(spark, sf_dir)).select("lead_id", "rank", "lead_rank_score"))
+    return _r6(rank_leads(scored_leads_df(spark, sf_dir).select("lead_id", "lead_rank_score")).select(
+        "lead_id", "rank", "lead_rank_score"))
 
 
 @register("top_leads", with_ctes(LEADS, IMPUTED, SCORED, body="""
@@ -203,10 +247,10 @@ def q_score_distribution(spark, sf_dir):
 # ---- evaluation: rule label (truth) vs frozen scorer prediction -------------------------
 
 def _eval_input(spark, sf_dir) -> DataFrame:
-    labels = labeled_df(spark, sf_dir).select("lead_id", F.col("lead_score").alias("label"))
-    preds = scored_df(spark, sf_dir).select("lead_id", F.col("predicted_index").alias("prediction"),
-                                        "probability_low", "probability_medium", "probability_high")
-    return labels.join(preds, "lead_id")
+    """Label and prediction of the same row: the labelled leads, scored in place and written once."""
+    return written(spark, sf_dir, "evaluated", LEAD_INPUTS, lambda: frozen_scores(labeled_df(spark, sf_dir)).select(
+        "lead_id", F.col("lead_score").alias("label"), F.col("predicted_index").alias("prediction"),
+        "probability_low", "probability_medium", "probability_high"))
 
 
 _EVAL_CTE = """
@@ -315,7 +359,6 @@ SELECT lead_id, predicted_index, predicted_lead_score, round(probability_low, 6)
 def q_stream_scores(spark, sf_dir):
     import uuid
 
-    from leadlens.session import shared_dir
     from leadlens.streaming.score_stream import capture_stats, start_scoring_stream
 
     leads = leads_df(spark, sf_dir)

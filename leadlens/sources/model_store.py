@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
@@ -13,10 +14,13 @@ def save_model(spark: SparkSession, model: PipelineModel, path: str, name: str,
 
 
 def load_model(spark: SparkSession, path: str):
-    """(PipelineModel, model name, feature names); FileNotFoundError when absent."""
+    """(PipelineModel, model name, feature names); FileNotFoundError when absent, other errors as
+    they are."""
     try:
         meta = spark.read.parquet(f"{path.rstrip('/')}/meta").first()
-        model = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
-    except Exception as e:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no model package at {path}") from e
+    model = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
     return model, meta["model_name"], list(meta["feature_names"])

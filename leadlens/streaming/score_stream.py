@@ -1,66 +1,60 @@
-"""Score arriving lead files with fixed (training-time) statistics.
+"""Score arriving lead files with fixed (training-time) statistics or a saved model.
 
 A stream is stateless here: the batch median / mode / moments of the scoring app are not
 available per micro-batch, so imputation and scaling use statistics captured once from a
-reference table (the stable mode of imputation). Files are picked up with
+reference table, or those inside a trained pipeline. Files are picked up with
 ``trigger(availableNow=True)`` and progress is kept in a checkpoint, so a restarted job
 resumes where it stopped and a lost executor only re-runs its micro-batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from leadlens import schema as S
-from leadlens.operators.quantiles import quantile_row
-from leadlens.operators.rollups import mode_value
-from leadlens.operators.scoring import (FROZEN_INTERCEPTS, FROZEN_NUMERIC_WEIGHTS, FROZEN_SIZE_WEIGHTS, argmax3)
-from leadlens.operators.labeling import class_label
+from leadlens.operators.features import require_columns
+from leadlens.operators.models import model_scores
+from leadlens.operators.scoring import frozen_scores, scorer_statistics
+from leadlens.sources.leads_csv import csv_schema, nan_to_null, snake
 
 
-def capture_stats(reference: DataFrame) -> dict:
-    """Training-time statistics as plain numbers (one small row)."""
-    med = quantile_row(reference, {c: (c, 0.5) for c in S.NUMERIC}).first().asDict()
-    modes = reference.select(*[mode_value(reference, c).alias(c) for c in S.CATEGORICAL]).first().asDict()
-    imputed = reference
-    for c in S.NUMERIC:
-        imputed = imputed.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(med[c])))
-    mom = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in S.NUMERIC],
-                      *[F.stddev_pop(c).alias(f"s_{c}") for c in S.NUMERIC]).first().asDict()
-    return {"median": med, "mode": modes, "moments": mom}
+def capture_stats(reference: DataFrame) -> Row:
+    """Training-time statistics (one small row)."""
+    return scorer_statistics(reference).first()
 
 
-def score_with_stats(df: DataFrame, stats: dict) -> DataFrame:
+def score_with_stats(df: DataFrame, stats: Row) -> DataFrame:
     """The frozen scorer with literal statistics: a pure per-row projection."""
-    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(stats["median"][c])) for c in S.NUMERIC}
-    size = F.coalesce(F.col("company_size"), F.lit(stats["mode"]["company_size"]), F.lit("Unknown"))
-    s = F.lit(0.0)
-    for c, w in FROZEN_NUMERIC_WEIGHTS.items():
-        sd = stats["moments"][f"s_{c}"] or 0.0
-        s = s + F.lit(w) * (x[c] - F.lit(stats["moments"][f"m_{c}"])) / F.lit(sd if sd else 1.0)
-    size_w = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in FROZEN_SIZE_WEIGHTS.items() for v in kv]),
-                                     size), F.lit(0.0))
-    b0, b1, b2 = FROZEN_INTERCEPTS
-    lin = df.withColumn("__s", s + size_w)
-    lg = lin.withColumn("__l0", F.lit(b0) - F.col("__s")).withColumn("__l1", F.lit(b1)).withColumn(
-        "__l2", F.lit(b2) + F.col("__s")).withColumn("__m", F.greatest("__l0", "__l1", "__l2"))
-    ex = lg.select("*", *[F.exp(F.col(f"__l{i}") - F.col("__m")).alias(f"__e{i}") for i in range(3)])
-    tot = F.col("__e0") + F.col("__e1") + F.col("__e2")
-    pr = ex.select("*", *[(F.col(f"__e{i}") / tot).alias(f"probability_{n}") for i, n in
-                          enumerate(["low", "medium", "high"])])
-    idx = argmax3(F.col("probability_low"), F.col("probability_medium"), F.col("probability_high"))
-    out = (pr.withColumn("predicted_index", idx.cast("int"))
-           .withColumn("predicted_lead_score", class_label(F.col("predicted_index")))
-           .withColumn("confidence", F.greatest("probability_low", "probability_medium", "probability_high")))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    typed = F.struct(*[_typed(stats[k], "string" if k == "c" else "double").alias(k) for k in ("m", "c", "mean", "sd")])
+    return frozen_scores(df, typed)
+
+
+def _typed(part: Row, kind: str) -> Column:
+    return F.struct(*[F.lit(v).cast(kind).alias(k) for k, v in part.asDict().items()])
+
+
+def lead_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet", header: list[str] | None = None) -> DataFrame:
+    """Arriving lead files as a stream of lead columns. CSV columns go by their header names, as
+    in ``read_leads``: ``header`` is the files' header line (default: that of a file already
+    there); a file with another header fails its micro-batch instead of being misread."""
+    if fmt == "parquet":
+        src = spark.readStream.schema(S.LEAD_SCHEMA).parquet(source_dir)
+    else:
+        names = header or spark.read.option("header", True).csv(source_dir).columns
+        src = (spark.readStream.schema(csv_schema(names)).option("header", True)
+               .option("enforceSchema", False).csv(source_dir))
+        src = src.select(*[F.col(f"`{c}`").alias(snake(c)) for c in src.columns])
+    require_columns(src)
+    return nan_to_null(src)
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                         stats: dict, fmt: str = "parquet", schema=S.LEAD_SCHEMA):
-    """Start the stream (available files now, then stop); returns the StreamingQuery."""
-    reader = spark.readStream.schema(schema)
-    src = reader.option("header", True).csv(source_dir) if fmt == "csv" else reader.parquet(source_dir)
-    scored = score_with_stats(src, stats)
+                         scorer: Row | PipelineModel, fmt: str = "parquet", header: list[str] | None = None):
+    """Start the stream (available files now, then stop); returns the StreamingQuery. ``scorer``:
+    captured statistics (frozen scorer) or a trained pipeline."""
+    src = lead_stream(spark, source_dir, fmt, header)
+    scored = model_scores(scorer, src) if isinstance(scorer, PipelineModel) else score_with_stats(src, scorer)
     return (scored.writeStream.format("parquet").option("path", sink_dir)
             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

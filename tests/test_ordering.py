@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,22 +29,24 @@ def test_prefix_sums_exclusive(spark):
         run += r["v"]
 
 
-def test_quantile_methods_agree(spark):
+def test_quantiles_equal_numpy_to_the_last_bit(spark):
     rnd = random.Random(3)
-    df = spark.createDataFrame([(rnd.choice([None, rnd.random() * 100]),) for _ in range(2001)], "x double")
-    probs = {"p10": 0.1, "p50": 0.5, "p75": 0.75, "p100": 1.0}
-    a = exact_quantiles(df, "x", probs, method="aggregate").first().asDict()
-    b = exact_quantiles(df, "x", probs, method="sort").first().asDict()
-    for k in probs:
-        assert abs(a[k] - b[k]) < 1e-9
+    for n in (1, 2, 50, 2001):
+        x = [rnd.choice([None, float("nan"), 7.25, rnd.random() * 100]) for _ in range(n)]
+        y = [round(rnd.random() * 1e7, 2) for _ in range(n)]
+        df = spark.createDataFrame(list(zip(x, y)), "x double, y double").repartition(5)
+        spec = {f"{c}{p}": (c, p) for c in "xy" for p in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)}
+        got = quantile_row(df, spec).first().asDict()
+        for name, (c, p) in spec.items():
+            vals = [v for v in (x if c == "x" else y) if v is not None and v == v]
+            assert got[name] == (float(np.quantile(vals, p)) if vals else None)
 
 
-def test_quantile_interpolation_linear(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    row = quantile_row(df, {"p75": ("x", 0.75)}, method="sort").first()
-    assert abs(row["p75"] - 4.75) < 1e-12
+def test_quantile_between_equal_values_is_that_value(spark):
+    df = spark.createDataFrame([(0.1,)] * 7 + [(0.3,)], "x double")
+    assert exact_quantiles(df, "x", {"p33": 0.33, "p75": 0.75}).first() == (0.1, 0.1)
 
 
 def test_quantile_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
-    assert exact_quantiles(df, "x", {"p50": 0.5}, method="sort").first()["p50"] is None
+    assert exact_quantiles(df, "x", {"p50": 0.5}).first()["p50"] is None
