@@ -1,7 +1,6 @@
 """Batch question answering: retrieve -> context block -> prompt -> template answer.
 
-Questions are a table; answers are a table. Nothing is routed through the driver except
-the bounded question batch of the retrieval step.
+Questions are a table; answers are a table. Nothing is routed through the driver.
 """
 
 from __future__ import annotations
@@ -11,12 +10,16 @@ from pyspark.sql import functions as F
 
 from leadlens import schema as S
 from leadlens.operators.embed import embed_questions, tfidf_index
+from leadlens.operators.ordering import with_global_row_number
 from leadlens.operators.retrieve import nearest_sparse
 
 # ---------------------------------------------------------------------------
 # Texts of the assistant that must equal the surveyed application's.
 # ---------------------------------------------------------------------------
 NO_CONTEXT = "No relevant context found."
+NO_DATA = "No data available. Please upload and process lead data first."
+# White space that a question is stripped of (the characters Python's strip removes).
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTEXT_HEADER = "Relevant Information:\n\n"
 PROMPT_TEMPLATE = (
     "You are an AI assistant for a B2B Lead Scoring and Account-Based Marketing (ABM) system.\n"
@@ -74,12 +77,22 @@ def retrieve(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int =
     return nearest_sparse(all_vecs, qall, qkey, k)
 
 
+METADATA = ["type", "index", "industry", "company_size", "lead_score"]
+
+
+def hits_with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the chunk's text and its metadata as one struct."""
+    return hits.join(chunks.select("chunk_id", "text", F.struct(*[c for c in METADATA if c in chunks.columns] or ["chunk_id"])
+                                   .alias("metadata")), "chunk_id")
+
+
 def context_blocks(hits: DataFrame, chunks: DataFrame, questions: DataFrame, qkey: list[str]) -> DataFrame:
-    """(qkey..., context, contexts_used, source_ids): numbered block of the retrieved texts.
-    Per question the hits are at most k rows, so the collect is bounded."""
-    joined = hits.join(chunks.select("chunk_id", "text"), "chunk_id")
-    per_q = joined.groupBy(*qkey).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "text", "chunk_id"))).alias("hits"))
+    """(qkey..., context, contexts_used, source_ids, sources): numbered block of the retrieved
+    texts, and the metadata of its chunks in the same order. Per question the hits are at most k
+    rows, so the collect is bounded."""
+    per_q = hits_with_text(hits, chunks).groupBy(*qkey).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "text", "chunk_id", "metadata")),
+                     lambda x, y: x["rank"] - y["rank"]).alias("hits"))
     block = F.concat(F.lit(CONTEXT_HEADER), F.array_join(F.transform(
         "hits", lambda h: F.concat(h["rank"].cast("string"), F.lit(". "), h["text"], F.lit("\n\n"))), ""))
     out = questions.select(*qkey).join(per_q, qkey, "left")
@@ -87,7 +100,8 @@ def context_blocks(hits: DataFrame, chunks: DataFrame, questions: DataFrame, qke
         *qkey,
         F.when(F.size(F.coalesce("hits", F.array())) > 0, block).otherwise(F.lit(NO_CONTEXT)).alias("context"),
         F.coalesce(F.size("hits"), F.lit(0)).cast("int").alias("contexts_used"),
-        F.coalesce(F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ","), F.lit("")).alias("source_ids"))
+        F.coalesce(F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ","), F.lit("")).alias("source_ids"),
+        F.transform("hits", lambda h: h["metadata"]).alias("sources"))
 
 
 def prompt_text(context: Column, query: Column) -> Column:
@@ -119,35 +133,41 @@ def template_answer(query: Column, context: Column) -> Column:
 
 
 def answer_questions(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int = S.DEFAULT_TOP_K,
-                     text: str = "text", index: tuple | None = None) -> DataFrame:
-    """(qkey..., question, response, contexts_used, source_ids, context)."""
-    hits = retrieve(chunks, questions, qkey, k, text, index)
+                     text: str = "text", index: tuple | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """(qkey..., question, response, contexts_used, source_ids, sources, context). ``hits``:
+    written hits of these questions; without them they are retrieved."""
+    if hits is None:
+        hits = retrieve(chunks, questions, qkey, k, text, index)
     blocks = context_blocks(hits, chunks, questions, qkey)
     out = questions.select(*qkey, F.col(text).alias("question")).join(blocks, qkey)
     return out.select(*qkey, "question", template_answer(F.col("question"), F.col("context")).alias("response"),
-                      "contexts_used", "source_ids", "context")
+                      "contexts_used", "source_ids", "sources", "context")
 
 
-def user_questions(conversations: DataFrame) -> DataFrame:
-    """User turns as questions: (conv_id, turn, text)."""
-    return conversations.where(F.col("role") == "user").select("conv_id", "turn", F.trim("text").alias("text"))
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def latest_user_questions(conversations: DataFrame) -> DataFrame:
-    """The newest user turn of each conversation: (conv_id, turn, text); max_by is a
-    partially aggregated group-by, so a long conversation never sits in one task whole."""
-    m = F.max_by(F.struct("turn", "text"), F.col("turn"))
-    return (conversations.where(F.col("role") == "user").groupBy("conv_id").agg(m.alias("m"))
-            .select("conv_id", "m.turn", F.trim("m.text").alias("text")))
+def user_questions(conversations: DataFrame) -> DataFrame:
+    """User turns as questions: (conv_id, turn, text), stripped; blank ones are not asked."""
+    asked = conversations.where(F.col("role") == "user").select("conv_id", "turn", strip(F.col("text")).alias("text"))
+    return asked.where(F.col("text") != "")
 
 
 def append_answers(conversations: DataFrame, answers: DataFrame) -> DataFrame:
-    """Chat log with one assistant turn appended after each answered user turn's
-    conversation end: (conv_id, turn, role, text, contexts_used)."""
+    """Chat log with one assistant turn per answered question at the conversation's end, in the
+    order of the questions: (conv_id, turn, role, text, contexts_used).
+
+    New turns are numbered by one distributed numbering in (conv_id, turn) order less the
+    conversation's first number, so a long conversation is never in one task whole."""
     last = conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    new = (answers.join(last, "conv_id")
-           .select("conv_id", (F.col("last_turn") + 1).alias("turn"), F.lit("assistant").alias("role"),
-                   F.col("response").alias("text"), F.col("contexts_used")))
+    placed = with_global_row_number(answers.select("conv_id", "turn", "response", "contexts_used"),
+                                    [F.col("conv_id").asc(), F.col("turn").asc()], "__n")
+    first = placed.groupBy("conv_id").agg(F.min("__n").alias("__first"))
+    new = (placed.join(first.join(last, "conv_id"), "conv_id")
+           .select("conv_id", (F.col("last_turn") + F.col("__n") - F.col("__first") + 1).alias("turn"),
+                   F.lit("assistant").alias("role"), F.col("response").alias("text"), F.col("contexts_used")))
     old = conversations.select("conv_id", "turn", "role", "text", F.lit(None).cast("int").alias("contexts_used"))
     return old.unionByName(new)
 

@@ -4,14 +4,16 @@ A chunk's vector is an ``array<struct<term string, w double>>`` sorted by term,
 lives on the chunk's row: scoring a question against a chunk needs no join and no
 shuffle. Term frequencies and document frequencies are partially aggregated group-bys;
 idf = ln((N + 1) / (df + 1)), the smoothing of Spark ML's IDF. A term in every chunk
-gets weight 0 and is dropped. A dense model can replace this by producing the same
-columns (see ``dense_vectors``).
+gets weight 0 and is dropped. Another model plugs in as a function that adds a dense vector
+column (``embed_with``), searched by ``retrieve.nearest_dense``.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadlens.functions.text import tokens
 from leadlens.operators.ordering import materialize
@@ -28,11 +30,20 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: A term's rows are dealt over so many tasks in the join with the document frequencies.
+TERM_SPLITS = 16
+
+
 def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, key: list[str]) -> DataFrame:
     """(key..., term, w) with w = tf * idf, normalised per key to unit L2 norm.
-    Terms unseen in the corpus get df 0. Zero-weight terms are dropped."""
+    Terms unseen in the corpus get df 0. Zero-weight terms are dropped.
+
+    A frequent term stands in most documents, so its rows are split by a hash of the key and the
+    vocabulary row repeated for each part."""
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0))))
-    w = (tf.join(dfreq, "term", "left")
+    rows = tf.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(TERM_SPLITS)))
+    vocabulary = dfreq.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(TERM_SPLITS - 1)).cast("array<bigint>")))
+    w = (rows.join(vocabulary, ["term", "__part"], "left")
          .select(*key, "term", (F.col("tf") * idf).alias("w"))
          .where(F.col("w") != 0))
     return w
@@ -68,3 +79,17 @@ def weights_long(vecs: DataFrame, key: list[str]) -> DataFrame:
     """Unpack (key..., vec) into (key..., term, weight)."""
     return vecs.select(*key, F.explode("vec").alias("e")).select(*key, F.col("e.term").alias("term"),
                                                                  F.col("e.w").alias("weight"))
+
+
+def embed_with(docs: DataFrame, embed, key: list[str], text: str = "text", out: str = "embedding") -> DataFrame:
+    """(key..., embedding array<float>) by any batch embedder: ``embed`` takes a list of texts and
+    returns as many vectors; it runs in the tasks, one Arrow batch at a time."""
+    fields = [docs.schema[c] for c in key]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        for b in batches:
+            vectors = [[float(x) for x in v] for v in embed([t or "" for t in b.column(len(key)).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(key)], pa.array(vectors, pa.list_(pa.float32()))], names=[*key, out])
+
+    return docs.select(*key, F.col(text)).mapInArrow(run, schema)

@@ -1,27 +1,33 @@
 """Exact k-nearest retrieval by squared L2 distance.
 
-Questions form a batch of checked size (larger sets are split into batches; nothing is
-capped). The batch is broadcast; each task scores its partition of chunks against the
-whole batch with a vectorised numpy kernel (``mapInPandas``) and forwards only its local
-top-k per question. The final ``row_number() <= k`` per question plans as a partial
-WindowGroupLimit before the shuffle, so at most k rows per question per map task move.
-Per-row Spark lambdas (``aggregate`` over map lookups) are interpreted and an order of
-magnitude slower on this kernel; they remain as ``method="sql"`` for small inputs.
+Items and questions are packed into blocks of bounded bytes by the tasks that hold them; no
+question or item passes through the driver. Every question block meets every item block in one
+join on block numbers (a stated set of questions against all items, in blocks), whose rows are
+blocks, so it neither grows with the pairs nor adds jobs per question. A task scores its pairs of
+blocks with a vectorised numpy kernel and keeps a running top-k per question over all of them: at
+most k rows per question leave a task. The final ``row_number() <= k`` per question plans as a
+partial WindowGroupLimit before the shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadlens.operators.ordering import materialize
 
-MAX_BATCH = 4096
-_SUB_ROWS = 1024            # chunks scored at once inside a task (at most)
-_SUB_CELLS = 1 << 21        # chunk x question distances held at once (16 MB of doubles)
+#: Bytes of packed vectors in a block of items or questions.
+BLOCK_BYTES = 4 << 20
+_SUB_ROWS = 1024            # items scored at once inside a task (at most)
+_SUB_CELLS = 1 << 21        # item x question distances held at once (16 MB of doubles)
 _SUB_EXPANSION = 4_000_000  # term x question products materialised at once
 
 
@@ -31,94 +37,126 @@ def _top_k(pairs: DataFrame, qkey: list[str], ckey: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _batches(questions: DataFrame, qkey: list[str], max_batch: int) -> list[DataFrame]:
-    # written once: the count and every batch's collect read it instead of recomputing
-    questions = materialize(questions)
-    n = questions.count()
-    if n <= max_batch:
-        return [questions]
-    n_batches = -(-n // max_batch)
-    bucket = F.pmod(F.xxhash64(*qkey), F.lit(n_batches))
-    return [questions.where(bucket == i) for i in range(n_batches)]
-
-
 def _sub_rows(n_questions: int) -> int:
-    """Chunks per scoring block, so the block's distance matrix stays within _SUB_CELLS."""
+    """Items per scoring block, so the block's distance matrix stays within _SUB_CELLS."""
     return max(1, min(_SUB_ROWS, _SUB_CELLS // max(1, n_questions)))
 
 
-def _emit(d: np.ndarray, ids: np.ndarray, qkeys, k: int):
-    """Per column of d (rows = items): the k smallest distances rounded to 9 decimals,
-    ties by id; at most k rows per question leave the task, even when all items tie."""
-    n, q = d.shape
+def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest distances, rounded to 9 decimals, of every column; ties go
+    to the earlier row; at most k rows per column, even when all tie."""
+    n = len(d)
+    if n <= k:
+        rows, cols = np.nonzero(np.ones_like(d, bool))
+        return rows, cols
     rd = np.round(d, 9)
-    rows_i, rows_j = [], []
-    for j in range(q):
-        col = rd[:, j]
-        cand = np.nonzero(col <= np.partition(col, k - 1)[k - 1])[0] if n > k else np.arange(n)
-        cand = cand[np.lexsort((ids[cand], col[cand]))][:k]
-        rows_i.append(cand)
-        rows_j.append(np.full(len(cand), j))
-    if not rows_i:
-        return None
-    return np.concatenate(rows_i), np.concatenate(rows_j)
-
-
-def _sparse_kernel(bc, qkey: list[str], ckey: str, k: int):
-    def run(batches):
-        p = bc.value
-        vocab, t_ptr, t_q, t_w, qn, qkeys = p["vocab"], p["t_ptr"], p["t_q"], p["t_w"], p["qn"], p["qkeys"]
-        nq = len(qn)
-        for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
-                continue
-            ids = pdf[ckey].to_numpy()
-            lens = pdf["terms"].map(len).to_numpy()
-            cn = pdf["cn"].to_numpy(dtype=np.float64)
-            terms = np.concatenate(pdf["terms"].to_numpy()) if lens.sum() else np.array([], dtype=object)
-            ws = np.concatenate(pdf["ws"].to_numpy()).astype(np.float64) if lens.sum() else np.array([])
-            row_of = np.repeat(np.arange(len(pdf)), lens)
-            tid = pd.Series(terms, dtype=object).map(vocab).to_numpy(dtype=np.float64)
-            hit = ~np.isnan(tid)
-            tid, row_hit, w_hit = tid[hit].astype(np.int64), row_of[hit], ws[hit]
-            counts = t_ptr[tid + 1] - t_ptr[tid]
-            start = 0
-            while start < len(pdf):
-                # sub-batch bounded by rows and by the number of products
-                stop = min(len(pdf), start + _sub_rows(nq))
-                sel = (row_hit >= start) & (row_hit < stop)
-                while stop - start > 1 and counts[sel].sum() > _SUB_EXPANSION:
-                    stop = start + (stop - start) // 2
-                    sel = (row_hit >= start) & (row_hit < stop)
-                c, r, w, t = counts[sel], row_hit[sel] - start, w_hit[sel], tid[sel]
-                total = int(c.sum())
-                m = stop - start
-                if total:
-                    rep = np.repeat(np.arange(len(c)), c)
-                    within = np.arange(total) - np.repeat(np.cumsum(c) - c, c)
-                    pos = t_ptr[t][rep] + within
-                    dots = np.bincount(r[rep] * nq + t_q[pos], weights=w[rep] * t_w[pos],
-                                       minlength=m * nq).reshape(m, nq)
-                else:
-                    dots = np.zeros((m, nq))
-                d = qn[None, :] + cn[start:stop, None] - 2.0 * dots
-                got = _emit(d, ids[start:stop], qkeys, k)
-                if got is not None:
-                    ii, jj = got
-                    out = {c_: qkeys[c_][jj] for c_ in qkey}
-                    out[ckey] = ids[start:stop][ii]
-                    out["distance"] = d[ii, jj]
-                    yield pd.DataFrame(out)
-                start = stop
+    kth = np.partition(rd, k - 1, axis=0)[k - 1]
+    less, same = rd < kth, rd == kth
+    room = k - less.sum(axis=0)
+    return np.nonzero(less | (same & (np.cumsum(same, axis=0) <= room)))
+
+
+class _Best:
+    """The k nearest items of every question of a block, over the item blocks seen so far."""
+
+    def __init__(self, k: int):
+        self.k, self.q, self.d, self.ids = k, np.empty(0, np.int64), np.empty(0), []
+
+    def add(self, q: np.ndarray, d: np.ndarray, ids: list) -> None:
+        q, d, ids = np.concatenate((self.q, q)), np.concatenate((self.d, d)), np.array(self.ids + ids, dtype=object)
+        order = sorted(range(len(q)), key=lambda i: (q[i], round(d[i], 9), ids[i])) if len(q) < 64 else \
+            np.lexsort((np.unique(ids, return_inverse=True)[1], np.round(d, 9), q))
+        q, d, ids = q[order], d[order], ids[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.empty(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = place < self.k
+        self.q, self.d, self.ids = q[keep], d[keep], ids[keep].tolist()
+
+
+# ---- packing ---------------------------------------------------------------------------
+
+def _packer(block_bytes: int, width):
+    """Pack a partition's rows into pickled blocks (block number, payload) of about
+    ``block_bytes``. ``width(vector)``: bytes of a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part << 20 | seq], pa.int64()), pa.array([pickle.dumps(held)], pa.large_binary())],
+                                              names=["block", "payload"])
+
+        for b in batches:
+            names = b.schema.names
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = dict(zip(names, row, strict=True))
+                held.append(row)
+                size += width(row)
+                if size >= block_bytes:
+                    yield block()
+                    seq, held, size = seq + 1, [], 0
+        if held:
+            yield block()
     return run
 
 
-def _sparse_payload(batch_rows, qkey: list[str]):
-    """Question batch -> term-major CSR (term -> questions, weights) for the kernel."""
+def _blocks_of(df: DataFrame, block_bytes: int, width) -> DataFrame:
+    return df.mapInArrow(_packer(block_bytes, width), "block long, payload binary")
+
+
+def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str, k: int, width, open_questions, open_items,
+             distances, block_bytes: int) -> DataFrame:
+    """(qkey..., ckey, distance, rank) by scoring all pairs of blocks."""
+    q = materialize(_blocks_of(questions, block_bytes, width))
+    numbers = [r.block for r in q.select("block").collect()]   # one number per block
+    schema = T.StructType([*(questions.schema[c] for c in qkey), items.schema[ckey], T.StructField("distance", T.DoubleType())])
+    if not numbers:
+        return _top_k(items.sparkSession.createDataFrame([], schema), qkey, ckey, k)
+    pairs = (_blocks_of(items, block_bytes, width)
+             .select(F.col("payload").alias("items"), F.explode(F.array(*[F.lit(n) for n in numbers])).alias("block"))
+             .join(q.withColumnRenamed("payload", "questions"), "block")
+             .select("block", "items", "questions").sortWithinPartitions("block"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, best = None, None, None
+
+        def out() -> pa.RecordBatch:
+            keys = [opened["rows"][j] for j in best.q.tolist()]
+            cols = [pa.array([r[c] for r in keys], f.type) for c, f in zip(qkey, arrow, strict=False)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(best.ids, arrow.field(len(qkey)).type), pa.array(best.d)], schema=arrow)
+
+        for b in batches:
+            for block, item_rows, question_rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != now:
+                    if best is not None and len(best.q):
+                        yield out()
+                    now, opened, best = block, open_questions(pickle.loads(question_rows)), _Best(k)
+                rows = sorted(pickle.loads(item_rows), key=lambda r: r[ckey])
+                ids = [r[ckey] for r in rows]
+                held = open_items(rows, opened)
+                for start, d in distances(held, opened):
+                    i, j = _smallest(d, k)
+                    best.add(j, d[i, j], [ids[start + x] for x in i.tolist()])
+        if best is not None and len(best.q):
+            yield out()
+
+    arrow = _arrow_schema(schema)
+    return _top_k(pairs.mapInArrow(score, schema), qkey, ckey, k)
+
+
+def _arrow_schema(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+# ---- sparse vectors --------------------------------------------------------------------
+
+def _open_sparse_questions(rows: list[dict]) -> dict:
+    """Term-major CSR of a question block (term -> questions, weights)."""
     vocab: dict[str, int] = {}
     postings: list[list[tuple[int, float]]] = []
-    qn = np.zeros(len(batch_rows))
-    for j, row in enumerate(batch_rows):
+    qn = np.zeros(len(rows))
+    for j, row in enumerate(rows):
         for e in row["vec"] or []:
             tid = vocab.setdefault(e["term"], len(vocab))
             if tid == len(postings):
@@ -126,93 +164,79 @@ def _sparse_payload(batch_rows, qkey: list[str]):
             postings[tid].append((j, float(e["w"])))
             qn[j] += float(e["w"]) * float(e["w"])
     lens = np.array([len(p) for p in postings], dtype=np.int64)
-    t_ptr = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-    t_q = np.array([j for p in postings for j, _ in p], dtype=np.int64)
-    t_w = np.array([w for p in postings for _, w in p], dtype=np.float64)
-    qkeys = {c: np.array([row[c] for row in batch_rows]) for c in qkey}
-    return {"vocab": vocab, "t_ptr": t_ptr, "t_q": t_q, "t_w": t_w, "qn": qn, "qkeys": qkeys}
-
-
-def _sq_norm_sparse(vec: Column) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"])
+    return {"rows": rows, "vocab": vocab, "qn": qn, "t_ptr": np.concatenate([[0], np.cumsum(lens)]).astype(np.int64),
+            "t_q": np.array([j for p in postings for j, _ in p], dtype=np.int64),
+            "t_w": np.array([w for p in postings for _, w in p], dtype=np.float64)}
+
+
+def _open_sparse_items(rows: list[dict], opened: dict) -> dict:
+    lens = np.array([len(r["vec"] or []) for r in rows], np.int64)
+    terms = [e["term"] for r in rows for e in r["vec"] or []]
+    ws = np.array([e["w"] for r in rows for e in r["vec"] or []], np.float64)
+    row = np.repeat(np.arange(len(rows)), lens)
+    cn = np.zeros(len(rows))
+    np.add.at(cn, row, ws * ws)
+    tid = pd.Series(terms, dtype=object).map(opened["vocab"]).to_numpy(dtype=np.float64)
+    hit = ~np.isnan(tid)
+    return {"n": len(rows), "cn": cn, "tid": tid[hit].astype(np.int64), "row": row[hit], "w": ws[hit]}
+
+
+def _sparse_distances(items: dict, p: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """(first item, items x questions distances) in sub-blocks bounded by rows and products."""
+    nq, t_ptr = len(p["qn"]), p["t_ptr"]
+    counts = t_ptr[items["tid"] + 1] - t_ptr[items["tid"]]
+    before = np.concatenate(([0], np.cumsum(counts)))
+    start = 0
+    while start < items["n"]:
+        stop = min(items["n"], start + _sub_rows(nq))
+        a, b = np.searchsorted(items["row"], (start, stop))
+        while stop - start > 1 and before[b] - before[a] > _SUB_EXPANSION:
+            stop = start + (stop - start) // 2
+            b = int(np.searchsorted(items["row"], stop))
+        c, r, w, t = counts[a:b], items["row"][a:b] - start, items["w"][a:b], items["tid"][a:b]
+        total, m = int(c.sum()), stop - start
+        dots = np.zeros((m, nq))
+        if total:
+            rep = np.repeat(np.arange(len(c)), c)
+            pos = t_ptr[t][rep] + np.arange(total) - np.repeat(np.cumsum(c) - c, c)
+            dots = np.bincount(r[rep] * nq + p["t_q"][pos], weights=w[rep] * p["t_w"][pos], minlength=m * nq).reshape(m, nq)
+        yield start, p["qn"][None, :] + items["cn"][start:stop, None] - 2.0 * dots
+        start = stop
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
-                   ckey: str = "chunk_id", max_batch: int = MAX_BATCH, method: str = "vectorized") -> DataFrame:
+                   ckey: str = "chunk_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) for sparse unit vectors; ``chunks`` is
     (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c."""
-    spark = chunks.sparkSession
-    schema = T.StructType([qvecs.schema[c] for c in qkey] + [chunks.schema[ckey],
-                                                             T.StructField("distance", T.DoubleType())])
-    out = None
-    for batch in _batches(qvecs, qkey, max_batch):
-        if method == "sql":
-            pairs = _sparse_pairs_sql(chunks, batch, qkey, ckey)
-        else:
-            payload = _sparse_payload([r.asDict(recursive=True) for r in batch.collect()], qkey)  # bounded batch
-            bc = spark.sparkContext.broadcast(payload)
-            prepared = chunks.select(ckey, F.transform("vec", lambda e: e["term"]).alias("terms"),
-                                     F.transform("vec", lambda e: e["w"]).alias("ws"),
-                                     _sq_norm_sparse(F.col("vec")).alias("cn"))
-            pairs = prepared.mapInPandas(_sparse_kernel(bc, qkey, ckey, k), schema)
-        top = _top_k(pairs, qkey, ckey, k)
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
-def _sparse_pairs_sql(chunks, batch, qkey, ckey):
-    qs = batch.select(F.struct(*[F.col(c) for c in qkey],
-                               F.map_from_entries(F.transform("vec", lambda e: F.struct(e["term"], e["w"]))).alias("qmap"),
-                               _sq_norm_sparse(F.col("vec")).alias("qn")).alias("q"))
-    qarr = qs.agg(F.collect_list("q")).scalar()
-    dot = lambda vec, qmap: F.aggregate(vec, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(
-        F.element_at(qmap, e["term"]), F.lit(0.0)))
-    return (chunks.select(ckey, "vec", _sq_norm_sparse(F.col("vec")).alias("cn"), qarr.alias("__qs"))
-            .select(ckey, F.explode(F.transform("__qs", lambda q: F.struct(
-                *[q[c].alias(c) for c in qkey],
-                (q["qn"] + F.col("cn") - F.lit(2.0) * dot(F.col("vec"), q["qmap"])).alias("distance")))).alias("p"))
-            .select(*[F.col(f"p.{c}").alias(c) for c in qkey], ckey, F.col("p.distance").alias("distance")))
-
-
-def _dense_kernel(bc, qkey: list[str], ikey: str, vec: str, k: int):
-    def run(batches):
-        p = bc.value
-        qm, qkeys = p["qm"], p["qkeys"]
-        qn = (qm * qm).sum(axis=1)
-        for pdf in batches:
-            if len(pdf) == 0 or len(qm) == 0:
-                continue
-            ids = pdf[ikey].to_numpy()
-            sub = _sub_rows(len(qm))
-            for start in range(0, len(pdf), sub):
-                x = np.stack(pdf[vec].to_numpy()[start:start + sub]).astype(np.float64)
-                d = (x * x).sum(axis=1)[:, None] + qn[None, :] - 2.0 * (x @ qm.T)
-                got = _emit(d, ids[start:start + sub], qkeys, k)
-                if got is not None:
-                    ii, jj = got
-                    out = {c_: qkeys[c_][jj] for c_ in qkey}
-                    out[ikey] = ids[start:start + sub][ii]
-                    out["distance"] = d[ii, jj]
-                    yield pd.DataFrame(out)
-    return run
+    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec"), qkey, ckey, k,
+                    lambda r: 64 + sum(8 + len(e["term"]) for e in r["vec"] or []),
+                    _open_sparse_questions, _open_sparse_items, _sparse_distances, block_bytes)
+
+
+# ---- dense vectors ---------------------------------------------------------------------
+
+def _open_dense_questions(rows: list[dict]) -> dict:
+    m = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return {"rows": rows, "m": m, "qn": (m * m).sum(axis=1)}
+
+
+def _open_dense_items(rows: list[dict], opened: dict) -> np.ndarray:
+    return np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+
+
+def _dense_distances(x: np.ndarray, p: dict) -> Iterator[tuple[int, np.ndarray]]:
+    sub = _sub_rows(len(p["qn"]))
+    for start in range(0, len(x), sub):
+        part = x[start:start + sub]
+        yield start, (part * part).sum(axis=1)[:, None] + p["qn"][None, :] - 2.0 * (part @ p["m"].T)
 
 
 def nearest_dense(items: DataFrame, queries: DataFrame, qkey: list[str], k: int = 5, ikey: str = "vec_id",
-                  vec: str = "embedding", qvec: str = "qvec", max_batch: int = MAX_BATCH) -> DataFrame:
+                  vec: str = "embedding", qvec: str = "qvec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(qkey..., ikey, distance, rank): exact squared L2 top-k of dense vectors."""
-    spark = items.sparkSession
-    schema = T.StructType([queries.schema[c] for c in qkey] + [items.schema[ikey],
-                                                               T.StructField("distance", T.DoubleType())])
-    out = None
-    for batch in _batches(queries, qkey, max_batch):
-        rows = batch.select(*qkey, F.col(qvec).cast("array<double>").alias("v")).collect()   # bounded batch
-        payload = {"qm": np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1),
-                   "qkeys": {c: np.array([r[c] for r in rows]) for c in qkey}}
-        bc = spark.sparkContext.broadcast(payload)
-        pairs = items.select(ikey, vec).mapInPandas(_dense_kernel(bc, qkey, ikey, vec, k), schema)
-        top = _top_k(pairs, qkey, ikey, k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    return _nearest(items.select(ikey, F.col(vec).cast("array<double>").alias("vec")),
+                    queries.select(*qkey, F.col(qvec).cast("array<double>").alias("vec")), qkey, ikey, k,
+                    lambda r: 64 + 8 * len(r["vec"] or []), _open_dense_questions, _open_dense_items, _dense_distances, block_bytes)
 
 
 def centroids(items: DataFrame, group: str, vec: str = "embedding", out: str = "qvec") -> DataFrame:

@@ -9,13 +9,15 @@ from leadlens import schema as S
 from leadlens.operators import answer as A
 from leadlens.operators.chunks import chunk_table, lead_chunks, summary_chunks
 from leadlens.operators.embed import weights_long
-from leadlens.operators.fingerprint import fingerprint
+from leadlens.operators.fingerprint import text_fingerprint
 from leadlens.operators.retrieve import centroids, nearest_dense
 from leadlens.operators.ordering import materialize
 from leadlens.plans.lead_queries import LEAD_INPUTS, leads_df, scored_df
 from leadlens.plans.oracle import IMPUTED, LEADS, SCORED, with_ctes
 from leadlens.plans.registry import register
 from leadlens.plans.shared import shared, written
+from leadlens.session import shared_dir
+from leadlens.sources import chunk_store
 from leadlens.sources.tables import load
 
 
@@ -105,12 +107,15 @@ def q_summary_chunks(spark, sf_dir):
 
 def _fp_sql(table: str, cols: list[tuple[str, str]], schema_md5: str) -> str:
     def cell(c, t):
-        v = f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)" if t == "double" else f"CAST({c} AS VARCHAR)"
-        return f"COALESCE({v}, '\\N')"
-    text = "concat_ws('|', " + ", ".join(cell(c, t) for c, t in cols) + ")"
-    return (f"SELECT COUNT(*) AS n_rows, COALESCE(bit_xor(h), 0) AS xor_hash, "
-            f"CAST(COALESCE(SUM(CAST(h AS DECIMAL(38,0))), 0) AS VARCHAR) AS sum_hash, '{schema_md5}' AS schema_md5 "
-            f"FROM (SELECT ('0x' || substr(md5({text}), 1, 15))::BIGINT AS h FROM {table})")
+        v = f"CAST({c} AS VARCHAR)"
+        if t == "double":
+            v = f"CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR) || '+' || CAST(CAST(floor(({c} - floor({c})) * {1 << 60}::DOUBLE) AS BIGINT) AS VARCHAR)"
+        return f"COALESCE(CAST(length({v}) AS VARCHAR) || ':' || {v}, '-')"
+    text = " || ".join(cell(c, t) for c, t in cols)
+    total = lambda h: f"CAST(COALESCE(SUM(CAST({h} AS DECIMAL(38,0))), 0) AS VARCHAR) AS sum_{h}"
+    return (f"SELECT COUNT(*) AS n_rows, COALESCE(bit_xor(hash), 0) AS xor_hash, {total('hash')}, {total('hash2')}, "
+            f"'{schema_md5}' AS schema_md5 FROM (SELECT ('0x' || substr(m, 1, 15))::BIGINT AS hash, "
+            f"('0x' || substr(m, 16, 15))::BIGINT AS hash2 FROM (SELECT md5({text}) AS m FROM {table}))")
 
 
 _LEAD_TYPES = [(f.name, f.dataType.simpleString()) for f in S.LEAD_SCHEMA.fields]
@@ -123,7 +128,27 @@ def _schema_md5(cols):
 
 @register("lead_fingerprint", with_ctes(LEADS, body=_fp_sql("leads", _LEAD_TYPES, _schema_md5(_LEAD_TYPES))))
 def q_lead_fingerprint(spark, sf_dir):
-    return fingerprint(leads_df(spark, sf_dir))      # the written lead table: equal rows, one read
+    return text_fingerprint(leads_df(spark, sf_dir))      # the written lead table: equal rows, one read
+
+
+@register("chunk_store_build", with_ctes(*_CHUNK_CTES, body="""
+SELECT * FROM (VALUES (1, 'first', TRUE), (2, 'unchanged', FALSE), (3, 'forced', TRUE), (4, 'changed', TRUE), (5, 'changed again', FALSE))
+  AS t(step, what, written), (SELECT COUNT(*) AS n_chunks FROM chunks)"""))
+def q_chunk_store_build(spark, sf_dir):
+    """Builds of one store: new, unchanged, forced, after a change in the last bits of one cell."""
+    import uuid
+
+    base = shared_dir(spark, f"chunk-store-{uuid.uuid4().hex}")
+    scored = scored_df(spark, sf_dir)
+    first = F.col("lead_id") == scored.agg(F.min("lead_id")).scalar()
+    changed = scored.withColumn("engagement_score", F.when(first, F.coalesce(F.col("engagement_score"), F.lit(0.0)) + 3e-7)
+                                .otherwise(F.col("engagement_score")))
+    rows = []
+    for step, (what, table, force) in enumerate([("first", scored, False), ("unchanged", scored, False), ("forced", scored, True),
+                                                 ("changed", changed, False), ("changed again", changed, False)], 1):
+        built = chunk_store.build_context(table, base, force_rebuild=force)
+        rows.append((step, what, built, chunk_store.chunk_count(spark, base)))
+    return spark.createDataFrame(rows, "step int, what string, written boolean, n_chunks long")
 
 
 _TFIDF = """
@@ -138,12 +163,11 @@ cw2 AS (SELECT * FROM cw WHERE w <> 0),
 cnrm AS (SELECT chunk_id, sqrt(SUM(w * w)) AS nrm FROM cw2 GROUP BY chunk_id),
 cvec AS (SELECT chunk_id, term, w / nrm AS w FROM cw2 JOIN cnrm USING (chunk_id))"""
 
-_ALL_USER_TURNS = "SELECT conv_id, turn, trim(text) AS text FROM conversations WHERE role = 'user'"
-_LATEST_USER_TURNS = ("SELECT conv_id, arg_max(turn, turn) AS turn, trim(arg_max(text, turn)) AS text "
-                      "FROM conversations WHERE role = 'user' GROUP BY conv_id")
+_STRIPPED = "trim(text, " + " || ".join(f"chr({ord(ch)})" for ch in A.WHITE_SPACE) + ")"
 
-_QUESTIONS_T = """
-questions AS ({questions}),
+_QUESTIONS = f"""
+questions AS (SELECT conv_id, turn, {_STRIPPED} AS text FROM conversations WHERE role = 'user' AND {_STRIPPED} <> ''),
+""" + """\
 qtok AS (SELECT conv_id, turn, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS term
          FROM questions),
 qtf AS (SELECT conv_id, turn, term, COUNT(*) AS tf FROM qtok WHERE term <> '' GROUP BY conv_id, turn, term),
@@ -177,8 +201,6 @@ blocks AS (
   FROM questions q LEFT JOIN hits h ON h.conv_id = q.conv_id AND h.turn = q.turn
   LEFT JOIN chunks ch ON ch.chunk_id = h.chunk_id
   GROUP BY q.conv_id, q.turn, q.text)"""
-_QUESTIONS = _QUESTIONS_T.replace("{questions}", _ALL_USER_TURNS)
-_LATEST_QUESTIONS = _QUESTIONS_T.replace("{questions}", _LATEST_USER_TURNS)
 
 
 def _lines(word: str) -> str:
@@ -212,21 +234,42 @@ def q_chunk_tfidf(spark, sf_dir):
     return _r6(weights_long(vecs, ["chunk_id"]))
 
 
+ASKED_INPUTS = [*LEAD_INPUTS, "conversations"]
+
+
+def questions_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.user_questions(load(spark, sf_dir, "conversations"))
+
+
+def hits_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of all questions, written once for the queries that read them."""
+    return written(spark, sf_dir, "hits", ASKED_INPUTS, lambda: A.retrieve(
+        chunks_df(spark, sf_dir), questions_df(spark, sf_dir), ["conv_id", "turn"], index=index_of(spark, sf_dir)))
+
+
+def answers_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.answer_questions(chunks_df(spark, sf_dir), questions_df(spark, sf_dir), ["conv_id", "turn"], hits=hits_df(spark, sf_dir))
+
+
 @register("retrieval_hits", with_ctes(*_CHUNK_CTES, _TFIDF, _QUESTIONS, body="""
 SELECT conv_id, turn, chunk_id, round(distance, 6) AS distance, rank FROM hits"""))
 def q_retrieval_hits(spark, sf_dir):
-    hits = A.retrieve(chunks_df(spark, sf_dir), A.user_questions(load(spark, sf_dir, "conversations")),
-                      ["conv_id", "turn"], index=index_of(spark, sf_dir))
-    return _r6(hits)
+    return _r6(hits_df(spark, sf_dir))
+
+
+@register("hit_texts", with_ctes(*_CHUNK_CTES, _TFIDF, _QUESTIONS, body="""
+SELECT h.conv_id, h.turn, h.rank, c.text, c.type, c."index", c.industry, c.company_size, c.lead_score
+FROM hits h JOIN chunks c USING (chunk_id)"""))
+def q_hit_texts(spark, sf_dir):
+    hits = A.hits_with_text(hits_df(spark, sf_dir), chunks_df(spark, sf_dir))
+    return hits.select("conv_id", "turn", "rank", "text", "metadata.*")
 
 
 @register("context_blocks", with_ctes(*_CHUNK_CTES, _TFIDF, _QUESTIONS, body="""
 SELECT conv_id, turn, context, contexts_used, source_ids FROM blocks"""))
 def q_context_blocks(spark, sf_dir):
-    chunks = chunks_df(spark, sf_dir)
-    qs = A.user_questions(load(spark, sf_dir, "conversations"))
-    hits = A.retrieve(chunks, qs, ["conv_id", "turn"], index=index_of(spark, sf_dir))
-    return A.context_blocks(hits, chunks, qs, ["conv_id", "turn"])
+    return A.context_blocks(hits_df(spark, sf_dir), chunks_df(spark, sf_dir), questions_df(spark, sf_dir),
+                            ["conv_id", "turn"]).drop("sources")
 
 
 _PROMPT_HEAD, _PROMPT_REST = A.PROMPT_TEMPLATE.split("{context}")
@@ -237,30 +280,25 @@ _PROMPT_MID, _PROMPT_TAIL = _PROMPT_REST.split("{query}")
 SELECT conv_id, turn, {_sql_str(_PROMPT_HEAD)} || context || {_sql_str(_PROMPT_MID)} || question
        || {_sql_str(_PROMPT_TAIL)} AS prompt FROM blocks"""))
 def q_prompts(spark, sf_dir):
-    chunks = chunks_df(spark, sf_dir)
-    qs = A.user_questions(load(spark, sf_dir, "conversations"))
-    ans = A.answer_questions(chunks, qs, ["conv_id", "turn"], index=index_of(spark, sf_dir))
-    return ans.select("conv_id", "turn", A.prompt_text(F.col("context"), F.col("question")).alias("prompt"))
+    return answers_df(spark, sf_dir).select("conv_id", "turn", A.prompt_text(F.col("context"), F.col("question")).alias("prompt"))
 
 
 @register("answers", with_ctes(*_CHUNK_CTES, _TFIDF, _QUESTIONS, body=f"""
 SELECT conv_id, turn, question, {_TEMPLATE} AS response, contexts_used, source_ids FROM blocks"""))
 def q_answers(spark, sf_dir):
-    chunks = chunks_df(spark, sf_dir)
-    qs = A.user_questions(load(spark, sf_dir, "conversations"))
-    return A.answer_questions(chunks, qs, ["conv_id", "turn"], index=index_of(spark, sf_dir)).drop("context")
+    return answers_df(spark, sf_dir).drop("context", "sources")
 
 
 @register("chunk_count", with_ctes(*_CHUNK_CTES, body="""
 SELECT COUNT(*) AS n_chunks, COUNT(*) FILTER (WHERE type = 'lead') AS n_lead_chunks,
        COUNT(*) FILTER (WHERE type = 'summary') AS n_summary_chunks,
-       CASE WHEN COUNT(*) = 0 THEN 'No data available. Please upload lead data first.' ELSE 'ready' END AS status
+       CASE WHEN COUNT(*) = 0 THEN 'No data available. Please upload and process lead data first.' ELSE 'ready' END AS status
 FROM chunks"""))
 def q_chunk_count(spark, sf_dir):
     ch = chunks_df(spark, sf_dir)
     return ch.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("type") == "lead").alias("n_lead_chunks"),
                   F.count_if(F.col("type") == "summary").alias("n_summary_chunks")).select(
-        "*", F.when(F.col("n_chunks") == 0, F.lit("No data available. Please upload lead data first."))
+        "*", F.when(F.col("n_chunks") == 0, F.lit(A.NO_DATA))
         .otherwise(F.lit("ready")).alias("status"))
 
 
@@ -277,21 +315,18 @@ def q_nearest_vectors(spark, sf_dir):
     return _r6(nearest_dense(emb, centroids(emb, "label"), ["label"], k=S.DEFAULT_TOP_K))
 
 
-@register("chat_last_message", with_ctes(*_CHUNK_CTES, _TFIDF, _LATEST_QUESTIONS, f"""
+@register("chat_last_message", with_ctes(*_CHUNK_CTES, _TFIDF, _QUESTIONS, f"""
 appended AS (
   SELECT conv_id, turn, role, text, NULL::INTEGER AS contexts_used FROM conversations
   UNION ALL
-  SELECT b.conv_id, mx.last_turn + 1, 'assistant', {_TEMPLATE}, b.contexts_used
+  SELECT b.conv_id, mx.last_turn + row_number() OVER (PARTITION BY b.conv_id ORDER BY b.turn), 'assistant', {_TEMPLATE}, b.contexts_used
   FROM blocks b JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) mx USING (conv_id))""",
     body="""
 SELECT conv_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text,
        arg_max(contexts_used, turn) AS contexts_used, COUNT(*) AS n_messages
 FROM appended GROUP BY conv_id"""))
 def q_chat_last_message(spark, sf_dir):
-    conv = load(spark, sf_dir, "conversations")
-    answers = A.answer_questions(chunks_df(spark, sf_dir), A.latest_user_questions(conv), ["conv_id", "turn"],
-                                 index=index_of(spark, sf_dir))
-    return A.last_messages(A.append_answers(conv, answers))
+    return A.last_messages(A.append_answers(load(spark, sf_dir, "conversations"), answers_df(spark, sf_dir)))
 
 
 # ---- retrieval over the document corpus (whole texts) ------------------------------------
@@ -316,6 +351,6 @@ _DOC_CHUNKS = "\nchunks AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS chunk_id
 @register("document_hits", with_ctes(_DOC_CHUNKS, _TFIDF, _QUESTIONS, body="""
 SELECT conv_id, turn, chunk_id, round(distance, 6) AS distance, rank FROM hits"""))
 def q_document_hits(spark, sf_dir):
-    hits = A.retrieve(document_chunks(spark, sf_dir), A.user_questions(load(spark, sf_dir, "conversations")),
+    hits = A.retrieve(document_chunks(spark, sf_dir), questions_df(spark, sf_dir),
                       ["conv_id", "turn"], index=document_index_of(spark, sf_dir))
     return _r6(hits)

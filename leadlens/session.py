@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 
@@ -45,14 +47,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
+        atexit.register(_remove, sc, sc._jsc.sc().getCheckpointDir().get())
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     local_dir = tempfile.mkdtemp(prefix="leadlens-ckpt-")
     sc.setCheckpointDir(local_dir)
+    atexit.register(_remove, sc, sc._jsc.sc().getCheckpointDir().get())
     return local_dir
 
 
+def _remove(sc, folder: str) -> None:
+    """Delete this application's own folder under the checkpoint directory when it ends."""
+    with contextlib.suppress(Exception):   # the JVM may be gone by then
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -1,8 +1,8 @@
-"""Chunk store: versioned chunk tables plus a one-row state table (fingerprint + version).
+"""Chunk store: versioned chunk tables plus one small state per version (fingerprint + version).
 
-A build writes a new version folder, then replaces the state row; readers follow the
-state row, so the chunks and the fingerprint are always published together and a failed
-build leaves the previous version in place.
+A build writes a new version folder, then a new numbered state; readers take the newest complete
+state, so the chunks and the fingerprint are always published together, no state is ever missing
+in between, and a failed build leaves the previous version in place.
 """
 
 from __future__ import annotations
@@ -16,15 +16,22 @@ from leadlens.operators.chunks import chunk_table
 from leadlens.operators.fingerprint import fingerprint
 
 
-def _state_path(base: str) -> str:
-    return f"{base.rstrip('/')}/_state"
+def _states(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the complete states, ascending: one listing of the state folder. Only a folder
+    that does not exist means "no state"; other errors are raised."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_state")
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    done = fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(folder, "*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName()) for s in done or [])
 
 
 def read_state(spark: SparkSession, base: str):
-    try:
-        return spark.read.parquet(_state_path(base)).first()
-    except Exception:  # noqa: BLE001 - no state yet
-        return None
+    """The newest complete state row, or None before the first build."""
+    states = _states(spark, base)
+    return spark.read.parquet(f"{base.rstrip('/')}/_state/{states[-1]}").first() if states else None
 
 
 def read_chunks(spark: SparkSession, base: str) -> DataFrame | None:
@@ -43,13 +50,14 @@ def build_context(scored: DataFrame, base: str, force_rebuild: bool = False, com
     """Rebuild the chunk table unless the scored table's fingerprint is unchanged.
     Returns True when a new version was written."""
     spark = scored.sparkSession
-    fp = fingerprint(scored).first()
-    key = f"{fp['n_rows']}:{fp['xor_hash']}:{fp['sum_hash']}:{fp['schema_md5']}"
+    key = ":".join(str(v) for v in fingerprint(scored).first())
     st = read_state(spark, base)
     if not force_rebuild and st is not None and st["fingerprint"] == key:
         return False
     version = f"v-{uuid.uuid4().hex}"
-    chunk_table(scored, compat).write.mode("overwrite").partitionBy("type").parquet(f"{base.rstrip('/')}/{version}")
+    chunk_table(scored, compat).write.partitionBy("type").parquet(f"{base.rstrip('/')}/{version}")
+    number = (_states(spark, base) or [0])[-1] + 1
+    # two builds that race for one number: the second fails here and publishes nothing
     spark.range(1).select(F.lit(key).alias("fingerprint"), F.lit(version).alias("version")) \
-        .write.mode("overwrite").parquet(_state_path(base))
+        .write.mode("errorifexists").parquet(f"{base.rstrip('/')}/_state/{number}")
     return True

@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from leadlens.operators.answer import answer_questions, retrieve
+from leadlens.operators import answer as A
+from leadlens.operators.answer import answer_questions, append_answers, last_messages, retrieve, user_questions
+from leadlens.operators.embed import embed_with, weigh
 from leadlens.operators.retrieve import nearest_dense
 
 
@@ -14,7 +16,7 @@ def test_dense_topk_matches_bruteforce(spark):
     q = rng.normal(size=(7, 8))
     items = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<float>")
     qs = spark.createDataFrame([(j, q[j].tolist()) for j in range(len(q))], "qid long, qvec array<double>")
-    got = nearest_dense(items.repartition(4), qs, ["qid"], k=5, max_batch=3)   # 3 batches
+    got = nearest_dense(items.repartition(4), qs, ["qid"], k=5, block_bytes=500)   # blocks of a few vectors
     got = {(r["qid"], r["rank"]): r["vec_id"] for r in got.collect()}
     for j in range(len(q)):
         d = ((x.astype(np.float64) - q[j]) ** 2).sum(axis=1)
@@ -44,3 +46,53 @@ def test_retrieval_empty_corpus(spark):
     qs = spark.createDataFrame([(1, "revenue?")], "qid long, text string")
     ans = answer_questions(chunks, qs, ["qid"]).first()
     assert ans["contexts_used"] == 0 and ans["response"] == "Please check the 'Annual Revenue' column in the results table for revenue details."
+
+
+def test_hits_and_answers_carry_metadata(spark):
+    chunks = spark.createDataFrame([("c1", "revenue lead", "lead", "7", "Tech", None, "High"), ("c2", "other words", "summary", "0", None, None, None)],
+                                   "chunk_id string, text string, type string, index string, industry string, company_size string, lead_score string")
+    qs = spark.createDataFrame([(1, "revenue")], "qid long, text string")
+    ans = answer_questions(chunks, qs, ["qid"], k=2).first()
+    assert ans["source_ids"] == "c1,c2" and [s["type"] for s in ans["sources"]] == ["lead", "summary"]
+    assert ans["sources"][0]["industry"] == "Tech" and ans["sources"][0]["lead_score"] == "High"
+
+
+def test_every_user_turn_is_answered_and_numbered(spark):
+    conv = spark.createDataFrame([(1, 0, "user", " \t top leads?\n"), (1, 1, "assistant", "x"), (1, 2, "user", "\u00a0 revenue? \u2003"),
+                                  (1, 3, "user", " \n\t "), (2, 5, "user", "industry?"), (3, 0, "assistant", "hello")],
+                                 "conv_id long, turn long, role string, text string")
+    qs = user_questions(conv)
+    assert sorted(map(tuple, qs.collect())) == [(1, 0, "top leads?"), (1, 2, "revenue?"), (2, 5, "industry?")]
+    answers = qs.select("conv_id", "turn", F.concat(F.lit("to "), "text").alias("response"), F.lit(1).alias("contexts_used"))
+    log = append_answers(conv, answers)
+    new = sorted((r["conv_id"], r["turn"], r["text"]) for r in log.where("contexts_used is not null").collect())
+    assert new == [(1, 4, "to top leads?"), (1, 5, "to revenue?"), (2, 6, "to industry?")]
+    last = {r["conv_id"]: (r["text"], r["n_messages"]) for r in last_messages(log).collect()}
+    assert last == {1: ("to revenue?", 6), 2: ("to industry?", 2), 3: ("hello", 1)}
+
+
+def test_fixed_texts():
+    assert A.NO_DATA == "No data available. Please upload and process lead data first."
+    assert A.NO_CONTEXT == "No relevant context found."
+    assert A.WHITE_SPACE == "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+    assert A.FALLBACK_INDUSTRY == "Please check the 'Top Industries' chart in the dashboard for industry breakdown."
+
+
+def test_any_embedder_plugs_in(spark):
+    docs = spark.createDataFrame([(1, "aa b"), (2, None), (3, "b")], "id long, text string")
+    vecs = embed_with(docs, lambda texts: [[t.count("a"), t.count("b")] for t in texts], ["id"])
+    assert sorted((r["id"], r["embedding"]) for r in vecs.collect()) == [(1, [2.0, 1.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])]
+
+
+def test_frequent_terms_are_split(spark):
+    tf = spark.createDataFrame([(i, t, 1) for i in range(300) for t in ("all", f"t{i}")], "chunk_id long, term string, tf long")
+    w = weigh(tf, spark.createDataFrame([("all", 300)] + [(f"t{i}", 1) for i in range(300)], "term string, df long"), F.lit(600), ["chunk_id"])
+    assert w.count() == 600
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = weigh(tf, tf.groupBy("term").agg(F.count("*").alias("df")), F.lit(600), ["chunk_id"]).where("term = 'all'")
+        assert parts.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

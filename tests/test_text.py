@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leadlens.functions.fmt import money0, one_decimal, percent1
 from leadlens.operators import answer as A
 from leadlens.operators.chunks import lead_text, summary_chunks
-from leadlens.operators.fingerprint import fingerprint
+from leadlens.operators.fingerprint import fingerprint, text_fingerprint
 
 
 def test_python_style_formats(spark):
@@ -75,3 +75,16 @@ def test_fingerprint_order_invariant_and_sensitive(spark):
     assert fingerprint(spark.createDataFrame(changed, "k long, x double, s string")).first() != fingerprint(a).first()
     dup = spark.createDataFrame(rows + rows[:2], "k long, x double, s string")
     assert fingerprint(dup).first() != fingerprint(a).first()
+
+
+def test_fingerprints_see_moved_text_nulls_and_last_bits(spark):
+    def both(rows, schema="a string, b string"):
+        df = spark.createDataFrame(rows, schema)
+        return fingerprint(df).first(), text_fingerprint(df).first()
+
+    cases = [[("a|b", "c")], [("a", "b|c")], [("\\N", "c")], [(None, "c")], [("", "c")], [("-", "c")], [("c", None)], [("ab", "c")], [("a", "bc")]]
+    for kind in (0, 1):
+        seen = [both(rows)[kind] for rows in cases]
+        assert len(set(seen)) == len(cases)
+        numbers = [both([(x, "k")], "a double, b string")[kind] for x in (1.0, 1.0 + 3e-7, 1.0 + 2 ** -52, 1e33, 1e33 * (1 + 2 ** -52), -2.5, None, float("nan"))]
+        assert len(set(numbers)) == len(numbers)
