@@ -11,8 +11,8 @@ n - ceil(0.8 n) + 1 shingles of each set in any common order, and each of these
 which the set's point is filed. Frequent shingles, counted over all texts, come last in the order,
 which keeps files small. Per key, small files are one leaf and compared by the bound; in larger
 files every set is first held against a pivot, then, once components are known, against the tree
-of all sets of other components, in blocks. What survives the bounds is verified on the whole
-sets. No link between different components is lost, and no pairs within a group of copies are
+of all sets of other components, in blocks. What survives is bounded once more by points of many
+groups, then verified on the whole sets. No link between different components is lost, and no pairs within a group of copies are
 made: equal sets are one point, and a subtree of the set's own component is skipped.
 
 Rows with null or empty text, or without words, link with nothing. Rows without doc_id get a null
@@ -34,6 +34,8 @@ from leadlens.llm.components import components
 from leadlens.llm.shingles import set_hash, shingle_sets
 
 GROUPS = 8
+#: Groups of the fine points, by which candidate pairs are bounded once more before verification.
+FINE = 512
 #: Sets in a leaf; files of at most so many are compared at once.
 LEAF = 16
 #: Sets of a file in one block of the tree join.
@@ -51,9 +53,9 @@ def need(a, b):
     return (4 * (a + b) + 8) // 9
 
 
-def count_vector(s: np.ndarray) -> tuple[int, np.ndarray]:
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> tuple[int, np.ndarray]:
     """(unit, counts per group in units, rounded up): unit * counts bounds the true counts."""
-    counts = np.bincount((s >> np.uint64(32) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((s >> np.uint64(32) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     unit = max(1, -(-int(counts.max()) // 255))
     return unit, (-(-counts // unit)).astype(np.uint8)
 
@@ -103,19 +105,22 @@ class RTree:
 def _frequent(local: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
         "doc_id": pa.nulls(len(local), pa.int64()), "n": pa.array(list(local.values()), pa.int64()),
-        "node": pa.array(list(local), pa.int64()), "shingle": [True] * len(local)})
+        "node": pa.array(list(local), pa.int64()), "shingle": [True] * len(local),
+        "unit": pa.nulls(len(local), pa.int32()), "fine": pa.nulls(len(local), pa.binary())})
 
 
 def _sets_and_frequent(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, n, node, shingle): one row per text with its set's size and hash, and, with
-    shingle = true, each task's frequent shingles (node) with their counts (n)."""
+    """(doc_id, n, node, shingle, unit, fine): one row per text with its set's size, hash and fine
+    point, and, with shingle = true, each task's frequent shingles (node) with their counts (n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts = [], 0
         for b in batches:
             sets = list(shingle_sets(b.column(1).to_pylist()))
+            fine = [count_vector(s, FINE) if len(s) else (1, np.empty(0, np.uint8)) for s in sets]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "node": pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), "shingle": [False] * len(sets)})
+                "node": pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), "shingle": [False] * len(sets),
+                "unit": pa.array([u for u, _ in fine], pa.int32()), "fine": pa.array([v.tobytes() for _, v in fine], pa.binary())})
             texts += len(sets)
             held.append(np.concatenate(sets))
             if sum(map(len, held)) > 4 * _FLUSH:
@@ -124,7 +129,7 @@ def _sets_and_frequent(rows: DataFrame, scratch: Scratch) -> DataFrame:
         if held:
             yield _frequent(_count(held, texts))
 
-    return scratch.keep(rows.mapInArrow(run, "doc_id long, n long, node long, shingle boolean"), "sets")
+    return scratch.keep(rows.mapInArrow(run, "doc_id long, n long, node long, shingle boolean, unit int, fine binary"), "sets")
 
 
 def _count(held: list[np.ndarray], texts: int) -> dict[int, int]:
@@ -249,15 +254,28 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b", "key", "n", "unit", "vec", "file"])
 
 
+def _shared(units: np.ndarray, fine: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bound on the overlap of sets x[i] and y[i] from their fine points."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 4096):
+        a, b = x[i:i + 4096], y[i:i + 4096]
+        out[i:i + 4096] = np.minimum(fine[a].astype(np.int64) * units[a][:, None], fine[b].astype(np.int64) * units[b][:, None]).sum(1)
+    return out
+
+
 def _tree_pairs(group: pa.Table) -> pa.Table:
-    """Candidate pairs of different components between two blocks of a file (or within one)."""
-    node, n, unit, label, block = (group.column(c).to_numpy() for c in ("node", "n", "unit", "label", "block"))
+    """Candidate pairs of different components between two blocks of a file (or within one): what
+    the tree lets through is bounded again by the fine points before it is handed on."""
+    node, n, unit, label, block, units = (group.column(c).to_numpy() for c in ("node", "n", "unit", "label", "block", "unit_fine"))
+    fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
     vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
     a, b = [], []
     both = group.column("b1")[0].as_py() != group.column("b2")[0].as_py()
     for x, y in RTree(n.astype(np.int64), vec.astype(np.int64) * unit[:, None], label).pairs():
         if both:
             x, y = x[block[x] != block[y]], y[block[x] != block[y]]
+        near = _shared(units, fine, x, y) >= need(n[x].astype(np.int64), n[y])
+        x, y = x[near], y[near]
         a.append(np.minimum(node[x], node[y]))
         b.append(np.maximum(node[x], node[y]))
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
@@ -266,9 +284,26 @@ def _tree_pairs(group: pa.Table) -> pa.Table:
 
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The candidate pairs (a, b; set hashes) that link, as links of smallest doc_ids."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = scratch.keep(sets.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{name}-reps")
-    wanted = rows.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    def nodes(of: DataFrame) -> DataFrame:
+        return of.select(F.col("a").alias("node")).union(of.select(F.col("b").alias("node"))).distinct()
+
+    def side(of: DataFrame, key: str, *columns: str) -> DataFrame:
+        return of.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in columns])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_a, u_a, n_b, u_b = (b.column(i).to_numpy() for i in (2, 3, 5, 6))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int64) for i in (4, 7))
+            shared = np.minimum(x * u_a[:, None], y * u_b[:, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(shared >= need(n_a, n_b)))
+
+    known = (sets.join(nodes(pairs), "node").groupBy("node")
+             .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("unit").alias("unit"), F.first("fine").alias("fine")))
+    reps = scratch.keep(known, f"{name}-reps")
+    points = ("n", "unit", "fine")
+    near = pairs.join(side(reps, "a", *points), "a").join(side(reps, "b", *points), "b")
+    pairs = scratch.keep(near.select("a", "b", "n_a", "unit_a", "fine_a", "n_b", "unit_b", "fine_b").mapInArrow(bound, "a long, b long"), f"{name}-near")
+    wanted = rows.join(reps.join(nodes(pairs), "node").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -299,8 +334,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scrat
     links = (good.join(rep.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a")
              .join(rep.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b"))
     out = scratch.keep(links.select(F.col("da").alias("a"), F.col("db").alias("b")), f"{name}-links")
-    scratch.drop(f"{name}-full")
-    scratch.drop(f"{name}-reps")
+    for done in ("full", "reps", "near"):
+        scratch.drop(f"{name}-{done}")
     return out
 
 
@@ -311,7 +346,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     scratch = Scratch(spark, "rtree")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     found = _sets_and_frequent(rows, scratch)
-    sets = found.where(~F.col("shingle")).select("doc_id", "n", "node")
+    sets = found.where(~F.col("shingle")).select("doc_id", "n", "node", "unit", "fine")
 
     often = (found.where("shingle").groupBy("node").agg(F.sum("n").alias("n"))
              .orderBy(F.desc("n"), "node").limit(FREQUENT).collect())  # FREQUENT rows at most
@@ -323,27 +358,28 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n_parts = shuffle_partitions(spark)
     first = scratch.keep(_file_points(rows, frequent, n_parts).repartitionById(n_parts, F.col("part")).mapInArrow(_first_pairs, _PAIRS), "first")
     pairs = scratch.keep(first.where("b is not null").select("a", "b").distinct(), "pairs")
-    known = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    known = (sets.where("n > 0 and doc_id is not null").groupBy("node")
+             .agg(F.min("doc_id").alias("rep"), F.first("unit").alias("unit_fine"), F.first("fine").alias("fine")))
     links = _verified(pairs, rows, sets, scratch, "v1")
     groups = scratch.keep(components(links, scratch, "c1"), "groups1")
 
     # large files again: sets of different components, by the tree
     large = first.where("b is null").withColumnRenamed("a", "node")
     if not large.isEmpty():
-        labelled = (large.join(known, "node").join(groups, F.col("rep") == F.col("v"), "left")
+        labelled = (large.join(known.select("node", "rep"), "node").join(groups, F.col("rep") == F.col("v"), "left")
                     .select("key", "node", "n", "unit", "vec", "file", F.coalesce("c", "rep").alias("label")))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         blocks = F.ceil(F.col("file") / BLOCK).cast("int")
-        dealt = (labelled.join(mixed, "key")
+        dealt = (labelled.join(mixed, "key").join(known.select("node", "unit_fine", "fine"), "node")
                  .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-                 .select("key", "b1", "b2", "block", "node", "n", "unit", "vec", "label"))
+                 .select("key", "b1", "b2", "block", "node", "n", "unit", "vec", "label", "unit_fine", "fine"))
         more = dealt.groupBy("key", "b1", "b2").applyInArrow(_tree_pairs, "a long, b long").distinct()
         more = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
         links2 = _verified(more, rows, sets, scratch, "v2")
         groups = scratch.keep(components(links.union(links2), scratch, "c2"), "groups2")
-    return (sets.join(known, "node", "left").join(groups, F.col("rep") == F.col("v"), "left")
+    return (sets.select("doc_id", "n", "node").join(known.select("node", "rep"), "node", "left").join(groups, F.col("rep") == F.col("v"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id")))
 
