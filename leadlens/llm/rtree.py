@@ -254,12 +254,11 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b", "key", "n", "unit", "vec", "file"])
 
 
-def _shared(units: np.ndarray, fine: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bound on the overlap of sets x[i] and y[i] from their fine points."""
-    out = np.empty(len(x), np.int64)
-    for i in range(0, len(x), 4096):
-        a, b = x[i:i + 4096], y[i:i + 4096]
-        out[i:i + 4096] = np.minimum(fine[a].astype(np.int64) * units[a][:, None], fine[b].astype(np.int64) * units[b][:, None]).sum(1)
+def _shared(points: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bound on the overlap of sets x[i] and y[i]: summed minima of their points, in slices."""
+    out, step = np.empty(len(x), np.int64), (1 << 21) // points.shape[1]
+    for i in range(0, len(x), step):
+        out[i:i + step] = np.minimum(points[x[i:i + step]], points[y[i:i + step]]).sum(1, dtype=np.int64)
     return out
 
 
@@ -268,14 +267,18 @@ def _tree_pairs(group: pa.Table) -> pa.Table:
     the tree lets through is bounded again by the fine points before it is handed on."""
     node, n, unit, label, block, units = (group.column(c).to_numpy() for c in ("node", "n", "unit", "label", "block", "unit_fine"))
     fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+    if units.max() > 1:
+        fine = fine.astype(np.int32) * units[:, None].astype(np.int32)
+    middle = fine.reshape(-1, FINE // 8, 8).sum(2, dtype=np.int32)  # cheaper, and rids most pairs
     vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
     a, b = [], []
     both = group.column("b1")[0].as_py() != group.column("b2")[0].as_py()
     for x, y in RTree(n.astype(np.int64), vec.astype(np.int64) * unit[:, None], label).pairs():
         if both:
             x, y = x[block[x] != block[y]], y[block[x] != block[y]]
-        near = _shared(units, fine, x, y) >= need(n[x].astype(np.int64), n[y])
-        x, y = x[near], y[near]
+        for points in (middle, fine):
+            near = _shared(points, x, y) >= need(n[x].astype(np.int64), n[y])
+            x, y = x[near], y[near]
         a.append(np.minimum(node[x], node[y]))
         b.append(np.maximum(node[x], node[y]))
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
