@@ -6,10 +6,13 @@ exact conditional probabilities. A text's score is the sum of the log-probabilit
 words, each given its neighbours, and that sum per word.
 
 Counts of all words of all texts give the vocabulary (the ``VOCABULARY`` most frequent; others
-share hashed places). Training is data-parallel: in each round every task trains a copy on all its
+share hashed places). A word in a hashed place has the probability of the place times its exact
+share of the place: n / (N + 1) for a word counted n times in a place with N words in all, and
+1 / (N + 1) for what the corpus does not hold. The table of these counts has every word of the
+corpus, grows with it, and is joined to the words of the texts in Spark. Training is data-parallel: in each round every task trains a copy on all its
 texts of that round, predicting a random share of masked words, and the copies are averaged,
-weighted by the words they predicted. So each text is trained on in one round, what is gathered
-grows with the corpus, and what the driver holds is one network of fixed size.
+weighted by the words they predicted. So each text is trained on in one round, the counts grow
+with the corpus, and what the driver holds is one network of fixed size.
 
 A null text counts as empty: no words, score 0, per word null. Repeated rows are scored alike. An
 empty table gives an empty result, and an untrained network if it is the corpus. Only the named
@@ -29,24 +32,28 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlens.llm.common import ALNUM, prepare, table, text_of, word_hashes, words_of
+from leadlens.llm.common import ALNUM, Scratch, prepare, table, text_of, word_hashes, words_of
 
 VOCABULARY, HASHED, CLASSES, WIDTH, WINDOW = 4096, 256, 64, 16, 2
 _PLACES = VOCABULARY + HASHED  # words to predict; the next id stands for the edge of a text
 _PER_CLASS = _PLACES // CLASSES
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 _BLOCK = 4096  # parameters per row when copies are averaged
+_UNIT = 1 << 24  # logarithms of counts are summed as whole numbers of 1 / _UNIT: alike in any order
 _SHAPES = {"embed": (_PLACES + 1, WIDTH), "gate": (len(_OFFSETS), WIDTH), "bias": (WIDTH,),
            "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "words": (CLASSES, WIDTH, _PER_CLASS), "word_bias": (CLASSES, _PER_CLASS)}
 
 
 @dataclass
 class Network:
-    """Parameters, and the sorted hashes and ids of the vocabulary."""
+    """Parameters, and the sorted hashes and ids of the vocabulary; besides, the words counted in each
+    hashed place, and the table (word, log_n) of the words that share places and occur twice or more."""
 
     hashes: np.ndarray
     ids: np.ndarray
     params: dict[str, np.ndarray]
+    totals: np.ndarray | None = None
+    words: DataFrame | None = None
 
     @classmethod
     def new(cls, by_frequency: np.ndarray, seed: int = 1) -> Network:
@@ -61,6 +68,10 @@ class Network:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words with edges around each text, places of the words, words before each text)."""
+        return self.read(texts)[:3]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode``, and the hashes of the words."""
         data, starts, ends, first = words_of([t.encode() for t in texts], ALNUM)
         h = word_hashes(data, starts, ends)
         ids = VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64)
@@ -71,7 +82,7 @@ class Network:
         places = np.arange(len(h)) + WINDOW * (doc + 1)
         x = np.full(len(h) + WINDOW * (len(texts) + 1), _PLACES, np.int64)
         x[places] = ids
-        return x, places, first
+        return x, places, first, h
 
     def forward(self, x: np.ndarray, places: np.ndarray):
         """(log-probability of each place's word, what the gradient needs), places by class."""
@@ -127,14 +138,17 @@ class Network:
             self.params[k] -= rate * g / (np.sqrt(memory[k]) + 1e-6)
 
     def scores(self, texts: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-        """(words, summed log-probability) of each text."""
+        """(words, summed log-probability) of each text; of a word that shares a place, that of the place."""
         x, places, first = self.encode(texts)
+        return np.diff(first), self.sums(x, places, first, step)
+
+    def sums(self, x: np.ndarray, places: np.ndarray, first: np.ndarray, step: int = 8192) -> np.ndarray:
         logp = np.empty(len(places))
         for i in range(0, len(places), step):
             part, state = self.forward(x, places[i:i + step])
             logp[i + state[0]] = part
         total = np.concatenate(([0.0], np.cumsum(logp)))
-        return np.diff(first), total[first[1:]] - total[first[:-1]]
+        return total[first[1:]] - total[first[:-1]]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.params[k].ravel() for k in _SHAPES])
@@ -145,7 +159,7 @@ class Network:
             n = int(np.prod(s))
             params[k] = flat[at:at + n].reshape(s).astype(np.float32)
             at += n
-        return Network(self.hashes, self.ids, params)
+        return Network(self.hashes, self.ids, params, self.totals, self.words)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -153,8 +167,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text") -> np.ndarray:
-    """Hashes of the most frequent words over all texts, most frequent first."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): hash and count of every word over all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -172,18 +186,44 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text")
         if n:
             yield flush()
 
-    top = (docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(size).collect())  # ``size`` rows
+    return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _top(counts: DataFrame, size: int) -> list:
+    return counts.orderBy(F.desc("n"), "word").limit(size).collect()  # ``size`` rows
+
+
+def _hashes(top: list) -> np.ndarray:
     return np.array([r.word for r in top], np.int64).view(np.uint64)
 
 
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text") -> np.ndarray:
+    """Hashes of the most frequent words over all texts, most frequent first."""
+    return _hashes(_top(word_counts(docs, text_col), size))
+
+
+def _untrained(docs: DataFrame, seed: int, text_col: str) -> Network:
+    """A new network with the vocabulary of ``docs`` and the counts of all its other words."""
+    counts = Scratch(docs.sparkSession, "pseudolik").keep(word_counts(docs, text_col), "counts")
+    top = _top(counts, VOCABULARY)
+    network = Network.new(_hashes(top), seed)
+    network.totals = np.zeros(HASHED)
+    if len(top) == VOCABULARY:
+        n, word = F.lit(top[-1].n), F.lit(top[-1].word)
+        others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+        for r in others.groupBy(F.pmod("word", F.lit(HASHED)).alias("place")).agg(F.sum("n").alias("n")).collect():  # HASHED rows
+            network.totals[r.place] = r.n
+        network.words = others.where("n > 1").select("word", F.round(F.log("n") * _UNIT).cast("long").alias("log_n"))
+    return network
+
+
 def train_network(docs: DataFrame, rounds: int = 2, masked: float = 0.25, batch: int = 2048, seed: int = 1,
                   text_col: str = "text") -> Network:
     """Train on all texts of ``docs``; each takes part in one round, by its hash."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(text_of(text_col).alias("text"))
-    network = Network.new(vocabulary(docs, text_col=text_col), seed)
+    network = _untrained(docs, seed, text_col)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((network.hashes, network.ids, network.params))  # of fixed size
 
@@ -222,16 +262,49 @@ def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     prepare(spark)
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("tag", F.xxhash64("doc_id", "text"))
+    shares = None if network.totals is None else np.log(network.totals + 1)
     sent = spark.sparkContext.broadcast((network.hashes, network.ids, network.params))
+    apart = network.words is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text (n_words, log_likelihood) and, if they are joined, for each of its
+        words in a hashed place (word, k times). The first are dealt by their tags and add nothing."""
         net = Network(*sent.value)
         for b in batches:
-            n, total = net.scores(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(total)], names=["doc_id", "n_words", "log_likelihood"])
+            x, places, first, h = net.read(b.column(1).to_pylist())
+            total = net.sums(x, places, first)
+            texts, many, word, k = np.arange(b.num_rows), b.num_rows, b.column(2).to_numpy(), np.zeros(b.num_rows, np.int64)
+            if shares is not None:
+                ids = x[places]
+                at = np.flatnonzero(ids >= VOCABULARY)
+                doc = np.repeat(texts, np.diff(first))[at]
+                total = total - np.bincount(doc, shares[ids[at] - VOCABULARY], many)
+                if apart and len(at):
+                    h = h[at]
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    begins = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+                    texts = np.concatenate((texts, doc[begins]))
+                    word = np.concatenate((word, h[begins].view(np.int64)))
+                    k = np.concatenate((k, np.diff(np.append(begins, len(h)))))
+            own = np.arange(len(texts)) >= many
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(texts)), b.column(2).take(pa.array(texts)), pa.array(word), pa.array(k),
+                 pa.array(np.resize(np.diff(first).astype(np.int64), len(texts)), mask=own) if many else pa.nulls(0, pa.int64()),
+                 pa.array(np.resize(total.astype(float), len(texts)), mask=own) if many else pa.nulls(0, pa.float64())],
+                names=["doc_id", "tag", "word", "k", "n_words", "log_likelihood"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return (rows.mapInArrow(run, f"doc_id {kind}, n_words long, log_likelihood double")
+    out = rows.mapInArrow(run, f"doc_id {kind}, tag long, word long, k long, n_words long, log_likelihood double")
+    if apart:
+        sums = (out.join(network.words, "word", "left").groupBy("doc_id", "tag")
+                .agg(F.max("n_words").alias("n_words"), F.max("log_likelihood").alias("log_likelihood"),
+                     F.count("n_words").alias("copies"), F.sum(F.col("k") * F.coalesce("log_n", F.lit(0))).alias("logs")))
+        # repeated rows are summed as one and dealt out again
+        out = (sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+               .withColumn("log_likelihood", F.col("log_likelihood") + F.col("logs") / F.col("copies") / _UNIT))
+    return (out.select("doc_id", "n_words", "log_likelihood")
             .withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))))
 
 

@@ -199,6 +199,32 @@ def test_pseudo_likelihood_scores(spark, docs, nothing):
     assert pseudolik.score(nothing, net).count() == 0
 
 
+def test_pseudo_likelihood_counts_every_word(spark, nothing):
+    """Words outside the vocabulary have their own share of the place they are hashed to."""
+    n = {f"v{i}": 6 for i in range(pseudolik.VOCABULARY)} | {f"r{i}": 1 + i % 4 for i in range(900)}
+    corpus = [w for w, k in n.items() for _ in range(k)]
+    random.Random(5).shuffle(corpus)
+    df = spark.createDataFrame([(i, " ".join(corpus[i::50])) for i in range(50)], "doc_id long, text string")
+    net = pseudolik.train_network(df, batch=256)
+    texts = ["v1 r3 v2 r2 r3 v5 r0", "v1 q3 v2 q2 q3 v5 q0", "v1 v2", "", "r7 " * 40, "r7 " * 40]
+    test = spark.createDataFrame([(min(i, 4), t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.log_likelihood) for r in pseudolik.score(test, net).collect())
+
+    def place(word):
+        x, places, _ = net.encode([word])
+        return x[places][0] - pseudolik.VOCABULARY
+
+    totals = defaultdict(int)
+    for w in n:
+        totals[place(w)] += n[w]
+    words_in, of_places = net.scores(texts)
+    for i, t in enumerate(texts):
+        own = sum(np.log(n.get(w, 1) / (totals[place(w)] + 1)) for w in t.split() if place(w) >= 0)
+        assert got[i][:2] == (min(i, 4), words_in[i]) and got[i][2] == pytest.approx(of_places[i] + own, rel=1e-5)
+    assert got[4] == got[5] and got[2][2] == pytest.approx(of_places[2], rel=1e-5)
+    assert pseudolik.score(nothing, net).count() == 0
+
+
 # ------------------------------------------------------------------------------ 6 pseudonyms
 
 def test_pseudonyms_table(spark, docs, nothing):
