@@ -10,9 +10,9 @@ share hashed places). A word in a hashed place has the probability of the place
 share of the place: n / (N + 1) for a word counted n times in a place with N words in all, and
 1 / (N + 1) for what the corpus does not hold. The table of these counts has every word of the
 corpus, grows with it, and is joined to the words of the texts in Spark. Training is data-parallel: in each round every task trains a copy on all its
-texts of that round, predicting a random share of masked words, and the copies are averaged,
-weighted by the words they predicted. So each text is trained on in one round, the counts grow
-with the corpus, and what the driver holds is one network of fixed size.
+texts of that round, and the copies are averaged, weighted by the words they predicted. The words
+of the texts are dealt over disjoint masks, whose words are predicted mask by mask: so each word of
+each text is predicted once, in the round of its text. The counts grow with the corpus, and what the driver holds is one network of fixed size.
 
 A null text counts as empty: no words, score 0, per word null. Repeated rows are scored alike. An
 empty table gives an empty result, and an untrained network if it is the corpus. Only the named
@@ -97,11 +97,12 @@ class Network:
         class_p = _softmax(hidden @ p["classes"] + p["class_bias"])
         logp = np.log(class_p[rows, cls] + 1e-30)
         bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
-        word_p = np.empty((len(places), _PER_CLASS), np.float32)
+        word_p = p["word_bias"][cls]
         for c in range(CLASSES):
             a, b = bounds[c], bounds[c + 1]
             if b > a:
-                word_p[a:b] = _softmax(hidden[a:b] @ p["words"][c] + p["word_bias"][c])
+                word_p[a:b] += hidden[a:b] @ p["words"][c]
+        word_p = _softmax(word_p)
         logp += np.log(word_p[rows, word] + 1e-30)
         return logp, (order, places, context, hidden, cls, word, class_p, word_p, bounds)
 
@@ -116,18 +117,22 @@ class Network:
         g = {"classes": hidden.T @ class_p / n, "class_bias": class_p.sum(0) / n,
              "words": np.zeros_like(p["words"]), "word_bias": np.zeros_like(p["word_bias"])}
         back = class_p @ p["classes"].T
+        ones = np.ones(n, np.float32)
         for c in range(CLASSES):
             a, b = bounds[c], bounds[c + 1]
             if b > a:
-                g["words"][c] = hidden[a:b].T @ word_p[a:b] / n
-                g["word_bias"][c] = word_p[a:b].sum(0) / n
+                np.matmul(hidden[a:b].T, word_p[a:b], out=g["words"][c])
+                g["word_bias"][c] = ones[:b - a] @ word_p[a:b]
                 back[a:b] += word_p[a:b] @ p["words"][c].T
+        g["words"] /= n
+        g["word_bias"] /= n
         back *= (1 - hidden * hidden) / n
         g["bias"] = back.sum(0)
         g["gate"] = np.stack([(back * c).sum(0) for c in context])
         where = np.concatenate([x[places + o] for o in _OFFSETS])
         flow = np.concatenate([back * gate for gate in p["gate"]])
-        g["embed"] = np.stack([np.bincount(where, flow[:, d], _PLACES + 1) for d in range(WIDTH)], 1).astype(np.float32)
+        cells = (where[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        g["embed"] = np.bincount(cells, flow.ravel(), (_PLACES + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
         return g
 
     def train(self, x: np.ndarray, places: np.ndarray, memory: dict[str, np.ndarray], rate: float = 0.1) -> None:
@@ -163,8 +168,13 @@ class Network:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    """Of each row, in place."""
+    if z.size:
+        top = z.max()
+        z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all, unless rows could vanish
+        np.exp(z, out=z)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -219,7 +229,8 @@ def _untrained(docs: DataFrame, seed: int, text_col: str) -> Network:
 
 def train_network(docs: DataFrame, rounds: int = 2, masked: float = 0.25, batch: int = 2048, seed: int = 1,
                   text_col: str = "text") -> Network:
-    """Train on all texts of ``docs``; each takes part in one round, by its hash."""
+    """Train on all texts of ``docs``; each takes part in one round, by its hash. A mask has the share
+    ``masked`` of an Arrow batch's words; all masks are trained on."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(text_of(text_col).alias("text"))
@@ -235,10 +246,10 @@ def train_network(docs: DataFrame, rounds: int = 2, masked: float = 0.25, batch:
             seen = 0
             for b in batches:
                 x, places, _ = mine.encode(b.column(0).to_pylist())
-                places = places[rng.random(len(places)) < masked]
                 rng.shuffle(places)
-                for i in range(0, len(places), batch):
-                    mine.train(x, places[i:i + batch], memory)
+                for mask in np.array_split(places, max(1, round(1 / masked))):
+                    for i in range(0, len(mask), batch):
+                        mine.train(x, mask[i:i + batch], memory)
                 seen += len(places)
             if seen:
                 flat = mine.flat()

@@ -225,6 +225,23 @@ def test_pseudo_likelihood_counts_every_word(spark, nothing):
     assert pseudolik.score(nothing, net).count() == 0
 
 
+def test_pseudo_likelihood_predicts_every_word_once(spark, tmp_path, monkeypatch):
+    """With the values of the query, training predicts each position of each text once."""
+    out = str(tmp_path)
+
+    def record(self, x, places, memory, rate=0.1):
+        import uuid
+
+        np.save(f"{out}/{uuid.uuid4().hex}", x[places])
+
+    monkeypatch.setattr(pseudolik.Network, "train", record)
+    texts = [" ".join(random.Random(i).choices([f"w{k}" for k in range(300)], k=7 * i)) for i in range(80)]
+    net = pseudolik.train_network(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    x, places, _ = net.encode(texts)
+    got = np.concatenate([np.load(f) for f in tmp_path.iterdir()])
+    assert sorted(got.tolist()) == sorted(x[places].tolist())
+
+
 # ------------------------------------------------------------------------------ 6 pseudonyms
 
 def test_pseudonyms_table(spark, docs, nothing):
