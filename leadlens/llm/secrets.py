@@ -1,7 +1,10 @@
 """Secret scan with a battery of randomness tests.
 
 Fixed patterns find assigned secrets, access keys and long hex runs. Besides, every run of 20 or
-more token characters is taken as a candidate: its encoding is inferred from its characters, and
+more token characters is taken as a candidate, and so are its parts of that length: those between
+its signs, and the run without the plain words at its ends, so that neither ``name=`` nor the words
+of a path hide a secret (``=`` ends a run; as padding it is not part of the span). A reported part
+of a reported candidate is left out. For each candidate, its encoding is inferred from its characters, and
 tests ask whether it looks drawn uniformly from that alphabet: chi-squared on the counts, split
 into small letters, capitals, digits and signs against each other and the symbols within each
 (with the exact mean and variance for a uniform alphabet, so short tokens are judged fairly),
@@ -36,7 +39,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Maximal runs, so asking for the least length in the pattern drops the same matches as afterwards.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+LEAST = 20
+_SIGNS = re.compile(r"[+/_-]")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
+#: What lies between the signs of one alphabet, of the other, and of both.
+_BETWEEN = (re.compile(r"[^+/]+"), re.compile(r"[^_-]+"), _SEGMENT)
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Inferred encodings, narrowest first.
@@ -84,11 +92,14 @@ def gamma_tail(a: float, x: float) -> float:
     return min(1.0, h * scale)
 
 
+def _mixed(token: str) -> bool:
+    return sum(any(map(f, token)) for f in (str.islower, str.isupper, str.isdigit)) > 1
+
+
 def infer_encoding(token: str) -> str | None:
     """The narrowest alphabet that holds the token; None for tokens of one class of characters
     (words, numbers), whose randomness says nothing about a secret."""
-    classes = [any(map(f, token)) for f in (str.islower, str.isupper, str.isdigit)]
-    if sum(classes) < 2:
+    if not _mixed(token):
         return None
     have = set(token)
     return next((e for e, a in ENCODINGS.items() if have <= set(a)), None)
@@ -142,16 +153,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], _RANK[s[2]]))
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the run and of its parts of ``LEAST`` characters or more."""
+    out = {(0, len(run))}
+    if _SIGNS.search(run):
+        for pattern in _BETWEEN:
+            out.update(m.span() for m in pattern.finditer(run))
+        mixed = [m.span() for m in _SEGMENT.finditer(run) if _mixed(m.group())]
+        if mixed:
+            out.add((mixed[0][0], mixed[-1][1]))
+    return sorted(x for x in out if x[1] - x[0] >= LEAST)
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, int, float]]:
     """(start, end, encoding, length class, p) of tokens that no fixed pattern touches."""
     for m in CANDIDATE.finditer(text):
-        token = m.group().rstrip("=")
-        start, end = m.start(), m.start() + len(token)
-        if len(token) < 20 or any(s < end and start < e for s, e, _ in base):
-            continue
-        encoding = infer_encoding(token)
-        if encoding:
-            yield start, end, encoding, int(2 * math.log2(len(token))), battery(token, encoding)["p"]
+        for a, b in parts(m.group()):
+            start, end = m.start() + a, m.start() + b
+            if any(s < end and start < e for s, e, _ in base):
+                continue
+            token = text[start:end]
+            encoding = infer_encoding(token)
+            if encoding:
+                yield start, end, encoding, int(2 * math.log2(len(token))), battery(token, encoding)["p"]
 
 
 def thresholds(df: DataFrame, fdr: float = 0.1, text_col: str = "text") -> dict[tuple[str, int], float]:
@@ -187,7 +211,12 @@ def _cut(cells: list[int], fdr: float) -> float:
 
 def all_spans(text: str, cuts: dict[tuple[str, int], float]) -> list[tuple[int, int, str]]:
     base = base_spans(text)
-    added = [(s, e, f"random_{enc}") for s, e, enc, size, p in candidates(text, base) if p >= cuts.get((enc, size), 2.0)]
+    found = [(s, e, f"random_{enc}") for s, e, enc, size, p in candidates(text, base) if p >= cuts.get((enc, size), 2.0)]
+    added, reach = [], 0
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if x[1] > reach:  # else part of one before
+            added.append(x)
+            reach = x[1]
     return sorted(base + added, key=lambda s: (s[0], _RANK[s[2]]))
 
 

@@ -92,6 +92,27 @@ def test_secrets_spans_and_masks(spark, docs, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_after_names_and_in_paths(spark):
+    rng = random.Random(11)
+
+    def draw(encoding, n):
+        return "".join(rng.choices(secrets.ENCODINGS[encoding], k=n))
+
+    shapes = ["AWS_SECRET_ACCESS_KEY={}", "GET /x?sig={}&v=1", "auth={}==", "client_key={}", "com/hooks/services/{}", "my-app/some-path/{}/index", "key_{}",
+              "a/b+c/{}"]
+    made = [(shape, draw("base62", 24 if "/" in shape else 40)) for shape in shapes for _ in range(40)]
+    made += [("AWS_SECRET_ACCESS_KEY={}", draw("base64", 40)) for _ in range(40)]
+    rows = [(i, f"see {shape.format(key)} now") for i, (shape, key) in enumerate(made)]
+    rows += [(9000, "name=value_of_some_long_name some/long/path/of/plain-words/and-more/index2 " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    lost = defaultdict(int)
+    for i, (shape, key) in enumerate(made):
+        lost[shape] += "[secret]" not in clean[i] or any(key[j:j + 20] in clean[i] for j in range(len(key) - 19))
+    assert max(lost.values()) <= 8, lost  # 40 of a shape, 80 of the first
+    assert clean[9000] == rows[-1][1]
+
+
 # ------------------------------------------------------------------------------ 2 wavelet
 
 def test_wavelet_round_trip(spark, docs, nothing):
