@@ -13,8 +13,12 @@ them into one p-value, which is uniform for random tokens and near 0 for words a
 
 False discoveries are controlled per stratum (encoding x length class), over the whole table: the
 number of random tokens is estimated from the upper half of the p-values, and the lowest cut is
-taken at which the estimated share of non-random tokens among the reported is at most ``fdr``.
-Only a histogram of bounded size (strata x bins) leaves the tasks.
+taken at which the estimated share of non-random tokens among the reported is at most ``fdr``. The
+estimate says little about a few tokens, so p-values of ``FLOOR`` and more are reported as well,
+unless too few of them are in the upper half for random tokens (a binomial test at ``DOUBT``): that
+takes seven tokens at least, and in large strata what is left is the estimate. A token that the
+table repeats counts once. The tasks hand on one short row for each distinct token; what is
+collected is a histogram of bounded size (strata x bins).
 
 A null text counts as empty and has no spans. Repeated rows are scanned one by one. An empty
 table gives an empty result. A column named ``spans`` in the input is replaced.
@@ -22,6 +26,7 @@ table gives an empty result. A column named ``spans`` in the input is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -61,6 +66,9 @@ ENCODINGS = {
 KINDS = ["assign", "access", "hex", *(f"random_{e}" for e in ENCODINGS)]
 _RANK = {k: i for i, k in enumerate(KINDS)}
 _CLASSES = (str.islower, str.isupper, str.isdigit, lambda a: not a.isalnum())
+#: p-values from here on are reported unless the upper half of them is as thin as random tokens
+#: would leave it once in 1 / ``DOUBT`` strata.
+FLOOR, DOUBT = 0.05, 0.01
 #: Lower edges of the p-value bins.
 EDGES = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, *(i / 20 for i in range(1, 20))]
 
@@ -181,18 +189,19 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[in
 def thresholds(df: DataFrame, fdr: float = 0.1, text_col: str = "text") -> dict[tuple[str, int], float]:
     """Lowest reported p-value of each stratum (encoding, length class), from all texts."""
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
         for b in batches:
+            rows = set()
             for text in b.column(0).to_pylist():
                 text = text or ""
-                for _, _, enc, size, p in candidates(text, base_spans(text)):
-                    n[enc, size, int(np.searchsorted(EDGES, p, side="right")) - 1] += 1
-        if n:
-            enc, size, cell = zip(*n, strict=True)
-            yield pa.RecordBatch.from_pydict({"enc": list(enc), "size": list(size), "cell": list(cell), "n": list(n.values())})
-
-    rows = (df.select(text_col).mapInArrow(tally, "enc string, size long, cell long, n long")
-            .groupBy("enc", "size", "cell").agg(F.sum("n").alias("n")).collect())  # strata x bins: bounded
+                for s, e, enc, size, p in candidates(text, base_spans(text)):
+                    token = hashlib.blake2b(text[s:e].encode("ascii"), digest_size=8).digest()
+                    rows.add((int.from_bytes(token, "big", signed=True), enc, size, int(np.searchsorted(EDGES, p, side="right")) - 1))
+            if rows:
+                token, enc, size, cell = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict({"token": list(token), "enc": list(enc), "size": list(size), "cell": list(cell)})
+
+    rows = (df.select(text_col).mapInArrow(tally, "token long, enc string, size long, cell long").distinct()
+            .groupBy("enc", "size", "cell").agg(F.count("*").alias("n")).collect())  # strata x bins: bounded
     cells: dict[tuple[str, int], list[int]] = {}
     for r in rows:
         cells.setdefault((r.enc, r.size), [0] * len(EDGES))[r.cell] += r.n
@@ -200,13 +209,21 @@ def thresholds(df: DataFrame, fdr: float = 0.1, text_col: str = "text") -> dict[
 
 
 def _cut(cells: list[int], fdr: float) -> float:
-    half = EDGES.index(0.5)
-    random = 2 * sum(cells[half:])
+    half, floor = EDGES.index(0.5), EDGES.index(FLOOR)
+    high, many = sum(cells[half:]), sum(cells[floor:])
+    least = FLOOR if many and _at_most(high, many, 0.5 / (1 - FLOOR)) >= DOUBT else 2.0
     for i in range(1, len(EDGES)):
         reported = sum(cells[i:])
-        if reported and 1 - random * (1 - EDGES[i]) / reported <= fdr:
-            return EDGES[i]
-    return 2.0
+        if reported and 1 - 2 * high * (1 - EDGES[i]) / reported <= fdr:
+            return min(EDGES[i], least)
+    return least
+
+
+def _at_most(k: int, n: int, p: float) -> float:
+    """Probability of ``k`` or fewer of ``n`` at chance ``p`` each."""
+    if n > 1000:
+        return math.erfc((n * p - k - 0.5) / math.sqrt(2 * n * p * (1 - p))) / 2
+    return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
 def all_spans(text: str, cuts: dict[tuple[str, int], float]) -> list[tuple[int, int, str]]:

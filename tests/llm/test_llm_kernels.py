@@ -119,6 +119,26 @@ def test_false_discovery_cut():
     assert 0.001 < secrets._cut(mixed, 0.1) <= 0.05
 
 
+def test_false_discovery_cut_of_few_tokens():
+    floor, half = secrets.EDGES.index(secrets.FLOOR), secrets.EDGES.index(0.5)
+    for n in (1, 2, 3):
+        for where in (floor, half - 1, half, len(secrets.EDGES) - 1):
+            for words in (0, 1, 1000):
+                cells = [0] * len(secrets.EDGES)
+                cells[0], cells[where] = words, n
+                assert secrets._cut(cells, 0.1) <= secrets.FLOOR
+    for n in (7, 100, 100_000):  # none in the upper half: not random
+        cells = [0] * len(secrets.EDGES)
+        cells[floor] = n
+        assert secrets._cut(cells, 0.1) == 2.0
+    cells = [0] * floor + [40] * (len(secrets.EDGES) - floor)
+    cells[floor] = 20_000  # an estimate from a large stratum
+    assert 0.05 < secrets._cut(cells, 0.1) <= 0.1
+    for k, n, p in ((0, 1, 0.5), (30, 100, 0.4), (480, 1000, 0.5)):
+        assert secrets._at_most(k, n, p) == pytest.approx(sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1)))
+    assert secrets._at_most(520, 1001, 0.52) == pytest.approx(secrets._at_most(519, 1000, 0.52), abs=0.02)
+
+
 def test_tiles_equal_the_plain_greedy_algorithm():
     def plain(a, b, k):
         """Greedy string tiling as first published: rescan for the longest unmarked match."""

@@ -92,6 +92,24 @@ def test_secrets_spans_and_masks(spark, docs, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_in_strata_of_few_tokens(spark):
+    """One to three tokens of an encoding and length class, alone in the table or repeated."""
+    rng = random.Random(17)
+
+    def low(n):
+        """A random token with a p-value in the lower half that is not suspicious."""
+        while True:
+            token = "".join(rng.choices(secrets.ENCODINGS["base62"], k=n))
+            if secrets.infer_encoding(token) == "base62" and 0.06 < secrets.battery(token, "base62")["p"] < 0.45:
+                return token
+
+    keys = [low(n) for n, times in ((24, 1), (40, 2), (80, 3)) for _ in range(times)]
+    for copies in (1, 50):
+        rows = [(i, f"use {k} now") for i, k in enumerate(keys * copies)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.text for r in secrets.redact(df).collect()} == {"use [secret] now"}
+
+
 def test_secrets_after_names_and_in_paths(spark):
     rng = random.Random(11)
 
