@@ -134,6 +134,11 @@ class Pseudonyms:
     def phone(self, value: str) -> str | None:
         d = re.sub(r"\D", "", value)
         lead = len(d) - 10 if len(d) > 10 else 0  # the country code stays
+        if value[0] == "+" and not _BRACKETED.fullmatch(value):
+            if len(d) < 8:
+                return None
+            code = re.match(r"\d+", value[1:], re.A)[0]
+            lead = len(code) if len(code) <= 3 else _code_length(d)
         return _refill(value, d[:lead] + self._digits("phone", d[lead:]), str.isdigit)
 
     def ssn(self, value: str) -> str | None:
@@ -156,8 +161,9 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def date(self, value: str) -> str | None:
-        """A day of 1900 to 2099 becomes another, in the same written order."""
-        m = re.fullmatch(r"(\d{4})([-/.])(\d{2})\2(\d{2})|(\d{2})([-/.])(\d{2})\6(\d{4})", value)
+        """A day of 1900 to 2099 becomes another, in the same written order. If a part is written with
+        one digit, days and months stay with or without a second digit, so that the way back is clear."""
+        m = re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})", value, re.A)
         if not m:
             return None
         try:
@@ -176,12 +182,19 @@ class Pseudonyms:
         if not 0 <= day.toordinal() - base < size:
             return None
         x = day.toordinal() - base
+        short = any(g and len(g) == 1 for g in (m[3], m[4], m[5], m[7]))
         while True:
             x = self._map("date", size, x)
             out = datetime.date.fromordinal(base + x)
+            if short and ((out.day < 10) != (day.day < 10) or (out.month < 10) != (day.month < 10)):
+                continue
             # written month first, a day up to 12 would be read day first: walk on
             if not shape.startswith("%m") or out.day > 12:
-                return out.strftime(shape).replace(out.strftime("%Y"), f"{out.year:04d}")
+                new = out.strftime(shape).replace(out.strftime("%Y"), f"{out.year:04d}")
+                if not short:
+                    return new
+                sep = m[2] or m[6]
+                return sep.join(a[-len(b):] for a, b in zip(new.split(sep), value.split(sep), strict=True))
 
     def email(self, value: str) -> str | None:
         """The local part, letter for letter and digit for digit; the domain stays."""
@@ -222,15 +235,29 @@ def _two(template: str, digits: str, letters: str) -> str:
     return "".join(next(d) if ch.isdigit() else next(a) if ch.isalpha() else ch for ch in template)
 
 
+#: A number with its area code in brackets: ten digits after the country code.
+_BRACKETED = re.compile(r"\+\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}[ -]\d{4}", re.A)
+_TWO_DIGITS = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def _code_length(digits: str) -> int:
+    """Digits of the country code of an international number."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
+_DATE_AHEAD = r"(?!\d{4}[-/.]\d{1,2}[-/.]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})"
 #: Patterns by kind, in the order in which they claim a stretch of text.
 PATTERNS = {
     "email": r"\w[\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<!\d)\+\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}[ -]\d{4}(?!\d)|(?<![\d.-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "phone": r"(?<!\d)\+\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}[ -]\d{4}(?!\d)|(?<![\d.-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
+             r"|(?<![\w+])\+\d{8,15}(?![\d-]|\.\d)"
+             rf"|(?<![\w+])\+\d{{1,3}}(?:[ .-]?\(\d{{1,5}}\)[ .-]?\d{{1,8}}|[ .-]{_DATE_AHEAD}\d{{1,10}})(?:[ .-]{_DATE_AHEAD}\d{{2,8}}){{0,5}}(?!\d|[.-]\d)"
+             r"|(?<![\w.+-])\d{3}(?P<sep>[ .])\d{3}(?P=sep)\d{4}(?![\d-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)",
+    "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
-    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-]|\.\d)|(?<!\d)\d{13,19}(?!\d)",
+    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-]|\.\d)|(?<![\d-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-]|\.\d)|(?<!\d)\d{13,19}(?!\d)",
 }
 _COMPILED = {k: re.compile(p, re.ASCII if k != "email" else 0) for k, p in PATTERNS.items()}
 

@@ -257,6 +257,31 @@ def test_rules_learn_a_conjunction():
     assert (rules.fit_rules(x[:5], np.ones(5)).log_odds(x[:3]) > 1).all()
 
 
+def test_pseudonyms_of_more_written_forms():
+    to, back = feistel.Pseudonyms(b"k"), feistel.Pseudonyms(b"k", back=True)
+    forms = {"phone": ["+15551234567", "+4930123456", "+49 30 1234567", "+49 30 123-4567", "+33 1 23 45 67 89", "+44 (20) 7946 0958", "+1 555 123 4567",
+                       "+1-555-123-4567", "+1.555.123.4567", "555.123.4567", "555 123 4567"],
+             "card": ["3782 822463 10005", "3782-822463-10005"],
+             "date": ["3/4/2001", "13/4/2001", "3/25/2001", "1.12.1999", "2001-3-4", "03/4/2001", "9-9-2099"]}
+    for kind, values in forms.items():
+        for v in values:
+            for text in (f"see {v}, and", f"é {v} 2024-01-15 x", f"({v})."):
+                new, spans = feistel.find_and_replace(text, to)
+                at = text.index(v)
+                assert (at, at + len(v), kind) in spans, (v, spans)
+                assert new != text and len(new) == len(text) and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+                old, again = feistel.find_and_replace(new, back)
+                assert old == text and again == spans
+    assert feistel.find_and_replace("+49 30 1234567", to)[0].startswith("+49 ") and feistel.find_and_replace("+4930123456", to)[0].startswith("+49")
+    for text in ("1 + 2 + 30", "+5 10 20", "v 1.2.3, 10.20.3000", "x+12345678", "+1234567.89", "13/13/2001"):
+        assert feistel.find_and_replace(text, to) == (text, [])
+    rng = random.Random(8)
+    for _ in range(500):
+        text = " ".join("".join(rng.choices("0123456789+-./() ", k=rng.randint(3, 25))) for _ in range(3))
+        new, spans = feistel.find_and_replace(text, to)
+        assert feistel.find_and_replace(new, back) == (text, spans)
+
+
 def test_network_gradient_and_learning():
     words = [f"w{i}" for i in range(30)]
     texts = [" ".join(words[(s + i) % 30] for i in range(20)) for s in range(30)] * 4
