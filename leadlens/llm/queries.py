@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from leadlens.llm.collisions import op11_collisions
 from leadlens.llm.curve import op8_curve
 from leadlens.llm.feistel import op6_feistel
+from leadlens.llm.permuterm import op13_permuterm
 from leadlens.llm.pseudolik import op5_pseudolik
 from leadlens.llm.reshard import op10_reshard
 from leadlens.llm.rtree import op7_rtree
@@ -12,6 +14,7 @@ from leadlens.llm.secrets import op1_secrets
 from leadlens.llm.spotsigs import op3_spotsigs
 from leadlens.llm.tiling import op4_tiling
 from leadlens.llm.wavelet import op2_wavelet
+from leadlens.llm.whiten import op12_whitening
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_curve": op8_curve,
     "op9_rules": op9_rules,
     "op10_reshard": op10_reshard,
+    "op11_collisions": op11_collisions,
+    "op12_whitening": op12_whitening,
+    "op13_permuterm": op13_permuterm,
 }
 #: DuckDB SQL. Token files, trained models, keyed permutations and random draws have none.
 ORACLE: dict[str, str] = {
