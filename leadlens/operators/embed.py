@@ -2,7 +2,7 @@
 
 A chunk's vector is an ``array<struct<term string, w double>>`` sorted by term, so it
 lives on the chunk's row: scoring a question against a chunk needs no join and no
-shuffle. Term frequencies and document frequencies are partially aggregated group-bys;
+shuffle. Terms are counted inside their row; document frequencies are a partially aggregated group-by;
 idf = ln((N + 1) / (df + 1)), the smoothing of Spark ML's IDF. A term in every chunk
 gets weight 0 and is dropped. Another model plugs in as a function that adds a dense vector
 column (``embed_with``), searched by ``retrieve.nearest_dense``.
@@ -10,19 +10,35 @@ column (``embed_with``), searched by ``retrieve.nearest_dense``.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlens.functions.text import tokens
+from leadlens.functions.text import token_text
 from leadlens.operators.ordering import materialize
 
 
 def term_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key..., term, tf) for non-empty tokens."""
-    return (docs.select(*key, F.explode(tokens(F.col(text))).alias("term"))
-            .groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(key..., term, tf) for non-empty tokens, counted inside each row: only distinct terms leave
+    it, and nothing is shuffled. ``key`` tells the rows apart."""
+    schema = T.StructType([*(docs.schema[c] for c in key), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, _ROWS):
+                part = b.slice(start, _ROWS)
+                counts = [Counter(t.split(" ")) if t else {} for t in part.column(len(key)).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(key))),
+                                                  pa.array([t for c in counts for t in c], pa.string()),
+                                                  pa.array([n for c in counts for n in c.values()], pa.int64())], names=[*key, "term", "tf"])
+
+    return docs.select(*key, token_text(F.col(text))).mapInArrow(run, schema)
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -30,6 +46,8 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Rows counted at once in a task.
+_ROWS = 256
 #: A term's rows are dealt over so many tasks in the join with the document frequencies.
 TERM_SPLITS = 16
 

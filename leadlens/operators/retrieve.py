@@ -1,34 +1,37 @@
 """Exact k-nearest retrieval by squared L2 distance.
 
-Items and questions are packed into blocks of bounded bytes by the tasks that hold them; no
-question or item passes through the driver. Every question block meets every item block in one
-join on block numbers (a stated set of questions against all items, in blocks), whose rows are
-blocks, so it neither grows with the pairs nor adds jobs per question. A task scores its pairs of
-blocks with a vectorised numpy kernel and keeps a running top-k per question over all of them: at
-most k rows per question leave a task. The final ``row_number() <= k`` per question plans as a
-partial WindowGroupLimit before the shuffle.
+Items are dealt over shards of bounded bytes by a hash of their id; every question goes to every
+shard (a stated set of questions against all items, in blocks). An item crosses the network once,
+and the plan holds no block numbers. A task builds its shard's index from the rows that come first
+and then answers the questions that follow: at most k rows per question leave it. The final
+``row_number() <= k`` per question plans as a partial WindowGroupLimit before the shuffle.
+
+Sparse vectors are answered from inverted lists: each term has its postings, cut by blocks of
+items, and the largest weight of each block. Summed over a question's terms these weights bound
+the dot product of any item of a block, so blocks are scored from the largest bound on until the
+next cannot reach the k-th distance found. Nothing is left out: a block is passed over only if its
+bound is beyond that distance.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlens.operators.ordering import materialize
-
-#: Bytes of packed vectors in a block of items or questions.
-BLOCK_BYTES = 4 << 20
+#: Bytes of vectors in a shard. Smaller sets of items are dealt over the session's shuffle
+#: partitions, with SHARD_LEAST items each at least.
+SHARD_BYTES, SHARD_LEAST = 64 << 20, 1024
+#: Items in a block of the inverted lists.
+BLOCK = 32
 _SUB_ROWS = 1024            # items scored at once inside a task (at most)
 _SUB_CELLS = 1 << 21        # item x question distances held at once (16 MB of doubles)
-_SUB_EXPANSION = 4_000_000  # term x question products materialised at once
+_MARGIN = 1e-8              # distances are told apart at 9 decimals
 
 
 def _top_k(pairs: DataFrame, qkey: list[str], ckey: str, k: int) -> DataFrame:
@@ -73,74 +76,52 @@ class _Best:
         self.q, self.d, self.ids = q[keep], d[keep], ids[keep].tolist()
 
 
-# ---- packing ---------------------------------------------------------------------------
+# ---- dealing ---------------------------------------------------------------------------
+
+def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str, k: int, width: Column, shard_of,
+             shard_bytes: int) -> DataFrame:
+    """(qkey..., ckey, distance, rank). ``items`` (ckey, vec) and ``questions`` (qkey..., vec);
+    ``width``: bytes of an item's vector; ``shard_of(ids, vecs)`` gives an object whose
+    ``search(vecs, k)`` yields (question places, item places, distances)."""
+    spark = items.sparkSession
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-size // shard_bytes), min(partitions, n // SHARD_LEAST))
+    keys = [f"__q{i}" for i in range(len(qkey))]
+    left = items.select(F.pmod(F.xxhash64(ckey), F.lit(shards)).cast("int").alias("__shard"), F.lit(False).alias("__asked"),
+                        F.col(ckey).alias("__c"), F.col("vec").alias("__vec"))
+    right = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"), F.lit(True).alias("__asked"),
+                             F.col("vec").alias("__vec"), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)])
+    dealt = (left.unionByName(right, allowMissingColumns=True).repartitionById(shards, F.col("__shard"))
+             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__vec", *keys))
+    schema = T.StructType([*(questions.schema[c] for c in qkey), items.schema[ckey], T.StructField("distance", T.DoubleType())])
 
-def _packer(block_bytes: int, width):
-    """Pack a partition's rows into pickled blocks (block number, payload) of about
-    ``block_bytes``. ``width(vector)``: bytes of a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part << 20 | seq], pa.int64()), pa.array([pickle.dumps(held)], pa.large_binary())],
-                                              names=["block", "payload"])
-
+        held, shard = [], None
         for b in batches:
-            names = b.schema.names
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                row = dict(zip(names, row, strict=True))
-                held.append(row)
-                size += width(row)
-                if size >= block_bytes:
-                    yield block()
-                    seq, held, size = seq + 1, [], 0
-        if held:
-            yield block()
-    return run
-
-
-def _blocks_of(df: DataFrame, block_bytes: int, width) -> DataFrame:
-    return df.mapInArrow(_packer(block_bytes, width), "block long, payload binary")
-
-
-def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str, k: int, width, open_questions, open_items,
-             distances, block_bytes: int) -> DataFrame:
-    """(qkey..., ckey, distance, rank) by scoring all pairs of blocks."""
-    q = materialize(_blocks_of(questions, block_bytes, width))
-    numbers = [r.block for r in q.select("block").collect()]   # one number per block
-    schema = T.StructType([*(questions.schema[c] for c in qkey), items.schema[ckey], T.StructField("distance", T.DoubleType())])
-    if not numbers:
-        return _top_k(items.sparkSession.createDataFrame([], schema), qkey, ckey, k)
-    pairs = (_blocks_of(items, block_bytes, width)
-             .select(F.col("payload").alias("items"), F.explode(F.array(*[F.lit(n) for n in numbers])).alias("block"))
-             .join(q.withColumnRenamed("payload", "questions"), "block")
-             .select("block", "items", "questions").sortWithinPartitions("block"))
+            own = b.num_rows - pc.sum(b.column(0)).as_py()   # items come first
+            if own:
+                held.append(b.slice(0, own).select([1, 2]))
+            asked = b.slice(own)
+            if not asked.num_rows or not held:
+                continue
+            if shard is None:
+                t = pa.Table.from_batches(held).combine_chunks()
+                shard = shard_of(t.column(0).combine_chunks(), t.column(1).combine_chunks())
+            for i in range(0, asked.num_rows, _QUESTIONS):
+                part = asked.slice(i, _QUESTIONS)
+                q, c, d = shard.search(part.column(2), k)
+                if len(q):
+                    at = pa.array(q)
+                    yield pa.RecordBatch.from_arrays([*(part.column(3 + j).take(at) for j in range(len(qkey))),
+                                                      shard.ids.take(pa.array(c)), pa.array(d)], schema=arrow)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, opened, best = None, None, None
-
-        def out() -> pa.RecordBatch:
-            keys = [opened["rows"][j] for j in best.q.tolist()]
-            cols = [pa.array([r[c] for r in keys], f.type) for c, f in zip(qkey, arrow, strict=False)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(best.ids, arrow.field(len(qkey)).type), pa.array(best.d)], schema=arrow)
+    arrow = _arrow_schema(schema)
+    return _top_k(dealt.mapInArrow(run, schema), qkey, ckey, k)
 
-        for b in batches:
-            for block, item_rows, question_rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if block != now:
-                    if best is not None and len(best.q):
-                        yield out()
-                    now, opened, best = block, open_questions(pickle.loads(question_rows)), _Best(k)
-                rows = sorted(pickle.loads(item_rows), key=lambda r: r[ckey])
-                ids = [r[ckey] for r in rows]
-                held = open_items(rows, opened)
-                for start, d in distances(held, opened):
-                    i, j = _smallest(d, k)
-                    best.add(j, d[i, j], [ids[start + x] for x in i.tolist()])
-        if best is not None and len(best.q):
-            yield out()
 
-    arrow = _arrow_schema(schema)
-    return _top_k(pairs.mapInArrow(score, schema), qkey, ckey, k)
+#: Questions answered at once in a task.
+_QUESTIONS = 2048
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -151,92 +132,151 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 # ---- sparse vectors --------------------------------------------------------------------
 
-def _open_sparse_questions(rows: list[dict]) -> dict:
-    """Term-major CSR of a question block (term -> questions, weights)."""
-    vocab: dict[str, int] = {}
-    postings: list[list[tuple[int, float]]] = []
-    qn = np.zeros(len(rows))
-    for j, row in enumerate(rows):
-        for e in row["vec"] or []:
-            tid = vocab.setdefault(e["term"], len(vocab))
-            if tid == len(postings):
-                postings.append([])
-            postings[tid].append((j, float(e["w"])))
-            qn[j] += float(e["w"]) * float(e["w"])
-    lens = np.array([len(p) for p in postings], dtype=np.int64)
-    return {"rows": rows, "vocab": vocab, "qn": qn, "t_ptr": np.concatenate([[0], np.cumsum(lens)]).astype(np.int64),
-            "t_q": np.array([j for p in postings for j, _ in p], dtype=np.int64),
-            "t_w": np.array([w for p in postings for _, w in p], dtype=np.float64)}
-
-
-def _open_sparse_items(rows: list[dict], opened: dict) -> dict:
-    lens = np.array([len(r["vec"] or []) for r in rows], np.int64)
-    terms = [e["term"] for r in rows for e in r["vec"] or []]
-    ws = np.array([e["w"] for r in rows for e in r["vec"] or []], np.float64)
-    row = np.repeat(np.arange(len(rows)), lens)
-    cn = np.zeros(len(rows))
-    np.add.at(cn, row, ws * ws)
-    tid = pd.Series(terms, dtype=object).map(opened["vocab"]).to_numpy(dtype=np.float64)
-    hit = ~np.isnan(tid)
-    return {"n": len(rows), "cn": cn, "tid": tid[hit].astype(np.int64), "row": row[hit], "w": ws[hit]}
-
-
-def _sparse_distances(items: dict, p: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """(first item, items x questions distances) in sub-blocks bounded by rows and products."""
-    nq, t_ptr = len(p["qn"]), p["t_ptr"]
-    counts = t_ptr[items["tid"] + 1] - t_ptr[items["tid"]]
-    before = np.concatenate(([0], np.cumsum(counts)))
-    start = 0
-    while start < items["n"]:
-        stop = min(items["n"], start + _sub_rows(nq))
-        a, b = np.searchsorted(items["row"], (start, stop))
-        while stop - start > 1 and before[b] - before[a] > _SUB_EXPANSION:
-            stop = start + (stop - start) // 2
-            b = int(np.searchsorted(items["row"], stop))
-        c, r, w, t = counts[a:b], items["row"][a:b] - start, items["w"][a:b], items["tid"][a:b]
-        total, m = int(c.sum()), stop - start
-        dots = np.zeros((m, nq))
-        if total:
-            rep = np.repeat(np.arange(len(c)), c)
-            pos = t_ptr[t][rep] + np.arange(total) - np.repeat(np.cumsum(c) - c, c)
-            dots = np.bincount(r[rep] * nq + p["t_q"][pos], weights=w[rep] * p["t_w"][pos], minlength=m * nq).reshape(m, nq)
-        yield start, p["qn"][None, :] + items["cn"][start:stop, None] - 2.0 * dots
-        start = stop
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], starts[i] + 1, ... (counts[i] of them), one after another."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+def _flat(vecs: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(entries per vector, terms, weights) of a list column; a null vector has none."""
+    lens = pc.fill_null(pc.list_value_length(vecs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vecs.flatten()
+    return lens, flat.field("term"), flat.field("w").to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+class InvertedShard:
+    """Inverted lists of sparse vectors (ids ascending), cut by blocks of ``BLOCK`` items, with the
+    largest weight of each term in each block. Weights must not be negative. ``scored`` counts the
+    pairs of question and item whose distance was taken."""
+
+    def __init__(self, ids: pa.Array, vecs: pa.Array, block: int = BLOCK):
+        self.block, self.scored = block, 0
+        lens, terms, w = _flat(vecs)
+        if len(w) and w.min() < 0:
+            raise ValueError("negative weights")
+        n = len(ids)
+        # items of like length share blocks: many small weights or few large ones, so bounds are tight
+        order = np.argsort(lens, kind="stable")
+        self.ids, self.n, self.by_id = ids.take(pa.array(order)), n, order
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        coded = terms.dictionary_encode() if len(terms) else pa.array([], pa.string()).dictionary_encode()
+        self.terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), place[np.repeat(np.arange(n), lens)]
+        by = np.lexsort((row, term))
+        term, self.row, self.w = term[by], row[by], w[by]
+        self.cn = np.bincount(self.row, self.w * self.w, minlength=n)
+        self.blocks = -(-n // block)
+        self.least_cn = np.minimum.reduceat(self.cn, np.arange(0, n, block)) if n else np.empty(0)
+        cell = term * max(1, self.blocks) + self.row // block
+        self.start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
+        self.count = np.diff(np.append(self.start, len(cell)))
+        self.top = np.maximum.reduceat(self.w, self.start) if len(cell) else np.empty(0)
+        self.of_block = self.row[self.start] // block
+        self.first = np.searchsorted(term[self.start], np.arange(len(self.terms) + 1))
+        self.plain = np.lexsort((order, np.round(self.cn, 9)))   # nearest first to what shares no term
+
+    def search(self, vecs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lens, terms, w = _flat(vecs)
+        if len(w) and w.min() < 0:
+            raise ValueError("negative weights")
+        ends, known = np.cumsum(lens), [self.terms.get(t, -1) for t in terms.to_pylist()]
+        known = np.array(known, np.int64)
+        found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}   # equal questions are answered once
+        qs, cs, ds = [], [], []
+        for j, (a, b) in enumerate(zip((ends - lens).tolist(), ends.tolist(), strict=True)):
+            key = known[a:b].tobytes() + w[a:b].tobytes()
+            if key not in found:
+                found[key] = self._one(known[a:b], w[a:b], k)
+            c, d = found[key]
+            qs.append(np.full(len(c), j))
+            cs.append(c)
+            ds.append(d)
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (qs, cs, ds))
+
+    def _one(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        k, qn = min(k, self.n), float((w * w).sum())
+        if not k:
+            return np.empty(0, np.int64), np.empty(0)
+        term, w = term[term >= 0], w[term >= 0]
+        counts = self.first[term + 1] - self.first[term]
+        cells, weight = _spread(self.first[term], counts), np.repeat(w, counts)
+        of = self.of_block[cells]
+        bound = np.bincount(of, weight * self.top[cells], minlength=self.blocks)
+        near = qn + self.least_cn - 2 * bound                    # no item of a block is nearer
+        order = np.flatnonzero(bound > 0)
+        order = order[np.argsort(near[order], kind="stable")]
+        # without common terms the distance is qn + cn: k of these are known, and bound the k-th
+        plain = self.plain[:k]
+        kth = qn + float(self.cn[plain[-1]])
+        plain = plain[bound[plain // self.block] == 0]
+        places, distances = plain, qn + self.cn[plain]
+        at, step = 0, 2
+        while at < len(order) and near[order[at]] <= kth + _MARGIN:
+            chosen = order[at:at + step]
+            chosen = chosen[near[chosen] <= kth + _MARGIN]
+            at, step = at + step, 2 * step
+            slot = np.full(self.blocks, -1)
+            slot[chosen] = np.arange(len(chosen))
+            mine = slot[of] >= 0
+            c, many = cells[mine], self.count[cells[mine]]
+            post = _spread(self.start[c], many)
+            row = self.row[post]
+            dots = np.bincount(slot[row // self.block] * self.block + row % self.block, np.repeat(weight[mine], many) * self.w[post],
+                               minlength=len(chosen) * self.block)
+            rows = (chosen[:, None] * self.block + np.arange(self.block)).ravel()
+            inside = rows < self.n
+            rows, dots = rows[inside], dots[inside]
+            self.scored += len(rows)
+            places = np.concatenate((places, rows))
+            distances = np.concatenate((distances, qn + self.cn[rows] - 2.0 * dots))
+            if len(distances) >= k:
+                kth = min(kth, float(np.partition(distances, k - 1)[k - 1]))
+        if len(distances) > 4 * k:
+            close = distances <= np.partition(distances, k - 1)[k - 1] + _MARGIN
+            places, distances = places[close], distances[close]
+        best = np.lexsort((self.by_id[places], np.round(distances, 9)))[:k]
+        return places[best], distances[best]
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
-                   ckey: str = "chunk_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(qkey..., chunk_id, distance, rank) for sparse unit vectors; ``chunks`` is
-    (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c."""
-    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec"), qkey, ckey, k,
-                    lambda r: 64 + sum(8 + len(e["term"]) for e in r["vec"] or []),
-                    _open_sparse_questions, _open_sparse_items, _sparse_distances, block_bytes)
+                   ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(qkey..., chunk_id, distance, rank) for sparse vectors without negative weights; ``chunks``
+    is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c."""
+    width = F.lit(64) + F.lit(32) * F.size(F.coalesce("vec", F.array().cast(chunks.schema["vec"].dataType)))
+    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec"), qkey, ckey, k, width, InvertedShard, shard_bytes)
 
 
 # ---- dense vectors ---------------------------------------------------------------------
 
-def _open_dense_questions(rows: list[dict]) -> dict:
-    m = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    return {"rows": rows, "m": m, "qn": (m * m).sum(axis=1)}
+def _matrix(vecs: pa.Array) -> np.ndarray:
+    return vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vecs), -1)
 
 
-def _open_dense_items(rows: list[dict], opened: dict) -> np.ndarray:
-    return np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+class DenseShard:
+    """Dense vectors (ids ascending), scored by blocks of matrix products."""
 
+    def __init__(self, ids: pa.Array, vecs: pa.Array):
+        self.ids, self.x = ids, _matrix(vecs)
+        self.cn = (self.x * self.x).sum(axis=1)
 
-def _dense_distances(x: np.ndarray, p: dict) -> Iterator[tuple[int, np.ndarray]]:
-    sub = _sub_rows(len(p["qn"]))
-    for start in range(0, len(x), sub):
-        part = x[start:start + sub]
-        yield start, (part * part).sum(axis=1)[:, None] + p["qn"][None, :] - 2.0 * (part @ p["m"].T)
+    def search(self, vecs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = _matrix(vecs)
+        qn, best, sub = (q * q).sum(axis=1), _Best(k), _sub_rows(len(q))
+        for start in range(0, len(self.x), sub):
+            d = self.cn[start:start + sub, None] + qn[None, :] - 2.0 * (self.x[start:start + sub] @ q.T)
+            i, j = _smallest(d, k)
+            best.add(j, d[i, j], (start + i).tolist())
+        return best.q, np.array(best.ids, np.int64), best.d
 
 
 def nearest_dense(items: DataFrame, queries: DataFrame, qkey: list[str], k: int = 5, ikey: str = "vec_id",
-                  vec: str = "embedding", qvec: str = "qvec", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(qkey..., ikey, distance, rank): exact squared L2 top-k of dense vectors."""
+                  vec: str = "embedding", qvec: str = "qvec", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(qkey..., ikey, distance, rank): exact squared L2 top-k of dense vectors of one length."""
     return _nearest(items.select(ikey, F.col(vec).cast("array<double>").alias("vec")),
                     queries.select(*qkey, F.col(qvec).cast("array<double>").alias("vec")), qkey, ikey, k,
-                    lambda r: 64 + 8 * len(r["vec"] or []), _open_dense_questions, _open_dense_items, _dense_distances, block_bytes)
+                    F.lit(64) + F.lit(8) * F.size("vec"), DenseShard, shard_bytes)
 
 
 def centroids(items: DataFrame, group: str, vec: str = "embedding", out: str = "qvec") -> DataFrame:

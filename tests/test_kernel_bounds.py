@@ -43,7 +43,7 @@ def test_rows_that_leave_a_task(spark):
     for n in (10, 90):
         qs = spark.createDataFrame([(j, rng.normal(size=4).tolist()) for j in range(n)], "qid long, qvec array<double>").coalesce(1)
         spark.sparkContext.setJobGroup(f"near-{n}", "near")
-        rows = R.nearest_dense(items, qs, ["qid"], k=5, block_bytes=2000).collect()
+        rows = R.nearest_dense(items, qs, ["qid"], k=5, shard_bytes=2000).collect()
         out[n] = len(jobs.getJobIdsForGroup(f"near-{n}"))
         assert len(rows) == 5 * n
     spark.sparkContext.setJobGroup("rest", "rest")

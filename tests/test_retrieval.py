@@ -1,12 +1,14 @@
 """Exact top-k retrieval against numpy brute force, including ties and batching."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from leadlens.operators import answer as A
 from leadlens.operators.answer import answer_questions, append_answers, last_messages, retrieve, user_questions
-from leadlens.operators.embed import embed_with, weigh
-from leadlens.operators.retrieve import nearest_dense
+from leadlens.operators.embed import embed_with, term_frequencies, weigh
+from leadlens.operators.retrieve import InvertedShard, nearest_dense, nearest_sparse
 
 
 def test_dense_topk_matches_bruteforce(spark):
@@ -16,7 +18,7 @@ def test_dense_topk_matches_bruteforce(spark):
     q = rng.normal(size=(7, 8))
     items = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<float>")
     qs = spark.createDataFrame([(j, q[j].tolist()) for j in range(len(q))], "qid long, qvec array<double>")
-    got = nearest_dense(items.repartition(4), qs, ["qid"], k=5, block_bytes=500)   # blocks of a few vectors
+    got = nearest_dense(items.repartition(4), qs, ["qid"], k=5, shard_bytes=500)   # shards of a few vectors
     got = {(r["qid"], r["rank"]): r["vec_id"] for r in got.collect()}
     for j in range(len(q)):
         d = ((x.astype(np.float64) - q[j]) ** 2).sum(axis=1)
@@ -96,3 +98,68 @@ def test_frequent_terms_are_split(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def sparse(rng, n, vocabulary, most):
+    """Unit vectors of few and of many terms, zero vectors, and copies."""
+    out = []
+    for i in range(n):
+        size = int(rng.integers(0, most)) if i % 9 else 0
+        terms = sorted(set((rng.zipf(1.3, size) % vocabulary).tolist()))
+        w = rng.random(len(terms)) + 0.01
+        out.append({f"t{t}": float(x) for t, x in zip(terms, w / max(1e-9, np.sqrt((w * w).sum())), strict=True)})
+    for i in range(0, n - 7, 31):
+        out[i + 7] = dict(out[i])
+    return out
+
+
+def as_rows(vectors):
+    return [(i, [{"term": t, "w": w} for t, w in v.items()]) for i, v in enumerate(vectors)]
+
+
+def nearest_by_force(items, q, k):
+    qn = sum(x * x for x in q.values())
+    d = [(round(qn + sum(x * x for x in c.values()) - 2 * sum(w * c.get(t, 0.0) for t, w in q.items()), 9), i) for i, c in enumerate(items)]
+    return [i for _, i in sorted(d)[:k]]
+
+
+def test_inverted_lists_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items, questions = sparse(rng, 700, 300, 60), sparse(rng, 60, 330, 12)
+    kind = "array<struct<term:string,w:double>>"
+    left = spark.createDataFrame(as_rows(items), f"chunk_id long, vec {kind}").repartition(3)
+    right = spark.createDataFrame([*as_rows(questions), (1000, None)], f"qid long, vec {kind}")
+    for shard_bytes in (1 << 26, 100_000):
+        got = {}
+        for r in sorted(nearest_sparse(left, right, ["qid"], k=6, shard_bytes=shard_bytes).collect(), key=lambda r: (r.qid, r["rank"])):
+            got.setdefault(r.qid, []).append(r.chunk_id)
+        assert got == {j: nearest_by_force(items, q, 6) for j, q in enumerate(questions)} | {1000: nearest_by_force(items, {}, 6)}
+    few = nearest_sparse(left.where("chunk_id < 3"), right, ["qid"], k=6)
+    assert few.count() == 3 * 61 and nearest_sparse(left.where("chunk_id < 0"), right, ["qid"]).count() == 0
+
+
+def test_blocks_that_cannot_reach_the_kth_distance_are_not_scored():
+    """Scored pairs fall well below questions x items, and stay exact."""
+    rng = np.random.default_rng(9)
+    items, questions = sparse(rng, 4000, 3000, 80), sparse(rng, 100, 3000, 12)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
+    column = lambda vs: pa.array([v for _, v in as_rows(vs)], kind)
+    shard = InvertedShard(pa.array(range(len(items))), column(items))
+    q, c, _ = shard.search(column(questions), 5)
+    ids = shard.ids.to_numpy()[c]
+    for j, v in enumerate(questions):
+        assert ids[q == j].tolist() == nearest_by_force(items, v, 5)
+    assert shard.scored < 0.25 * len(items) * len(questions)
+
+
+def test_negative_weights_are_refused():
+    kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
+    with pytest.raises(ValueError, match="negative"):
+        InvertedShard(pa.array([1]), pa.array([[{"term": "a", "w": -1.0}]], kind))
+
+
+def test_terms_are_counted_inside_their_row(spark):
+    docs = spark.createDataFrame([(1, "A b-a  c9!"), (2, None), (3, " ... "), (4, "Ärger b")], "id long, text string")
+    tf = term_frequencies(docs, ["id"])
+    assert sorted(map(tuple, tf.collect())) == [(1, "a", 2), (1, "b", 1), (1, "c9", 1), (4, "b", 1), (4, "rger", 1)]
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
