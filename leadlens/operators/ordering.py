@@ -9,8 +9,14 @@ partition metadata is ever in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadlens.session import ensure_checkpoint_dir
 
@@ -54,15 +60,27 @@ def with_prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str],
                      num_partitions: int | None = None) -> DataFrame:
     """Add exclusive running sums ``{out_name: input_col}`` in the global order ``order``.
 
-    Within a partition the running sum is a window over the partition id, whose rows
-    are already co-located and sorted, followed by the partition offset.
+    Within a partition the running sum is taken over its sorted batches as they pass, so nothing is
+    exchanged again; then the partition's offset is added. Inputs count as long or double; a NULL
+    adds nothing.
     """
     tagged = materialize(_sorted_and_tagged(df, order, num_partitions))
     offsets = _partition_offsets(tagged, {out: F.sum(col) for out, col in sums.items()})
-    w = (Window.partitionBy(_PID).orderBy(_MID)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    out = tagged.join(F.broadcast(offsets), _PID)
-    for out_name, col in sums.items():
-        out = out.withColumn(out_name, F.col(f"__off_{out_name}")
-                             + F.coalesce(F.sum(col).over(w), F.lit(0)))
-    return out.drop(_PID, _MID, *[f"__off_{o}" for o in sums])
+    kinds = {out: "double" if dict(df.dtypes)[col] in ("double", "float") else "long" for out, col in sums.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = dict.fromkeys(sums, 0)
+        for b in batches:
+            columns, names = list(b.columns), list(b.schema.names)
+            for out, col in sums.items():
+                x = pc.fill_null(b.column(names.index(col)), 0).to_numpy(zero_copy_only=False).astype(np.float64 if kinds[out] == "double" else np.int64)
+                upto = np.cumsum(x) + before[out]
+                columns.append(pa.array(upto - x if kinds[out] == "long" else np.concatenate(([before[out]], upto[:-1]))[:len(x)]))
+                before[out] = upto[-1] if len(x) else before[out]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(f"__in_{o}" for o in sums)])
+
+    schema = T.StructType([*tagged.schema.fields, *(T.StructField(f"__in_{o}", T.DoubleType() if k == "double" else T.LongType()) for o, k in kinds.items())])
+    out = tagged.mapInArrow(run, schema).join(F.broadcast(offsets), _PID)   # one row per partition
+    for name in sums:
+        out = out.withColumn(name, F.col(f"__off_{name}") + F.col(f"__in_{name}"))
+    return out.drop(_PID, _MID, *[f"__off_{o}" for o in sums], *[f"__in_{o}" for o in sums])

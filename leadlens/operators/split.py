@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from leadlens.operators.ordering import with_global_row_number
 
 SHUFFLE_MUL, SHUFFLE_MOD = 7919, 1000003
+#: Moves the classes' test ranges apart in ``hash_split``.
+CLASS_STEP = 104729
 
 
 def shuffle_key(id_col: Column) -> Column:
@@ -57,3 +59,16 @@ def stratified_folds(df: DataFrame, label: str = "label", key: str = "lead_id",
     train = F.col("split") == "train"
     fold = F.when(train, ((F.col("class_pos") - F.col("__n_test") - 1) % k).cast("int"))
     return (sp if keep_test else sp.where(train)).withColumn("fold", fold).drop("__n_test")
+
+
+def hash_split(df: DataFrame, label: str = "label", key: str = "lead_id", test_fraction: float = 0.2,
+               by_class: dict[int, float] | None = None) -> DataFrame:
+    """Adds ``split`` by the row's own shuffle key and class alone: 'test' below the class's share
+    of the key range (``by_class``; else ``test_fraction``). Nothing is numbered, counted or
+    shuffled, and rows that come later move no earlier row to the other side. Class shares hold in
+    expectation; ``stratified_split`` gives them exactly."""
+    share = F.lit(float(test_fraction))
+    for cls, fraction in (by_class or {}).items():
+        share = F.when(F.col(label) == cls, F.lit(float(fraction))).otherwise(share)
+    place = F.pmod(shuffle_key(F.col(key)) + F.coalesce(F.col(label).cast("bigint"), F.lit(0)) * CLASS_STEP, F.lit(SHUFFLE_MOD))
+    return df.withColumn("split", F.when(place < share * F.lit(SHUFFLE_MOD), "test").otherwise("train"))
