@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from leadlens.session import shared_dir
 
-#: Rows per Arrow batch sent to a Python worker: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch sent to a Python worker: they bound its memory when texts are
+#: long (a single longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings of these operators: small Arrow batches; shuffle files go with their query."""
+    """Session settings of these operators: small Arrow batches; shuffle files go with their query.
+    They hold when the lazy results run, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
@@ -85,36 +88,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int, base: int) -> np.ndarray:
+#: Bytes hashed at a time; tables of powers are as long, whatever the texts.
+SLICE = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _power_table(base: int) -> np.ndarray:
+    """Powers 0 to SLICE of ``base``, modulo 2^64."""
     cache = worker_cache()
     have = cache.get(("pow", base))
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        have = np.empty(size, np.uint64)
+    if have is None:
+        have = np.empty(2 * SLICE, np.uint64)
         have[0] = 1
         filled = 1
-        while filled < size:
-            step = np.uint64(pow(base, filled, 1 << 64))
-            have[filled:2 * filled] = have[:filled] * step
+        while filled < len(have):
+            have[filled:2 * filled] = have[:filled] * np.uint64(pow(base, filled, 1 << 64))
             filled *= 2
-        cache[("pow", base)] = have
-    return have[:n]
-
-
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+        have = cache[("pow", base)] = have[:SLICE + 1].copy()
+    return have
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[starts[i]:ends[i]] for each i: polynomial prefix sums over mixed
-    bytes, moved to a common origin, then finalised with the length."""
+    """64-bit hash of data[starts[i]:ends[i]] for each i (in ascending order, apart): polynomial
+    prefix sums over mixed bytes, moved to a common origin, then finalised with the length. Words
+    are taken in slices of SLICE bytes; a longer word is summed up over several."""
+    out = np.empty(len(starts), np.uint64)
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return out
     mixed = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixed[data] * _power_table(len(data), _BASE), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _power_table(int(starts.max()) + 1, _BASE_INVERSE)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    powers, inverse = _power_table(_BASE), _power_table(_BASE_INVERSE)
+    prefix = np.zeros(SLICE + 1, np.uint64)
+    i = 0
+    while i < len(starts):
+        begin = int(starts[i])
+        j = int(np.searchsorted(ends, begin + SLICE, side="right"))
+        if j > i:
+            size = int(ends[j - 1]) - begin
+            np.cumsum(mixed[data[begin:begin + size]] * powers[:size], out=prefix[1:size + 1])
+            a = starts[i:j] - begin
+            out[i:j] = (prefix[ends[i:j] - begin] - prefix[a]) * inverse[a]
+        else:
+            j, total = i + 1, 0
+            for at in range(begin, int(ends[i]), SLICE):
+                part = mixed[data[at:min(at + SLICE, int(ends[i]))]]
+                total += int((part * powers[:len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at - begin, 1 << 64)
+            out[i] = total % (1 << 64)
+        i = j
+    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
