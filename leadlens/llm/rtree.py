@@ -9,11 +9,15 @@ A tree over all sets alone would compare most sets of like length with each othe
 long sets are alike. So sets are dealt out first: a linked pair shares at least one of the first
 n - ceil(0.8 n) + 1 shingles of each set in any common order, and each of these is a key under
 which the set's point is filed. Frequent shingles, counted over all texts, come last in the order,
-which keeps files small. Per key, small files are one leaf and compared by the bound; in larger
+which keeps files small. A set's place in the order bounds the overlap, too: a pair whose first
+shared key stands at places i and j shares at most min(n - i, m - j), so points that cannot match
+any other in a file leave it. Per key, small files are one leaf and compared by the bounds; in larger
 files every set is first held against a pivot, then, once components are known, against the tree
 of all sets of other components, in blocks. What survives is bounded once more by points of many
 groups, then verified on the whole sets. No link between different components is lost, and no pairs within a group of copies are
-made: equal sets are one point, and a subtree of the set's own component is skipped.
+made: equal sets are one point, and a subtree of the set's own component is skipped. Files of one
+family of texts hold much the same sets, so they are dealt to the same tasks, by their least set,
+and a task hands a pair on once.
 
 Rows with null or empty text, or without words, link with nothing. Rows without doc_id get a null
 component. Rows of the same doc_id are judged by their own texts. Repeated rows share their set.
@@ -43,7 +47,9 @@ BLOCK = 4096
 #: Frequent shingles that the common order puts last (two numbers each, sent to every task).
 #: The order is one and the same for all texts whatever it holds, so no link depends on it.
 FREQUENT = 1 << 17
-_RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("unit", "<i4"), ("vec", "u1", GROUPS)])
+_RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4"), ("unit", "<i4"), ("vec", "u1", GROUPS)])
+#: Files of so many sets are dealt over so many tasks more (one per SALT).
+SALT = 256
 #: Records held in a task before they are handed on.
 _FLUSH = 1 << 19
 
@@ -179,7 +185,7 @@ def _file_points(rows: DataFrame, frequent, n_parts: int) -> DataFrame:
                 seen.add(node)
                 keys = _ordered(s, known, classes)[:len(s) - (4 * len(s) + 4) // 5 + 1]
                 record = np.empty(len(keys), _RECORD)
-                record["key"], record["node"], record["n"] = keys, node, len(s)
+                record["key"], record["node"], record["n"], record["place"] = keys, node, len(s), np.arange(len(keys))
                 record["unit"], record["vec"] = count_vector(s)
                 held.append(record)
                 n += len(keys)
@@ -192,19 +198,35 @@ def _file_points(rows: DataFrame, frequent, n_parts: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "part int, records binary")
 
 
-_PAIRS = "a long, b long, key long, n int, unit int, vec binary, file long"
+_PAIRS = "a long, b long, key long, n int, place int, file long, least long"
 
 
 def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     n = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())],
-        names=["a", "b", "key", "n", "unit", "vec", "file"])
+        [pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+        names=["a", "b", "key", "n", "place", "file", "least"])
+
+
+def _pairable(r: np.ndarray) -> np.ndarray:
+    """Records (sorted by key, then size) that the places let match some other record of their file,
+    in files of two or more. A set's need is least with the smallest partner, so the file's smallest
+    set, or four fifths of the set's own size, decides."""
+    while len(r):
+        at = np.flatnonzero(np.concatenate(([True], r["key"][1:] != r["key"][:-1])))
+        sizes = np.diff(np.append(at, len(r)))
+        n = r["n"].astype(np.int64)
+        partner = np.maximum(np.repeat(n[at], sizes), (4 * n + 4) // 5)
+        keep = (np.repeat(sizes, sizes) > 1) & (n - r["place"] >= need(n, partner))
+        if keep.all():
+            break
+        r = r[keep]
+    return r
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a task's files (a < b), and the points of its large files (key, n, ...;
-    a = node; file = how many)."""
+    """Candidate pairs of a task's files (a < b), and the points of its large files (key, n, place;
+    a = node; file = how many; least = the smallest node)."""
     got = [np.frombuffer(x, _RECORD) for b in batches for x in b.column(1).to_pylist()]
     if not got:
         return
@@ -212,13 +234,14 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del got
     r = r[np.lexsort((r["node"], r["n"], r["key"]))]
     same = np.concatenate(([False], (r["key"][1:] == r["key"][:-1]) & (r["node"][1:] == r["node"][:-1])))
-    r = r[~same]
+    r = _pairable(r[~same])
+    if not len(r):
+        return
     at = np.flatnonzero(np.concatenate(([True], r["key"][1:] != r["key"][:-1])))
     sizes = np.diff(np.append(at, len(r)))
-    size = np.repeat(sizes, sizes)
-    r, size = r[size > 1], size[size > 1]
+    size, least = np.repeat(sizes, sizes), np.repeat(np.minimum.reduceat(r["node"], at), sizes)
     small = r[size <= LEAF]
-    large, large_size = r[size > LEAF], size[size > LEAF]
+    large, large_size, least = r[size > LEAF], size[size > LEAF], least[size > LEAF]
     out_a, out_b = [], []
 
     def add(x: np.ndarray, y: np.ndarray) -> None:
@@ -226,6 +249,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = 5 * np.minimum(x["n"], y["n"]) >= 4 * np.maximum(x["n"], y["n"])
         x, y = x[ok], y[ok]
         shared = np.minimum(x["vec"].astype(np.int64) * x["unit"][:, None], y["vec"].astype(np.int64) * y["unit"][:, None]).sum(1)
+        shared = np.minimum(shared, np.minimum(x["n"] - x["place"], y["n"] - y["place"]))
         ok = shared >= need(x["n"].astype(np.int64), y["n"])
         out_a.append(np.minimum(x["node"][ok], y["node"][ok]))
         out_b.append(np.maximum(x["node"][ok], y["node"][ok]))
@@ -250,8 +274,8 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = large[i:i + (1 << 16)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(x["node"].copy()), pa.nulls(len(x), pa.int64()), pa.array(x["key"].copy().view(np.int64)), pa.array(x["n"].copy()),
-             pa.array(x["unit"].copy()), pa.array([v.tobytes() for v in x["vec"]], pa.binary()), pa.array(large_size[i:i + (1 << 16)])],
-            names=["a", "b", "key", "n", "unit", "vec", "file"])
+             pa.array(x["place"].copy()), pa.array(large_size[i:i + (1 << 16)]), pa.array(least[i:i + (1 << 16)])],
+            names=["a", "b", "key", "n", "place", "file", "least"])
 
 
 def _shared(points: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -262,27 +286,56 @@ def _shared(points: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tree_pairs(group: pa.Table) -> pa.Table:
-    """Candidate pairs of different components between two blocks of a file (or within one): what
-    the tree lets through is bounded again by the fine points before it is handed on."""
-    node, n, unit, label, block, units = (group.column(c).to_numpy() for c in ("node", "n", "unit", "label", "block", "unit_fine"))
+def _file_pairs(group: pa.Table) -> np.ndarray:
+    """Candidate pairs (a < b) of different components between two blocks of a file (or within one):
+    what the tree and the places let through is bounded again by the fine points."""
+    node, n, place, label, block, units = (group.column(c).to_numpy() for c in ("node", "n", "place", "label", "block", "unit"))
     fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
     if units.max() > 1:
         fine = fine.astype(np.int32) * units[:, None].astype(np.int32)
     middle = fine.reshape(-1, FINE // 8, 8).sum(2, dtype=np.int32)  # cheaper, and rids most pairs
-    vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
+    coarse = middle.reshape(len(middle), GROUPS, -1).sum(2, dtype=np.int64)
+    room, n = n.astype(np.int64) - place, n.astype(np.int64)
     a, b = [], []
     both = group.column("b1")[0].as_py() != group.column("b2")[0].as_py()
-    for x, y in RTree(n.astype(np.int64), vec.astype(np.int64) * unit[:, None], label).pairs():
+    for x, y in RTree(n, coarse, label).pairs():
         if both:
             x, y = x[block[x] != block[y]], y[block[x] != block[y]]
+        near = np.minimum(room[x], room[y]) >= need(n[x], n[y])
+        x, y = x[near], y[near]
         for points in (middle, fine):
-            near = _shared(points, x, y) >= need(n[x].astype(np.int64), n[y])
+            near = _shared(points, x, y) >= need(n[x], n[y])
             x, y = x[near], y[near]
         a.append(np.minimum(node[x], node[y]))
         b.append(np.maximum(node[x], node[y]))
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
+
+
+def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of files sorted by (key, b1, b2): their candidate pairs, each once while it is remembered."""
+    held, now, seen = [], None, set()
+
+    def close() -> Iterator[pa.RecordBatch]:
+        pairs = _file_pairs(pa.Table.from_batches(held))
+        new = [p for p in map(tuple, pairs.tolist()) if p not in seen]
+        seen.update(new)
+        if new:
+            a, b = zip(*new, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if len(seen) > _FLUSH:
+            seen.clear()
+
+    for b in batches:
+        files = np.stack([b.column(c).to_numpy() for c in ("key", "b1", "b2")], 1)
+        at = np.flatnonzero(np.concatenate(([True], (files[1:] != files[:-1]).any(1)))) if len(files) else np.empty(0, np.int64)
+        for i, j in zip(at.tolist(), [*at[1:].tolist(), len(files)], strict=True):
+            if held and now != tuple(files[i]):
+                yield from close()
+                held = []
+            now = tuple(files[i])
+            held.append(b.slice(i, j - i))
+    if held:
+        yield from close()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -361,28 +414,32 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n_parts = shuffle_partitions(spark)
     first = scratch.keep(_file_points(rows, frequent, n_parts).repartitionById(n_parts, F.col("part")).mapInArrow(_first_pairs, _PAIRS), "first")
     pairs = scratch.keep(first.where("b is not null").select("a", "b").distinct(), "pairs")
-    known = (sets.where("n > 0 and doc_id is not null").groupBy("node")
-             .agg(F.min("doc_id").alias("rep"), F.first("unit").alias("unit_fine"), F.first("fine").alias("fine")))
+    known = scratch.keep(sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "known")
     links = _verified(pairs, rows, sets, scratch, "v1")
     groups = scratch.keep(components(links, scratch, "c1"), "groups1")
 
     # large files again: sets of different components, by the tree
-    large = first.where("b is null").withColumnRenamed("a", "node")
+    large = first.where("b is null").select(F.col("a").alias("node"), "key", "n", "place", "file", "least")
     if not large.isEmpty():
-        labelled = (large.join(known.select("node", "rep"), "node").join(groups, F.col("rep") == F.col("v"), "left")
-                    .select("key", "node", "n", "unit", "vec", "file", F.coalesce("c", "rep").alias("label")))
+        labels = known.join(groups, F.col("rep") == F.col("v"), "left").select("node", F.coalesce("c", "rep").alias("label"))
+        labelled = scratch.keep(large.join(labels, "node"), "labelled")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        blocks = F.ceil(F.col("file") / BLOCK).cast("int")
-        dealt = (labelled.join(mixed, "key").join(known.select("node", "unit_fine", "fine"), "node")
-                 .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        mixed = scratch.keep(labelled.join(mixed, "key"), "mixed")
+        scratch.drop("labelled")
+        points = (sets.join(mixed.select("node").distinct(), "node").groupBy("node")
+                  .agg(F.first("unit").alias("unit"), F.first("fine").alias("fine")))
+        dealt = (mixed.join(points, "node").withColumn("blocks", F.ceil(F.col("file") / BLOCK).cast("int"))
+                 .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-                 .select("key", "b1", "b2", "block", "node", "n", "unit", "vec", "label", "unit_fine", "fine"))
-        more = dealt.groupBy("key", "b1", "b2").applyInArrow(_tree_pairs, "a long, b long").distinct()
+                 .withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("file") / SALT)).cast("int"))
+                 .select("key", "b1", "b2", "salt", "least", "block", "node", "n", "place", "label", "unit", "fine"))
+        more = (dealt.repartition(n_parts, "least", "b1", "b2", "salt").sortWithinPartitions("key", "b1", "b2")
+                .mapInArrow(_tree_pairs, "a long, b long").distinct())
         more = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
         links2 = _verified(more, rows, sets, scratch, "v2")
         groups = scratch.keep(components(links.union(links2), scratch, "c2"), "groups2")
-    return (sets.select("doc_id", "n", "node").join(known.select("node", "rep"), "node", "left").join(groups, F.col("rep") == F.col("v"), "left")
+    return (sets.select("doc_id", "n", "node").join(known, "node", "left").join(groups, F.col("rep") == F.col("v"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id")))
 
