@@ -50,6 +50,8 @@ FREQUENT = 1 << 17
 _RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4"), ("unit", "<i4"), ("vec", "u1", GROUPS)])
 #: Files of so many sets are dealt over so many tasks more (one per SALT).
 SALT = 256
+#: Bits of the map of ids whose sets are wanted for verification (2 MB, sent to every task).
+MARKS = 1 << 24
 #: Records held in a task before they are handed on.
 _FLUSH = 1 << 19
 
@@ -338,6 +340,20 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
+def _mark(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits, with those of the hashed ids set: of fixed size however many ids."""
+    at = ids.where("doc_id is not null").select(_mark("doc_id").alias("m"))
+    words = (at.groupBy((F.col("m") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("bits"))
+             .collect())  # MARKS / 64 rows at most
+    out = np.zeros(MARKS // 64, np.int64)
+    out[[r.w for r in words]] = [r.bits for r in words]
+    return out.view(np.uint8)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The candidate pairs (a, b; set hashes) that link, as links of smallest doc_ids."""
     def nodes(of: DataFrame) -> DataFrame:
@@ -359,13 +375,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scrat
     points = ("n", "unit", "fine")
     near = pairs.join(side(reps, "a", *points), "a").join(side(reps, "b", *points), "b")
     pairs = scratch.keep(near.select("a", "b", "n_a", "unit_a", "fine_a", "n_b", "unit_b", "fine_b").mapInArrow(bound, "a long, b long"), f"{name}-near")
-    wanted = rows.join(reps.join(nodes(pairs), "node").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    asked = rows.sparkSession.sparkContext.broadcast(_marks(reps.join(nodes(pairs), "node").select("doc_id")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of the texts whose ids are marked: those asked for and a few more, which no pair joins."""
         seen = set()
         for b in batches:
-            new = {}
-            for s in shingle_sets(b.column(0).to_pylist()):
+            new, places = {}, b.column(1).to_numpy()
+            marked = asked.value[places >> 3] >> (places & 7).astype(np.uint8) & 1
+            for s in shingle_sets(b.column(0).filter(pa.array(marked == 1)).to_pylist()):
                 node = set_hash(s) if len(s) else None
                 if node is not None and node not in seen:
                     seen.add(node)
@@ -382,7 +400,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, scratch: Scrat
                 ok.append(100 * both >= 80 * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    full = scratch.keep(wanted.mapInArrow(build, "node long, shingles binary"), f"{name}-full")
+    texts = rows.where("doc_id is not null").select("text", _mark("doc_id").alias("mark"))
+    full = scratch.keep(texts.mapInArrow(build, "node long, shingles binary"), f"{name}-full")
     with_a = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     good = both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
