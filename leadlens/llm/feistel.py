@@ -161,8 +161,10 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def date(self, value: str) -> str | None:
-        """A day of 1900 to 2099 becomes another, in the same written order. If a part is written with
-        one digit, days and months stay with or without a second digit, so that the way back is clear."""
+        """A day of 1900 to 2099 becomes another, the same in every written form, which stays. Days are
+        permuted within classes of the day itself (day below ten, to twelve, above; month below ten
+        or not): so one-digit parts stay of one digit, and what can only be read month first still
+        can."""
         m = re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})", value, re.A)
         if not m:
             return None
@@ -181,20 +183,15 @@ class Pseudonyms:
         size = datetime.date(2100, 1, 1).toordinal() - base
         if not 0 <= day.toordinal() - base < size:
             return None
-        x = day.toordinal() - base
-        short = any(g and len(g) == 1 for g in (m[3], m[4], m[5], m[7]))
-        while True:
+        def kind(d: datetime.date) -> tuple[bool, bool, bool]:
+            return d.day < 10, d.day > 12, d.month < 10
+
+        x = self._map("date", size, day.toordinal() - base)
+        while kind(out := datetime.date.fromordinal(base + x)) != kind(day):
             x = self._map("date", size, x)
-            out = datetime.date.fromordinal(base + x)
-            if short and ((out.day < 10) != (day.day < 10) or (out.month < 10) != (day.month < 10)):
-                continue
-            # written month first, a day up to 12 would be read day first: walk on
-            if not shape.startswith("%m") or out.day > 12:
-                new = out.strftime(shape).replace(out.strftime("%Y"), f"{out.year:04d}")
-                if not short:
-                    return new
-                sep = m[2] or m[6]
-                return sep.join(a[-len(b):] for a, b in zip(new.split(sep), value.split(sep), strict=True))
+        new = out.strftime(shape).replace(out.strftime("%Y"), f"{out.year:04d}")
+        sep = m[2] or m[6]
+        return sep.join(a[-len(b):] for a, b in zip(new.split(sep), value.split(sep), strict=True))
 
     def email(self, value: str) -> str | None:
         """The local part, letter for letter and digit for digit; the domain stays."""
