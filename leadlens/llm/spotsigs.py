@@ -1,9 +1,10 @@
 """SpotSigs document fingerprints.
 
-A signature is a common word (anchor) with the next ``CHAIN`` content words after it; a text's
-fingerprint is its set of signature hashes, written as sorted hexadecimal numbers. A text whose
-anchors give fewer than ``FEW`` signatures takes every word as an anchor besides, so any text with
-words has a fingerprint; a text without words has the empty one. Likeness is the Jaccard
+A signature is an anchor with the next ``CHAIN`` content words after it; a text's fingerprint is
+its set of signature hashes, written as sorted hexadecimal numbers. Anchors are the common words
+and, by its hash, one content word in ``ONE_IN``, so texts in which the common words are rare have
+signatures, too; besides, the first words of a text always make one. This holds alike for every
+text: one with words has a fingerprint, one without has the empty one. Likeness is the Jaccard
 similarity of two fingerprints (two empty ones: 1).
 
 ``similar_pairs`` finds all pairs of distinct fingerprints from a threshold on: sets are dealt to
@@ -34,13 +35,16 @@ au dans de des du elle en est et il la le les ou par pas pour que qui sur un une
 auf das dem den der die ein ist mit nicht sich und von zu
 con del el los no por se y
 """.split())
-CHAIN, FEW = 2, 8
+CHAIN, ONE_IN = 2, 8
 _STRIP = ".,;:!?\"'()[]{}#$%&*|<>-"
 
 
 def signatures(text: str) -> set[int]:
     """The text's signature hashes (32 bits)."""
     words = [w for w in (x.strip(_STRIP) for x in text.lower().split()) if w]
+    if not words:
+        return set()
+    crc = zlib.crc32
     content, at, n = [], [], 0
     for w in words:
         if w in ANCHORS:
@@ -48,10 +52,10 @@ def signatures(text: str) -> set[int]:
         else:
             content.append(w)
             n += 1
-    crc = zlib.crc32
+            if not crc(w.encode()) % ONE_IN:
+                at.append((w, n))
     out = {crc(f"{a} {content[i]} {content[i + 1]}".encode()) for a, i in at if i + 1 < n}
-    if len(out) < FEW:
-        out |= {crc(" ".join(words[i:i + 1 + CHAIN]).encode()) for i in range(max(1, len(words) - CHAIN))} if words else set()
+    out.add(crc(" ".join(words[:1 + CHAIN]).encode()))
     return out
 
 
