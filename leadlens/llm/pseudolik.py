@@ -9,10 +9,14 @@ Counts of all words of all texts give the vocabulary (the ``VOCABULARY`` most fr
 share hashed places). A word in a hashed place has the probability of the place times its exact
 share of the place: n / (N + 1) for a word counted n times in a place with N words in all, and
 1 / (N + 1) for what the corpus does not hold. The table of these counts has every word of the
-corpus, grows with it, and is joined to the words of the texts in Spark. Training is data-parallel: in each round every task trains a copy on all its
-texts of that round, and the copies are averaged, weighted by the words they predicted. The words
-of the texts are dealt over disjoint masks, whose words are predicted mask by mask: so each word of
-each text is predicted once, in the round of its text. The counts grow with the corpus, and what the driver holds is one network of fixed size.
+corpus, grows with it, and is joined to the words of the texts in Spark.
+
+Training is data-parallel. Pieces of the texts are dealt over rounds and, in a round, over copies of
+the network by the hash of their row, so that a copy has a fixed number of words; the copies and
+their Adagrad memories are averaged after each round, weighted by the words they predicted. The
+words are dealt over disjoint masks, whose words are predicted mask by mask: so each word of each
+text is predicted once. Neither files nor partitions change the result, but for rounding. The counts
+grow with the corpus, and what the driver holds is one network of fixed size.
 
 A null text counts as empty: no words, score 0, per word null. Repeated rows are scored alike. An
 empty table gives an empty result, and an untrained network if it is the corpus. Only the named
@@ -21,6 +25,7 @@ columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +43,8 @@ VOCABULARY, HASHED, CLASSES, WIDTH, WINDOW = 4096, 256, 64, 16, 2
 _PLACES = VOCABULARY + HASHED  # words to predict; the next id stands for the edge of a text
 _PER_CLASS = _PLACES // CLASSES
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
+_PIECE = 4096  # words of a text that are dealt together
+_SLICE, _ROUNDS, _COPIES = 1 << 20, 16, 4096  # words of a copy and round, most rounds, most copies
 _BLOCK = 4096  # parameters per row when copies are averaged
 _UNIT = 1 << 24  # logarithms of counts are summed as whole numbers of 1 / _UNIT: alike in any order
 _SHAPES = {"embed": (_PLACES + 1, WIDTH), "gate": (len(_OFFSETS), WIDTH), "bias": (WIDTH,),
@@ -54,6 +61,7 @@ class Network:
     params: dict[str, np.ndarray]
     totals: np.ndarray | None = None
     words: DataFrame | None = None
+    corpus: int = 0  # words of the corpus
 
     @classmethod
     def new(cls, by_frequency: np.ndarray, seed: int = 1) -> Network:
@@ -114,21 +122,20 @@ class Network:
         rows = np.arange(n)
         class_p[rows, cls] -= 1
         word_p[rows, word] -= 1
-        g = {"classes": hidden.T @ class_p / n, "class_bias": class_p.sum(0) / n,
-             "words": np.zeros_like(p["words"]), "word_bias": np.zeros_like(p["word_bias"])}
+        ones = np.ones((n, 1), np.float32)
+        with_one = np.hstack((hidden, ones))  # the last row of a product is the bias's part
+        of_class = with_one.T @ class_p / n
+        of_words = np.zeros((CLASSES, WIDTH + 1, _PER_CLASS), np.float32)
         back = class_p @ p["classes"].T
-        ones = np.ones(n, np.float32)
         for c in range(CLASSES):
             a, b = bounds[c], bounds[c + 1]
             if b > a:
-                np.matmul(hidden[a:b].T, word_p[a:b], out=g["words"][c])
-                g["word_bias"][c] = ones[:b - a] @ word_p[a:b]
+                np.matmul(with_one[a:b].T, word_p[a:b], out=of_words[c])
                 back[a:b] += word_p[a:b] @ p["words"][c].T
-        g["words"] /= n
-        g["word_bias"] /= n
+        of_words /= n
         back *= (1 - hidden * hidden) / n
-        g["bias"] = back.sum(0)
-        g["gate"] = np.stack([(back * c).sum(0) for c in context])
+        g = {"classes": of_class[:-1], "class_bias": of_class[-1], "words": of_words[:, :-1], "word_bias": of_words[:, -1],
+             "bias": (ones.T @ back)[0], "gate": np.stack([np.einsum("ij,ij->j", back, c) for c in context])}
         where = np.concatenate([x[places + o] for o in _OFFSETS])
         flow = np.concatenate([back * gate for gate in p["gate"]])
         cells = (where[:, None] * WIDTH + np.arange(WIDTH)).ravel()
@@ -142,12 +149,12 @@ class Network:
             memory[k] += g * g
             self.params[k] -= rate * g / (np.sqrt(memory[k]) + 1e-6)
 
-    def scores(self, texts: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str], step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(words, summed log-probability) of each text; of a word that shares a place, that of the place."""
         x, places, first = self.encode(texts)
         return np.diff(first), self.sums(x, places, first, step)
 
-    def sums(self, x: np.ndarray, places: np.ndarray, first: np.ndarray, step: int = 8192) -> np.ndarray:
+    def sums(self, x: np.ndarray, places: np.ndarray, first: np.ndarray, step: int = 2048) -> np.ndarray:
         logp = np.empty(len(places))
         for i in range(0, len(places), step):
             part, state = self.forward(x, places[i:i + step])
@@ -159,12 +166,16 @@ class Network:
         return np.concatenate([self.params[k].ravel() for k in _SHAPES])
 
     def with_flat(self, flat: np.ndarray) -> Network:
-        params, at = {}, 0
-        for k, s in _SHAPES.items():
-            n = int(np.prod(s))
-            params[k] = flat[at:at + n].reshape(s).astype(np.float32)
-            at += n
-        return Network(self.hashes, self.ids, params, self.totals, self.words)
+        return Network(self.hashes, self.ids, _unflat(flat), self.totals, self.words, self.corpus)
+
+
+def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, s in _SHAPES.items():
+        n = int(np.prod(s))
+        out[k] = flat[at:at + n].reshape(s).astype(np.float32)
+        at += n
+    return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -212,12 +223,13 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text")
     return _hashes(_top(word_counts(docs, text_col), size))
 
 
-def _untrained(docs: DataFrame, seed: int, text_col: str) -> Network:
+def _untrained(docs: DataFrame, seed: int, text_col: str, scratch: Scratch) -> Network:
     """A new network with the vocabulary of ``docs`` and the counts of all its other words."""
-    counts = Scratch(docs.sparkSession, "pseudolik").keep(word_counts(docs, text_col), "counts")
+    counts = scratch.keep(word_counts(docs, text_col), "counts")
     top = _top(counts, VOCABULARY)
     network = Network.new(_hashes(top), seed)
     network.totals = np.zeros(HASHED)
+    network.corpus = counts.agg(F.sum("n")).first()[0] or 0
     if len(top) == VOCABULARY:
         n, word = F.lit(top[-1].n), F.lit(top[-1].word)
         others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
@@ -227,44 +239,93 @@ def _untrained(docs: DataFrame, seed: int, text_col: str) -> Network:
     return network
 
 
-def train_network(docs: DataFrame, rounds: int = 2, masked: float = 0.25, batch: int = 2048, seed: int = 1,
-                  text_col: str = "text") -> Network:
-    """Train on all texts of ``docs``; each takes part in one round, by its hash. A mask has the share
-    ``masked`` of an Arrow batch's words; all masks are trained on."""
+def _pieces(docs: DataFrame, network: Network, id_col: str | None, text_col: str) -> DataFrame:
+    """(deal, ids): the texts' word ids in pieces of at most ``_PIECE`` words with the ``WINDOW`` ids on
+    either side, as 16-bit integers, and a hash of the row and the place of the piece in it."""
+    sent = docs.sparkSession.sparkContext.broadcast((network.hashes, network.ids))  # of fixed size
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(*sent.value, {})
+        for b in batches:
+            x, places, first = net.encode(b.column(1).to_pylist())
+            x = x.astype(np.int16)
+            rows, at, ids = [], [], []
+            for row, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                for i in range(lo, hi, _PIECE):
+                    rows.append(row)
+                    at.append(i - lo)
+                    ids.append(x[places[i] - WINDOW:places[min(i + _PIECE, hi) - 1] + WINDOW + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()),
+                                              pa.array(ids, pa.binary())], names=["tag", "at", "ids"])
+
+    text = text_of(text_col)
+    rows = docs.select(F.xxhash64(*([id_col] if id_col else []), text).alias("tag"), text.alias("text"))
+    return rows.mapInArrow(encode, "tag long, at long, ids binary").select(F.xxhash64("tag", "at").alias("deal"), "ids")
+
+
+def _plan(words: int, rounds: int | None) -> tuple[int, int]:
+    """(rounds, copies of a round) for a corpus of so many words: a copy takes ``_SLICE`` words a round,
+    rounds grow with the root of the slices up to ``_ROUNDS``, copies up to ``_COPIES``; beyond, slices
+    grow. So neither depends on files or partitions, and no copy learns from a sliver."""
+    slices = -(-words // _SLICE)
+    rounds = rounds or max(1, min(_ROUNDS, math.isqrt(slices)))
+    return rounds, max(1, min(_COPIES, round(slices / rounds)))
+
+
+def train_network(docs: DataFrame, rounds: int | None = None, masked: float = 0.25, batch: int = 2048, seed: int = 1,
+                  text_col: str = "text", id_col: str | None = None) -> Network:
+    """Train on all texts of ``docs``. Pieces of the texts are dealt over rounds and copies by the hash of
+    their row (``id_col`` sets rows of equal texts apart), and a copy takes them in the order of the hash:
+    the result does not depend on files or partitions. A mask has the share ``masked`` of an Arrow batch's
+    words; all masks are trained on."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(text_of(text_col).alias("text"))
-    network = _untrained(docs, seed, text_col)
+    scratch = Scratch(spark, "pseudolik")
+    network = _untrained(docs, seed, text_col, scratch)
+    rounds, copies = _plan(network.corpus, rounds)
+    pieces = scratch.keep(_pieces(docs, network, id_col, text_col), "pieces")
+    start = np.concatenate((network.flat(), np.full(len(network.flat()), 1e-8, np.float32)))  # parameters, Adagrad's memory
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((network.hashes, network.ids, network.params))  # of fixed size
+        sent = spark.sparkContext.broadcast((network.hashes, network.ids, start))  # of fixed size
 
         def fit(batches: Iterator[pa.RecordBatch], r=r, sent=sent) -> Iterator[pa.RecordBatch]:
-            hashes, ids, params = sent.value
-            mine = Network(hashes, ids, {k: v.copy() for k, v in params.items()})
-            memory = {k: np.full(v.shape, 1e-8, np.float32) for k, v in params.items()}
-            rng = np.random.default_rng([seed, r, TaskContext.get().partitionId()])
+            hashes, ids, begin = sent.value
+            half = len(begin) // 2
+            mine, memory = Network(hashes, ids, _unflat(begin[:half])), _unflat(begin[half:])
+            rng = np.random.default_rng([seed, r, TaskContext.get().partitionId()])  # the copy's number
             seen = 0
             for b in batches:
-                x, places, _ = mine.encode(b.column(0).to_pylist())
+                held = [np.frombuffer(v, np.int16) for v in b.column(0).to_pylist()]
+                x = np.concatenate(held).astype(np.int64)
+                inner = np.ones(len(x), bool)
+                ends = np.cumsum([len(v) for v in held])
+                for o in range(WINDOW):
+                    inner[ends - 1 - o] = False
+                    inner[ends - [len(v) for v in held] + o] = False
+                places = np.flatnonzero(inner)
                 rng.shuffle(places)
                 for mask in np.array_split(places, max(1, round(1 / masked))):
                     for i in range(0, len(mask), batch):
                         mine.train(x, mask[i:i + batch], memory)
                 seen += len(places)
             if seen:
-                flat = mine.flat()
+                flat = np.concatenate((mine.flat(), Network(hashes, ids, memory).flat()))
                 blocks = [flat[i:i + _BLOCK] for i in range(0, len(flat), _BLOCK)]
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array(range(len(blocks)), pa.int32()), "weight": pa.array([float(seen)] * len(blocks)),
                     "values": pa.array([v.astype(np.float64).tolist() for v in blocks], pa.list_(pa.float64()))})
 
-        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
-        copies = part.mapInArrow(fit, "block int, weight double, values array<double>")
-        mean = (copies.select("block", "weight", array_to_vector("values").alias("v"))
+        turn = F.pmod("deal", F.lit(rounds * copies))
+        part = (pieces.where(F.pmod(turn, F.lit(rounds)) == r)
+                .repartitionById(copies, F.floor(turn / rounds).cast("int")).sortWithinPartitions("deal").select("ids"))
+        trained = part.mapInArrow(fit, "block int, weight double, values array<double>")
+        mean = (trained.select("block", "weight", array_to_vector("values").alias("v"))
                 .groupBy("block").agg(Summarizer.mean(F.col("v"), F.col("weight")).alias("v")).orderBy("block").collect())
         sent.unpersist()
         if mean:
-            network = network.with_flat(np.concatenate([row.v.toArray() for row in mean]))
+            start = np.concatenate([row.v.toArray() for row in mean]).astype(np.float32)
+            network = network.with_flat(start[:len(start) // 2])
+    scratch.drop("pieces")
     return network
 
 
@@ -293,7 +354,7 @@ def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str
                 total = total - np.bincount(doc, shares[ids[at] - VOCABULARY], many)
                 if apart and len(at):
                     h = h[at]
-                    order = np.lexsort((h, doc))
+                    order = np.argsort(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # equal words of a text meet
                     h, doc = h[order], doc[order]
                     begins = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
                     texts = np.concatenate((texts, doc[begins]))
@@ -322,4 +383,4 @@ def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str
 def op5_pseudolik(spark, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train_network(docs))
+    return score(docs, train_network(docs, id_col="doc_id"))

@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -281,6 +281,55 @@ def test_pseudo_likelihood_predicts_every_word_once(spark, tmp_path, monkeypatch
     assert sorted(got.tolist()) == sorted(x[places].tolist())
 
 
+def test_pseudo_likelihood_is_independent_of_the_layout(spark, tmp_path, monkeypatch):
+    """Several copies and rounds, texts of several pieces, equal texts: one file or many, scores are the same."""
+    monkeypatch.setattr(pseudolik, "_SLICE", 2000)
+    monkeypatch.setattr(pseudolik, "_PIECE", 50)
+    rows = [(i, words(20 + 7 * (i % 20), i)) for i in range(150)] + [(1000 + i, words(90, 1)) for i in range(70)] + [(None, "a b"), (5, None)]
+    assert pseudolik._plan(20000, None) == (3, 3) and pseudolik._plan(0, None) == (1, 1)
+    assert pseudolik._plan(10 ** 14, None) == (16, 4096)
+    got = []
+    for n in (1, 13):
+        path = str(tmp_path / str(n))
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(n).write.parquet(path)
+        df = spark.read.parquet(path)
+        got.append(sorted((r.doc_id or -1, r.n_words, r.log_likelihood)
+                          for r in pseudolik.score(df, pseudolik.train_network(df, batch=256, id_col="doc_id")).collect()))
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]] and len(got[0]) == len(rows)
+    assert np.allclose([r[2] for r in got[0]], [r[2] for r in got[1]], rtol=1e-4)
+
+
+def test_pseudo_likelihood_query_against_plain_numpy(spark, tmp_path, monkeypatch):
+    """The registered query: every position by a plain softmax over its class and the class's words, times
+    the word's counted share of its place."""
+    rows = [(i, " ".join(random.Random(i).choices([f"w{k}" for k in range(5000)], k=1 + 9 * i))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, rows[3][1]), (103, rows[3][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    nets, train = [], pseudolik.train_network
+    monkeypatch.setattr(pseudolik, "train_network", lambda *a, **k: nets.append(train(*a, **k)) or nets[-1])
+    got = {r.doc_id: r for r in QUERIES["op5_pseudolik"](spark, str(tmp_path)).collect()}
+    net, p = nets[0], nets[0].params
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    ids = {w: int(i) for w, i in zip(counts, net.encode([" ".join(counts)])[0][2:-2], strict=True)}
+    totals = Counter()
+    for w, n in counts.items():
+        totals[ids[w]] += n
+    assert len(got) == len(rows) and max(ids.values()) >= pseudolik.VOCABULARY
+    for d, text in rows:
+        seq = [pseudolik._PLACES] * 2 + [ids[w] for w in (text or "").split()] + [pseudolik._PLACES] * 2
+        total = 0.0
+        for i, w in enumerate((text or "").split(), 2):
+            hidden = np.tanh(sum(p["gate"][k] * p["embed"][seq[i + o]] for k, o in enumerate((-2, -1, 1, 2))) + p["bias"])
+            c, at = seq[i] % pseudolik.CLASSES, seq[i] // pseudolik.CLASSES
+            for z, k in ((hidden @ p["classes"] + p["class_bias"], c), (hidden @ p["words"][c] + p["word_bias"][c], at)):
+                total += z[k] - np.log(np.exp(z).sum())
+            if seq[i] >= pseudolik.VOCABULARY:
+                total += np.log(counts[w] / (totals[seq[i]] + 1))
+        n = len((text or "").split())
+        assert got[d].n_words == n and got[d].log_likelihood == pytest.approx(total, rel=1e-4, abs=1e-4)
+        assert got[d].per_word == (pytest.approx(total / n, rel=1e-4) if n else None)
+
+
 # ------------------------------------------------------------------------------ 6 pseudonyms
 
 def test_pseudonyms_table(spark, docs, nothing):
