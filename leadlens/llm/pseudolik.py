@@ -42,13 +42,14 @@ from leadlens.llm.common import ALNUM, Scratch, prepare, table, text_of, word_ha
 VOCABULARY, HASHED, CLASSES, WIDTH, WINDOW = 4096, 256, 64, 16, 2
 _PLACES = VOCABULARY + HASHED  # words to predict; the next id stands for the edge of a text
 _PER_CLASS = _PLACES // CLASSES
-_OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
+_OFFSETS = np.array([o for o in range(-WINDOW, WINDOW + 1) if o])
 _PIECE = 4096  # words of a text that are dealt together
 _SLICE, _ROUNDS, _COPIES = 1 << 20, 16, 4096  # words of a copy and round, most rounds, most copies
 _BLOCK = 4096  # parameters per row when copies are averaged
 _UNIT = 1 << 24  # logarithms of counts are summed as whole numbers of 1 / _UNIT: alike in any order
 _SHAPES = {"embed": (_PLACES + 1, WIDTH), "gate": (len(_OFFSETS), WIDTH), "bias": (WIDTH,),
            "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "words": (CLASSES, WIDTH, _PER_CLASS), "word_bias": (CLASSES, _PER_CLASS)}
+_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
 @dataclass
@@ -96,20 +97,22 @@ class Network:
         """(log-probability of each place's word, what the gradient needs), places by class."""
         p = self.params
         target = x[places]
-        order = np.argsort(target % CLASSES, kind="stable")
+        order = np.argsort((target % CLASSES).astype(np.uint8), kind="stable")  # a radix sort
         places, target = places[order], target[order]
-        context = [p["embed"][x[places + o]] for o in _OFFSETS]
-        hidden = np.tanh(sum(g * c for g, c in zip(p["gate"], context, strict=True)) + p["bias"])
+        context = p["embed"][x[places[:, None] + _OFFSETS]]
+        hidden = np.einsum("nok,ok->nk", context, p["gate"])
+        hidden += p["bias"]
+        np.tanh(hidden, out=hidden)
         cls, word = target % CLASSES, target // CLASSES
         rows = np.arange(len(places))
         class_p = _softmax(hidden @ p["classes"] + p["class_bias"])
         logp = np.log(class_p[rows, cls] + 1e-30)
         bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
-        word_p = p["word_bias"][cls]
-        for c in range(CLASSES):
-            a, b = bounds[c], bounds[c + 1]
+        word_p = np.empty((len(places), _PER_CLASS), np.float32)
+        for c, a, b in zip(range(CLASSES), bounds.tolist(), bounds[1:].tolist(), strict=False):
             if b > a:
-                word_p[a:b] += hidden[a:b] @ p["words"][c]
+                np.matmul(hidden[a:b], p["words"][c], out=word_p[a:b])
+        word_p += p["word_bias"][cls]
         word_p = _softmax(word_p)
         logp += np.log(word_p[rows, word] + 1e-30)
         return logp, (order, places, context, hidden, cls, word, class_p, word_p, bounds)
@@ -122,32 +125,41 @@ class Network:
         rows = np.arange(n)
         class_p[rows, cls] -= 1
         word_p[rows, word] -= 1
-        ones = np.ones((n, 1), np.float32)
-        with_one = np.hstack((hidden, ones))  # the last row of a product is the bias's part
-        of_class = with_one.T @ class_p / n
-        of_words = np.zeros((CLASSES, WIDTH + 1, _PER_CLASS), np.float32)
+        ones = np.ones(n, np.float32)
+        flat = np.zeros(_SIZE, np.float32)
+        g = _views(flat)
+        np.matmul(hidden.T, class_p, out=g["classes"])
+        np.matmul(ones, class_p, out=g["class_bias"])
         back = class_p @ p["classes"].T
-        for c in range(CLASSES):
-            a, b = bounds[c], bounds[c + 1]
+        of_word = np.empty_like(back)
+        for c, a, b in zip(range(CLASSES), bounds.tolist(), bounds[1:].tolist(), strict=False):
             if b > a:
-                np.matmul(with_one[a:b].T, word_p[a:b], out=of_words[c])
-                back[a:b] += word_p[a:b] @ p["words"][c].T
-        of_words /= n
-        back *= (1 - hidden * hidden) / n
-        g = {"classes": of_class[:-1], "class_bias": of_class[-1], "words": of_words[:, :-1], "word_bias": of_words[:, -1],
-             "bias": (ones.T @ back)[0], "gate": np.stack([np.einsum("ij,ij->j", back, c) for c in context])}
-        where = np.concatenate([x[places + o] for o in _OFFSETS])
-        flow = np.concatenate([back * gate for gate in p["gate"]])
-        cells = (where[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        g["embed"] = np.bincount(cells, flow.ravel(), (_PLACES + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+                np.matmul(hidden[a:b].T, word_p[a:b], out=g["words"][c])
+                np.matmul(word_p[a:b], p["words"][c].T, out=of_word[a:b])
+        some = np.flatnonzero(np.diff(bounds))
+        if n:
+            g["word_bias"][some] = np.add.reduceat(word_p, bounds[some])
+        back += of_word
+        back *= 1 - hidden * hidden
+        np.matmul(ones, back, out=g["bias"])
+        np.einsum("nk,nok->ok", back, context, out=g["gate"])
+        where = x[places + _OFFSETS[:, None]].ravel()
+        for k, (gate, flow) in enumerate(zip(p["gate"].T.astype(float), back.T.astype(float), strict=True)):
+            g["embed"][:, k] = np.bincount(where, np.outer(gate, flow).ravel(), _PLACES + 1)
+        flat /= max(n, 1)
         return g
 
     def train(self, x: np.ndarray, places: np.ndarray, memory: dict[str, np.ndarray], rate: float = 0.1) -> None:
         """One Adagrad step."""
         _, state = self.forward(x, places)
         for k, g in self.gradient(x, state).items():
-            memory[k] += g * g
-            self.params[k] -= rate * g / (np.sqrt(memory[k]) + 1e-6)
+            held = g * g
+            memory[k] += held
+            np.sqrt(memory[k], out=held)
+            held += 1e-6
+            np.divide(g, held, out=held)
+            held *= rate
+            self.params[k] -= held
 
     def scores(self, texts: list[str], step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(words, summed log-probability) of each text; of a word that shares a place, that of the place."""
@@ -169,15 +181,20 @@ class Network:
         return Network(self.hashes, self.ids, _unflat(flat), self.totals, self.words, self.corpus)
 
 
-def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
+def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters as views of one array."""
     out, at = {}, 0
     for k, s in _SHAPES.items():
         n = int(np.prod(s))
-        out[k] = flat[at:at + n].reshape(s).astype(np.float32)
+        out[k] = flat[at:at + n].reshape(s)
         at += n
     return out
 
 
+def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
+    return _views(flat.astype(np.float32))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     """Of each row, in place."""
     if z.size:
