@@ -100,47 +100,49 @@ class Network:
         order = np.argsort((target % CLASSES).astype(np.uint8), kind="stable")  # a radix sort
         places, target = places[order], target[order]
         context = p["embed"][x[places[:, None] + _OFFSETS]]
+        one = np.ones((len(places), WIDTH + 1), np.float32)  # hidden values, and a 1 for the biases
         hidden = np.einsum("nok,ok->nk", context, p["gate"])
         hidden += p["bias"]
-        np.tanh(hidden, out=hidden)
+        np.tanh(hidden, out=one[:, :-1])
         cls, word = target % CLASSES, target // CLASSES
         rows = np.arange(len(places))
-        class_p = _softmax(hidden @ p["classes"] + p["class_bias"])
+        class_p, class_sum = _exponentials(one @ np.vstack((p["classes"], p["class_bias"])))
+        class_p /= class_sum[:, None]
         logp = np.log(class_p[rows, cls] + 1e-30)
         bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
-        word_p = np.empty((len(places), _PER_CLASS), np.float32)
+        weights = np.concatenate((p["words"], p["word_bias"][:, None]), 1)
+        word_e = np.empty((len(places), _PER_CLASS), np.float32)
         for c, a, b in zip(range(CLASSES), bounds.tolist(), bounds[1:].tolist(), strict=False):
             if b > a:
-                np.matmul(hidden[a:b], p["words"][c], out=word_p[a:b])
-        word_p += p["word_bias"][cls]
-        word_p = _softmax(word_p)
-        logp += np.log(word_p[rows, word] + 1e-30)
-        return logp, (order, places, context, hidden, cls, word, class_p, word_p, bounds)
+                np.matmul(one[a:b], weights[c], out=word_e[a:b])
+        word_e = _exponentials(word_e)
+        logp += np.log(word_e[0][rows, word] / word_e[1] + 1e-30)
+        return logp, (order, places, context, one, cls, word, class_p, word_e, bounds)
 
     def gradient(self, x: np.ndarray, state) -> dict[str, np.ndarray]:
         """Gradient of the mean negative log-probability."""
         p = self.params
-        _, places, context, hidden, cls, word, class_p, word_p, bounds = state
+        _, places, context, one, cls, word, class_p, (word_p, word_sum), bounds = state
         n = len(places)
+        word_p /= word_sum[:, None]
         rows = np.arange(n)
         class_p[rows, cls] -= 1
         word_p[rows, word] -= 1
         ones = np.ones(n, np.float32)
         flat = np.zeros(_SIZE, np.float32)
         g = _views(flat)
-        np.matmul(hidden.T, class_p, out=g["classes"])
-        np.matmul(ones, class_p, out=g["class_bias"])
+        of_class = one.T @ class_p
+        g["classes"][:], g["class_bias"][:] = of_class[:-1], of_class[-1]
+        of_words = np.zeros((CLASSES, WIDTH + 1, _PER_CLASS), np.float32)
         back = class_p @ p["classes"].T
         of_word = np.empty_like(back)
         for c, a, b in zip(range(CLASSES), bounds.tolist(), bounds[1:].tolist(), strict=False):
             if b > a:
-                np.matmul(hidden[a:b].T, word_p[a:b], out=g["words"][c])
+                np.matmul(one[a:b].T, word_p[a:b], out=of_words[c])
                 np.matmul(word_p[a:b], p["words"][c].T, out=of_word[a:b])
-        some = np.flatnonzero(np.diff(bounds))
-        if n:
-            g["word_bias"][some] = np.add.reduceat(word_p, bounds[some])
+        g["words"][:], g["word_bias"][:] = of_words[:, :-1], of_words[:, -1]
         back += of_word
-        back *= 1 - hidden * hidden
+        back *= 1 - one[:, :-1] ** 2
         np.matmul(ones, back, out=g["bias"])
         np.einsum("nk,nok->ok", back, context, out=g["gate"])
         where = x[places + _OFFSETS[:, None]].ravel()
@@ -195,14 +197,14 @@ def _unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
     return _views(flat.astype(np.float32))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
-    if z.size:
-        top = z.max()
-        z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all, unless rows could vanish
-        np.exp(z, out=z)
-        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials of each row, in place and up to a factor; their sums)."""
+    if not z.size:
+        return z, np.ones(len(z), z.dtype)
+    top = z.max()
+    z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all, unless rows could vanish
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
