@@ -199,13 +199,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.002) -> RuleModel
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS,
           id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """Fit on at most ``max_rows`` of ``labels``; the caller has taken out what must be held out."""
+    """Fit on at most ``max_rows`` ids of ``labels``; the caller has taken out what must be held out.
+    Each id counts once, whatever the order of the rows: of repeated labels the smallest, of repeated
+    documents the one with the smallest statistics."""
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
+             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     # max_rows pairs of numbers at most, so this side is small at any size of the corpus
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = texts.select("label", *[c.alias(k) for k, c in statistics(F.col("text")).items()]).limit(max_rows).toPandas()
+    stats = F.struct("label", *[c.alias(k) for k, c in statistics(F.col("text")).items()])
+    rows = texts.groupBy("doc_id").agg(F.min(stats).alias("s")).select("doc_id", "s.*").toPandas().sort_values("doc_id")
     return fit_rules(rows[FEATURES].to_numpy(float), rows["label"].to_numpy(float))
 
 

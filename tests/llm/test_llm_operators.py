@@ -477,6 +477,26 @@ def test_statistics_and_scores_agree_with_python(spark, docs, nothing):
     assert rules.train(docs, labels.where("false")).log_odds(x).tolist() == [0.0] * len(x)
 
 
+def test_training_counts_each_id_once(spark, docs):
+    """Repeated labels and documents, in any order and layout, give the model of their smallest rows,
+    from at most max_rows rows."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 52) if i not in (5, 6)], "doc_id long, quality int")
+    one = docs.where("doc_id <> 13")
+    whole = rules.train(one, labels)
+    again = rules.train(one.unionByName(one).repartition(7, "text"), labels.unionByName(labels).orderBy(F.desc("doc_id")))
+    assert whole == again and whole.linear
+    larger = labels.unionByName(labels.where("quality = 0").withColumn("quality", F.lit(1)))
+    assert rules.train(one, larger) == whole
+    assert rules.train(docs, labels) == rules.train(docs.repartition(5, "n_chars"), labels)
+    seen = []
+    fit, rules.fit_rules = rules.fit_rules, lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        rules.train(docs.unionByName(docs), labels, max_rows=4)
+    finally:
+        rules.fit_rules = fit
+    assert len(seen) == 1 and seen[0] <= 4
+
+
 def test_quality_on_held_out_rows(spark):
     out = QUERIES["op9_rules"](spark, SF_SMALL.replace("0.001", "0.01")).join(
         spark.read.parquet(SF_SMALL.replace("0.001", "0.01") + "/labels.parquet"), "doc_id").collect()
@@ -558,6 +578,14 @@ def test_pipeline_stages(spark, docs, nothing):
         for table in (docs, nothing):
             out = stage(spark, table, SF_SMALL)
             assert out.columns == table.columns and out.count() <= table.count()
+    null, empty = ("doc_id = 5 and text is null", "doc_id = 6 and text = ''")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.where(null).count() == 1 and out.where(empty).count() == 1, name
+        if name != "near_copies":
+            assert out.count() == docs.count() and out.where("doc_id is null").count() == 2, name
+        assert out.select("label", "shard", "key").distinct().collect() == [("x", "x", "x")]
+    assert corpus_pipeline.pack(spark, docs.where("doc_id in (5, 6)"), SF_SMALL).agg(F.sum("length")).first()[0] == 2
     out = corpus_pipeline.run(spark, SF_SMALL)
     left = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     raw = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
