@@ -2,6 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last
 return the columns of ``docs``.
+
+What every stage does with odd input:
+* null text counts as empty text, and stays null where the document is kept; empty texts are scored,
+  link with nothing, hold no passage and no secret, and are packed as the end id alone;
+* texts are read whole, however long;
+* rows without ``doc_id`` pass the first, third and fourth stage like others;
+* repeated rows: all are scored alike; of equal or nearly equal texts the smallest id stays after the
+  second stage; rows that share an id stay or go together;
+* empty ``documents`` give no rows; empty ``labels`` give a model that says 0.5 for every text, so
+  all stay; an empty ``benchmark`` removes nothing;
+* extra columns of ``documents`` are handed on unchanged, ``n_chars`` follows a masked text; stages
+  compute in columns whose names begin with two underscores, or apart from the extra columns.
 """
 
 from __future__ import annotations
