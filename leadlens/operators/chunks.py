@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens import schema as S
 from leadlens.functions.fmt import money0, one_decimal
+from leadlens.operators.ordering import materialize, with_global_row_number
 
 CHUNK_COLUMNS = ["chunk_id", "type", "index", "industry", "company_size", "lead_score", "text"]
 
@@ -16,7 +19,7 @@ def _part(label: str, value: Column, rendered: Column | None = None) -> Column:
 
 
 def lead_parts(df: DataFrame) -> list[Column]:
-    """The sentence parts of one lead, NULL where the value is missing or the column absent."""
+    """The sentence parts of one lead (fixed wording), NULL where the value is missing or the column absent."""
     has = set(df.columns)
     c = lambda name: F.col(name) if name in has else F.lit(None)
     pred = c("predicted_lead_score")
@@ -74,54 +77,65 @@ def lead_chunks(scored: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
+def summary_figures(scored: DataFrame) -> DataFrame:
+    """(column, value, n, and for column 'all' avg_revenue, max_revenue, avg_engagement): everything
+    the summary says, from one scan of the table. NULLs have no value and stand for no row."""
+    has = set(scored.columns)
+    cols = [c for c in ("predicted_lead_score", "industry", "region") if c in has]
+    figure = lambda c: F.col(c).cast("double") if c in has else F.lit(None).cast("double")
+    base = scored.select(*[F.col(c).cast("string").alias(c) for c in cols], figure("annual_revenue").alias("revenue"),
+                         figure("engagement_score").alias("engagement"))
+    grouped = base.groupingSets([[], *[[F.col(c)] for c in cols]], *cols) if cols else base.groupBy()
+    out = grouped.agg(
+        F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in cols], F.lit("all")).alias("column"),
+        F.coalesce(*cols, F.lit(None).cast("string")).alias("value"), F.count(F.lit(1)).alias("n"),
+        F.avg("revenue").alias("avg_revenue"), F.max("revenue").alias("max_revenue"), F.avg("engagement").alias("avg_engagement"))
+    return out.where("column = 'all' or value is not null").select("column", "value", "n", "avg_revenue", "max_revenue", "avg_engagement")
+
+
 def summary_sentences(scored: DataFrame) -> DataFrame:
-    """(section, pos, text) rows of the summary, in reading order. Every section is an
-    aggregate of the table; counts drop NULLs, shares divide by all rows."""
-    total = scored.agg(F.count(F.lit(1)).alias("n")).scalar()
-    sections = [scored.agg(F.concat(F.lit("Total leads analyzed: "), F.count(F.lit(1)).cast("string")).alias("text"))
-                .select(F.lit(0).alias("section"), F.lit(0).alias("pos"), "text")]
-
-    def counted(col: str) -> DataFrame:
-        vc = scored.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        return vc.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("value"))))
-
-    if "predicted_lead_score" in scored.columns:
-        sc = counted("predicted_lead_score")
-        sections.append(sc.select(F.lit(1).alias("section"), "pos", F.concat(
-            F.col("n").cast("string"), F.lit(" leads ("), one_decimal(F.col("n") * F.lit(100.0) / total),
-            F.lit("%) are predicted as "), F.col("value"), F.lit(" quality")).alias("text")))
-    if "industry" in scored.columns:
-        top = counted("industry").where(F.col("pos") <= S.SUMMARY_TOP_INDUSTRIES)
-        items = F.sort_array(F.collect_list(F.struct("pos", F.concat(F.col("value"), F.lit(" ("),
-                                                                      F.col("n").cast("string"), F.lit(")")).alias("s"))))
-        sections.append(top.agg(F.concat(F.lit("Top industries: "), F.array_join(F.transform(items, lambda x: x["s"]), ", "))
-                                .alias("text")).select(F.lit(2).alias("section"), F.lit(0).alias("pos"), "text"))
-    if "annual_revenue" in scored.columns:
-        sections.append(scored.agg(F.concat(
-            F.lit("Average annual revenue: $"), money0(F.avg("annual_revenue")),
-            F.lit(", Maximum: $"), money0(F.max("annual_revenue"))).alias("text"))
-            .select(F.lit(3).alias("section"), F.lit(0).alias("pos"), "text"))
-    if "engagement_score" in scored.columns:
-        sections.append(scored.agg(F.concat(F.lit("Average engagement score: "), one_decimal(F.avg("engagement_score")),
-                                            F.lit("/100")).alias("text"))
-                        .select(F.lit(4).alias("section"), F.lit(0).alias("pos"), "text"))
-    if "region" in scored.columns:
-        rc = counted("region")
-        sections.append(rc.select(F.lit(5).alias("section"), "pos", F.concat(
-            one_decimal(F.col("n") * F.lit(100.0) / total), F.lit("% of leads are from "), F.col("value")).alias("text")))
-    out = sections[0]
-    for s in sections[1:]:
-        out = out.unionByName(s)
-    return out
+    """(section, n, value, text) rows of the summary; reading order is section, falling n, value.
+    Counts drop NULLs, shares divide by all rows. The wording is fixed."""
+    has = set(scored.columns)
+    figures = materialize(summary_figures(scored))   # one row per value; every section reads it
+    whole = figures.where("column = 'all'").agg(*[F.max(c).alias(c) for c in ("n", "avg_revenue", "max_revenue", "avg_engagement")])
+    total = whole.select(F.coalesce("n", F.lit(0))).scalar()
+    counted = lambda col: figures.where(F.col("column") == col)
+
+    def section(number: int, rows: DataFrame, text: Column, n: Column | None = None, value: Column | None = None) -> DataFrame:
+        return rows.select(F.lit(number).alias("section"), (F.lit(0) if n is None else n).cast("long").alias("n"),
+                           (F.lit("") if value is None else value).alias("value"), text.alias("text"))
+
+    share = one_decimal(F.col("n") * F.lit(100.0) / total)
+    sections = [section(0, whole, F.concat(F.lit("Total leads analyzed: "), F.coalesce("n", F.lit(0)).cast("string")))]
+    if "predicted_lead_score" in has:
+        sections.append(section(1, counted("predicted_lead_score"), F.concat(
+            F.col("n").cast("string"), F.lit(" leads ("), share, F.lit("%) are predicted as "), F.col("value"), F.lit(" quality")),
+            F.col("n"), F.col("value")))
+    if "industry" in has:
+        top = counted("industry").orderBy(F.desc("n"), "value").limit(S.SUMMARY_TOP_INDUSTRIES)
+        items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "value", F.concat(
+            F.col("value"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("s"))))
+        sections.append(section(2, top.agg(items.alias("items")), F.concat(
+            F.lit("Top industries: "), F.array_join(F.transform("items", lambda x: x["s"]), ", "))))
+    if "annual_revenue" in has:
+        sections.append(section(3, whole, F.concat(F.lit("Average annual revenue: $"), money0(F.col("avg_revenue")),
+                                                   F.lit(", Maximum: $"), money0(F.col("max_revenue")))))
+    if "engagement_score" in has:
+        sections.append(section(4, whole, F.concat(F.lit("Average engagement score: "), one_decimal(F.col("avg_engagement")), F.lit("/100"))))
+    if "region" in has:
+        sections.append(section(5, counted("region"), F.concat(share, F.lit("% of leads are from "), F.col("value")),
+                                F.col("n"), F.col("value")))
+    return reduce(DataFrame.unionByName, sections)
 
 
 def summary_chunks(scored: DataFrame) -> DataFrame:
-    """Summary sentences numbered in reading order: id 'summary_<i>' (a few dozen rows)."""
-    sent = summary_sentences(scored)
-    idx = F.row_number().over(Window.orderBy("section", "pos")) - 1
-    return sent.select(idx.alias("i"), "text").select(
-        F.concat(F.lit("summary_"), F.col("i").cast("string")).alias("chunk_id"),
-        F.lit("summary").alias("type"), F.col("i").cast("string").alias("index"),
+    """Summary sentences numbered in reading order: id 'summary_<i>'."""
+    sent = with_global_row_number(summary_sentences(scored), [F.col("section"), F.desc("n"), F.col("value")], "i")
+    index = (F.col("i") - 1).cast("string")
+    return sent.select(
+        F.concat(F.lit("summary_"), index).alias("chunk_id"),
+        F.lit("summary").alias("type"), index.alias("index"),
         F.lit(None).cast("string").alias("industry"), F.lit(None).cast("string").alias("company_size"),
         F.lit(None).cast("string").alias("lead_score"), "text")
 

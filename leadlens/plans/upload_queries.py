@@ -10,15 +10,19 @@ from leadlens import schema as S
 from leadlens.operators import answer as A
 from leadlens.operators import hashed, merged
 from leadlens.operators.chunks import lead_chunks
+from leadlens.operators.models import compare_models, feature_names, model_scores
 from leadlens.operators.ordering import materialize
 from leadlens.operators.split import CLASS_STEP, SHUFFLE_MOD, SHUFFLE_MUL, hash_split
 from leadlens.plans.lead_queries import labeled_df, leads_df, scored_df
+from leadlens.plans.model_queries import training_table
 from leadlens.plans.oracle import IMPUTED, LABELED, LEADS, SCORED, with_ctes
 from leadlens.plans.registry import ORACLE, register
 from leadlens.plans.text_queries import _CHUNK_CTES, _QUESTIONS, _TEMPLATE, _TFIDF, answers_df
 from leadlens.session import shared_dir
 from leadlens.sources import chat_log, chunk_increment
 from leadlens.sources.intake import read_folder
+from leadlens.sources.leads_csv import preview, read_leads
+from leadlens.sources.model_store import load_model, model_versions, save_model
 from leadlens.sources.tables import load
 
 
@@ -150,3 +154,63 @@ def q_merged_quantiles(spark, sf_dir):
               for c in S.NUMERIC if c in rows for i, q in enumerate(at)]
     ranks = leads.agg(F.array(*checks).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     return ranks.select("column", "n", "at", ((F.col("below") <= (F.col("at") + 0.015) * F.col("n")) & (F.col("upto") >= (F.col("at") - 0.015) * F.col("n"))).alias("within_bound"))
+
+
+@register("upload_preview", with_ctes(LEADS, body=f"""
+SELECT lead_id, company_size, industry, round(annual_revenue, 6) AS annual_revenue, website_visits, region,
+  (SELECT COUNT(*) FROM leads) AS n_rows, {len(S.LEAD_SCHEMA.names)} AS n_columns FROM leads ORDER BY lead_id LIMIT 10"""))
+def q_upload_preview(spark, sf_dir):
+    """The first ten leads of an upload in the order of their ids, with its size."""
+    path = shared_dir(spark, f"preview-{uuid.uuid4().hex}")
+    leads_df(spark, sf_dir).select(*S.LEAD_SCHEMA.names).write.option("header", True).csv(path)
+    first, rows, columns = preview(read_leads(spark, path).orderBy("lead_id"))
+    return first.select("lead_id", "company_size", "industry", F.round("annual_revenue", 6).alias("annual_revenue"), "website_visits", "region",
+                        F.lit(rows).cast("long").alias("n_rows"), F.lit(columns).alias("n_columns"))
+
+
+#: Uploads by the columns they leave out.
+_LEFT_OUT = {"complete": [], "without region": ["region"], "without two": ["ad_clicks", "industry"], "without id": ["lead_id"]}
+
+
+@register("upload_checks", with_ctes(LEADS, body="""
+SELECT 'complete' AS upload, '' AS refused, COUNT(*) AS n_rows FROM leads
+UNION ALL SELECT 'without region', 'Missing required columns: region', 0
+UNION ALL SELECT 'without two', 'Missing required columns: industry, ad_clicks', 0
+UNION ALL SELECT 'without id', '', COUNT(*) FROM leads"""))
+def q_upload_checks(spark, sf_dir):
+    """Uploads with and without required columns: what the reader refuses, and the rows it takes."""
+    path, rows = shared_dir(spark, f"checks-{uuid.uuid4().hex}"), []
+    for i, (upload, left_out) in enumerate(_LEFT_OUT.items()):
+        kept = [c for c in S.LEAD_SCHEMA.names if c not in left_out]
+        leads_df(spark, sf_dir).select(*kept).write.option("header", True).csv(f"{path}/{i}")
+        try:
+            rows.append((upload, "", read_leads(spark, f"{path}/{i}").where("lead_id is not null").count()))
+        except ValueError as e:
+            rows.append((upload, str(e), 0))
+    return spark.createDataFrame(rows, "upload string, refused string, n_rows long")
+
+
+@register("model_package", with_ctes(LEADS, body="""
+SELECT 'rows' AS what, COUNT(*) AS n FROM leads
+UNION ALL SELECT 'scores unlike the fitted model', 0
+UNION ALL SELECT 'feature names unlike the fitted model', 0
+UNION ALL SELECT 'versions', 2
+UNION ALL SELECT 'version loaded as newest', 2
+UNION ALL SELECT 'version loaded by number', 1"""))
+def q_model_package(spark, sf_dir):
+    """One learner fitted on the leads, saved as two versions and loaded: every lead has the fitted
+    model's score, and each version its own name."""
+    data = training_table(spark, sf_dir)
+    _, _, fitted = compare_models(data, cv_folds=0, models=["Logistic Regression"])
+    path, names = shared_dir(spark, f"package-{uuid.uuid4().hex}"), feature_names(fitted, data)
+    for n in (1, 2):
+        save_model(spark, fitted, path, str(n), names)
+    loaded, newest, loaded_names = load_model(spark, path)
+    older = load_model(spark, path, 1)[1]
+    figures = ["probability_low", "probability_medium", "probability_high", "predicted_index"]
+    of = lambda model: model_scores(model, data).select("lead_id", *figures)
+    unlike = materialize(of(fitted).exceptAll(of(loaded)).agg(F.count(F.lit(1)).alias("n"))).first()["n"]
+    rows = [("rows", of(loaded).count()), ("scores unlike the fitted model", unlike),
+            ("feature names unlike the fitted model", sum(a != b for a, b in zip(names, loaded_names, strict=True))),
+            ("versions", len(model_versions(spark, path))), ("version loaded as newest", int(newest)), ("version loaded by number", int(older))]
+    return spark.createDataFrame(rows, "what string, n long")

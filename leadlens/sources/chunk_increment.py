@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from leadlens.operators.chunks import lead_chunks, summary_chunks
 from leadlens.operators.ordering import materialize
+from leadlens.sources.numbered import complete, publish
 
 SUMMARY = -1
 
@@ -37,19 +38,9 @@ def bucket_fingerprints(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return hashed.groupBy("bucket").agg(F.concat_ws(":", *[p.cast("string") for p in parts]).alias("fingerprint"))
 
 
-def _manifests(spark: SparkSession, base: str) -> list[int]:
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{base}/_manifest")
-    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(folder, "*/_SUCCESS"))
-    return sorted(int(s.getPath().getParent().getName()) for s in done or [])
-
-
 def manifest(spark: SparkSession, base: str) -> DataFrame | None:
     """(bucket, fingerprint, folder) of the newest complete build."""
-    numbers = _manifests(spark, base.rstrip("/"))
+    numbers = complete(spark, f"{base.rstrip('/')}/_manifest")
     return spark.read.parquet(f"{base.rstrip('/')}/_manifest/{numbers[-1]}") if numbers else None
 
 
@@ -82,7 +73,5 @@ def build(scored: DataFrame, base: str, buckets: int = 64, key: str = "lead_id")
     spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
     rows.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{base}/{folder}")
     now = [(b, f, folder if b in set(changed) else before[b][1]) for b, f in after.items()] + [(SUMMARY, "", folder)]
-    number = (_manifests(spark, base) or [0])[-1] + 1
-    (spark.createDataFrame(now, "bucket int, fingerprint string, folder string").coalesce(1)
-     .write.mode("errorifexists").parquet(f"{base}/_manifest/{number}"))   # of two racing builds one publishes
+    publish(spark.createDataFrame(now, "bucket int, fingerprint string, folder string").coalesce(1), f"{base}/_manifest")
     return counts

@@ -14,24 +14,14 @@ from pyspark.sql import functions as F
 
 from leadlens.operators.chunks import chunk_table
 from leadlens.operators.fingerprint import fingerprint
-
-
-def _states(spark: SparkSession, base: str) -> list[int]:
-    """Numbers of the complete states, ascending: one listing of the state folder. Only a folder
-    that does not exist means "no state"; other errors are raised."""
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_state")
-    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(folder, "*/_SUCCESS"))
-    return sorted(int(s.getPath().getParent().getName()) for s in done or [])
+from leadlens.sources.numbered import complete, publish
 
 
 def read_state(spark: SparkSession, base: str):
     """The newest complete state row, or None before the first build."""
-    states = _states(spark, base)
-    return spark.read.parquet(f"{base.rstrip('/')}/_state/{states[-1]}").first() if states else None
+    folder = f"{base.rstrip('/')}/_state"
+    states = complete(spark, folder)
+    return spark.read.parquet(f"{folder}/{states[-1]}").first() if states else None
 
 
 def read_chunks(spark: SparkSession, base: str) -> DataFrame | None:
@@ -56,8 +46,5 @@ def build_context(scored: DataFrame, base: str, force_rebuild: bool = False, com
         return False
     version = f"v-{uuid.uuid4().hex}"
     chunk_table(scored, compat).write.partitionBy("type").parquet(f"{base.rstrip('/')}/{version}")
-    number = (_states(spark, base) or [0])[-1] + 1
-    # two builds that race for one number: the second fails here and publishes nothing
-    spark.range(1).select(F.lit(key).alias("fingerprint"), F.lit(version).alias("version")) \
-        .write.mode("errorifexists").parquet(f"{base.rstrip('/')}/_state/{number}")
+    publish(spark.range(1).select(F.lit(key).alias("fingerprint"), F.lit(version).alias("version")), f"{base.rstrip('/')}/_state")
     return True

@@ -194,7 +194,7 @@ def test_aligned_features(spark):
 @pytest.mark.slow
 def test_models_train_save_load(spark, tmp_dir):
     from leadlens.operators.models import ModelParams, compare_models, feature_importance, model_scores
-    from leadlens.sources.model_store import load_model, save_model
+    from leadlens.sources.model_store import load_model, model_versions, save_model
     from leadlens.streaming.score_stream import start_scoring_stream
     raw = label_leads(lead_table(spark, SF_SMALL))
     data = raw.withColumn("label", F.col("lead_score").cast("double"))       # NULLs stay
@@ -224,3 +224,10 @@ def test_models_train_save_load(spark, tmp_dir):
     assert spark.read.parquet(os.path.join(tmp_dir, "out")).count() == raw.count()
     with pytest.raises(FileNotFoundError):
         load_model(spark, os.path.join(tmp_dir, "absent"))
+    # a save that fails before its state is published changes nothing; the next one is version 2
+    loaded.save(os.path.join(path, "v-unpublished"))
+    assert model_versions(spark, path) == [1] and load_model(spark, path)[1] == best
+    assert save_model(spark, loaded, path, "second", ["x"]) == 2
+    assert load_model(spark, path)[1:] == ("second", ["x"]) and load_model(spark, path, 1)[1] == best
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, path, 3)

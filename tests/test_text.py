@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leadlens.functions.fmt import money0, one_decimal, percent1
 from leadlens.operators import answer as A
-from leadlens.operators.chunks import lead_text, summary_chunks
+from leadlens.operators.chunks import lead_text, summary_chunks, summary_figures
 from leadlens.operators.fingerprint import fingerprint, text_fingerprint
 
 
@@ -51,6 +51,17 @@ def test_summary_order_and_shares(spark):
                    "Average engagement score: 60.0/100", "75.0% of leads are from Asia", "25.0% of leads are from Europe"]
 
 
+def test_summary_reads_the_table_once(spark, tmp_path):
+    df = spark.createDataFrame([(None, None, 1.0)], "industry string, region string, engagement_score double")
+    got = lambda d: [r["text"] for r in summary_chunks(d).orderBy(F.col("index").cast("int")).collect()]
+    assert got(df) == ["Total leads analyzed: 1", "Top industries: ", "Average engagement score: 1.0/100"]
+    assert got(df.where("false").select("region")) == ["Total leads analyzed: 0"]
+    assert got(df.select(F.lit(1).alias("x"))) == ["Total leads analyzed: 1"]
+    df.write.parquet(str(tmp_path / "t"))
+    plan = summary_figures(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Window" not in plan
+
+
 def test_template_routing(spark):
     ctx = "Relevant Information:\n\n1. a Tech industry lead\n\n2. revenue line\n\n"
     cases = [("Which are the TOP leads?", ctx, A.ANSWER_HIGH),
