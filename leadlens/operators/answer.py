@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlens import schema as S
-from leadlens.operators.embed import embed_questions, tfidf_index
+from leadlens.operators.embed import embed_to_search, tfidf_index
 from leadlens.operators.ordering import with_global_row_number
 from leadlens.operators.retrieve import nearest_sparse
 
@@ -70,10 +70,10 @@ def retrieve(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int =
     is a written ``chunk_index(chunks)``; without it the index is computed in the query."""
     all_vecs, dfreq, n_docs = index if index is not None else chunk_index(chunks)
     empty = F.array().cast(_EMPTY_VEC)
-    qvecs = embed_questions(questions, qkey, dfreq, n_docs, text)
+    qvecs = embed_to_search(questions, qkey, dfreq, n_docs, text)
     # questions without any weighted term are zero vectors: still answered
     qall = (questions.select(*qkey).join(qvecs, qkey, "left")
-            .select(*qkey, F.coalesce("vec", empty).alias("vec")))
+            .select(*qkey, F.coalesce("vec", empty).alias("vec"), F.coalesce("norm2", F.lit(0.0)).alias("norm2")))
     return nearest_sparse(all_vecs, qall, qkey, k)
 
 

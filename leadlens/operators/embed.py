@@ -52,8 +52,8 @@ _ROWS = 256
 TERM_SPLITS = 16
 
 
-def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, key: list[str]) -> DataFrame:
-    """(key..., term, w) with w = tf * idf, normalised per key to unit L2 norm.
+def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, key: list[str], *more: str) -> DataFrame:
+    """(key..., term, w[, more...]) with w = tf * idf, normalised per key to unit L2 norm.
     Terms unseen in the corpus get df 0. Zero-weight terms are dropped.
 
     A frequent term stands in most documents, so its rows are split by a hash of the key and the
@@ -62,17 +62,20 @@ def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, key: list[str]) -> DataFrame:
     rows = tf.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(TERM_SPLITS)))
     vocabulary = dfreq.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(TERM_SPLITS - 1)).cast("array<bigint>")))
     w = (rows.join(vocabulary, ["term", "__part"], "left")
-         .select(*key, "term", (F.col("tf") * idf).alias("w"))
+         .select(*key, "term", (F.col("tf") * idf).alias("w"), *more)
          .where(F.col("w") != 0))
     return w
 
 
-def packed_vectors(weights: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., vec array<struct<term,w>> sorted by term, norm2) with unit-norm weights."""
-    grouped = weights.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("raw"),
+def packed_vectors(weights: DataFrame, key: list[str], kept=None) -> DataFrame:
+    """(key..., vec array<struct<term,w>> sorted by term) with unit-norm weights. With a condition
+    ``kept`` the vector has only the entries that meet it, and ``norm2`` is the squared norm of all."""
+    entry = F.struct("term", "w") if kept is None else F.when(kept, F.struct("term", "w"))   # the collection drops NULLs
+    grouped = weights.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("raw"),
                                         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
     vec = F.transform("raw", lambda e: F.struct(e["term"].alias("term"), (e["w"] / F.col("nrm")).alias("w")))
-    return grouped.select(*key, vec.alias("vec"))
+    norm2 = [] if kept is None else [F.lit(1.0).alias("norm2")]
+    return grouped.select(*key, vec.alias("vec"), *norm2)
 
 
 def tfidf_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame, object]:
@@ -93,6 +96,13 @@ def embed_questions(questions: DataFrame, key: list[str], dfreq: DataFrame, n_do
     return packed_vectors(weigh(tf, dfreq, n_docs, key), key)
 
 
+def embed_to_search(questions: DataFrame, key: list[str], dfreq: DataFrame, n_docs, text: str = "text") -> DataFrame:
+    """Question vectors for a search, (key..., vec, norm2): as ``embed_questions``, but terms that no
+    chunk has count in the squared norm only, so they need not go to every shard."""
+    weights = weigh(term_frequencies(questions, key, text), dfreq, n_docs, key, "df")
+    return packed_vectors(weights, key, F.col("df").isNotNull())
+
+
 def weights_long(vecs: DataFrame, key: list[str]) -> DataFrame:
     """Unpack (key..., vec) into (key..., term, weight)."""
     return vecs.select(*key, F.explode("vec").alias("e")).select(*key, F.col("e.term").alias("term"),

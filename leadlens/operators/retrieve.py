@@ -7,10 +7,12 @@ and then answers the questions that follow: at most k rows per question leave it
 ``row_number() <= k`` per question plans as a partial WindowGroupLimit before the shuffle.
 
 Sparse vectors are answered from inverted lists: each term has its postings, cut by blocks of
-items, and the largest weight of each block. Summed over a question's terms these weights bound
-the dot product of any item of a block, so blocks are scored from the largest bound on until the
-next cannot reach the k-th distance found. Nothing is left out: a block is passed over only if its
-bound is beyond that distance.
+items, and the largest weight of each block and of each group of blocks. Summed over a question's
+terms these weights bound the dot product of any item of a block, so blocks are scored from the
+largest bound on until the next cannot reach the k-th pair of distance and id found. Nothing is left
+out: a block is passed over only if its bound is beyond that distance or, at that distance (told
+apart at 9 decimals), all its ids are larger. So a question whose terms are in nearly every item,
+and all whose distances are equal at 9 decimals, scores a few blocks, not all.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ from pyspark.sql import types as T
 #: Bytes of vectors in a shard. Smaller sets of items are dealt over the session's shuffle
 #: partitions, with SHARD_LEAST items each at least.
 SHARD_BYTES, SHARD_LEAST = 64 << 20, 1024
-#: Items in a block of the inverted lists.
-BLOCK = 32
+#: Items in a block of the inverted lists, and blocks in a group.
+BLOCK, GROUP = 32, 32
 _SUB_ROWS = 1024            # items scored at once inside a task (at most)
 _SUB_CELLS = 1 << 21        # item x question distances held at once (16 MB of doubles)
-_MARGIN = 1e-8              # distances are told apart at 9 decimals
 
 
 def _top_k(pairs: DataFrame, qkey: list[str], ckey: str, k: int) -> DataFrame:
@@ -82,18 +83,20 @@ def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str,
              shard_bytes: int) -> DataFrame:
     """(qkey..., ckey, distance, rank). ``items`` (ckey, vec) and ``questions`` (qkey..., vec);
     ``width``: bytes of an item's vector; ``shard_of(ids, vecs)`` gives an object whose
-    ``search(vecs, k)`` yields (question places, item places, distances)."""
+    ``search(vecs, k)`` yields (question places, item places, distances). It also gets the
+    questions' ``norm2``, if they have that column."""
     spark = items.sparkSession
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-size // shard_bytes), min(partitions, n // SHARD_LEAST))
+    more = ["norm2"] if "norm2" in questions.columns else []
     keys = [f"__q{i}" for i in range(len(qkey))]
     left = items.select(F.pmod(F.xxhash64(ckey), F.lit(shards)).cast("int").alias("__shard"), F.lit(False).alias("__asked"),
                         F.col(ckey).alias("__c"), F.col("vec").alias("__vec"))
     right = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"), F.lit(True).alias("__asked"),
-                             F.col("vec").alias("__vec"), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)])
+                             F.col("vec").alias("__vec"), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)], *more)
     dealt = (left.unionByName(right, allowMissingColumns=True).repartitionById(shards, F.col("__shard"))
-             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__vec", *keys))
+             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__vec", *keys, *more))
     schema = T.StructType([*(questions.schema[c] for c in qkey), items.schema[ckey], T.StructField("distance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +113,7 @@ def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str,
                 shard = shard_of(t.column(0).combine_chunks(), t.column(1).combine_chunks())
             for i in range(0, asked.num_rows, _QUESTIONS):
                 part = asked.slice(i, _QUESTIONS)
-                q, c, d = shard.search(part.column(2), k)
+                q, c, d = shard.search(part.column(2), k, *[part.column(3 + len(keys)) for _ in more])
                 if len(q):
                     at = pa.array(q)
                     yield pa.RecordBatch.from_arrays([*(part.column(3 + j).take(at) for j in range(len(qkey))),
@@ -147,105 +150,173 @@ def _flat(vecs: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 class InvertedShard:
     """Inverted lists of sparse vectors (ids ascending), cut by blocks of ``BLOCK`` items, with the
-    largest weight of each term in each block. Weights must not be negative. ``scored`` counts the
-    pairs of question and item whose distance was taken."""
+    largest weight of each term in each block and in each group of ``GROUP`` blocks. Weights must not
+    be negative. ``scored`` counts the pairs of question and item whose distance was taken."""
 
-    def __init__(self, ids: pa.Array, vecs: pa.Array, block: int = BLOCK):
-        self.block, self.scored = block, 0
+    def __init__(self, ids: pa.Array, vecs: pa.Array, block: int = BLOCK, group: int = GROUP):
+        self.block, self.group, self.scored, self.found = block, group, 0, {}
         lens, terms, w = _flat(vecs)
         if len(w) and w.min() < 0:
             raise ValueError("negative weights")
         n = len(ids)
-        # items of like length share blocks: many small weights or few large ones, so bounds are tight
-        order = np.argsort(lens, kind="stable")
-        self.ids, self.n, self.by_id = ids.take(pa.array(order)), n, order
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
         coded = terms.dictionary_encode() if len(terms) else pa.array([], pa.string()).dictionary_encode()
         self.terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-        term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), place[np.repeat(np.arange(n), lens)]
+        term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), lens)
+        cn = np.bincount(row, w * w, minlength=n)
+        order = _alike(term, row, w, lens, len(self.terms))
+        self.ids, self.n, self.by_id, self.cn = ids.take(pa.array(order)), n, order, cn[order]
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        row = place[row]
         by = np.lexsort((row, term))
-        term, self.row, self.w = term[by], row[by], w[by]
-        self.cn = np.bincount(self.row, self.w * self.w, minlength=n)
+        term, row, w = term[by], row[by], w[by]
+        same, _ = _runs(term * max(1, n) + row)   # an item's entries of one term are one posting
+        term, self.row, self.w = term[same], row[same], np.add.reduceat(w, same) if len(w) else w
         self.blocks = -(-n // block)
-        self.least_cn = np.minimum.reduceat(self.cn, np.arange(0, n, block)) if n else np.empty(0)
-        cell = term * max(1, self.blocks) + self.row // block
-        self.start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
-        self.count = np.diff(np.append(self.start, len(cell)))
-        self.top = np.maximum.reduceat(self.w, self.start) if len(cell) else np.empty(0)
-        self.of_block = self.row[self.start] // block
-        self.first = np.searchsorted(term[self.start], np.arange(len(self.terms) + 1))
+        self.groups = -(-self.blocks // group)
+        at = np.arange(0, n, block)
+        self.least_cn = np.minimum.reduceat(self.cn, at) if n else np.empty(0)
+        self.least_id = np.minimum.reduceat(self.by_id, at) if n else np.empty(0, np.int64)
+        at = np.arange(0, self.blocks, group)
+        self.group_cn = np.minimum.reduceat(self.least_cn, at) if n else np.empty(0)
+        self.group_id = np.minimum.reduceat(self.least_id, at) if n else np.empty(0, np.int64)
+        # a cell: the postings of a term in a block; a lot: the cells of a term in a group of blocks
+        self.start, self.count = _runs(term * max(1, self.blocks) + self.row // block)
+        self.top = np.maximum.reduceat(self.w, self.start) if len(term) else np.empty(0)
+        self.of_block, term = self.row[self.start] // block, term[self.start]
+        self.lot_start, self.lot_count = _runs(term * max(1, self.groups) + self.of_block // group)
+        self.lot_top = np.maximum.reduceat(self.top, self.lot_start) if len(term) else np.empty(0)
+        self.of_group = self.of_block[self.lot_start] // group
+        self.first = np.searchsorted(term[self.lot_start], np.arange(len(self.terms) + 1))
         self.plain = np.lexsort((order, np.round(self.cn, 9)))   # nearest first to what shares no term
 
-    def search(self, vecs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, vecs: pa.Array, k: int, norms: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``norms``: squared norms of the questions, if ``vecs`` leave out terms that no item has."""
         lens, terms, w = _flat(vecs)
         if len(w) and w.min() < 0:
             raise ValueError("negative weights")
         ends, known = np.cumsum(lens), [self.terms.get(t, -1) for t in terms.to_pylist()]
         known = np.array(known, np.int64)
-        found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}   # equal questions are answered once
+        norms = [None] * len(lens) if norms is None else norms.to_pylist()
         qs, cs, ds = [], [], []
         for j, (a, b) in enumerate(zip((ends - lens).tolist(), ends.tolist(), strict=True)):
-            key = known[a:b].tobytes() + w[a:b].tobytes()
-            if key not in found:
-                found[key] = self._one(known[a:b], w[a:b], k)
-            c, d = found[key]
+            qn = float((w[a:b] * w[a:b]).sum()) if norms[j] is None else norms[j]
+            here = known[a:b] >= 0
+            term, weight = known[a:b][here], w[a:b][here]
+            key = (qn, k, term.tobytes(), weight.tobytes())
+            if key not in self.found:   # equal questions are answered once
+                if len(self.found) >= _FOUND:
+                    self.found.clear()
+                self.found[key] = self._one(term, weight, qn, k)
+            c, d = self.found[key]
             qs.append(np.full(len(c), j))
             cs.append(c)
             ds.append(d)
         return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (qs, cs, ds))
 
-    def _one(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        k, qn = min(k, self.n), float((w * w).sum())
+    def _one(self, term: np.ndarray, w: np.ndarray, qn: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest by (distance at 9 decimals, id). A group or block is passed over if its
+        least possible distance and its least id come after the k-th pair found."""
+        k = min(k, self.n)
         if not k:
             return np.empty(0, np.int64), np.empty(0)
-        term, w = term[term >= 0], w[term >= 0]
-        counts = self.first[term + 1] - self.first[term]
-        cells, weight = _spread(self.first[term], counts), np.repeat(w, counts)
-        of = self.of_block[cells]
-        bound = np.bincount(of, weight * self.top[cells], minlength=self.blocks)
-        near = qn + self.least_cn - 2 * bound                    # no item of a block is nearer
-        order = np.flatnonzero(bound > 0)
-        order = order[np.argsort(near[order], kind="stable")]
         # without common terms the distance is qn + cn: k of these are known, and bound the k-th
-        plain = self.plain[:k]
-        kth = qn + float(self.cn[plain[-1]])
-        plain = plain[bound[plain // self.block] == 0]
-        places, distances = plain, qn + self.cn[plain]
-        at, step = 0, 2
-        while at < len(order) and near[order[at]] <= kth + _MARGIN:
-            chosen = order[at:at + step]
-            chosen = chosen[near[chosen] <= kth + _MARGIN]
-            at, step = at + step, 2 * step
-            slot = np.full(self.blocks, -1)
-            slot[chosen] = np.arange(len(chosen))
-            mine = slot[of] >= 0
-            c, many = cells[mine], self.count[cells[mine]]
-            post = _spread(self.start[c], many)
-            row = self.row[post]
-            dots = np.bincount(slot[row // self.block] * self.block + row % self.block, np.repeat(weight[mine], many) * self.w[post],
-                               minlength=len(chosen) * self.block)
-            rows = (chosen[:, None] * self.block + np.arange(self.block)).ravel()
-            inside = rows < self.n
-            rows, dots = rows[inside], dots[inside]
-            self.scored += len(rows)
-            places = np.concatenate((places, rows))
-            distances = np.concatenate((distances, qn + self.cn[rows] - 2.0 * dots))
-            if len(distances) >= k:
-                kth = min(kth, float(np.partition(distances, k - 1)[k - 1]))
-        if len(distances) > 4 * k:
-            close = distances <= np.partition(distances, k - 1)[k - 1] + _MARGIN
-            places, distances = places[close], distances[close]
-        best = np.lexsort((self.by_id[places], np.round(distances, 9)))[:k]
-        return places[best], distances[best]
+        places = self.plain[:k]
+        distances = qn + self.cn[places]
+        kth = (float(np.round(distances[-1], 9)), int(self.by_id[places[-1]]))
+        counts = self.first[term + 1] - self.first[term]
+        lots, weight = _spread(self.first[term], counts), np.repeat(w, counts)
+        of = self.of_group[lots]
+        bound = np.bincount(of, weight * self.lot_top[lots], minlength=self.groups)
+        near = np.round(qn + self.group_cn - 2 * bound - _SLACK, 9)
+        left = np.flatnonzero((bound > 0) & _reach(near, self.group_id, kth))
+        left = left[np.lexsort((self.group_id[left], near[left]))]
+        step = 1
+        while len(left):
+            chosen, left = left[:step], left[step:]
+            step *= 2
+            places, distances = self._score(chosen, lots, of, weight, qn, kth, places, distances)
+            rounded = np.round(distances, 9)
+            if len(places) > 4 * k:
+                close = rounded <= np.partition(rounded, k - 1)[k - 1]
+                places, distances, rounded = places[close], distances[close], rounded[close]
+            best = np.lexsort((self.by_id[places], rounded))[:k]
+            places, distances = places[best], distances[best]
+            kth = (float(rounded[best[-1]]), int(self.by_id[places[-1]]))
+            left = left[_reach(near[left], self.group_id[left], kth)]
+        return places, distances
+
+    def _score(self, chosen: np.ndarray, lots: np.ndarray, of: np.ndarray, weight: np.ndarray, qn: float, kth: tuple[float, int],
+               places: np.ndarray, distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) with the items of the chosen groups' blocks that reach the k-th pair."""
+        slot = np.full(self.groups, -1)
+        slot[chosen] = np.arange(len(chosen))
+        mine = slot[of] >= 0
+        many = self.lot_count[lots[mine]]
+        cells, weight = _spread(self.lot_start[lots[mine]], many), np.repeat(weight[mine], many)
+        block = self.of_block[cells]
+        at = slot[block // self.group] * self.group + block % self.group
+        bound = np.bincount(at, weight * self.top[cells], minlength=len(chosen) * self.group)
+        every = (chosen[:, None] * self.group + np.arange(self.group)).ravel()
+        real = np.flatnonzero((every < self.blocks) & (bound > 0))
+        near = np.round(qn + self.least_cn[every[real]] - 2 * bound[real] - _SLACK, 9)
+        real = real[_reach(near, self.least_id[every[real]], kth)]
+        if not len(real):
+            return places, distances
+        slot = np.full(len(every), -1)
+        slot[real] = np.arange(len(real))
+        mine = slot[at] >= 0
+        many = self.count[cells[mine]]
+        post = _spread(self.start[cells[mine]], many)
+        dots = np.bincount(np.repeat(slot[at[mine]], many) * self.block + self.row[post] % self.block,
+                           np.repeat(weight[mine], many) * self.w[post], minlength=len(real) * self.block)
+        rows = (every[real][:, None] * self.block + np.arange(self.block)).ravel()
+        inside = rows < self.n
+        rows, dots = rows[inside], dots[inside]
+        self.scored += len(rows)
+        old = ~np.isin(places // self.block, every[real])   # those of scored blocks come again
+        return np.concatenate((places[old], rows)), np.concatenate((distances[old], qn + self.cn[rows] - 2.0 * dots))
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the runs of equal keys."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(key)))
+
+
+def _reach(near: np.ndarray, least: np.ndarray, kth: tuple[float, int]) -> np.ndarray:
+    return (near < kth[0]) | ((near == kth[0]) & (least <= kth[1]))
+
+
+def _alike(term: np.ndarray, row: np.ndarray, w: np.ndarray, lens: np.ndarray, n_terms: int) -> np.ndarray:
+    """The rows in an order that puts like vectors side by side, so the bounds of their blocks are
+    tight: by their most frequent terms, then by length and by the weights of these terms."""
+    n, often = len(lens), np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")
+    rank = np.empty(n_terms, np.int64)
+    rank[often] = np.arange(n_terms)
+    by = np.lexsort((rank[term], row))
+    ends = np.cumsum(lens)
+    first, weight = np.full((_LEADING, n), n_terms), np.zeros(n)
+    for i in range(_LEADING):
+        has = np.flatnonzero(lens > i)
+        at = by[(ends - lens)[has] + i]
+        first[i, has] = rank[term[at]]
+        weight[has] += w[at]
+    return np.lexsort((np.arange(n), -weight, lens, *first[::-1]))
+
+
+#: The most frequent terms of an item that place it in the shard, and answers remembered.
+_LEADING, _FOUND = 24, 1 << 16
+_SLACK = 1e-12              # above the rounding errors of a bound
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
                    ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) for sparse vectors without negative weights; ``chunks``
-    is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c."""
+    is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c. With a
+    column ``norm2`` (|q|^2) the questions may leave out terms that no chunk has."""
     width = F.lit(64) + F.lit(32) * F.size(F.coalesce("vec", F.array().cast(chunks.schema["vec"].dataType)))
-    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec"), qkey, ckey, k, width, InvertedShard, shard_bytes)
+    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec", *[c for c in qvecs.columns if c == "norm2"]), qkey, ckey, k, width, InvertedShard, shard_bytes)
 
 
 # ---- dense vectors ---------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlens.operators import answer as A
 from leadlens.operators.answer import answer_questions, append_answers, last_messages, retrieve, user_questions
-from leadlens.operators.embed import embed_with, term_frequencies, weigh
+from leadlens.operators.embed import embed_questions, embed_to_search, embed_with, term_frequencies, weigh
 from leadlens.operators.retrieve import InvertedShard, nearest_dense, nearest_sparse
 
 
@@ -152,6 +152,45 @@ def test_blocks_that_cannot_reach_the_kth_distance_are_not_scored():
     assert shard.scored < 0.25 * len(items) * len(questions)
 
 
+def test_equal_distances_do_not_score_every_item():
+    """A term that nearly every item has puts all distances within 9 decimals of each other: the ids
+    decide, and only blocks with small ids are scored. Also with copies and entries that come twice."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
+    column = lambda vs: pa.array([v for _, v in as_rows(vs)], kind)
+    rng = np.random.default_rng(3)
+    own = [rng.choice(500, 3, replace=False) for _ in range(4000)]
+    items = [{"the": float(1e-6 * (1 + i % 7))} | {f"n{t}": 0.5773502 for t in own[i // 2]} for i in range(4000)]
+    questions = [{"the": 1e-5}, {"the": 0.4}, {"n1": 0.5, "the": 1e-4}, {"n2": 0.3, "n3": 0.3}, {"none": 1.0}, {}]
+    shard = InvertedShard(pa.array(range(len(items))), column(items))
+    q, c, d = shard.search(column(questions), 5)
+    ids = shard.ids.to_numpy()[c]
+    for j, v in enumerate(questions):
+        assert ids[q == j].tolist() == nearest_by_force(items, v, 5)
+    shard.scored, shard.found = 0, {}
+    shard.search(column(questions[:2]), 5)
+    assert shard.scored < 0.8 * len(items)   # every item, twice, without the ids
+    # terms that no item has may stand in the norm alone
+    norms = pa.array([sum(x * x for x in v.values()) for v in questions])
+    less = [{t: x for t, x in v.items() if t != "none"} for v in questions]
+    q2, c2, d2 = InvertedShard(pa.array(range(len(items))), column(items)).search(column(less), 5, norms)
+    assert q2.tolist() == q.tolist() and c2.tolist() == c.tolist() and np.allclose(d, d2, atol=1e-14)
+    twice = pa.array([[{"term": "a", "w": 0.5}] * 2, [{"term": "a", "w": 0.7}], [{"term": "b", "w": 0.1}]], kind)
+    shard = InvertedShard(pa.array([7, 8, 9]), twice, block=1, group=1)
+    _, c, d = shard.search(pa.array([[{"term": "a", "w": 1.0}]], kind), 1)
+    assert shard.ids.to_numpy()[c].tolist() == [7] and np.allclose(d, [-0.5])
+
+
+def test_questions_leave_out_terms_that_no_chunk_has(spark):
+    chunks = spark.createDataFrame([("c1", "red car"), ("c2", "blue car"), ("c3", "blue sky")], "chunk_id string, text string")
+    qs = spark.createDataFrame([(1, "red planet far away"), (2, "nowhere")], "qid long, text string")
+    _, dfreq, n = A.chunk_index(chunks)
+    whole = {r.qid: {e.term: e.w for e in r.vec} for r in embed_questions(qs, ["qid"], dfreq, n).collect()}
+    got = {r.qid: r for r in embed_to_search(qs, ["qid"], dfreq, n).collect()}
+    assert [e.term for e in got[1].vec] == ["red"] and abs(got[1].vec[0].w - whole[1]["red"]) < 1e-15 and got[2].vec == []
+    for i in (1, 2):
+        assert abs(got[i].norm2 - sum(w * w for w in whole[i].values())) < 1e-12
+
+
 def test_negative_weights_are_refused():
     kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
     with pytest.raises(ValueError, match="negative"):
