@@ -58,23 +58,22 @@ _EMPTY_VEC = "array<struct<term:string,w:double>>"
 def chunk_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(chunk_id, vec) for every chunk (a chunk without weighted terms gets the zero
     vector, an empty array), the corpus' document frequencies and its size."""
-    vecs, dfreq, n_docs = tfidf_index(chunks)
-    all_vecs = (chunks.select("chunk_id").join(vecs, "chunk_id", "left")
-                .select("chunk_id", F.coalesce("vec", F.array().cast(_EMPTY_VEC)).alias("vec")))
-    return all_vecs, dfreq, n_docs
+    return tfidf_index(chunks)
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, qkey: list[str], k: int = S.DEFAULT_TOP_K,
              text: str = "text", index: tuple | None = None) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) over the chunk table's TF-IDF space. ``index``
-    is a written ``chunk_index(chunks)``; without it the index is computed in the query."""
+    is ``chunk_index(chunks)``; without it the index is computed in the query. The number of chunks
+    and entries is taken from the document frequencies, so the vectors are read once."""
     all_vecs, dfreq, n_docs = index if index is not None else chunk_index(chunks)
     empty = F.array().cast(_EMPTY_VEC)
     qvecs = embed_to_search(questions, qkey, dfreq, n_docs, text)
     # questions without any weighted term are zero vectors: still answered
     qall = (questions.select(*qkey).join(qvecs, qkey, "left")
             .select(*qkey, F.coalesce("vec", empty).alias("vec"), F.coalesce("norm2", F.lit(0.0)).alias("norm2")))
-    return nearest_sparse(all_vecs, qall, qkey, k)
+    n, entries = dfreq.agg(n_docs, F.coalesce(F.sum("df"), F.lit(0))).first()
+    return nearest_sparse(all_vecs, qall, qkey, k, size_of=(n, entries))
 
 
 METADATA = ["type", "index", "industry", "company_size", "lead_score"]

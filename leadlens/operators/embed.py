@@ -2,7 +2,10 @@
 
 A chunk's vector is an ``array<struct<term string, w double>>`` sorted by term, so it
 lives on the chunk's row: scoring a question against a chunk needs no join and no
-shuffle. Terms are counted inside their row; document frequencies are a partially aggregated group-by;
+shuffle. Terms are counted inside their row; document frequencies are counted inside the tasks and
+then summed per term. The ``HEAD_TERMS`` most frequent terms (a table of bounded size) weigh a chunk's
+terms where the chunk is read; only rarer terms are joined to their frequencies and brought back to
+their chunk, so a vocabulary that is not larger costs no exchange of vectors at all.
 idf = ln((N + 1) / (df + 1)), the smoothing of Spark ML's IDF. A term in every chunk
 gets weight 0 and is dropped. Another model plugs in as a function that adds a dense vector
 column (``embed_with``), searched by ``retrieve.nearest_dense``.
@@ -10,6 +13,7 @@ column (``embed_with``), searched by ``retrieve.nearest_dense``.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,26 +45,21 @@ def term_frequencies(docs: DataFrame, key: list[str], text: str = "text") -> Dat
     return docs.select(*key, token_text(F.col(text))).mapInArrow(run, schema)
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    """(term, df): number of documents containing the term."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
 #: Rows counted at once in a task.
 _ROWS = 256
 #: A term's rows are dealt over so many tasks in the join with the document frequencies.
 TERM_SPLITS = 16
 
 
-def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, key: list[str], *more: str) -> DataFrame:
+def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, key: list[str], *more: str, splits: int = TERM_SPLITS) -> DataFrame:
     """(key..., term, w[, more...]) with w = tf * idf, normalised per key to unit L2 norm.
     Terms unseen in the corpus get df 0. Zero-weight terms are dropped.
 
     A frequent term stands in most documents, so its rows are split by a hash of the key and the
-    vocabulary row repeated for each part."""
+    vocabulary row repeated for each of the ``splits`` parts."""
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0))))
-    rows = tf.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(TERM_SPLITS)))
-    vocabulary = dfreq.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(TERM_SPLITS - 1)).cast("array<bigint>")))
+    rows = tf.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(splits)))
+    vocabulary = dfreq.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)).cast("array<bigint>")))
     w = (rows.join(vocabulary, ["term", "__part"], "left")
          .select(*key, "term", (F.col("tf") * idf).alias("w"), *more)
          .where(F.col("w") != 0))
@@ -79,15 +78,115 @@ def packed_vectors(weights: DataFrame, key: list[str], kept=None) -> DataFrame:
 
 
 def tfidf_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame, object]:
-    """Fit on a chunk table: returns (chunk vectors, document frequencies, N as a column).
+    """Fit on a chunk table: returns (chunk vectors, document frequencies, N as a column). One row
+    per chunk; a chunk whose every term has weight 0, or without a key, gets the zero vector, an empty
+    array. Chunks that share a key share one vector of all their terms."""
+    # written once: small beside the texts, and every step below reads it
+    dfreq = materialize(counted_inside(chunks, text).groupBy("term").agg(F.sum("df").alias("df")))
+    counts = chunks.agg(F.count(F.lit(1))).crossJoin(dfreq.agg(F.count(F.lit(1)))).first()
+    n_docs = F.lit(counts[0])
+    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df")))
+    head = (dfreq.where(F.length("term") <= HEAD_CHARS).orderBy(F.desc("df"), "term").limit(HEAD_TERMS)
+            .select("term", idf.alias("idf")).collect())   # HEAD_TERMS short rows at most
+    known = chunks.sparkSession.sparkContext.broadcast({r.term: r.idf for r in head})
+    again = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
+    if counts[1] == len(head) and again.isEmpty():
+        return _weighed_inside(chunks, key, text, known), dfreq, n_docs
+    # to a chunk's one place go its frequent terms as counts (a few bytes each) and the weights of the
+    # others; a term of the tail is rarer than HEAD_TERMS others, so its rows are few
+    parts = _split_inside(chunks, key, text, known)
+    heads = parts.select(key, "terms", "tfs", F.lit(None).cast("double").alias("w"), F.lit(1).alias("n"))
+    rest = parts.select(key, F.inline("rest")).join(dfreq, "term").select(key, F.col("term").alias("terms"), (F.col("tf") * idf).alias("w"))
+    tails = rest.where("w <> 0").withColumns({"n": F.lit(0), "tfs": F.lit(None).cast("array<bigint>")})
+    grouped = heads.unionByName(tails).groupBy(key).agg(F.collect_list(F.struct("terms", "tfs", "w")).alias("parts"), F.sum("n").alias("n"))
+    vecs = _merged(grouped, key, known).select(key, "vec", F.explode(F.sequence(F.lit(1), "n")))
+    return vecs.select(key, "vec"), dfreq, n_docs
+
+
+#: Terms whose weights every task holds, and their length at most; distinct terms a task counts at once.
+HEAD_TERMS, HEAD_CHARS, _COUNTED = 1 << 18, 64, 1 << 17
+_VECTOR = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())]))
+
+
+def counted_inside(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df) with the documents that a task has read so far: the sum per term is its df."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "df"])
+        for b in batches:
+            for t in b.column(0):
+                found.update(set((t.as_py() or "").split()))
+                if len(found) >= _COUNTED:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    return docs.select(token_text(F.col(text))).mapInArrow(run, "term string, df long")
+
+
+def _lists(rows: list[list[tuple]], name: str, kind: pa.DataType) -> pa.Array:
+    """Rows of (term, number) pairs as a list column of structs."""
+    flat = [e for r in rows for e in r]
+    entries = pa.StructArray.from_arrays([pa.array([e[0] for e in flat], pa.string()), pa.array([e[1] for e in flat], kind)], ["term", name])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), entries)
+
+
+def _unit(weights: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Entries other than 0, sorted by term, at unit length."""
+    vec = sorted(e for e in weights if e[1] != 0)
+    size = math.sqrt(sum(w * w for _, w in vec))
+    return [(t, w / size) for t, w in vec]
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, _ROWS):
+            yield b.slice(start, _ROWS)
+
+
+def _weighed_inside(docs: DataFrame, key: str, text: str, known) -> DataFrame:
+    """(key, vec) where all terms are in ``known`` (a broadcast term -> idf): each row on its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = known.value
+        for b in _small(batches):
+            vecs = [_unit([(term, n * idf[term]) for term, n in Counter((t or "").split()).items()]) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(vecs, "w", pa.float64())], names=[key, "vec"])
+
+    return docs.select(key, token_text(F.col(text))).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("vec", _VECTOR)]))
+
+
+def _split_inside(docs: DataFrame, key: str, text: str, known) -> DataFrame:
+    """(key, terms, tfs, rest): the terms of a row that are in ``known``, one space apart, with their
+    counts, and its other terms with theirs."""
+    kind = docs.select(F.col(key)).schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = known.value
+        for b in _small(batches):
+            rows = [sorted(Counter((t or "").split()).items()) for t in b.column(1).to_pylist()]
+            mine, other = [[e for e in r if e[0] in idf] for r in rows], [[e for e in r if e[0] not in idf] for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(t for t, _ in r) for r in mine], pa.string()),
+                                              pa.array([[n for _, n in r] for r in mine], pa.list_(pa.int64())),
+                                              _lists(other, "tf", pa.int64())], names=[key, "terms", "tfs", "rest"])
+
+    return docs.select(key, token_text(F.col(text))).mapInArrow(run, f"`{key}` {kind}, terms string, tfs array<bigint>, rest array<struct<term:string,tf:bigint>>")
+
+
+def _merged(grouped: DataFrame, key: str, known) -> DataFrame:
+    """(key, n, vec) of a chunk's parts: counts of terms in ``known``, and weighed terms. A chunk
+    without a key has the zero vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = known.value
+        for b in _small(batches):
+            vecs = []
+            for k, parts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w = []
+                for p in parts if k is not None else ():
+                    w += [(p["terms"], p["w"])] if p["tfs"] is None else [(t, n * idf[t]) for t, n in zip(p["terms"].split(), p["tfs"], strict=True)]
+                vecs.append(_unit(w))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(vecs, "w", pa.float64())], names=[key, "n", "vec"])
 
-    Chunks whose every term has weight 0 have no row in the vector table (zero vector)."""
-    # written once: both the document frequencies and the vectors read it
-    tf = materialize(term_frequencies(chunks, [key], text))
-    dfreq = document_frequencies(tf)
-    n_docs = chunks.agg(F.count(F.lit(1))).scalar()
-    vecs = packed_vectors(weigh(tf, dfreq, n_docs, [key]), [key])
-    return vecs, dfreq, n_docs
+    return grouped.select(key, "n", "parts").mapInArrow(run, T.StructType([grouped.schema[key], T.StructField("n", T.LongType()), T.StructField("vec", _VECTOR)]))
 
 
 def embed_questions(questions: DataFrame, key: list[str], dfreq: DataFrame, n_docs, text: str = "text") -> DataFrame:
@@ -99,7 +198,8 @@ def embed_questions(questions: DataFrame, key: list[str], dfreq: DataFrame, n_do
 def embed_to_search(questions: DataFrame, key: list[str], dfreq: DataFrame, n_docs, text: str = "text") -> DataFrame:
     """Question vectors for a search, (key..., vec, norm2): as ``embed_questions``, but terms that no
     chunk has count in the squared norm only, so they need not go to every shard."""
-    weights = weigh(term_frequencies(questions, key, text), dfreq, n_docs, key, "df")
+    # the vocabulary is far larger than the questions: it is not repeated for them
+    weights = weigh(term_frequencies(questions, key, text), dfreq, n_docs, key, "df", splits=1)
     return packed_vectors(weights, key, F.col("df").isNotNull())
 
 

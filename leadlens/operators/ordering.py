@@ -9,6 +9,7 @@ partition metadata is ever in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlens.session import ensure_checkpoint_dir
+from leadlens.session import ensure_checkpoint_dir, shared_dir
 
 _PID, _MID = "__pid", "__mid"
 
@@ -29,6 +30,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``materialize``, as a Parquet table in the shared folder: columns are compressed, a
+    checkpoint's rows are not."""
+    path = shared_dir(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sorted_and_tagged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
     parted = (df.repartitionByRange(num_partitions, *order) if num_partitions
               else df.repartitionByRange(*order))

@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 #: Bytes of vectors in a shard. Smaller sets of items are dealt over the session's shuffle
 #: partitions, with SHARD_LEAST items each at least.
 SHARD_BYTES, SHARD_LEAST = 64 << 20, 1024
+#: What a sparse vector and each of its entries count as.
+ITEM_BYTES, ENTRY_BYTES = 64, 32
 #: Items in a block of the inverted lists, and blocks in a group.
 BLOCK, GROUP = 32, 32
 _SUB_ROWS = 1024            # items scored at once inside a task (at most)
@@ -80,23 +82,25 @@ class _Best:
 # ---- dealing ---------------------------------------------------------------------------
 
 def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str, k: int, width: Column, shard_of,
-             shard_bytes: int) -> DataFrame:
+             shard_bytes: int, size_of: tuple[int, int] | None = None) -> DataFrame:
     """(qkey..., ckey, distance, rank). ``items`` (ckey, vec) and ``questions`` (qkey..., vec);
     ``width``: bytes of an item's vector; ``shard_of(ids, vecs)`` gives an object whose
     ``search(vecs, k)`` yields (question places, item places, distances). It also gets the
-    questions' ``norm2``, if they have that column."""
+    questions' ``norm2``, if they have that column. ``size_of``: number and bytes of the items, if
+    they are known; else the items are read for them. Sparse vectors cross the network as their
+    joined terms and their weights, which takes less than a struct an entry."""
     spark = items.sparkSession
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    n, size = size_of or items.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, -(-size // shard_bytes), min(partitions, n // SHARD_LEAST))
     more = ["norm2"] if "norm2" in questions.columns else []
     keys = [f"__q{i}" for i in range(len(qkey))]
     left = items.select(F.pmod(F.xxhash64(ckey), F.lit(shards)).cast("int").alias("__shard"), F.lit(False).alias("__asked"),
-                        F.col(ckey).alias("__c"), F.col("vec").alias("__vec"))
+                        F.col(ckey).alias("__c"), *_packed(items))
     right = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"), F.lit(True).alias("__asked"),
-                             F.col("vec").alias("__vec"), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)], *more)
+                             *_packed(questions), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)], *more)
     dealt = (left.unionByName(right, allowMissingColumns=True).repartitionById(shards, F.col("__shard"))
-             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__vec", *keys, *more))
+             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__terms", "__w", *keys, *more))
     schema = T.StructType([*(questions.schema[c] for c in qkey), items.schema[ckey], T.StructField("distance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,25 +108,46 @@ def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str,
         for b in batches:
             own = b.num_rows - pc.sum(b.column(0)).as_py()   # items come first
             if own:
-                held.append(b.slice(0, own).select([1, 2]))
+                held.append(b.slice(0, own).select([1, 2, 3]))
             asked = b.slice(own)
             if not asked.num_rows or not held:
                 continue
             if shard is None:
                 t = pa.Table.from_batches(held).combine_chunks()
-                shard = shard_of(t.column(0).combine_chunks(), t.column(1).combine_chunks())
+                shard = shard_of(t.column(0).combine_chunks(), _unpacked(t.column(1).combine_chunks(), t.column(2).combine_chunks()))
             for i in range(0, asked.num_rows, _QUESTIONS):
                 part = asked.slice(i, _QUESTIONS)
-                q, c, d = shard.search(part.column(2), k, *[part.column(3 + len(keys)) for _ in more])
+                q, c, d = shard.search(_unpacked(part.column(2), part.column(3)), k, *[part.column(4 + len(keys)) for _ in more])
                 if len(q):
                     at = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([*(part.column(3 + j).take(at) for j in range(len(qkey))),
+                    yield pa.RecordBatch.from_arrays([*(part.column(4 + j).take(at) for j in range(len(qkey))),
                                                       shard.ids.take(pa.array(c)), pa.array(d)], schema=arrow)
 
     arrow = _arrow_schema(schema)
     return _top_k(dealt.mapInArrow(run, schema), qkey, ckey, k)
 
 
+_APART = "\0"               # between the terms of a vector: no term holds it
+
+
+def _packed(df: DataFrame) -> tuple[Column, Column]:
+    """(__terms, __w) of the column ``vec``; dense vectors have no terms."""
+    if df.schema["vec"].dataType == T.ArrayType(T.DoubleType()):
+        return F.lit(None).cast("string").alias("__terms"), F.col("vec").alias("__w")
+    return F.array_join("vec.term", _APART).alias("__terms"), F.col("vec.w").cast("array<double>").alias("__w")
+
+
+def _unpacked(terms: pa.Array, w: pa.Array) -> pa.Array:
+    """The vectors again, as list columns of structs or (without terms) of doubles."""
+    if terms.null_count == len(terms) and pc.max(pc.fill_null(pc.list_value_length(w), 0)).as_py():
+        return w
+    w = pc.fill_null(w, pa.scalar([], w.type)) if w.null_count else w
+    lens = pc.list_value_length(w).to_numpy(zero_copy_only=False)
+    flat = pc.split_pattern(terms.filter(pa.array(lens > 0)), _APART).flatten()
+    entries = pa.StructArray.from_arrays([flat.cast(pa.string()), w.flatten()], ["term", "w"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), entries)
+
+
 #: Questions answered at once in a task.
 _QUESTIONS = 2048
 
@@ -311,12 +336,14 @@ _SLACK = 1e-12              # above the rounding errors of a bound
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
-                   ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) for sparse vectors without negative weights; ``chunks``
     is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c. With a
-    column ``norm2`` (|q|^2) the questions may leave out terms that no chunk has."""
-    width = F.lit(64) + F.lit(32) * F.size(F.coalesce("vec", F.array().cast(chunks.schema["vec"].dataType)))
-    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec", *[c for c in qvecs.columns if c == "norm2"]), qkey, ckey, k, width, InvertedShard, shard_bytes)
+    column ``norm2`` (|q|^2) the questions may leave out terms that no chunk has. ``size_of``: number of
+    chunks and of their entries, if known."""
+    sizes = size_of and (size_of[0], ITEM_BYTES * size_of[0] + ENTRY_BYTES * size_of[1])
+    width = F.lit(ITEM_BYTES) + F.lit(ENTRY_BYTES) * F.size(F.coalesce("vec", F.array().cast(chunks.schema["vec"].dataType)))
+    return _nearest(chunks.select(ckey, "vec"), qvecs.select(*qkey, "vec", *[c for c in qvecs.columns if c == "norm2"]), qkey, ckey, k, width, InvertedShard, shard_bytes, sizes)
 
 
 # ---- dense vectors ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadlens.operators import answer as A
+from leadlens.operators import embed as E
 from leadlens.operators.answer import answer_questions, append_answers, last_messages, retrieve, user_questions
 from leadlens.operators.embed import embed_questions, embed_to_search, embed_with, term_frequencies, weigh
 from leadlens.operators.retrieve import InvertedShard, nearest_dense, nearest_sparse
@@ -191,6 +192,38 @@ def test_questions_leave_out_terms_that_no_chunk_has(spark):
         assert abs(got[i].norm2 - sum(w * w for w in whole[i].values())) < 1e-12
 
 
+def test_index_weighs_frequent_terms_where_they_are_read(spark, monkeypatch):
+    """The same vectors whatever the size of the head; without rarer terms nothing is exchanged."""
+    rows = [("a", "red car red"), ("b", "blue car"), ("c", None), ("d", "..."), ("e", "sky blue sky x9"), ("f", "car car")]
+    more = [("e", "red sky"), (None, "blue moon")]   # a key that comes twice, and none
+
+    def vectors(rows):
+        vecs, dfreq, n = E.tfidf_index(spark.createDataFrame(rows, "chunk_id string, text string").repartition(2))
+        plan = vecs._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.chunk_id or "", [(e.term, round(e.w, 12)) for e in r.vec]) for r in vecs.collect())
+        return got, {r.term: r.df for r in dfreq.collect()}, plan
+
+    def by_force(rows):
+        tf, df = {}, {}
+        for i, (k, t) in enumerate(rows):
+            counts = {w: (t or "").split().count(w) for w in (t or "").replace("...", "").split()}
+            tf.setdefault(k, []).extend(counts.items())
+            for w in counts:
+                df[w] = df.get(w, 0) + 1
+        out = []
+        for k, _ in rows:
+            v = sorted((t, n * np.log((1 + len(rows)) / (1 + df[t]))) for t, n in (tf[k] if k else []))
+            size = np.sqrt(sum(w * w for _, w in v))
+            out.append((k or "", [(t, round(float(w / size), 12)) for t, w in v]))
+        return sorted(out), df
+
+    got, df, plan = vectors(rows)
+    assert (got, df) == by_force(rows) and plan.count("Exchange") == plan.count("RoundRobinPartitioning") == 1
+    assert vectors(rows + more)[:2] == by_force(rows + more)
+    monkeypatch.setattr(E, "HEAD_TERMS", 2)
+    assert vectors(rows)[:2] == by_force(rows) and vectors(rows + more)[:2] == by_force(rows + more)
+
+
 def test_negative_weights_are_refused():
     kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
     with pytest.raises(ValueError, match="negative"):
