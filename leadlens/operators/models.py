@@ -243,8 +243,9 @@ def _r6(x):
     return None if x is None else round(x, 6)
 
 
-#: Training rows per task of a fit.
-ROWS_PER_TASK = 20_000
+#: Training rows per task of a fit. A fit is hundreds of small jobs, each with as many tasks again for
+#: its sums: with few rows a task, the tasks' own cost outgrows that of the rows.
+ROWS_PER_TASK = 200_000
 
 
 def _vector_partitions(spark, part: DataFrame) -> int:
