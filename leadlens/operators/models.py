@@ -6,8 +6,8 @@ literals), indexed alphabetically with an extra slot for unseen values and one-h
 that slot dropped (so an unseen category is the zero vector). A fitted package therefore scores
 raw leads (``model_scores``). Five learners, one cached feature table:
 multinomial logistic regression, random forest, and three gradient-boosting
-configurations (Spark has one GBT learner, binary only, so each runs one-vs-rest;
-probabilities are sigmoid(2 * margin) per class, normalised).
+configurations (Spark's GBT learner is binary only, so each runs one-vs-rest, in
+``boosting``; probabilities are sigmoid(2 * margin) per class, normalised).
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -26,6 +25,7 @@ from pyspark.util import inheritable_thread_target
 
 from leadlens import schema as S
 from leadlens.operators import evaluate as E
+from leadlens.operators.boosting import Boosting, fit_boosted
 from leadlens.operators.ordering import materialize
 from leadlens.operators.scoring import scorer_statistics, with_predictions
 from leadlens.operators.split import stratified_folds
@@ -44,7 +44,6 @@ class ModelParams:
     gbt_depth: int = 6
     gbt_step: float = 0.1
     seed: int = 42
-    ovr_parallelism: int = 3
     fit_parallelism: int = 8
 
 
@@ -88,16 +87,16 @@ def assembler(onehot: bool = True) -> VectorAssembler:
 
 def learners(p: ModelParams, n_train: int) -> dict[str, tuple[object, bool]]:
     """name -> (estimator, uses one-hot features)."""
-    gbt = lambda **kw: GBTClassifier(maxIter=p.gbt_rounds, maxDepth=p.gbt_depth, stepSize=p.gbt_step, seed=p.seed, **kw)
+    gbt = lambda **kw: Boosting(rounds=p.gbt_rounds, depth=p.gbt_depth, step=p.gbt_step, seed=p.seed, **kw)
     return {
         # sklearn's C=1 L2 penalty on a summed loss equals regParam = 1/n on Spark's mean loss
         "Logistic Regression": (LogisticRegression(family="multinomial", maxIter=p.lr_max_iter,
                                                    regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                                    standardization=False), True),
         "Random Forest": (RandomForestClassifier(numTrees=p.rf_trees, maxDepth=p.rf_depth, seed=p.seed), True),
-        "Gradient Boosting A": (OneVsRest(classifier=gbt(), parallelism=p.ovr_parallelism), True),
-        "Gradient Boosting B": (OneVsRest(classifier=gbt(subsamplingRate=0.8), parallelism=p.ovr_parallelism), True),
-        "Gradient Boosting C": (OneVsRest(classifier=gbt(maxBins=64), parallelism=p.ovr_parallelism), False),
+        "Gradient Boosting A": (gbt(), True),
+        "Gradient Boosting B": (gbt(rate=0.8), True),
+        "Gradient Boosting C": (gbt(bins=64, onehot=False), False),
     }
 
 
@@ -120,6 +119,8 @@ def fit_pipeline(train: DataFrame, estimator, onehot: bool) -> PipelineModel:
 
 
 def _fit(vectors: DataFrame, estimator, onehot: bool):
+    if isinstance(estimator, Boosting):
+        return fit_boosted([vectors], {"": estimator})[0, ""]
     return estimator.copy().setFeaturesCol("features" if onehot else "features_idx").fit(vectors)
 
 
@@ -192,34 +193,42 @@ def compare_models(data: DataFrame, params: ModelParams | None = None, cv_folds:
         v, w = vectors(features, train), vectors(features, held)
         return features, v, w, v.count()
 
-    def run(task):
-        name, (features, v, w, n) = task
-        est, onehot = learners(params, n)[name]
-        learner = _fit(v, est, onehot)
+    boosted = {name: est for name, (est, _) in learners(params, 0).items() if name in names and isinstance(est, Boosting)}
+
+    def boost():
+        return fit_boosted([v for _, v, _, _ in sets], boosted) if boosted else {}
+
+    def run(name, k):
+        features, v, w, n = sets[k]
+        learner = boosting.result()[k, name] if name in boosted else _fit(v, *learners(params, n)[name])
         out = learner.transform(w)
         scored = with_predictions(out, ["label"], _probabilities(out))
         return features, learner, scored.select("label", F.col("predicted_index").alias("prediction"), F.col("probability_low").alias("p0"),
                                                 F.col("probability_medium").alias("p1"), F.col("probability_high").alias("p2")).cache()
 
     train = pos.where(F.col("split") == "train")
-    sets = [prepare(train, pos.where(F.col("split") == "test"))]
+    pairs = [(train, pos.where(F.col("split") == "test"))]
     for k in range(cv_folds if cv_folds > 1 else 0):
-        sets.append(prepare(train.where(F.col("fold") != k), train.where(F.col("fold") == k)))
+        pairs.append((train.where(F.col("fold") != k), train.where(F.col("fold") == k)))
 
     # fits run concurrently (as CrossValidator's ``parallelism``): each is a sequence of small
-    # distributed jobs, and the scheduler interleaves the sequences
-    tasks = [(name, k) for k in range(len(sets)) for name in names]
+    # distributed jobs, and the scheduler interleaves the sequences. All boosting models grow in the
+    # same jobs, and what waits for them comes last
+    tasks = [(name, k) for late in (False, True) for k in range(len(pairs)) for name in names if (name in boosted) == late]
 
     def evaluated(task):
         name, k = task
-        features, learner, scored = run((name, sets[k]))
+        features, learner, scored = run(name, k)
         try:
             return (_package(features, learner), _metrics(scored)) if k == 0 else (None, _f1(scored))
         finally:
             scored.unpersist()
 
-    with ThreadPoolExecutor(max_workers=max(1, params.fit_parallelism)) as pool:
-        done = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(evaluated), tasks), strict=True))
+    own = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=max(1, params.fit_parallelism)) as pool, ThreadPoolExecutor(max_workers=1) as side:
+        sets = list(pool.map(own(lambda pair: prepare(*pair)), pairs))
+        boosting = side.submit(own(boost))
+        done = dict(zip(tasks, pool.map(own(evaluated), tasks), strict=True))
     for v in cached:
         v.unpersist()
     rows, fitted, best, best_f1 = [], {}, None, 0.0
@@ -271,9 +280,6 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 15) -
     n = len(names)
     if hasattr(last, "featureImportances"):
         imp = list(last.featureImportances.toArray())
-    elif hasattr(last, "models") and all(hasattr(m, "featureImportances") for m in last.models):
-        arrs = [m.featureImportances.toArray() for m in last.models]
-        imp = [sum(a[i] for a in arrs) / len(arrs) for i in range(n)]
     elif hasattr(last, "coefficientMatrix"):
         cm = last.coefficientMatrix.toArray()
         imp = [float(abs(cm[:, i]).mean()) for i in range(n)]
