@@ -34,8 +34,9 @@ from leadlens import schema as S
 from leadlens.operators.ordering import with_prefix_sums
 
 N_CLASSES = len(S.CLASS_LABELS)
-#: Rounds after which the margins are checkpointed (Spark's boosting: 10), and rows of a task.
-CHECKPOINT_ROUNDS, TASK_ROWS = 20, 1_000_000
+#: Rounds after which the margins are checkpointed (Spark's boosting: 10); rows of a task, at most and (of several) at
+#: least: with few rows a task's own cost outgrows that of the rows.
+CHECKPOINT_ROUNDS, TASK_ROWS, LEAST_ROWS = 20, 1_000_000, 20_000
 #: Rounds whose draws are kept in one long.
 _DRAWS = 50
 
@@ -301,7 +302,7 @@ def fit_boosted(parts: list[DataFrame], specs: dict[str, Boosting]) -> dict[tupl
     groups = [list(range(N_CLASSES))] if len(part_of) * len(settings) >= 4 * cores else [[c] for c in range(N_CLASSES)]
     n_records = len(part_of) * len(settings) * len(groups)
     rows = sum(counts) * len(settings) * len(groups)
-    n_tasks = min(n_records, max(cores, -(-rows // TASK_ROWS)))
+    n_tasks = min(n_records, max(min(cores, -(-rows // LEAST_ROWS)), -(-rows // TASK_ROWS), 1))
 
     def records(i: int, blocks):
         for learned, y in blocks:
