@@ -1,18 +1,22 @@
 """Exact k-nearest retrieval by squared L2 distance.
 
-Items are dealt over shards of bounded bytes by a hash of their id; every question goes to every
-shard (a stated set of questions against all items, in blocks). An item crosses the network once,
-and the plan holds no block numbers. A task builds its shard's index from the rows that come first
-and then answers the questions that follow: at most k rows per question leave it. The final
-``row_number() <= k`` per question plans as a partial WindowGroupLimit before the shuffle.
+Items are dealt over shards of bounded bytes by a hash of their id; questions are packed into blocks
+of ``_QUESTIONS`` rows, and every block goes to every shard (a stated set of questions against all
+items) as one row. An item crosses the network once, and the plan holds no block numbers. A task
+builds its shard's index from the rows that come first and then answers the blocks that follow: at
+most k rows per question leave it. The final ``row_number() <= k`` per question plans as a partial
+WindowGroupLimit before the shuffle.
 
 Sparse vectors are answered from inverted lists: each term has its postings, cut by blocks of
 items, and the largest weight of each block and of each group of blocks. Summed over a question's
-terms these weights bound the dot product of any item of a block, so blocks are scored from the
-largest bound on until the next cannot reach the k-th pair of distance and id found. Nothing is left
-out: a block is passed over only if its bound is beyond that distance or, at that distance (told
-apart at 9 decimals), all its ids are larger. So a question whose terms are in nearly every item,
-and all whose distances are equal at 9 decimals, scores a few blocks, not all.
+terms these weights bound the dot product of any item of a block. All questions of a block are answered
+together, group by group: each question's most promising group first, then those that can still reach
+its k-th pair of distance and id. In a group either the blocks are bounded in turn and their postings summed
+(few terms a question), or all its items are scored, with the terms that many of the questions and items have as
+a product of matrices and the others from their postings.
+Nothing is left out: a block is passed over only if its bound is beyond that distance or, at that
+distance (told apart at 9 decimals), all its ids are larger. So a question whose terms are in nearly
+every item, and all whose distances are equal at 9 decimals, scores a few blocks, not all.
 """
 
 from __future__ import annotations
@@ -91,16 +95,15 @@ def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str,
     joined terms and their weights, which takes less than a struct an entry."""
     spark = items.sparkSession
     n, size = size_of or items.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-size // shard_bytes), min(partitions, n // SHARD_LEAST))
-    more = ["norm2"] if "norm2" in questions.columns else []
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    shards = max(1, -(-size // shard_bytes), min(tasks, n // SHARD_LEAST))   # more would answer every question once more each
     keys = [f"__q{i}" for i in range(len(qkey))]
     left = items.select(F.pmod(F.xxhash64(ckey), F.lit(shards)).cast("int").alias("__shard"), F.lit(False).alias("__asked"),
                         F.col(ckey).alias("__c"), *_packed(items))
-    right = questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"), F.lit(True).alias("__asked"),
-                             *_packed(questions), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)], *more)
+    right = _in_blocks(questions, qkey).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"),
+                                               F.lit(True).alias("__asked"), "__block")
     dealt = (left.unionByName(right, allowMissingColumns=True).repartitionById(shards, F.col("__shard"))
-             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__terms", "__w", *keys, *more))
+             .sortWithinPartitions("__asked", "__c").select("__asked", "__c", "__terms", "__w", "__block"))
     schema = T.StructType([*(questions.schema[c] for c in qkey), items.schema[ckey], T.StructField("distance", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,24 +112,60 @@ def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str,
             own = b.num_rows - pc.sum(b.column(0)).as_py()   # items come first
             if own:
                 held.append(b.slice(0, own).select([1, 2, 3]))
-            asked = b.slice(own)
-            if not asked.num_rows or not held:
+            if own == b.num_rows or not held:
                 continue
             if shard is None:
                 t = pa.Table.from_batches(held).combine_chunks()
                 shard = shard_of(t.column(0).combine_chunks(), _unpacked(t.column(1).combine_chunks(), t.column(2).combine_chunks()))
-            for i in range(0, asked.num_rows, _QUESTIONS):
-                part = asked.slice(i, _QUESTIONS)
-                q, c, d = shard.search(_unpacked(part.column(2), part.column(3)), k, *[part.column(4 + len(keys)) for _ in more])
+                held = [b.slice(0, 0)]
+            for block in b.column(4).slice(own):
+                with pa.ipc.open_stream(block.as_buffer()) as stream:
+                    asked = stream.read_next_batch()
+                q, c, d = shard.search(asked.column("vec"), k, *[asked.column("norm2") for _ in ("norm2",) if "norm2" in asked.schema.names])
                 if len(q):
                     at = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([*(part.column(4 + j).take(at) for j in range(len(qkey))),
+                    yield pa.RecordBatch.from_arrays([*(asked.column(x).take(at) for x in keys),
                                                       shard.ids.take(pa.array(c)), pa.array(d)], schema=arrow)
 
     arrow = _arrow_schema(schema)
     return _top_k(dealt.mapInArrow(run, schema), qkey, ckey, k)
 
 
+def _in_blocks(questions: DataFrame, qkey: list[str]) -> DataFrame:
+    """(__block): the questions of a task in blocks of ``_QUESTIONS`` rows, each one Arrow stream of (__q0..., vec,
+    [norm2]). A block's terms stand in it once, as a dictionary."""
+    more = ["norm2"] if "norm2" in questions.columns else []
+    keys = [f"__q{i}" for i in range(len(qkey))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, _QUESTIONS):
+                part = b.slice(i, _QUESTIONS)
+                if rows + part.num_rows > _QUESTIONS:
+                    yield block(held)
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield block(held)
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        vec = _unpacked(t.column(0).combine_chunks(), t.column(1).combine_chunks())
+        if pa.types.is_struct(vec.type.value_type):
+            flat = vec.flatten()
+            entries = pa.StructArray.from_arrays([flat.field("term").dictionary_encode(), flat.field("w")], ["term", "w"])
+            vec = pa.ListArray.from_arrays(vec.offsets, entries)
+        out = pa.RecordBatch.from_arrays([*(t.column(2 + j).combine_chunks() for j in range(len(keys) + len(more))), vec], names=[*keys, *more, "vec"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, out.schema) as stream:
+            stream.write_batch(out)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["__block"])
+
+    return questions.select(*_packed(questions), *[F.col(c).alias(q) for c, q in zip(qkey, keys, strict=True)], *more).mapInArrow(run, "__block binary")
+
+
 _APART = "\0"               # between the terms of a vector: no term holds it
 
 
@@ -148,8 +187,8 @@ def _unpacked(terms: pa.Array, w: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), entries)
 
 
-#: Questions answered at once in a task.
-_QUESTIONS = 2048
+#: Questions answered at once in a task, and of these in a product of matrices.
+_QUESTIONS, _TOGETHER = 4096, 1024
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -179,7 +218,7 @@ class InvertedShard:
     be negative. ``scored`` counts the pairs of question and item whose distance was taken."""
 
     def __init__(self, ids: pa.Array, vecs: pa.Array, block: int = BLOCK, group: int = GROUP):
-        self.block, self.group, self.scored, self.found = block, group, 0, {}
+        self.block, self.size, self.scored = block, block * group, 0
         lens, terms, w = _flat(vecs)
         if len(w) and w.min() < 0:
             raise ValueError("negative weights")
@@ -193,114 +232,209 @@ class InvertedShard:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         row = place[row]
-        by = np.lexsort((row, term))
+        self.groups = -(-n // self.size)
+        # postings by group, term and row
+        key = (row // self.size * max(1, len(self.terms)) + term) * self.size + row % self.size
+        by = np.argsort(key, kind="stable")
         term, row, w = term[by], row[by], w[by]
-        same, _ = _runs(term * max(1, n) + row)   # an item's entries of one term are one posting
+        same, _ = _runs(key[by])                  # an item's entries of one term are one posting
+        del key, by
         term, self.row, self.w = term[same], row[same], np.add.reduceat(w, same) if len(w) else w
-        self.blocks = -(-n // block)
-        self.groups = -(-self.blocks // group)
         at = np.arange(0, n, block)
         self.least_cn = np.minimum.reduceat(self.cn, at) if n else np.empty(0)
         self.least_id = np.minimum.reduceat(self.by_id, at) if n else np.empty(0, np.int64)
-        at = np.arange(0, self.blocks, group)
-        self.group_cn = np.minimum.reduceat(self.least_cn, at) if n else np.empty(0)
-        self.group_id = np.minimum.reduceat(self.least_id, at) if n else np.empty(0, np.int64)
-        # a cell: the postings of a term in a block; a lot: the cells of a term in a group of blocks
-        self.start, self.count = _runs(term * max(1, self.blocks) + self.row // block)
+        at = np.arange(0, n, self.size)
+        self.group_cn = np.minimum.reduceat(self.cn, at) if n else np.empty(0)
+        self.group_id = np.minimum.reduceat(self.by_id, at) if n else np.empty(0, np.int64)
+        # a cell: the postings of a term in a block; a lot: its cells in a group of blocks
+        lot = self.row // self.size * max(1, len(self.terms)) + term
+        self.start, self.count = _runs(lot * group + self.row % self.size // block)
         self.top = np.maximum.reduceat(self.w, self.start) if len(term) else np.empty(0)
-        self.of_block, term = self.row[self.start] // block, term[self.start]
-        self.lot_start, self.lot_count = _runs(term * max(1, self.groups) + self.of_block // group)
+        self.of_block = self.row[self.start] // block
+        self.lot_start, self.lot_cells = _runs(lot[self.start])
         self.lot_top = np.maximum.reduceat(self.top, self.lot_start) if len(term) else np.empty(0)
-        self.of_group = self.of_block[self.lot_start] // group
-        self.first = np.searchsorted(term[self.lot_start], np.arange(len(self.terms) + 1))
+        self.lot_post = self.start[self.lot_start]
+        self.lot_count = np.diff(np.append(self.lot_post, len(self.row)))
+        self.lot_term = term[self.lot_post]
+        self.first_lot = np.searchsorted(self.row[self.lot_post] // self.size, np.arange(self.groups + 1))
         self.plain = np.lexsort((order, np.round(self.cn, 9)))   # nearest first to what shares no term
 
     def search(self, vecs: pa.Array, k: int, norms: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``norms``: squared norms of the questions, if ``vecs`` leave out terms that no item has."""
+        """(question places, item places, distances), nearest first. ``norms``: squared norms of the
+        questions, if ``vecs`` leave out terms that no item has."""
         lens, terms, w = _flat(vecs)
         if len(w) and w.min() < 0:
             raise ValueError("negative weights")
-        ends, known = np.cumsum(lens), [self.terms.get(t, -1) for t in terms.to_pylist()]
-        known = np.array(known, np.int64)
-        norms = [None] * len(lens) if norms is None else norms.to_pylist()
-        qs, cs, ds = [], [], []
-        for j, (a, b) in enumerate(zip((ends - lens).tolist(), ends.tolist(), strict=True)):
-            qn = float((w[a:b] * w[a:b]).sum()) if norms[j] is None else norms[j]
-            here = known[a:b] >= 0
-            term, weight = known[a:b][here], w[a:b][here]
-            key = (qn, k, term.tobytes(), weight.tobytes())
-            if key not in self.found:   # equal questions are answered once
-                if len(self.found) >= _FOUND:
-                    self.found.clear()
-                self.found[key] = self._one(term, weight, qn, k)
-            c, d = self.found[key]
-            qs.append(np.full(len(c), j))
-            cs.append(c)
-            ds.append(d)
-        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (qs, cs, ds))
-
-    def _one(self, term: np.ndarray, w: np.ndarray, qn: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest by (distance at 9 decimals, id). A group or block is passed over if its
-        least possible distance and its least id come after the k-th pair found."""
-        k = min(k, self.n)
-        if not k:
-            return np.empty(0, np.int64), np.empty(0)
+        nq, k = len(lens), min(k, self.n)
+        if not k or not nq:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        coded = terms if pa.types.is_dictionary(terms.type) else terms.dictionary_encode()
+        known = np.array([self.terms.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], np.int64)
+        term, q = known[coded.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(nq), lens)
+        qn = np.bincount(q, w * w, minlength=nq)
+        if norms is not None:
+            own = norms.to_numpy(zero_copy_only=False).astype(np.float64)
+            qn = np.where(np.isnan(own), qn, own)
+        here = term >= 0
+        by = np.lexsort((term[here], q[here]))
+        q, term, w = q[here][by], term[here][by], w[here][by]
+        one, _ = _runs(q * max(1, len(self.terms)) + term)    # a question's entries of one term count together
+        asked = _Asked(q[one], term[one], np.add.reduceat(w, one) if len(w) else w, qn, k)
         # without common terms the distance is qn + cn: k of these are known, and bound the k-th
-        places = self.plain[:k]
-        distances = qn + self.cn[places]
-        kth = (float(np.round(distances[-1], 9)), int(self.by_id[places[-1]]))
-        counts = self.first[term + 1] - self.first[term]
-        lots, weight = _spread(self.first[term], counts), np.repeat(w, counts)
-        of = self.of_group[lots]
-        bound = np.bincount(of, weight * self.lot_top[lots], minlength=self.groups)
-        near = np.round(qn + self.group_cn - 2 * bound - _SLACK, 9)
-        left = np.flatnonzero((bound > 0) & _reach(near, self.group_id, kth))
-        left = left[np.lexsort((self.group_id[left], near[left]))]
-        step = 1
-        while len(left):
-            chosen, left = left[:step], left[step:]
-            step *= 2
-            places, distances = self._score(chosen, lots, of, weight, qn, kth, places, distances)
-            rounded = np.round(distances, 9)
-            if len(places) > 4 * k:
-                close = rounded <= np.partition(rounded, k - 1)[k - 1]
-                places, distances, rounded = places[close], distances[close], rounded[close]
-            best = np.lexsort((self.by_id[places], rounded))[:k]
-            places, distances = places[best], distances[best]
-            kth = (float(rounded[best[-1]]), int(self.by_id[places[-1]]))
-            left = left[_reach(near[left], self.group_id[left], kth)]
-        return places, distances
-
-    def _score(self, chosen: np.ndarray, lots: np.ndarray, of: np.ndarray, weight: np.ndarray, qn: float, kth: tuple[float, int],
-               places: np.ndarray, distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) with the items of the chosen groups' blocks that reach the k-th pair."""
-        slot = np.full(self.groups, -1)
-        slot[chosen] = np.arange(len(chosen))
-        mine = slot[of] >= 0
-        many = self.lot_count[lots[mine]]
-        cells, weight = _spread(self.lot_start[lots[mine]], many), np.repeat(weight[mine], many)
-        block = self.of_block[cells]
-        at = slot[block // self.group] * self.group + block % self.group
-        bound = np.bincount(at, weight * self.top[cells], minlength=len(chosen) * self.group)
-        every = (chosen[:, None] * self.group + np.arange(self.group)).ravel()
-        real = np.flatnonzero((every < self.blocks) & (bound > 0))
-        near = np.round(qn + self.least_cn[every[real]] - 2 * bound[real] - _SLACK, 9)
-        real = real[_reach(near, self.least_id[every[real]], kth)]
-        if not len(real):
-            return places, distances
-        slot = np.full(len(every), -1)
-        slot[real] = np.arange(len(real))
-        mine = slot[at] >= 0
-        many = self.count[cells[mine]]
-        post = _spread(self.start[cells[mine]], many)
-        dots = np.bincount(np.repeat(slot[at[mine]], many) * self.block + self.row[post] % self.block,
-                           np.repeat(weight[mine], many) * self.w[post], minlength=len(real) * self.block)
-        rows = (every[real][:, None] * self.block + np.arange(self.block)).ravel()
-        inside = rows < self.n
-        rows, dots = rows[inside], dots[inside]
-        self.scored += len(rows)
-        old = ~np.isin(places // self.block, every[real])   # those of scored blocks come again
-        return np.concatenate((places[old], rows)), np.concatenate((distances[old], qn + self.cn[rows] - 2.0 * dots))
+        asked.places[:] = self.plain[:k]
+        asked.distances[:] = qn[:, None] + self.cn[self.plain[:k]]
+        asked.ids[:] = self.by_id[self.plain[:k]]
+        bound, lots = np.zeros((self.groups, nq)), np.full(max(1, len(self.terms)), -1)
+        for g in range(self.groups):
+            e, lot = self._lots(g, asked, None, lots)
+            bound[g] = np.bincount(asked.q[e], asked.w[e] * self.lot_top[lot], minlength=nq)
+        near = np.round(qn + self.group_cn[:, None] - 2 * bound - _SLACK, 9)
+        near[bound <= 0] = np.inf
+        best = np.argmin(near, 0)
+        for first in (True, False):       # each question's nearest group, then all that can reach its k-th pair
+            for g in range(self.groups):
+                left = _reach(near[g], self.group_id[g], asked.kth()) & (near[g] < np.inf) & ((best == g) == first)
+                left = np.flatnonzero(left)
+                for i in range(0, len(left), _TOGETHER):
+                    self._group(g, left[i:i + _TOGETHER], asked, lots)
+        return np.repeat(np.arange(nq), k), asked.places.ravel(), asked.distances.ravel()
+
+    def _lots(self, g: int, asked: _Asked, those: np.ndarray | None, lots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, lots) of the entries (of the questions ``those``) whose term the group has."""
+        a, b = self.first_lot[g], self.first_lot[g + 1]
+        lots[self.lot_term[a:b]] = np.arange(a, b)
+        e = np.arange(len(asked.q)) if those is None else _spread(asked.first[those], asked.first[those + 1] - asked.first[those])
+        lot = lots[asked.term[e]]
+        lots[self.lot_term[a:b]] = -1
+        has = lot >= 0
+        return e[has], lot[has]
+
+    def _group(self, g: int, those: np.ndarray, asked: _Asked, lots: np.ndarray) -> None:
+        """The items of a group for the questions ``those`` (ascending), which take what comes before their k-th pair."""
+        e, lot = self._lots(g, asked, those, lots)
+        weight, place = asked.w[e], np.searchsorted(those, asked.q[e])
+        used, at = np.unique(lot, return_inverse=True)
+        often, rows = np.bincount(at, minlength=len(used)), self.lot_count[used]
+        many = often * rows > self.size * len(those) * _PRODUCT
+        if (often * self.lot_cells[used]).sum() < _CELLS * len(those) * self.size:
+            self._by_blocks(g, those, asked, lot, weight, place)
+        else:
+            self._at_once(g, those, asked, (used, at, many), lot, weight, place)
+
+    def _by_blocks(self, g, those, asked, lot, weight, place):
+        """Blocks that reach the k-th pair, a question's nearest first: their postings are summed."""
+        group = self.size // self.block
+        many = self.lot_cells[lot]
+        cells, weight, place = _spread(self.lot_start[lot], many), np.repeat(weight, many), np.repeat(place, many)
+        at = place * group + self.of_block[cells] - g * group
+        bound = np.bincount(at, weight * self.top[cells], minlength=len(those) * group)
+        real = np.flatnonzero(bound > 0)
+        q, block = those[real // group], g * group + real % group
+        near = np.round(asked.norms[q] + self.least_cn[block] - 2 * bound[real] - _SLACK, 9)
+        distance, last = asked.kth()
+        left = np.flatnonzero(_reach(near, self.least_id[block], (distance[q], last[q])))
+        left = left[np.lexsort((self.least_id[block[left]], near[left], q[left]))]
+        first, counts = _runs(q[left])
+        rank = np.arange(len(left)) - np.repeat(first, counts)
+        slot = np.full(len(bound), -1)
+        for a, b in _STEPS:
+            now = left[(rank >= a) & (rank < b)]
+            now = now[_reach(near[now], self.least_id[block[now]], (distance[q[now]], last[q[now]]))]
+            if not len(now):
+                continue
+            slot[real[now]] = np.arange(len(now))
+            mine = np.flatnonzero(slot[at] >= 0)
+            many = self.count[cells[mine]]
+            post = _spread(self.start[cells[mine]], many)
+            dots = np.bincount(np.repeat(slot[at[mine]], many) * self.block + self.row[post] % self.block,
+                               np.repeat(weight[mine], many) * self.w[post], minlength=len(now) * self.block)
+            slot[real[now]] = -1
+            rows, of = (block[now][:, None] * self.block + np.arange(self.block)).ravel(), np.repeat(q[now], self.block)
+            inside = rows < self.n
+            rows, of, dots = rows[inside], of[inside], dots[inside]
+            self.scored += len(rows)
+            asked.take(of, rows, asked.norms[of] + self.cn[rows] - 2.0 * dots, self.by_id[rows])
+
+    def _at_once(self, g, those, asked, terms, lot, weight, place):
+        """Items of the whole group that may come before the k-th pair: all are scored."""
+        used, at, many = terms
+        n = min(self.size, self.n - g * self.size)
+        dense, column = used[many], np.cumsum(many) - 1
+        x, y = np.zeros((len(those), len(dense))), np.zeros((len(dense), n))
+        counts = self.lot_count[dense]
+        post = _spread(self.lot_post[dense], counts)
+        y[np.repeat(np.arange(len(dense)), counts), self.row[post] - g * self.size] = self.w[post]
+        mine = many[at]
+        x[place[mine], column[at[mine]]] = weight[mine]
+        score = x @ y
+        lot, weight, place = lot[~mine], weight[~mine], place[~mine]
+        flat, ends = score.ravel(), np.append(0, np.cumsum(self.lot_count[lot]))
+        for i in range(0, len(lot), _ENTRIES):      # bounded, whatever the lists' length
+            part = slice(i, i + _ENTRIES)
+            counts = self.lot_count[lot[part]]
+            post = _spread(self.lot_post[lot[part]], counts)
+            np.add.at(flat, np.repeat(place[part] * n - g * self.size, counts) + self.row[post], np.repeat(weight[part], counts) * self.w[post])
+        self.scored += score.size
+        score *= 2.0
+        score -= self.cn[g * self.size:g * self.size + n]
+        qn = asked.norms[those]
+        least = qn - asked.kth()[0][those] - _ROUNDED     # a smaller score is beyond the k-th distance
+        part = _GROUPED if n % _GROUPED == 0 else 1
+        largest = score.reshape(len(those), part, n // part).max(1)     # of every n / part-th item
+        if largest.shape[1] >= asked.k:
+            at_kth = largest.shape[1] - asked.k
+            least = np.maximum(least, np.partition(largest, at_kth, 1)[:, at_kth] - _ROUNDED)
+        q, column = np.nonzero(largest >= least[:, None])
+        columns = column[:, None] + np.arange(part) * (n // part)
+        values = score[q[:, None], columns]
+        i, j = np.nonzero(values >= least[q][:, None])
+        q, rows = q[i], g * self.size + columns[i, j]
+        asked.take(those[q], rows, qn[q] - values[i, j], self.by_id[rows])
+
+
+class _Asked:
+    """A block of questions: their entries (by question), squared norms, and the k nearest items found so far,
+    sorted by (distance at 9 decimals, id)."""
+
+    def __init__(self, q: np.ndarray, term: np.ndarray, w: np.ndarray, norms: np.ndarray, k: int):
+        self.q, self.term, self.w, self.norms, self.k = q, term, w, norms, k
+        self.first = np.searchsorted(q, np.arange(len(norms) + 1))
+        self.places, self.ids = np.empty((len(norms), k), np.int64), np.empty((len(norms), k), np.int64)
+        self.distances = np.empty((len(norms), k))
+
+    def kth(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distances at 9 decimals, ids) of the k-th pairs; kept up to date."""
+        if self._kth is None:
+            self._kth = np.round(self.distances[:, -1], 9), self.ids[:, -1].copy()
+        return self._kth
+
+    _kth = None
+
+    def take(self, q: np.ndarray, places: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
+        """Merges found items into the nearest of their questions. One that is there already, with the distance
+        it has without common terms, comes again with its own, which is not larger."""
+        distance, last = self.kth()
+        rounded = np.round(distances, 9)
+        good = (rounded < distance[q]) | ((rounded == distance[q]) & (ids <= last[q]))
+        q, places, distances, ids, rounded = q[good], places[good], distances[good], ids[good], rounded[good]
+        if not len(q):
+            return
+        touched = np.unique(q)
+        q = np.concatenate((q, np.repeat(touched, self.k)))
+        places, ids = (np.concatenate((new, old[touched].ravel())) for new, old in ((places, self.places), (ids, self.ids)))
+        distances = np.concatenate((distances, self.distances[touched].ravel()))
+        rounded = np.concatenate((rounded, np.round(self.distances[touched], 9).ravel()))
+        by = np.lexsort((rounded, ids, q))    # ids are those of places: the nearer of two
+        one, _ = _runs(q[by] * (int(ids.max()) + 1) + ids[by])
+        by = by[one]
+        by = by[np.lexsort((ids[by], rounded[by], q[by]))]
+        q = q[by]
+        first, counts = _runs(q)
+        rank = np.arange(len(q)) - np.repeat(first, counts)
+        near = rank < self.k
+        by, q, rank = by[near], q[near], rank[near]
+        self.places[q, rank], self.distances[q, rank], self.ids[q, rank] = places[by], distances[by], ids[by]
+        distance[touched], last[touched] = np.round(self.distances[touched, -1], 9), self.ids[touched, -1]
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +443,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(key)))
 
 
-def _reach(near: np.ndarray, least: np.ndarray, kth: tuple[float, int]) -> np.ndarray:
+def _reach(near: np.ndarray, least: np.ndarray, kth: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return (near < kth[0]) | ((near == kth[0]) & (least <= kth[1]))
 
 
@@ -330,9 +464,15 @@ def _alike(term: np.ndarray, row: np.ndarray, w: np.ndarray, lens: np.ndarray, n
     return np.lexsort((np.arange(n), -weight, lens, *first[::-1]))
 
 
-#: The most frequent terms of an item that place it in the shard, and answers remembered.
-_LEADING, _FOUND = 24, 1 << 16
+#: The most frequent terms of an item that place it in the shard.
+_LEADING = 24
 _SLACK = 1e-12              # above the rounding errors of a bound
+_ROUNDED = 2e-9             # scores that differ by more differ at 9 decimals, too
+#: Share of question-item pairs with a posting from which a term stands in the product of matrices, and cells a pair
+#: up to which bounding the blocks costs less than it saves (both measured).
+_PRODUCT, _CELLS = 1 / 256, 5 / 32
+_ENTRIES, _GROUPED = 1 << 14, 32   # entries whose postings are summed at once; parts of a group looked at together
+_STEPS = ((0, 1), (1, 4), (4, 1 << 62))   # a question's blocks in a group, by rank, scored between two looks at its k-th pair
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,

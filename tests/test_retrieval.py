@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlens.operators import answer as A
 from leadlens.operators import embed as E
+from leadlens.operators import retrieve as R
 from leadlens.operators.answer import answer_questions, append_answers, last_messages, retrieve, user_questions
 from leadlens.operators.embed import embed_questions, embed_to_search, embed_with, term_frequencies, weigh
 from leadlens.operators.retrieve import InvertedShard, nearest_dense, nearest_sparse
@@ -181,6 +182,49 @@ def test_equal_distances_do_not_score_every_item():
     assert shard.ids.to_numpy()[c].tolist() == [7] and np.allclose(d, [-0.5])
 
 
+def test_long_questions_are_scored_together():
+    """Questions with many terms, vectors of any length, copies, and groups of any size: exact, and a group of items is
+    gone through once for the first and once for the other questions of a block, not for every question."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
+    column = lambda vs: pa.array([v for _, v in as_rows(vs)], kind)
+    for seed, n, nq, vocabulary, most, block, group in ((1, 2500, 300, 400, 90, 32, 32), (2, 300, 90, 60, 40, 4, 8), (3, 300, 90, 60, 40, 3, 5), (4, 40, 20, 9, 9, 1, 1)):
+        rng = np.random.default_rng(seed)
+        items, questions = sparse(rng, n, vocabulary, most), sparse(rng, nq, vocabulary + 9, most)
+        items = [{t: w * (1 + i % 3 / 7) for t, w in v.items()} for i, v in enumerate(items)]
+        dense = np.zeros((n + nq, vocabulary + 9))
+        for i, v in enumerate(items + questions):
+            for t, w in v.items():
+                dense[i, int(t[1:])] = w
+        shard, calls = InvertedShard(pa.array(range(n)), column(items), block, group), []
+        one_group = shard._group
+        shard._group = lambda *a: (calls.append(a[0]), one_group(*a))
+        q, c, d = shard.search(column(questions), 5)
+        ids = shard.ids.to_numpy()[c]
+        want = (dense[n:] ** 2).sum(1)[:, None] + (dense[:n] ** 2).sum(1) - 2 * dense[n:] @ dense[:n].T
+        for j in range(nq):
+            near = np.lexsort((np.arange(n), np.round(want[j], 9)))[:5]
+            assert ids[q == j].tolist() == near.tolist() and np.allclose(d[q == j], want[j][near], atol=1e-12)
+        assert max(calls.count(g) for g in calls) <= 2
+
+
+def test_questions_go_to_a_shard_in_blocks(spark, monkeypatch):
+    """One row a block of questions, not one a question; and no more shards than the tasks that can run and the bytes ask for."""
+    monkeypatch.setattr(R, "_QUESTIONS", 100)
+    kind = "array<struct<term:string,w:double>>"
+    questions = spark.createDataFrame([(i, [("a", 0.5), (f"t{i}", 0.25)] if i % 3 else []) for i in range(250)], f"qid long, vec {kind}").coalesce(1)
+    blocks = [pa.ipc.open_stream(bytes(r[0])).read_all() for r in R._in_blocks(questions, ["qid"]).collect()]
+    assert [b.num_rows for b in blocks] == [100, 100, 50] and [x for b in blocks for x in b["__q0"].to_pylist()] == list(range(250))
+    assert blocks[0]["vec"].to_pylist()[:2] == [[], [{"term": "a", "w": 0.5}, {"term": "t1", "w": 0.25}]]
+    items = spark.range(20 * R.SHARD_LEAST).select(F.col("id").alias("chunk_id"), F.array().cast(kind).alias("vec"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        near = nearest_sparse(items, questions, ["qid"])
+        dealt = [e for e in near._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in e]
+        assert near.count() == 250 * 5 and dealt[0].rstrip().endswith(f", {2 * spark.sparkContext.defaultParallelism}"), dealt
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_questions_leave_out_terms_that_no_chunk_has(spark):
     chunks = spark.createDataFrame([("c1", "red car"), ("c2", "blue car"), ("c3", "blue sky")], "chunk_id string, text string")
     qs = spark.createDataFrame([(1, "red planet far away"), (2, "nowhere")], "qid long, text string")
