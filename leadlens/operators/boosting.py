@@ -2,8 +2,10 @@
 
 The learner of Spark's ``GBTClassifier`` (log loss, variance gain, histograms over binned features, the
 same sampling draws), run otherwise: there every binary model runs its own job per tree level, so
-54 models of 100 rounds are tens of thousands of small jobs. Here all models of a call grow their
-trees side by side, so a call has rounds x depth jobs however many models it has. Rows are dealt over
+54 models of 100 rounds are tens of thousands of small jobs. Here up to ``WHOLE_ROWS`` training rows (a bound on
+a task's memory) a binary model grows whole in one task, all models of a call in one job: its binned columns cross the
+network once and only its trees leave it. With more rows all models of a call grow their trees side by side, so a call
+has rounds x depth jobs however many models it has. Rows are then dealt over
 tasks as blocks of binned columns with the margins so far; a level sums one histogram per model and
 node, per block and then over blocks by ``reduceByKey``, and only the chosen splits reach the driver.
 
@@ -39,6 +41,9 @@ N_CLASSES = len(S.CLASS_LABELS)
 CHECKPOINT_ROUNDS, TASK_ROWS, LEAST_ROWS = 20, 1_000_000, 20_000
 #: Rounds whose draws are kept in one long.
 _DRAWS = 50
+#: Rows of a model that grows in one task (some 50 bytes each); rows passed at once in it, so that what a step makes stays
+#: in the cache; cells of the columns that are counted together there, and rows a cell from which that is less work.
+WHOLE_ROWS, _PASS, _CELLS, _CELL_ROWS = 4_500_000, 1 << 16, 4096, 32
 
 
 @dataclass(frozen=True)
@@ -295,6 +300,9 @@ def fit_boosted(parts: list[DataFrame], specs: dict[str, Boosting]) -> dict[tupl
     counts = [v.count() for v in parts]
     cuts = numeric_cuts(parts, shapes[0][0], sorted({s.bins for s in settings}), counts)
     layouts = {(k, i): Layout(cuts[k, s.bins], shapes[k][1], shapes[k][2]) for k in range(len(parts)) for i, s in enumerate(settings)}
+    if max(counts) <= WHOLE_ROWS:
+        grown = _grown_whole(parts, settings, layouts, shapes)
+        return _models(parts, names, settings, layouts, grown)
     n_parts = [v.rdd.getNumPartitions() for v in parts]
     part_of = [k for k, n in enumerate(n_parts) for _ in range(n)]
     cores = sc.defaultParallelism
@@ -358,6 +366,10 @@ def fit_boosted(parts: list[DataFrame], specs: dict[str, Boosting]) -> dict[tupl
     _forget(sc, saved)
     for b in sent:
         b.destroy()
+    return _models(parts, names, settings, layouts, grown)
+
+
+def _models(parts, names, settings, layouts, grown) -> dict[tuple[int, str], BoostedModel]:
     out = {}
     for k in range(len(parts)):
         for i, name in enumerate(names):
@@ -366,6 +378,141 @@ def fit_boosted(parts: list[DataFrame], specs: dict[str, Boosting]) -> dict[tupl
     return out
 
 
+def _grown_whole(parts: list[DataFrame], settings: list[Boosting], layouts: dict, shapes: list) -> dict[tuple, list]:
+    """(part, learner, class) -> trees, each model grown by one task from all its blocks."""
+    models = [(k, i, c) for k in range(len(parts)) for i in range(len(settings)) for c in range(N_CLASSES)]
+    number = {m: j for j, m in enumerate(models)}
+    sent = []
+    for k, v in enumerate(parts):
+        def deal(place: int, blocks, k=k):
+            for learned, y in blocks:
+                for i, (binned, drawn) in enumerate(learned):
+                    for c in range(N_CLASSES):
+                        yield number[k, i, c], (place, binned, drawn, y == c)
+        sent.append(_blocks(v, settings, [layouts[k, i] for i in range(len(settings))]).mapPartitionsWithIndex(deal))
+
+    def run(j: int, records):
+        held = sorted((r for _, r in records), key=lambda r: r[0])
+        k, i, c = models[j]
+        lay, spec = layouts[k, i], settings[i]
+        if not held:
+            held = [(0, np.empty((0, len(lay.sizes)), np.uint8), np.empty((0, len(_drawn_places(spec))), np.int64), np.empty(0, bool))]
+        binned = np.concatenate([b.T for _, b, _, _ in held], 1).T
+        drawn, y = np.concatenate([d for _, _, d, _ in held]), np.concatenate([t for _, _, _, t in held])
+        held.clear()
+        yield models[j], grow(binned, drawn, np.where(y, 1, -1).astype(np.int8), spec, len(lay.cuts), lay.sizes, lay.slots)
+
+    sc = parts[0].sparkSession.sparkContext
+    return dict(sc.union(sent).partitionBy(len(models), lambda j: j).mapPartitionsWithIndex(run).collect())   # trees: bounded by rounds and depth
+
+
+def _drawn_places(spec: Boosting) -> range:
+    return range(0, spec.rounds if spec.rate < 1.0 else 0, _DRAWS)
+
+
+def _together(sizes: list[int], rows: int) -> list[list[int]]:
+    """Columns that are counted by one joint code. With few rows each stands alone (and its sums are those of the
+    distributed rounds to the last bit): summing up the cells would cost more than it saves."""
+    out, cells = [], 1
+    for c, size in enumerate(sizes):
+        if out and rows > _PASS and cells * size <= min(_CELLS, rows // _CELL_ROWS):
+            out[-1].append(c)
+            cells *= size
+        else:
+            out.append([c])
+            cells = size
+    return out
+
+
+def grow(binned: np.ndarray, drawn: np.ndarray, y: np.ndarray, spec: Boosting, n_numeric: int, sizes: list[int], slots: list[int]) -> list[tuple]:
+    """All trees of a binary model (column, left, value, worth, place) from all its rows: the steps of the distributed
+    rounds, with the node of every row kept from level to level."""
+    n, inner = len(y), (1 << spec.depth) - 1
+    parts = [slice(a, min(a + _PASS, n)) for a in range(0, n, _PASS)]
+    columns = binned.T if binned.T.flags.c_contiguous else np.ascontiguousarray(binned.T)
+    codes_of = [np.ascontiguousarray(columns[:, p]).ravel() for p in parts]
+    # joint codes of columns that are counted together
+    groups = _together(sizes, n)
+    joint = []
+    for cols in groups:
+        key = columns[cols[0]].astype(np.uint16 if max(_CELLS, *sizes) <= 1 << 16 else np.int64)
+        for c in cols[1:]:
+            key *= sizes[c]
+            key += columns[c]
+        joint.append(key)
+    del columns
+    margin, target, node = np.zeros(n), np.empty(n), np.zeros(n, np.int16 if spec.depth < 14 else np.int64)
+    trees = []
+    for turn in range(spec.rounds):
+        column, left = np.full(inner, -1, np.int16), np.zeros((inner, max(sizes)), bool)
+        value, worth, place = np.zeros(2 * inner + 1), np.zeros(inner), np.zeros(inner, np.int16)
+        node[:] = 0
+        for level in range(spec.depth):
+            first, nodes = (1 << level) - 1, 1 << level
+            hist = [np.zeros((2, nodes, int(np.prod([sizes[c] for c in cols])))) for cols in groups]
+            alive = np.ones(nodes, bool)      # inner nodes have children; a leaf keeps its rows
+            if level:
+                above = column[first >> 1:first] >= 0
+                alive = np.repeat(above, 2)
+            slot_of = np.where(alive, np.arange(nodes), nodes)
+            for p, flat in zip(parts, codes_of, strict=True):
+                if level:
+                    node[p] = _down(flat, node[p], column, left)
+                else:
+                    target[p] = residuals(y[p], margin[p], turn)
+                slot = slot_of.take(node[p] - first)
+                if spec.rate < 1.0:
+                    slot = np.where((drawn[p, turn // _DRAWS] >> (turn % _DRAWS)) & 1, slot, nodes)
+                for h, key in zip(hist, joint, strict=True):
+                    cells = h.shape[2]
+                    at = slot * cells
+                    at += key[p]
+                    h[0] += np.bincount(at, minlength=(nodes + 1) * cells)[:nodes * cells].reshape(nodes, cells)
+                    h[1] += np.bincount(at, target[p], (nodes + 1) * cells)[:nodes * cells].reshape(nodes, cells)
+            whole = np.concatenate([_marginal(h, [sizes[c] for c in cols]) for h, cols in zip(hist, groups, strict=True)], 2)
+            size = slice(first, first + nodes)
+            column[size], left[size], mean, gain, rows, place[size], sides = best_splits(whole, n_numeric, sizes, slots, spec.onehot)
+            worth[size] = gain * rows
+            if level == 0:
+                value[0] = mean[0]
+            for j in np.flatnonzero(column[size] >= 0):
+                value[2 * (first + j) + 1], value[2 * (first + j) + 2] = sides[j]
+            if not (column[size] >= 0).any():
+                break
+        else:
+            first = inner
+        w, reached = (1.0 if turn == 0 else spec.step), value.copy()
+        for j in np.flatnonzero(column < 0):      # what lies below a leaf has its value
+            reached[2 * j + 1] = reached[2 * j + 2] = reached[j]
+        for p, flat in zip(parts, codes_of, strict=True):
+            if first == inner:
+                node[p] = _down(flat, node[p], column, left)
+            margin[p] += w * reached.take(node[p])
+        trees.append((column, left, value, worth, place))
+    return trees
+
+
+def _down(flat: np.ndarray, node: np.ndarray, column: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The child of every row's node; rows of a leaf go to its right, where there is nothing. ``flat``: codes by column."""
+    node = node.astype(np.int64)
+    at = (np.maximum(column, 0).astype(np.int64) * len(node)).take(node)
+    at += np.arange(len(node))
+    code = node * left.shape[1]
+    code += flat.take(at)
+    node *= 2
+    node += 2
+    node -= left.ravel().take(code)
+    return node
+
+
+def _marginal(hist: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """(2, nodes, all bins of the columns) from the cells of their joint code."""
+    if len(sizes) == 1:
+        return hist
+    cells = hist.reshape(*hist.shape[:2], *sizes)
+    return np.concatenate([cells.sum(tuple(a + 2 for a in range(len(sizes)) if a != c)) for c in range(len(sizes))], 2)
+
+
 def _forget(sc, path: str | None) -> None:
     """Delete a checkpoint that a later one replaces."""
     if path:

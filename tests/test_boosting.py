@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from leadlens import schema as S
+from leadlens.operators import boosting as B
 from leadlens.operators.boosting import Boosting, BoostedModel, fit_boosted, numeric_cuts
 from leadlens.operators.models import ModelParams, compare_models, fit_features
 
@@ -87,6 +88,38 @@ def test_jobs_do_not_grow_with_the_models(spark):
     assert jobs[3] - jobs[0] < 400, jobs
 
 
+def test_whole_models_grow_in_a_task(spark, monkeypatch):
+    """Up to WHOLE_ROWS rows the jobs do not grow with the rounds; the trees are those of the distributed rounds, also
+    where rows are passed in pieces and columns counted together."""
+    v = _vectors(_leads(spark), 1)
+    v.count()
+    sc, tracker, jobs, raw = spark.sparkContext, spark.sparkContext.statusTracker(), {}, {}
+    specs = lambda rounds: {k: Boosting(rounds=rounds, depth=3, **kw) for k, kw in SETTINGS.items()}
+    for rounds in (3, 20):
+        sc.setJobGroup(f"whole-{rounds}", "whole")
+        models = fit_boosted([v], specs(rounds))
+        jobs[rounds] = len(tracker.getJobIdsForGroup(f"whole-{rounds}"))
+        raw[rounds] = {k: _raw(models[0, k], v) for k in SETTINGS}
+    sc.setJobGroup("rest", "rest")
+    assert jobs[3] == jobs[20], jobs
+    monkeypatch.setattr(B, "WHOLE_ROWS", 0)
+    spread = fit_boosted([v], specs(3))
+    assert all(np.array_equal(_raw(spread[0, k], v), raw[3][k]) for k in SETTINGS)
+    monkeypatch.setattr(B, "WHOLE_ROWS", 1000)
+    binned, sizes, slots = np.asfortranarray(np.random.default_rng(1).integers(0, 5, (700, 4)).astype(np.uint8)), [5, 5, 5, 5], [4, 5]
+    y = np.where(binned[:, 0] + 2 * (binned[:, 2] == 3) + np.random.default_rng(2).random(700) > 3, 1, -1).astype(np.int8)
+    drawn = np.random.default_rng(3).integers(0, 1 << 50, (700, 1))
+    for spec in (Boosting(rounds=4, depth=3), Boosting(rounds=4, depth=3, rate=0.8), Boosting(rounds=4, depth=4, onehot=False)):
+        monkeypatch.setattr(B, "_PASS", 1 << 16)
+        one = B.grow(binned, drawn, y, spec, 2, sizes, slots)
+        monkeypatch.setattr(B, "_PASS", 90)
+        monkeypatch.setattr(B, "_CELL_ROWS", 1)
+        assert [len(g) for g in B._together(sizes, 700)] == [4] and len(one) == 4
+        for a, b in zip(one, B.grow(binned, drawn, y, spec, 2, sizes, slots), strict=True):
+            assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and np.allclose(a[2], b[2], atol=1e-9)
+    v.unpersist()
+
+
 def test_save_and_load(spark, tmp_dir):
     leads = _leads(spark, 120)
     v = _vectors(leads, 1)
