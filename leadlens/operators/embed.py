@@ -13,12 +13,12 @@ column (``embed_with``), searched by ``retrieve.nearest_dense``.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,8 +114,9 @@ def counted_inside(docs: DataFrame, text: str = "text") -> DataFrame:
         found = Counter()
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "df"])
         for b in batches:
-            for t in b.column(0):
-                found.update(set((t.as_py() or "").split()))
+            for part in _pieces(b, 0):
+                terms, _, place, _ = _counted(part.column(0))
+                found.update(dict(zip(terms.to_pylist(), np.bincount(place, minlength=len(terms)).tolist(), strict=True)))
                 if len(found) >= _COUNTED:
                     yield rows()
                     found.clear()
@@ -124,33 +125,69 @@ def counted_inside(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(token_text(F.col(text))).mapInArrow(run, "term string, df long")
 
 
-def _lists(rows: list[list[tuple]], name: str, kind: pa.DataType) -> pa.Array:
-    """Rows of (term, number) pairs as a list column of structs."""
-    flat = [e for r in rows for e in r]
-    entries = pa.StructArray.from_arrays([pa.array([e[0] for e in flat], pa.string()), pa.array([e[1] for e in flat], kind)], ["term", name])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), entries)
+def _pieces(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``_TOGETHER`` rows and some ``_BYTES`` of text (one row at least)."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < b.num_rows:
+        fits = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _BYTES, side="right"))
+        end = max(start + 1, min(fits, start + _TOGETHER))
+        yield b.slice(start, end - start)
+        start = end
 
 
-def _unit(weights: list[tuple[str, float]]) -> list[tuple[str, float]]:
-    """Entries other than 0, sorted by term, at unit length."""
-    vec = sorted(e for e in weights if e[1] != 0)
-    size = math.sqrt(sum(w * w for _, w in vec))
-    return [(t, w / size) for t, w in vec]
+#: Rows and bytes of text counted at once in a task.
+_TOGETHER, _BYTES = 1024, 4 << 20
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for start in range(0, b.num_rows, _ROWS):
-            yield b.slice(start, _ROWS)
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, word) of every word of texts with one space between words."""
+    lists = pc.split_pattern(pc.fill_null(texts, "").cast(pa.string()), " ")
+    row, words = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+    some = pc.not_equal(words, "")
+    return row[some.to_numpy(zero_copy_only=False)], words.filter(some)
+
+
+def _coded(terms: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(distinct terms sorted, place of each term among them)."""
+    coded = terms.dictionary_encode()
+    by = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(by), np.int64)
+    rank[by.to_numpy()] = np.arange(len(by))
+    return coded.dictionary.take(by), rank[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, row, place of the term, count) of the distinct terms of every text, by row and term."""
+    row, words = _words(texts)
+    terms, place = _coded(words)
+    key, n = np.unique(row * max(1, len(terms)) + place, return_counts=True)
+    return terms, key // max(1, len(terms)), key % max(1, len(terms)), n
+
+
+def _of_rows(row: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+    """A list column from the values of each row, which are in the order of the rows."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=rows))), pa.int32()), values)
+
+
+def _unit(row: np.ndarray, rows: int, terms: pa.Array, place: np.ndarray, w: np.ndarray) -> pa.Array:
+    """A list column with each row's entries other than 0, sorted by term, at unit length."""
+    by = np.lexsort((w, place, row))
+    by = by[w[by] != 0]
+    row, place, w = row[by], place[by], w[by]
+    w = w / np.sqrt(np.bincount(row, w * w, minlength=rows))[row]
+    return _of_rows(row, rows, pa.StructArray.from_arrays([terms.take(pa.array(place)), pa.array(w)], ["term", "w"]))
 
 
 def _weighed_inside(docs: DataFrame, key: str, text: str, known) -> DataFrame:
     """(key, vec) where all terms are in ``known`` (a broadcast term -> idf): each row on its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = known.value
-        for b in _small(batches):
-            vecs = [_unit([(term, n * idf[term]) for term, n in Counter((t or "").split()).items()]) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(vecs, "w", pa.float64())], names=[key, "vec"])
+        for b in batches:
+            for part in _pieces(b, 1):
+                terms, row, place, n = _counted(part.column(1))
+                w = n * np.array([idf[t] for t in terms.to_pylist()], np.float64)[place]
+                yield pa.RecordBatch.from_arrays([part.column(0), _unit(row, part.num_rows, terms, place, w)], names=[key, "vec"])
 
     return docs.select(key, token_text(F.col(text))).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("vec", _VECTOR)]))
 
@@ -162,12 +199,14 @@ def _split_inside(docs: DataFrame, key: str, text: str, known) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = known.value
-        for b in _small(batches):
-            rows = [sorted(Counter((t or "").split()).items()) for t in b.column(1).to_pylist()]
-            mine, other = [[e for e in r if e[0] in idf] for r in rows], [[e for e in r if e[0] not in idf] for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(t for t, _ in r) for r in mine], pa.string()),
-                                              pa.array([[n for _, n in r] for r in mine], pa.list_(pa.int64())),
-                                              _lists(other, "tf", pa.int64())], names=[key, "terms", "tfs", "rest"])
+        for b in batches:
+            for part in _pieces(b, 1):
+                terms, row, place, n = _counted(part.column(1))
+                mine, rows = np.array([t in idf for t in terms.to_pylist()], bool)[place], part.num_rows
+                heads = _of_rows(row[mine], rows, terms.take(pa.array(place[mine])))
+                rest = pa.StructArray.from_arrays([terms.take(pa.array(place[~mine])), pa.array(n[~mine], pa.int64())], ["term", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_join(heads, " "), _of_rows(row[mine], rows, pa.array(n[mine], pa.int64())),
+                                                  _of_rows(row[~mine], rows, rest)], names=[key, "terms", "tfs", "rest"])
 
     return docs.select(key, token_text(F.col(text))).mapInArrow(run, f"`{key}` {kind}, terms string, tfs array<bigint>, rest array<struct<term:string,tf:bigint>>")
 
@@ -177,14 +216,22 @@ def _merged(grouped: DataFrame, key: str, known) -> DataFrame:
     without a key has the zero vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = known.value
-        for b in _small(batches):
-            vecs = []
-            for k, parts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                w = []
-                for p in parts if k is not None else ():
-                    w += [(p["terms"], p["w"])] if p["tfs"] is None else [(t, n * idf[t]) for t, n in zip(p["terms"].split(), p["tfs"], strict=True)]
-                vecs.append(_unit(w))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(vecs, "w", pa.float64())], names=[key, "n", "vec"])
+        for b in batches:
+            for start in range(0, b.num_rows, _ROWS):
+                part = b.slice(start, _ROWS)
+                lists = part.column(2)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                parts = lists.flatten()
+                here = pc.is_valid(part.column(0)).to_numpy(zero_copy_only=False)[row]
+                head = parts.field("tfs").is_valid().to_numpy(zero_copy_only=False)
+                heads, tails = parts.filter(pa.array(head & here)), parts.filter(pa.array(~head & here))
+                at, words = _words(heads.field("terms"))
+                terms, place = _coded(pa.concat_arrays([words, tails.field("terms").cast(pa.string())]))
+                known_terms = np.array([idf.get(t, 0.0) for t in terms.to_pylist()], np.float64)
+                w = np.concatenate((heads.field("tfs").flatten().to_numpy(zero_copy_only=False) * known_terms[place[:len(words)]],
+                                    tails.field("w").to_numpy(zero_copy_only=False).astype(np.float64)))
+                row = np.concatenate((row[head & here][at], row[~head & here]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _unit(row, part.num_rows, terms, place, w)], names=[key, "n", "vec"])
 
     return grouped.select(key, "n", "parts").mapInArrow(run, T.StructType([grouped.schema[key], T.StructField("n", T.LongType()), T.StructField("vec", _VECTOR)]))
 

@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of vectors in a shard. Smaller sets of items are dealt over the session's shuffle
-#: partitions, with SHARD_LEAST items each at least.
-SHARD_BYTES, SHARD_LEAST = 64 << 20, 1024
+#: Bytes of dense and of sparse vectors in a shard. Smaller sets of items are dealt over the tasks that
+#: can run, with SHARD_LEAST items each at least.
+SHARD_BYTES, SPARSE_BYTES, SHARD_LEAST = 64 << 20, 128 << 20, 1024
 #: What a sparse vector and each of its entries count as.
 ITEM_BYTES, ENTRY_BYTES = 64, 32
 #: Items in a block of the inverted lists, and blocks in a group.
@@ -225,21 +225,24 @@ class InvertedShard:
         n = len(ids)
         coded = terms.dictionary_encode() if len(terms) else pa.array([], pa.string()).dictionary_encode()
         self.terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-        term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), lens)
+        term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lens)
+        del coded, terms
         cn = np.bincount(row, w * w, minlength=n)
         order = _alike(term, row, w, lens, len(self.terms))
         self.ids, self.n, self.by_id, self.cn = ids.take(pa.array(order)), n, order, cn[order]
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         row = place[row]
         self.groups = -(-n // self.size)
         # postings by group, term and row
-        key = (row // self.size * max(1, len(self.terms)) + term) * self.size + row % self.size
-        by = np.argsort(key, kind="stable")
+        key = ((row // self.size).astype(np.int64) * max(1, len(self.terms)) + term) * self.size
+        key += row % self.size
+        by = np.argsort(key, kind="stable").astype(np.int32)
         term, row, w = term[by], row[by], w[by]
         same, _ = _runs(key[by])                  # an item's entries of one term are one posting
         del key, by
         term, self.row, self.w = term[same], row[same], np.add.reduceat(w, same) if len(w) else w
+        del row, w, same
         at = np.arange(0, n, block)
         self.least_cn = np.minimum.reduceat(self.cn, at) if n else np.empty(0)
         self.least_id = np.minimum.reduceat(self.by_id, at) if n else np.empty(0, np.int64)
@@ -247,11 +250,12 @@ class InvertedShard:
         self.group_cn = np.minimum.reduceat(self.cn, at) if n else np.empty(0)
         self.group_id = np.minimum.reduceat(self.by_id, at) if n else np.empty(0, np.int64)
         # a cell: the postings of a term in a block; a lot: its cells in a group of blocks
-        lot = self.row // self.size * max(1, len(self.terms)) + term
-        self.start, self.count = _runs(lot * group + self.row % self.size // block)
+        lot = (self.row // self.size).astype(np.int64) * max(1, len(self.terms)) + term
+        self.start, self.count = (x.astype(np.int32) for x in _runs(lot * group + self.row % self.size // block))
         self.top = np.maximum.reduceat(self.w, self.start) if len(term) else np.empty(0)
         self.of_block = self.row[self.start] // block
         self.lot_start, self.lot_cells = _runs(lot[self.start])
+        del lot
         self.lot_top = np.maximum.reduceat(self.top, self.lot_start) if len(term) else np.empty(0)
         self.lot_post = self.start[self.lot_start]
         self.lot_count = np.diff(np.append(self.lot_post, len(self.row)))
@@ -451,9 +455,9 @@ def _alike(term: np.ndarray, row: np.ndarray, w: np.ndarray, lens: np.ndarray, n
     """The rows in an order that puts like vectors side by side, so the bounds of their blocks are
     tight: by their most frequent terms, then by length and by the weights of these terms."""
     n, often = len(lens), np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")
-    rank = np.empty(n_terms, np.int64)
+    rank = np.empty(n_terms, np.int32)
     rank[often] = np.arange(n_terms)
-    by = np.lexsort((rank[term], row))
+    by = np.lexsort((rank[term], row)).astype(np.int32)
     ends = np.cumsum(lens)
     first, weight = np.full((_LEADING, n), n_terms), np.zeros(n)
     for i in range(_LEADING):
@@ -476,7 +480,7 @@ _STEPS = ((0, 1), (1, 4), (4, 1 << 62))   # a question's blocks in a group, by r
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
-                   ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
+                   ckey: str = "chunk_id", shard_bytes: int = SPARSE_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) for sparse vectors without negative weights; ``chunks``
     is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c. With a
     column ``norm2`` (|q|^2) the questions may leave out terms that no chunk has. ``size_of``: number of

@@ -268,6 +268,20 @@ def test_index_weighs_frequent_terms_where_they_are_read(spark, monkeypatch):
     assert vectors(rows)[:2] == by_force(rows) and vectors(rows + more)[:2] == by_force(rows + more)
 
 
+def test_texts_are_counted_in_pieces_of_bounded_bytes(monkeypatch):
+    """All terms of a piece are counted together; a piece is as small as its texts are long."""
+    texts = ["b a b", None, "", "c", "a " * 40 + "a", "b", "b c"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    monkeypatch.setattr(E, "_BYTES", 8)
+    monkeypatch.setattr(E, "_TOGETHER", 3)
+    assert [p.column(0).to_pylist() for p in E._pieces(b, 1)] == [[0, 1, 2], [3], [4], [5, 6]]
+    terms, row, place, n = E._counted(b.column(1))
+    got = [(int(i), terms[int(t)].as_py(), int(x)) for i, t, x in zip(row, place, n, strict=True)]
+    assert got == [(0, "a", 1), (0, "b", 2), (3, "c", 1), (4, "a", 41), (5, "b", 1), (6, "b", 1), (6, "c", 1)]
+    empty = E._unit(row[:0], 2, terms, place[:0], np.empty(0))
+    assert empty.to_pylist() == [[], []] and E._counted(pa.array([None, ""], pa.string()))[1].tolist() == []
+
+
 def test_negative_weights_are_refused():
     kind = pa.list_(pa.struct([("term", pa.string()), ("w", pa.float64())]))
     with pytest.raises(ValueError, match="negative"):
