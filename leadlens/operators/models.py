@@ -93,7 +93,9 @@ def learners(p: ModelParams, n_train: int) -> dict[str, tuple[object, bool]]:
         "Logistic Regression": (LogisticRegression(family="multinomial", maxIter=p.lr_max_iter,
                                                    regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                                    standardization=False), True),
-        "Random Forest": (RandomForestClassifier(numTrees=p.rf_trees, maxDepth=p.rf_depth, seed=p.seed), True),
+        # the same trees; a row's node in every tree is kept from level to level, not found again from the root
+        "Random Forest": (RandomForestClassifier(numTrees=p.rf_trees, maxDepth=p.rf_depth, seed=p.seed, cacheNodeIds=True,
+                                                 checkpointInterval=-1), True),
         "Gradient Boosting A": (gbt(), True),
         "Gradient Boosting B": (gbt(rate=0.8), True),
         "Gradient Boosting C": (gbt(bins=64, onehot=False), False),

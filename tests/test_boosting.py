@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadlens import schema as S
 from leadlens.operators import boosting as B
 from leadlens.operators.boosting import Boosting, BoostedModel, fit_boosted, numeric_cuts
-from leadlens.operators.models import ModelParams, compare_models, fit_features
+from leadlens.operators.models import ModelParams, compare_models, fit_features, learners
 
 SETTINGS = {"A": {}, "B": {"rate": 0.8}, "C": {"bins": 64, "onehot": False}}
 SPARK = {"A": {}, "B": {"subsamplingRate": 0.8}, "C": {"maxBins": 64}}
@@ -120,6 +120,16 @@ def test_whole_models_grow_in_a_task(spark, monkeypatch):
     v.unpersist()
 
 
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    """The same trees, without the way from the root at every level."""
+    v = _vectors(_leads(spark), 2)
+    forest = learners(ModelParams(rf_trees=7, rf_depth=6), 400)["Random Forest"][0]
+    assert forest.getCacheNodeIds()
+    trees = [m.fit(v).toDebugString.split("\n", 1)[1] for m in (forest, forest.copy().setCacheNodeIds(False))]
+    assert trees[0] == trees[1]
+    v.unpersist()
+
+
 def test_save_and_load(spark, tmp_dir):
     leads = _leads(spark, 120)
     v = _vectors(leads, 1)
