@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of dense and of sparse vectors in a shard. Smaller sets of items are dealt over the tasks that
-#: can run, with SHARD_LEAST items each at least.
-SHARD_BYTES, SPARSE_BYTES, SHARD_LEAST = 64 << 20, 128 << 20, 1024
+#: Bytes of vectors in a shard. Smaller sets of items are dealt over the tasks that can run, with
+#: SHARD_LEAST items each at least.
+SHARD_BYTES, SHARD_LEAST = 64 << 20, 1024
 #: What a sparse vector and each of its entries count as.
 ITEM_BYTES, ENTRY_BYTES = 64, 32
 #: Items in a block of the inverted lists, and blocks in a group.
@@ -115,9 +115,11 @@ def _nearest(items: DataFrame, questions: DataFrame, qkey: list[str], ckey: str,
             if own == b.num_rows or not held:
                 continue
             if shard is None:
-                t = pa.Table.from_batches(held).combine_chunks()
-                shard = shard_of(t.column(0).combine_chunks(), _unpacked(t.column(1).combine_chunks(), t.column(2).combine_chunks()))
-                held = [b.slice(0, 0)]
+                t = pa.Table.from_batches(held)
+                ids, vecs = t.column(0).combine_chunks(), _unpacked(t.column(1).combine_chunks(), t.column(2).combine_chunks())
+                held, t = [None], None      # what was read is not kept beside the index
+                shard = shard_of(ids, vecs)
+                del ids, vecs
             for block in b.column(4).slice(own):
                 with pa.ipc.open_stream(block.as_buffer()) as stream:
                     asked = stream.read_next_batch()
@@ -480,7 +482,7 @@ _STEPS = ((0, 1), (1, 4), (4, 1 << 62))   # a question's blocks in a group, by r
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
-                   ckey: str = "chunk_id", shard_bytes: int = SPARSE_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
+                   ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) for sparse vectors without negative weights; ``chunks``
     is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c. With a
     column ``norm2`` (|q|^2) the questions may leave out terms that no chunk has. ``size_of``: number of
