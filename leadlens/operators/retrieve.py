@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of vectors in a shard. Smaller sets of items are dealt over the tasks that can run, with
+#: Bytes of dense and of sparse vectors in a shard. Smaller sets of items are dealt over the tasks that can run, with
 #: SHARD_LEAST items each at least.
-SHARD_BYTES, SHARD_LEAST = 64 << 20, 1024
+SHARD_BYTES, SPARSE_BYTES, SHARD_LEAST = 64 << 20, 96 << 20, 1024
 #: What a sparse vector and each of its entries count as.
 ITEM_BYTES, ENTRY_BYTES = 64, 32
 #: Items in a block of the inverted lists, and blocks in a group.
@@ -161,7 +161,7 @@ def _in_blocks(questions: DataFrame, qkey: list[str]) -> DataFrame:
             vec = pa.ListArray.from_arrays(vec.offsets, entries)
         out = pa.RecordBatch.from_arrays([*(t.column(2 + j).combine_chunks() for j in range(len(keys) + len(more))), vec], names=[*keys, *more, "vec"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, out.schema) as stream:
+        with pa.ipc.new_stream(sink, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_batch(out)
         return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["__block"])
 
@@ -482,7 +482,7 @@ _STEPS = ((0, 1), (1, 4), (4, 1 << 62))   # a question's blocks in a group, by r
 
 
 def nearest_sparse(chunks: DataFrame, qvecs: DataFrame, qkey: list[str], k: int = 5,
-                   ckey: str = "chunk_id", shard_bytes: int = SHARD_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
+                   ckey: str = "chunk_id", shard_bytes: int = SPARSE_BYTES, size_of: tuple[int, int] | None = None) -> DataFrame:
     """(qkey..., chunk_id, distance, rank) for sparse vectors without negative weights; ``chunks``
     is (chunk_id, vec) with zero vectors as empty arrays. distance = |q|^2 + |c|^2 - 2 q.c. With a
     column ``norm2`` (|q|^2) the questions may leave out terms that no chunk has. ``size_of``: number of
